@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import quality_rules
+from plumbline.llm import mixing, quality_rules
 from plumbline.llm.common import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.figures(mixing.mix(table(spark, sf_dir, "documents")))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality_rules.with_verdict(docs, statistics=True)
@@ -15,6 +19,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op8_quality_rules": op8_quality_rules,
 }
 
@@ -44,6 +49,36 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM s
 """
 
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         md5('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS place
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS nth
+  FROM d GROUP BY source),
+w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(nth - 1) % 3 + 1] AS weight, 2.0::DOUBLE * source_size AS most FROM s),
+f AS (
+  SELECT *, 1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER b, 0) AS left_over,
+         sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS heavy,
+         row_number() OVER (ORDER BY most / weight, nth) AS turn
+  FROM w WINDOW b AS (ORDER BY most / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT arg_min(left_over / heavy, turn) AS level FROM f WHERE most * heavy > weight * left_over),
+t AS (
+  SELECT source, source_size, least(most, weight * coalesce(level, 0)) AS target,
+         CAST(round(least(most, weight * coalesce(level, 0))) AS BIGINT) AS words
+  FROM f, v),
+a AS (
+  SELECT d.*, t.source_size, t.target, t.words,
+         CAST(sum(size) OVER (PARTITION BY d.source ORDER BY place ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS pos
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       CASE WHEN source_size = 0 THEN 0 ELSE (words // source_size) * size
+         + greatest(0, least(pos + size, words % source_size) - pos) END AS taken
+FROM a
+"""
+
 ORACLES = {
+    "op1_mixing": OP1_SQL,
     "op8_quality_rules": OP8_SQL,
 }
