@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import mixing, quality_rules
+from plumbline.llm import mixing, packing, quality_rules
 from plumbline.llm.common import table
 
 
@@ -12,6 +12,18 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.figures(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+def vocabulary() -> str:
+    """The tokenizer file that the contracts name."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality_rules.with_verdict(docs, statistics=True)
@@ -20,6 +32,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_packing": op2_packing,
     "op8_quality_rules": op8_quality_rules,
 }
 
