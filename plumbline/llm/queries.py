@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import mixing, packing, quality_rules
+from plumbline.llm import line_dedup, mixing, packing, quality_rules
 from plumbline.llm.common import table
 
 
@@ -24,6 +24,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality_rules.with_verdict(docs, statistics=True)
@@ -33,6 +38,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
+    "op6_line_dedup": op6_line_dedup,
     "op8_quality_rules": op8_quality_rules,
 }
 
@@ -91,7 +97,25 @@ SELECT doc_id, size, source_size, target,
 FROM a
 """
 
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id AS id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT id, unnest(generate_series(0, len(lines) - 1)) AS i, unnest(lines) AS x FROM d),
+t AS (SELECT id, i, regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS x FROM l),
+f AS (SELECT id, i, x, row_number() OVER (PARTITION BY id ORDER BY i) AS nth FROM t WHERE x <> ''),
+w AS (SELECT a.id, a.nth, [a.i, b.i, c.i] AS places, [a.x, b.x, c.x] AS xs
+      FROM f a JOIN f b ON a.id = b.id AND b.nth = a.nth + 1 JOIN f c ON a.id = c.id AND c.nth = a.nth + 2),
+r AS (SELECT id, places, row_number() OVER (PARTITION BY xs ORDER BY id, nth) > 1 AS later, count(*) OVER (PARTITION BY xs) AS n FROM w),
+p AS (SELECT id, later, unnest(places) AS i FROM r WHERE n > 1),
+gone AS (SELECT id, i FROM p GROUP BY id, i HAVING bool_and(later)),
+k AS (SELECT l.id, count(*) AS n_lines, count(gone.i) AS n_removed,
+             coalesce(string_agg(x, chr(10) ORDER BY l.i) FILTER (gone.i IS NULL), '') AS kept
+      FROM l LEFT JOIN gone ON l.id = gone.id AND l.i = gone.i GROUP BY l.id)
+SELECT id AS doc_id, n_lines, n_removed, sha256(kept) AS kept_sha256 FROM k
+"""
+
 ORACLES = {
+    "op6_line_dedup": OP6_SQL,
     "op1_mixing": OP1_SQL,
     "op8_quality_rules": OP8_SQL,
 }
