@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import line_dedup, mixing, packing, quality_rules
+from plumbline.llm import ann, line_dedup, mixing, packing, quality_rules
 from plumbline.llm.common import table
 
 
@@ -35,11 +35,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.STATISTICS, "base_failed", F.col("rejected_by").isNull().alias("kept"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
     "op6_line_dedup": op6_line_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
 }
 
 OP8_SQL = r"""
