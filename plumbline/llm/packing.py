@@ -13,11 +13,13 @@ from __future__ import annotations
 
 import heapq
 import math
+import string
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -25,25 +27,64 @@ from plumbline.llm.common import saved
 
 CONTEXT, END_ID = 2048, 1
 
-#: Distinct words whose ids a worker remembers; pieces of one length that are ranked together, on average.
-REMEMBERED, RANKED_TOGETHER = 250_000, 16_384
+#: Distinct words whose ids a worker remembers; characters whose words are looked up together; pieces of one length
+#: that are ranked together, on average.
+REMEMBERED, GROUP_CHARS, RANKED_TOGETHER = 400_000, 1 << 20, 16_384
 
 
 class WordIds(dict):
     """Each word's ids as little-endian 32-bit bytes. White space always separates tokens of the tokenizers used
-    here, so a text's ids are those of its words; a word is looked up instead of being merged again."""
+    here, so a text's ids are those of its words; a word is looked up instead of being merged again.
+
+    New words of letters only are tokenised many at a time: in a vocabulary with word ends each is one run of ids up
+    to a word end. Punctuation after such a word, and ASCII capitals, do not change its ids. When there are too many
+    words, those not met since the last time are forgotten."""
+
+    STOPS, TOGETHER = string.punctuation.encode(), 2000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.before = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def singly(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
+    def of(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of each of words."""
+        if len(self) > REMEMBERED:
+            self.before = dict(self)
             self.clear()
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        value = self[word] = b"".join(i.to_bytes(4, "little") for i in ids)
-        return value
+        found = dict(zip(words, map(self.get, words), strict=True))
+        unknown = [w for w, ids in found.items() if ids is None]
+        again = dict(zip(unknown, map(self.before.get, unknown), strict=True))
+        cores = {w: w.rstrip(self.STOPS).lower() for w, ids in again.items() if ids is None}
+        runs = {c: ids for c in set(cores.values()) if (ids := self.get(c)) is not None}
+        new = [c for c in set(cores.values()) if c not in runs and c.decode().isalpha()] if self.ends.any() else []
+        groups = [new[i : i + self.TOGETHER] for i in range(0, len(new), self.TOGETHER)]
+        together = self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)
+        for group, encoding in zip(groups, together, strict=True):
+            ids = np.array(encoding.ids, "<u4")
+            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            if len(cuts) == len(group) + 1:  # else one of them is more than one run, and they are taken singly
+                run = ids.tobytes()
+                runs.update(zip(group, (run[i:j] for i, j in zip(cuts, cuts[1:], strict=False)), strict=True))
+        tails: dict[bytes, bytes] = {b"": b""}
+        for word, core in cores.items():
+            if core not in runs:
+                again[word] = self.singly(word)
+                continue
+            tail = word[len(core) :]
+            if tail not in tails:
+                tails[tail] = self.singly(tail)
+            again[word] = runs[core] + tails[tail]
+        self.update(runs)
+        self.update(again)
+        found.update(again)
+        return found
 
 
 @lru_cache(1)
@@ -62,20 +103,20 @@ def pieces(docs: DataFrame, vocabulary: str, context: int = CONTEXT, end_id: int
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_ids(vocabulary)
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in kinds}
-            held = 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = b"".join(map(known.__getitem__, (text or "").encode().split())) + end
-                n = len(ids) // 4
-                for start in range(0, n, context):
-                    piece = ids[4 * start : 4 * (start + context)]
-                    for c, v in zip(out, (doc_id, start, len(piece) // 4, n, zlib.crc32(piece), piece), strict=False):
-                        out[c].append(v)
-                    held += len(piece)
-                if held > 1 << 24:
-                    yield pa.RecordBatch.from_pydict(out, schema)
-                    out, held = {c: [] for c in kinds}, 0
-            yield pa.RecordBatch.from_pydict(out, schema)
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            sizes = np.cumsum([len(x or "") for x in texts])
+            for rows in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(sizes // GROUP_CHARS)) + 1):
+                words = [(texts[i] or "").encode().split() for i in rows]
+                ids_of = known.of(set().union(*words)).__getitem__
+                out: dict[str, list] = {c: [] for c in kinds}
+                for i, w in zip(rows, words, strict=True):
+                    ids = b"".join(map(ids_of, w)) + end
+                    n = len(ids) // 4
+                    for start in range(0, n, context):
+                        piece = ids[4 * start : 4 * (start + context)]
+                        for c, v in zip(out, (doc_ids[i], start, len(piece) // 4, n, zlib.crc32(piece), piece), strict=False):
+                            out[c].append(v)
+                yield pa.RecordBatch.from_pydict(out, schema)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
