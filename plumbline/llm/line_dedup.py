@@ -30,7 +30,7 @@ def windows(docs: DataFrame, text_col: str = "text", width: int = WINDOW) -> Dat
     trimmed = F.transform(F.col("lines"), lambda x, i: F.struct(i.alias("i"), F.regexp_replace(x, rf"^{SPACE}+|{SPACE}+$", "").alias("x")))
     full = F.filter(trimmed, lambda v: v["x"] != "")
     rows = docs.select(row_key(text_col=text_col).alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), lines_of(text_col).alias("lines"))
-    rows = rows.dropDuplicates(["key"]).select("key", "id", full.alias("full")).where(F.size("full") >= width)
+    rows = rows.select("key", "id", full.alias("full")).where(F.size("full") >= width)
 
     def hashed(i: Column) -> Column:
         at = [F.element_at("full", (i + k + 1).cast("int")) for k in range(width)]
@@ -43,7 +43,7 @@ def windows(docs: DataFrame, text_col: str = "text", width: int = WINDOW) -> Dat
 def removed_lines(docs: DataFrame, text_col: str = "text", width: int = WINDOW) -> DataFrame:
     """key (of row_key) and removed: the sorted numbers of the lines that go, for documents that lose any."""
     all_windows = saved(windows(docs, text_col, width), "line-windows")
-    first = all_windows.groupBy("h1", "h2").agg(F.min(F.struct("id", "nth")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = all_windows.groupBy("h1", "h2").agg(F.min(F.struct("id", "nth")).alias("first"), F.max(F.struct("id", "nth")).alias("last")).where("first < last").drop("last")
     here = F.struct("id", "nth")
     repeated = all_windows.join(first, ["h1", "h2"]).select("key", "places", (here > F.col("first")).alias("later"))
     sides = repeated.groupBy("key").agg(*(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("later") == later, F.col("places"))))).alias(name) for name, later in (("go", True), ("stay", False))))
