@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import ann, line_dedup, mixing, packing, quality_rules
+from plumbline.llm import ann, html_text, line_dedup, mixing, packing, quality_rules
 from plumbline.llm.common import table
 
 
@@ -39,12 +39,18 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.extract(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
     "op6_line_dedup": op6_line_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_nearest_neighbours": op9_nearest_neighbours,
+    "op10_html_text": op10_html_text,
 }
 
 OP8_SQL = r"""
