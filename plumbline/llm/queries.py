@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import ann, html_text, line_dedup, mixing, packing, quality_rules
+from plumbline.llm import ann, html_text, line_dedup, mixing, packing, quality_rules, substring
 from plumbline.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
     return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -47,6 +51,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
+    "op3_substring_dedup": op3_substring_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_nearest_neighbours": op9_nearest_neighbours,
@@ -108,6 +113,20 @@ SELECT doc_id, size, source_size, target,
 FROM a
 """
 
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 13),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i:i+12], ' ')) AS g FROM g),
+m AS (SELECT doc_id, i, doc_id > min(doc_id) OVER (PARTITION BY g) AS later FROM h),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(generate_series(i, i + 12)) AS p FROM m WHERE later)),
+u AS (SELECT doc_id, unnest(generate_series(1, len(w))) AS p, unnest(w) AS x FROM d),
+k AS (SELECT u.doc_id, count(gone.p) AS n_removed, coalesce(string_agg(x, ' ' ORDER BY u.p) FILTER (gone.p IS NULL), '') AS kept
+      FROM u LEFT JOIN gone USING (doc_id, p) GROUP BY u.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
 OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id AS id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
@@ -126,6 +145,7 @@ SELECT id AS doc_id, n_lines, n_removed, sha256(kept) AS kept_sha256 FROM k
 """
 
 ORACLES = {
+    "op3_substring_dedup": OP3_SQL,
     "op6_line_dedup": OP6_SQL,
     "op1_mixing": OP1_SQL,
     "op8_quality_rules": OP8_SQL,
