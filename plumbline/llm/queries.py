@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import ann, html_text, line_dedup, mixing, packing, quality_rules, substring
-from plumbline.llm.common import table
+from plumbline.llm import ann, html_text, line_dedup, mixing, near_dup, packing, quality_rules, substring
+from plumbline.llm.common import NO_ID, table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.components(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, num=90, den=100)
+    given = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    return found.select(given("id").alias("doc_id"), "n_shingles", given("component").alias("component_id"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
     return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -52,6 +58,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_jaccard_join": op4_jaccard_join,
     "op6_line_dedup": op6_line_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_nearest_neighbours": op9_nearest_neighbours,
@@ -127,6 +134,23 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0)
 FROM d LEFT JOIN k USING (doc_id)
 """
 
+OP4_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+2], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+f AS (SELECT g, count(*) AS c FROM s GROUP BY g HAVING count(*) > 1),
+r AS (SELECT s.doc_id, s.g FROM s JOIN f USING (g)),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM r a JOIN r b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * shared >= 90 * (a.n + b.n - shared)),
+l AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+c AS (SELECT doc_id AS v, doc_id AS root FROM d UNION SELECT l.y, c.root FROM c JOIN l ON l.x = c.v WHERE c.root < l.y)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(c.root) AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.v = d.doc_id GROUP BY d.doc_id, n.n
+"""
+
 OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id AS id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
@@ -146,6 +170,7 @@ SELECT id AS doc_id, n_lines, n_removed, sha256(kept) AS kept_sha256 FROM k
 
 ORACLES = {
     "op3_substring_dedup": OP3_SQL,
+    "op4_jaccard_join": OP4_SQL,
     "op6_line_dedup": OP6_SQL,
     "op1_mixing": OP1_SQL,
     "op8_quality_rules": OP8_SQL,
