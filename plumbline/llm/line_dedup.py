@@ -58,6 +58,8 @@ def dedup(docs: DataFrame, text_col: str = "text", width: int = WINDOW, report:
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__removed"))
     text = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
     extra = {"n_lines": F.size(lines).cast("long"), "n_removed": F.coalesce(F.size("__removed"), F.lit(0)).cast("long")} if report else {}
-    length = {"n_chars": F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    changed = {text_col: text, **length}
-    return rows.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns if c not in extra), *(v.alias(c) for c, v in extra.items()))
+    columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in extra]
+    rows = rows.select(*columns, *(v.alias(c) for c, v in extra.items()), F.col("__removed").isNotNull().alias("__cut"))
+    if "n_chars" in docs.columns:  # in a step of its own, so that the text is made once
+        rows = rows.withColumn("n_chars", F.when(F.col("__cut"), F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return rows.drop("__cut")
