@@ -216,7 +216,8 @@ def sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(row_key().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "doc_id", "text")
+    """Both joins to texts start from this same projection, so that Spark shuffles the texts once."""
+    return docs.select(row_key().alias("row"), "doc_id", "text")
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, run: int = RUN) -> DataFrame:
@@ -227,7 +228,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, run: int = RUN) -> DataF
     anchors = rows.select("row", "text").mapInArrow(anchor_rows(width, run), "key long, row long, nth int")
     flags = anchors.repartition(n, "key").sortWithinPartitions("key").mapInArrow(repeated_anchors, FLAGGED)
     flags = flags.groupBy("row").agg(F.array_distinct(F.collect_list("nth")).alias("flags"))
-    marked = rows.join(flags, "row").select("row", "id", "text", "flags")
+    marked = rows.join(flags, "row").select("row", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "text", "flags")
     spans = marked.mapInArrow(stretches(width, run), SPAN).repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(sources, SPAN)
     return spans.select("row", "doc_id", "start", "n", "source_doc", "source_start")
 
