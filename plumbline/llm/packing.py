@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 import string
 import zlib
 from collections.abc import Iterator
@@ -53,16 +54,21 @@ class WordIds(dict):
     def singly(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def of(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of each of words."""
+    def of(self, texts: list[list[bytes]]) -> list[bytes]:
+        """The ids of each text, given as its words."""
         if len(self) > REMEMBERED:
             self.before = dict(self)
             self.clear()
-        found = dict(zip(words, map(self.get, words), strict=True))
-        unknown = [w for w, ids in found.items() if ids is None]
+        found = [list(map(self.get, words)) for words in texts]
+        unknown = {w for words, ids in zip(texts, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
+        now = self.resolved(unknown)
+        return [b"".join([now[w] if x is None else x for w, x in zip(words, ids, strict=True)] if None in ids else ids) for words, ids in zip(texts, found, strict=True)]
+
+    def resolved(self, unknown: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of new words, which are known from now on."""
         again = dict(zip(unknown, map(self.before.get, unknown), strict=True))
-        cores = {w: w.rstrip(self.STOPS).lower() for w, ids in again.items() if ids is None}
-        runs = {c: ids for c in set(cores.values()) if (ids := self.get(c)) is not None}
+        cores = {w: w.rstrip(self.STOPS) for w, ids in again.items() if ids is None}
+        runs = {w: ids for w in set(cores.values()) if (ids := self.get(w)) is not None}
         new = [c for c in set(cores.values()) if c not in runs and c.decode().isalpha()] if self.ends.any() else []
         groups = [new[i : i + self.TOGETHER] for i in range(0, len(new), self.TOGETHER)]
         together = self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)
@@ -74,17 +80,25 @@ class WordIds(dict):
                 runs.update(zip(group, (run[i:j] for i, j in zip(cuts, cuts[1:], strict=False)), strict=True))
         tails: dict[bytes, bytes] = {b"": b""}
         for word, core in cores.items():
-            if core not in runs:
-                again[word] = self.singly(word)
-                continue
             tail = word[len(core) :]
             if tail not in tails:
                 tails[tail] = self.singly(tail)
-            again[word] = runs[core] + tails[tail]
+            again[word] = runs[core] + tails[tail] if core in runs else self.singly(word)
         self.update(runs)
         self.update(again)
-        found.update(again)
-        return found
+        return again
+
+
+STOP = re.compile(rb"(?<=[a-z0-9])[.,](?=[ \n]|\Z)")
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Words with the ids of the text's. Where that cannot change ids, capitals are made small and a stop after a
+    letter or digit is a word of its own, so that there are fewer different words."""
+    raw = (text or "").encode()
+    if b"<|" not in raw and b"\xcc" not in raw and b"\xcd" not in raw:  # special tokens; signs that combine with letters
+        raw = STOP.sub(rb" \g<0>", raw.lower())
+    return raw.split()
 
 
 @lru_cache(1)
@@ -106,11 +120,10 @@ def pieces(docs: DataFrame, vocabulary: str, context: int = CONTEXT, end_id: int
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             sizes = np.cumsum([len(x or "") for x in texts])
             for rows in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(sizes // GROUP_CHARS)) + 1):
-                words = [(texts[i] or "").encode().split() for i in rows]
-                ids_of = known.of(set().union(*words)).__getitem__
+                encoded = known.of([words_of(texts[i]) for i in rows])
                 out: dict[str, list] = {c: [] for c in kinds}
-                for i, w in zip(rows, words, strict=True):
-                    ids = b"".join(map(ids_of, w)) + end
+                for i, ids in zip(rows, encoded, strict=True):
+                    ids += end
                     n = len(ids) // 4
                     for start in range(0, n, context):
                         piece = ids[4 * start : 4 * (start + context)]
