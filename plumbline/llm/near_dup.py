@@ -9,11 +9,11 @@ Equal sets are one class from the start. A link between different sets is found
   different shingles, they agree in at least one. Lists are scanned with parity sketches: bits that differ in the
   sketches are shingles that differ, so the scan rules pairs out and never a link. A minimum spanning forest of what
   is left is checked on whole texts; where a pair of it turns out not to be linked, its list is scanned again without
-  that pair, until every list has a forest of true links.
+  that pair, asking for four times as many at once, until every list has a forest of true links.
 
-The boundary is where the subsets of light sets and the list entries of the others together cost least; sets near it
-go both ways. A list is scanned in blocks of bounded size, in different tasks. No pair is set aside, so the components
-are those of all links. Only counts per small size reach the driver.
+The boundary is the largest size up to which listing subsets costs no more than list entries, by the cost of one entry
+against one subset; sets near it go both ways. A list is scanned in blocks of bounded size, in different tasks. No pair
+is set aside, so the components are those of all links. Nothing of the corpus reaches the driver.
 
 Null and empty texts have the empty set and no link. Rows may repeat; a null doc_id is the largest.
 """
@@ -37,7 +37,10 @@ from plumbline.llm.substring import grouped, runs, signed
 #: Sizes that may be light; what a list entry costs against a subset; members of a list that are scanned together.
 LIGHT_SIZES, LIST_COST, BLOCK = 64, 8, 1024
 
-SKETCH_BITS = 512
+SKETCH_BITS = 2048
+
+#: Rows of one pass over the texts: list entries, with n = -1, and one row for each document, with its row as key.
+ENTRY = "key long, sig long, id long, n long"
 
 
 class Measure(NamedTuple):
@@ -111,30 +114,28 @@ def subset_keys(s: np.ndarray, measure: Measure, boundary: int) -> list[np.ndarr
     return out
 
 
-def set_rows(measure: Measure) -> Callable:
-    """(row, id, text) to (row, id, n, sig); sig is null for the empty set."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in grouped(batches, 2):
-            sets = [shingles(text, measure, hashes) for text in batch.column(2).to_pylist()]
-            sig = pa.array([int(signature(s).view(np.int64)) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), sig], names=["row", "id", "n", "sig"])
+def light_boundary(measure: Measure) -> int:
+    """The size up to which sets list subsets."""
+    costs = [measure.subsets(n) <= LIST_COST * sum(measure.ranges(n)) for n in range(1, LIGHT_SIZES + 1)]
+    return costs.index(False) if False in costs else LIGHT_SIZES
 
-    return read
 
-
-def key_rows(measure: Measure, boundary: int) -> Callable:
-    """(row, id, text) to the (key, sig) of all lists that a set is in, once for equal sets of a batch."""
+def entries(measure: Measure, boundary: int) -> Callable:
+    """(row, id, text) to the rows of ENTRY: all lists that a set is in, once for equal sets of a batch, and each
+    document's n and sig (0 for the empty set)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in grouped(batches, 2):
-            sets = {}
+            sets, sigs, ns = {}, [], []
             for text in batch.column(2).to_pylist():
                 s = shingles(text, measure, hashes)
+                sig = signature(s) if len(s) else np.uint64(0)
+                sigs.append(sig)
+                ns.append(len(s))
                 if len(s):
-                    sets[signature(s)] = s
+                    sets[sig] = s
+            yield pa.RecordBatch.from_arrays([batch.column(0), signed(np.array(sigs, np.uint64)), batch.column(1), pa.array(ns, pa.int64())], names=["key", "sig", "id", "n"])
             keys, sizes = [], []
             for s in sets.values():
                 mine = subset_keys(s, measure, boundary) if len(s) <= boundary else []
@@ -142,27 +143,35 @@ def key_rows(measure: Measure, boundary: int) -> Callable:
                     mine += list_keys(s, measure)
                 keys += mine
                 sizes.append(sum(map(len, mine)))
-            if sets:
+            if keys:
                 sig = np.repeat(np.array(list(sets), np.uint64), sizes)
-                yield pa.RecordBatch.from_arrays([signed(np.concatenate(keys) if keys else np.empty(0, np.uint64)), signed(sig)], names=["key", "sig"])
+                yield pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), signed(sig), pa.array(np.zeros(len(sig), np.int64)), pa.array(np.full(len(sig), -1))], names=["key", "sig", "id", "n"])
 
     return read
 
 
 def shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, sig) in that order to (list, sure, sig, nth) for lists of two sets or more.
+    """Rows of ENTRY in the order of (key, sig) to (list, sure, sig, nth, id, n) for lists of two sets or more; rows
+    of documents (n not null) pass, with their row as list.
 
     A list is named after its members, so that lists of the same sets can become one; one that is longer than a
     million is named after its key and passed on as it comes."""
     key, sig = np.empty(0, np.int64), np.empty(0, np.int64)  # the last list so far
     passed, skip = 0, 0  # members of it that were passed on; how many of those are still in key
-    end = pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["key", "sig"])
+    end = pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, names=["key", "sig", "id", "n"])
+    names_out = ["list", "sure", "sig", "nth", "id", "n"]
 
     def with_end() -> Iterator[tuple[pa.RecordBatch, bool]]:
         yield from ((b, False) for b in batches)
         yield end, True
 
     for batch, over in with_end():
+        entry = pa.compute.equal(batch.column("n"), -1)
+        docs = batch.filter(pa.compute.invert(entry))
+        if docs.num_rows:
+            nulls = pa.nulls(docs.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([docs.column("key"), nulls.cast(pa.bool_()), docs.column("sig"), nulls, docs.column("id"), docs.column("n")], names=names_out)
+        batch = batch.filter(entry)
         key, sig = np.append(key, batch.column(0).to_numpy()), np.append(sig, batch.column(1).to_numpy())
         if not len(key):
             continue
@@ -181,7 +190,8 @@ def shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out[-1] &= over or long[-1]
         out = np.repeat(out, size)
         out[:skip] = False
-        yield pa.RecordBatch.from_arrays([signed(np.repeat(names, size)[out]), pa.array((key[out] & 1) == 1), pa.array(sig[out]), pa.array(nth[out])], names=["list", "sure", "sig", "nth"])
+        nulls = pa.nulls(int(out.sum()), pa.int64())
+        yield pa.RecordBatch.from_arrays([signed(np.repeat(names, size)[out]), pa.array((key[out] & 1) == 1), pa.array(sig[out]), pa.array(nth[out]), nulls, nulls], names=names_out)
         if long[-1]:
             key, sig, passed, skip = key[-1:], sig[-1:], int(nth[-1]) + 1, 1
         else:
@@ -201,37 +211,40 @@ def sketches(measure: Measure) -> Callable:
     return read
 
 
-def forest(sketch: np.ndarray, n: np.ndarray, measure: Measure, good: set, bad: set) -> list[tuple[int, int]]:
-    """A minimum spanning forest of the pairs that the sketches leave possible, by the least surplus of differing bits
-    (Prim's method, a row at a time). good: pairs known to be linked; bad: known not to be."""
-    m = len(n)
-    slack, came = np.full(m, 1 << 30), np.full(m, -1)
-    todo, edges, v = np.ones(m, bool), [], 0
+def forest(sketch: np.ndarray, n: np.ndarray, measure: Measure, good: set, bad: set, at_once: int) -> list[tuple[int, int]]:
+    """Pairs to ask about: those of a minimum spanning forest of what the sketches leave possible, by the least surplus
+    of differing bits (Prim's method, a row at a time), except where it is known to be linked (good). Pairs in bad are
+    known not to be. A member that joins by an unknown pair asks for its at_once best ones."""
+    m, never = len(n), 1 << 30
+    slack, todo, asked, v = np.full(m, never), np.ones(m, bool), [], 0
     known: dict[int, list] = {}
-    for pairs, value in ((good, -(1 << 29)), (bad, 1 << 30)):
+    for pairs, value in ((good, -(1 << 29)), (bad, never)):
         for a, b in pairs:
             known.setdefault(a, []).append((b, value))
             known.setdefault(b, []).append((a, value))
-    for _ in range(m - 1):
-        todo[v] = False
+    while True:
         differ = np.bitwise_count(sketch ^ sketch[v]).sum(1, dtype=np.int64)
         allowed = n + n[v] - 2 * -(-measure.num * (n + n[v]) // (measure.num + measure.den))
         fits = (differ <= allowed) & (np.minimum(n, n[v]) * measure.den >= np.maximum(n, n[v]) * measure.num)
-        row = np.where(fits, differ - allowed, 1 << 30)
+        row = np.where(fits, differ - allowed, never)
         for other, value in known.get(v, ()):
             row[other] = value
-        nearer = todo & (row < slack)
-        slack[nearer], came[nearer] = row[nearer], v
-        open_ = np.flatnonzero(todo)
-        v = int(open_[np.argmin(slack[open_])])
-        if slack[v] < 1 << 30:
-            edges.append((int(came[v]), v))
-    return edges
+        if -(1 << 29) < slack[v] < never:
+            near = np.flatnonzero(~todo & (row < never) & (row > -(1 << 29)))
+            if len(near) > at_once:
+                near = near[np.argpartition(row[near], at_once - 1)[:at_once]]
+            asked += [(int(x), v) for x in near]
+        todo[v] = False
+        slack = np.where(todo, np.minimum(slack, row), slack)
+        left = np.flatnonzero(todo)
+        if not len(left):
+            return asked
+        v = int(left[np.argmin(slack[left])])
 
 
-def scan(measure: Measure) -> Callable:
+def scan(measure: Measure, at_once: int) -> Callable:
     """Members (list, sig, n, sketch) and known pairs (list, sig, other, linked), in the order of their list, members
-    first, to the pairs (list, a, b) of each list's forest that are not known yet."""
+    first, to the pairs (list, a, b) that forest() asks about in each list."""
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -267,9 +280,8 @@ def scan(measure: Measure) -> Callable:
             number = {s: i for i, s in enumerate(sig[:m])}
             pairs = [(number[a], number[b], ok) for a, b, ok in zip(sig[m:], other[m:], linked[m:], strict=True)]
             good, bad = {(a, b) for a, b, ok in pairs if ok}, {(a, b) for a, b, ok in pairs if not ok}
-            for a, b in forest(sketch, part.column("n").slice(0, m).to_numpy(), measure, good, bad):
-                if (a, b) not in good and (b, a) not in good:
-                    out.append((part.column(0)[0].as_py(), min(sig[a], sig[b]), max(sig[a], sig[b])))
+            for a, b in forest(sketch, part.column("n").slice(0, m).to_numpy(), measure, good, bad, at_once):
+                out.append((part.column(0)[0].as_py(), min(sig[a], sig[b]), max(sig[a], sig[b])))
             if len(out) > 50_000:
                 yield flush()
         yield flush()
@@ -293,27 +305,19 @@ def compare(measure: Measure) -> Callable:
     return read
 
 
-def light_boundary(sets: DataFrame, measure: Measure) -> int:
-    """The size up to which sets list subsets; the counts of at most LIGHT_SIZES sizes are collected."""
-    counts = dict(sets.where(F.col("n").between(1, LIGHT_SIZES)).groupBy("n").agg(F.count("*")).collect())
-    cost, best = {0: 0}, 0
-    for n in range(1, LIGHT_SIZES + 1):  # against all of them in lists
-        cost[n] = cost[n - 1] + counts.get(n, 0) * (measure.subsets(n) - LIST_COST * sum(measure.ranges(n)))
-        if cost[n] < cost[best]:
-            best = n
-    return best
-
+def sets_and_lists(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame]:
+    """Of docs (row, id, text): row, id, n and sig (null for the empty set) of each; and list, sure, sig and nth, the
+    members of all lists of two sets or more."""
+    found = docs.mapInArrow(entries(measure, light_boundary(measure)), ENTRY)
+    found = found.repartition(partitions_for(docs.sparkSession), "key").sortWithinPartitions("key", "sig").mapInArrow(shared_lists, "list long, sure boolean, sig long, nth long, id long, n long")
+    found = saved(found, "near-entries")
+    sets = found.where("n is not null").select(F.col("list").alias("row"), "id", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig"))
+    return sets, saved(found.where("n is null").groupBy("list", "sure", "sig").agg(F.min("nth").alias("nth")), "near-lists")
 
-def links(docs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
-    """Links (a, b) between the signatures of different sets, enough to connect all that links connect.
 
-    docs: row, id and text; sets: row, id, n and sig of each."""
-    spark = docs.sparkSession
-    n = partitions_for(spark)
-    boundary = light_boundary(sets, measure)
-    keys = docs.mapInArrow(key_rows(measure, boundary), "key long, sig long")
-    found = keys.repartition(n, "key").sortWithinPartitions("key", "sig").mapInArrow(shared_lists, "list long, sure boolean, sig long, nth long")
-    lists = saved(found.groupBy("list", "sure", "sig").agg(F.min("nth").alias("nth")), "near-lists")
+def links(docs: DataFrame, sets: DataFrame, lists: DataFrame, measure: Measure) -> DataFrame:
+    """Links (a, b) between the signatures of different sets, enough to connect all that links connect."""
+    n = partitions_for(docs.sparkSession)
 
     certain = lists.where("sure")
     certain = certain.join(certain.groupBy("list").agg(F.min("sig").alias("first")), "list").where("sig <> first").select(F.col("first").alias("a"), F.col("sig").alias("b")).distinct()
@@ -324,15 +328,16 @@ def links(docs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
     members = saved(members.join(texts.select("sig", "n", "sketch"), "sig"), "near-members")
 
     verified: list[DataFrame] = []
-    known, todo = None, members.select("list", "sig", "n", "sketch", F.lit(None).cast("long").alias("other"), F.lit(None).cast("boolean").alias("linked"))
+    at_once, known, todo = 1, None, members.select("list", "sig", "n", "sketch", F.lit(None).cast("long").alias("other"), F.lit(None).cast("boolean").alias("linked"))
     while True:
-        asked = saved(todo.repartition(n, "list").sortWithinPartitions("list", F.col("other").isNotNull()).mapInArrow(scan(measure), "list long, a long, b long"), "near-asked")
+        asked = saved(todo.repartition(n, "list").sortWithinPartitions("list", F.col("other").isNotNull()).mapInArrow(scan(measure, at_once), "list long, a long, b long"), "near-asked")
         pairs = asked.select("a", "b").distinct()
         texts_of = lambda side: texts.select(F.col("sig").alias(side), F.col("text").alias(f"text_{side}"))
         judged = saved(pairs.join(texts_of("a"), "a").join(texts_of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(compare(measure), "a long, b long, linked boolean"), "near-judged")
         verified.append(judged.where("linked").select("a", "b"))
         if judged.where("not linked").isEmpty():
             break
+        at_once *= 4
         # Lists with a pair that failed are scanned again, with all that is known of them.
         answers = asked.join(judged, ["a", "b"]).select("list", "a", "b", "linked")
         known = saved(answers if known is None else known.unionByName(answers), "near-known")
@@ -361,8 +366,8 @@ def components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -
     """row (row_key), id (doc_id, NO_ID for null), n_shingles, and component: the smallest id reachable by links."""
     measure = Measure(words, num, den)
     rows = docs.select(row_key().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
-    sets = saved(rows.mapInArrow(set_rows(measure), "row long, id long, n long, sig long"), "near-sets")
-    roots = stars(links(rows, sets, measure))
+    sets, lists = sets_and_lists(rows, measure)
+    roots = stars(links(rows, sets, lists, measure))
     rooted = sets.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     least = rooted.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
     return rooted.join(least, "root", "left").select("row", "id", F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component"))
