@@ -243,7 +243,7 @@ def forest(sketch: np.ndarray, n: np.ndarray, measure: Measure, good: set, bad:
 
 
 def scan(measure: Measure, at_once: int) -> Callable:
-    """Members (list, sig, n, sketch) and known pairs (list, sig, other, linked), in the order of their list, members
+    """Members (list, sig, n, sketch, root) and known pairs (list, sig, other, linked), in the order of their list, members
     first, to the pairs (list, a, b) that forest() asks about in each list."""
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,6 +280,10 @@ def scan(measure: Measure, at_once: int) -> Callable:
             number = {s: i for i, s in enumerate(sig[:m])}
             pairs = [(number[a], number[b], ok) for a, b, ok in zip(sig[m:], other[m:], linked[m:], strict=True)]
             good, bad = {(a, b) for a, b, ok in pairs if ok}, {(a, b) for a, b, ok in pairs if not ok}
+            first: dict[int, int] = {}
+            for i, root in enumerate(part.column("root").slice(0, m).to_pylist()):  # members known to be of one component
+                if first.setdefault(root, i) != i:
+                    good.add((first[root], i))
             for a, b in forest(sketch, part.column("n").slice(0, m).to_numpy(), measure, good, bad, at_once):
                 out.append((part.column(0)[0].as_py(), min(sig[a], sig[b]), max(sig[a], sig[b])))
             if len(out) > 50_000:
@@ -294,7 +298,7 @@ def compare(measure: Measure) -> Callable:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             linked = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 s, t = shingles(x, measure, hashes), shingles(y, measure, hashes)
@@ -327,29 +331,41 @@ def links(docs: DataFrame, sets: DataFrame, lists: DataFrame, measure: Measure)
     texts = saved(texts.select("sig", "text").mapInArrow(sketches(measure), "sig long, n long, sketch binary, text string"), "near-texts")
     members = saved(members.join(texts.select("sig", "n", "sketch"), "sig"), "near-members")
 
-    verified: list[DataFrame] = []
-    at_once, known, todo = 1, None, members.select("list", "sig", "n", "sketch", F.lit(None).cast("long").alias("other"), F.lit(None).cast("boolean").alias("linked"))
+    def judged(asked: DataFrame) -> DataFrame:
+        of = lambda side: texts.select(F.col("sig").alias(side), F.col("text").alias(f"text_{side}"))
+        pairs = asked.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b")
+        return saved(pairs.mapInArrow(compare(measure), "a long, b long, linked boolean"), "near-judged")
+
+    def asked_of(rows: DataFrame, at_once: int) -> DataFrame:
+        rows = rows.repartition(n, "list").sortWithinPartitions("list", F.col("other").isNotNull())
+        return saved(rows.mapInArrow(scan(measure, at_once), "list long, a long, b long"), "near-asked")
+
+    none = [F.lit(None).cast("long").alias("other"), F.lit(None).cast("boolean").alias("linked")]
+    # A first look at each set's longest list alone, which joins most of a group; the rest meets as components.
+    length = members.groupBy("list").agg(F.count("*").alias("m"))
+    longest = members.join(length, "list").groupBy("sig").agg(F.max(F.struct("m", "list")).alias("x")).select(F.col("x.list").alias("list")).distinct()
+    look = judged(asked_of(members.join(longest, "list", "left_semi").select("list", "sig", "n", "sketch", F.col("sig").alias("root"), *none), 1))
+    out = certain.unionByName(look.where("linked").select("a", "b"))
+    roots = stars(out)
+    members = members.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("list", "sig", "n", "sketch", F.coalesce("root", "sig").alias("root"))
+    members = saved(members, "near-rooted")
+    open_lists = members.groupBy("list").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("list")
+    at_once, known, todo = 1, None, members.join(open_lists, "list", "left_semi").select("list", "sig", "n", "sketch", "root", *none)
     while True:
-        asked = saved(todo.repartition(n, "list").sortWithinPartitions("list", F.col("other").isNotNull()).mapInArrow(scan(measure, at_once), "list long, a long, b long"), "near-asked")
-        pairs = asked.select("a", "b").distinct()
-        texts_of = lambda side: texts.select(F.col("sig").alias(side), F.col("text").alias(f"text_{side}"))
-        judged = saved(pairs.join(texts_of("a"), "a").join(texts_of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(compare(measure), "a long, b long, linked boolean"), "near-judged")
-        verified.append(judged.where("linked").select("a", "b"))
-        if judged.where("not linked").isEmpty():
-            break
+        asked = asked_of(todo, at_once)
+        answer = judged(asked)
+        out = out.unionByName(answer.where("linked").select("a", "b"))
+        if answer.where("not linked").isEmpty():
+            return out.distinct()
         at_once *= 4
         # Lists with a pair that failed are scanned again, with all that is known of them.
-        answers = asked.join(judged, ["a", "b"]).select("list", "a", "b", "linked")
+        answers = asked.join(answer, ["a", "b"]).select("list", "a", "b", "linked")
         known = saved(answers if known is None else known.unionByName(answers), "near-known")
-        again = answers.where("not linked").select("list").distinct()
-        todo = members.join(again, "list", "left_semi").select("list", "sig", "n", "sketch", F.lit(None).cast("long").alias("other"), F.lit(None).cast("boolean").alias("linked"))
+        again = saved(answers.where("not linked").select("list").distinct(), "near-open")
+        todo = members.join(again, "list", "left_semi").select("list", "sig", "n", "sketch", "root", *none)
         pairs = known.join(again, "list", "left_semi")
-        todo = todo.unionByName(pairs.select("list", F.col("a").alias("sig"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("sketch"), F.col("b").alias("other"), "linked"))
+        todo = todo.unionByName(pairs.select("list", F.col("a").alias("sig"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("sketch"), F.lit(None).cast("long").alias("root"), F.col("b").alias("other"), "linked"))
         todo = saved(todo, "near-again")  # a union of joined tables is not dealt out anew by its key without this
-    out = certain
-    for more in verified:
-        out = out.unionByName(more)
-    return out.distinct()
 
 
 def in_blocks(lists: DataFrame) -> DataFrame:
