@@ -23,7 +23,7 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 
 @query("""
-SELECT "column", statistic, CAST(NULL AS VARCHAR) AS level, round(value, 6) AS value FROM (
+SELECT "column", statistic, CAST(NULL AS VARCHAR) AS level, round(value, 4) AS value FROM (
   SELECT c AS "column", unnest(['n','missing','mean','sd','min','q1','median','q3','max']) AS statistic,
          unnest([n, m, mean, sd, mn, q[1], q[2], q[3], mx]) AS value
   FROM (SELECT c, count(x)::DOUBLE AS n, count(*) FILTER (x IS NULL)::DOUBLE AS m, avg(x) AS mean, stddev_samp(x - s) AS sd,
@@ -35,7 +35,7 @@ UNION ALL
 SELECT 'l_returnflag', 'count', l_returnflag, count(*)::DOUBLE FROM lineitem GROUP BY l_returnflag
 """)
 def describe_lineitem(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(described(table(spark, d, "lineitem"), Describe(("l_quantity", "l_extendedprice", "l_discount"), ("l_returnflag",))))
+    return rounded(described(table(spark, d, "lineitem"), Describe(("l_quantity", "l_extendedprice", "l_discount"), ("l_returnflag",))), 4)
 
 
 @query("""
