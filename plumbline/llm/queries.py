@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import ann, html_text, line_dedup, mixing, near_dup, packing, quality_model, quality_rules, substring
+from plumbline.llm import ann, html_text, line_dedup, mixing, near_dup, packing, quality_model, quality_rules, substring, token_shards
 from plumbline.llm.common import NO_ID, table
 
 
@@ -46,6 +46,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.records(token_shards.shards(table(spark, sf_dir, "documents"), vocabulary())).drop("tokens")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality_rules.with_verdict(docs, statistics=True)
@@ -68,6 +72,7 @@ QUERIES = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_quality_model": op5_quality_model,
     "op6_line_dedup": op6_line_dedup,
+    "op7_token_shards": op7_token_shards,
     "op8_quality_rules": op8_quality_rules,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_html_text": op10_html_text,
