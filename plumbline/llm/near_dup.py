@@ -326,7 +326,7 @@ def links(docs: DataFrame, sets: DataFrame, lists: DataFrame, measure: Measure)
     certain = lists.where("sure")
     certain = certain.join(certain.groupBy("list").agg(F.min("sig").alias("first")), "list").where("sig <> first").select(F.col("first").alias("a"), F.col("sig").alias("b")).distinct()
     members = in_blocks(lists.where("not sure").select("list", "sig", "nth"))
-    chosen = sets.join(members.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.min("row").alias("row"))
+    chosen = sets.groupBy("sig").agg(F.min("row").alias("row")).join(members.select("sig").distinct(), "sig", "left_semi")
     texts = docs.select("row", "text").join(chosen, "row").groupBy("row").agg(F.first("sig").alias("sig"), F.first("text").alias("text"))
     texts = saved(texts.select("sig", "text").mapInArrow(sketches(measure), "sig long, n long, sketch binary, text string"), "near-texts")
     members = saved(members.join(texts.select("sig", "n", "sketch"), "sig"), "near-members")
