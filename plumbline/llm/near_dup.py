@@ -6,7 +6,7 @@ Equal sets are one class from the start. A link between different sets is found
   takes. Two sets that list the same subset are linked, so the first set of a list stands for all of it.
 * Heavy sets are found through inverted lists. A list's term is not one shingle, which a third of all documents may
   hold, but all of a set's shingles in one range of hash values. With more ranges than two linked sets can have
-  different shingles, they agree in at least one. Lists are scanned with parity sketches: bits that differ in the
+  different shingles, they agree in some, of which at least one is not empty or both sets list empty ones. Lists are scanned with parity sketches: bits that differ in the
   sketches are shingles that differ, so the scan rules pairs out and never a link. A minimum spanning forest of what
   is left is checked on whole texts; where a pair of it turns out not to be linked, its list is scanned again without
   that pair, asking for four times as many at once, until every list has a forest of true links.
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import combinations
 from typing import NamedTuple
 
@@ -37,6 +38,8 @@ from plumbline.llm.substring import grouped, runs, signed
 #: Sizes that may be light; what a list entry costs against a subset; members of a list that are scanned together.
 LIGHT_SIZES, LIST_COST, BLOCK = 64, 8, 1024
 
+#: Bits of a sketch, at least; those of larger sets have as many as shingles, so that unlike ones differ in more bits
+#: than a link allows.
 SKETCH_BITS = 2048
 
 #: Rows of one pass over the texts: list entries, with n = -1, and one row for each document, with its row as key.
@@ -69,15 +72,31 @@ class Measure(NamedTuple):
             least, last = last + 1, max(last + 1, 3 * (last + 1) // 2)
         return least, last
 
-    def ranges(self, n: int) -> list[int]:
-        """Into how many hash ranges a set of size n is cut: for its own class, and for smaller partners in the class
-        below. One more than the shingles in which linked sets of the class can differ."""
+    def cuts(self, n: int) -> list[tuple[int, int]]:
+        """Into how many hash ranges a set of size n is cut, for its own class, and for smaller partners in the class
+        below, each with the number of them that linked sets agree in at least."""
         least, last = self.class_of(n)
-        out = [last * (self.den - self.num) // self.num + 1]
+        out = [cut_of(least, last * (self.den - self.num) // self.num)]
         if least > 1 and self.partners(n)[0] < least:
-            out.append((least - 1) * (self.den - self.num) // self.num + 1)
+            below, last = self.class_of(least - 1)
+            out.append(cut_of(below, last * (self.den - self.num) // self.num))
         return out
 
+    def ranges(self, n: int) -> list[int]:
+        """The hash ranges of cuts()."""
+        return [ranges for ranges, _ in self.cuts(n)]
+
+
+@cache
+def cut_of(least: int, differ: int) -> tuple[int, int]:
+    """Hash ranges for a class whose linked sets differ in so many shingles at most, and how many they then agree in:
+    the fewest of which sets of the class, save for a few, leave fewer empty than that; else one more than differ."""
+    for n in range(differ + 1, 3 * differ // 2 + 2):
+        empty = n * math.exp(-least / n)
+        if n - differ > empty + 2 * math.sqrt(empty):
+            return n, n - differ
+    return differ + 1, 1
+
 
 def shingles(text: str | None, measure: Measure, hashes: WordHashes) -> np.ndarray:
     """The sorted hashes of the text's shingles."""
@@ -92,13 +111,19 @@ def signature(s: np.ndarray) -> np.uint64:
 
 
 def list_keys(s: np.ndarray, measure: Measure) -> list[np.ndarray]:
-    """The heavy keys of a set: its shingles in each hash range, hashed; even numbers."""
+    """The heavy keys of a set: its shingles in each hash range, hashed; even numbers.
+
+    Ranges without a shingle, which unlike sets agree in, are left out by a set that has fewer of them than the ranges
+    that it agrees in with any partner: one of these is then not empty, and the partner lists it too. A set with more
+    of them lists them all, and so meets its like."""
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s))])
     out = []
-    for n in measure.ranges(len(s)):
+    for n, agree in measure.cuts(len(s)):
         at = np.searchsorted((s >> np.uint64(32)) * np.uint64(n) >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
         part = sums[at[1:]] - sums[at[:-1]]
-        out.append(mix(part + mix(np.arange(n, dtype=np.uint64) + np.uint64(n << 32))) & ~np.uint64(1))
+        keys = mix(part + mix(np.arange(n, dtype=np.uint64) + np.uint64(n << 32))) & ~np.uint64(1)
+        full = at[1:] > at[:-1]
+        out.append(keys[full] if n - np.count_nonzero(full) < agree else keys)
     return out
 
 
@@ -199,18 +224,28 @@ def shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketches(measure: Measure) -> Callable:
-    """(sig, text) to (sig, n, sketch, text); bit i of the sketch: how many shingles have the hash i, odd or even."""
+    """(sig, text) to (sig, n, sketch, text); bit i of the sketch: how many shingles have the hash i, odd or even. The
+    bits are a power of two, and the halves of a sketch, one xor the other, are the sketch of half the bits."""
+
+    def sketch(s: np.ndarray) -> bytes:
+        bits = max(SKETCH_BITS, 1 << (len(s) - 1).bit_length())
+        return np.packbits((np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in grouped(batches, 1):
             sets = [shingles(text, measure, hashes) for text in batch.column(1).to_pylist()]
-            bits = [np.packbits((np.bincount((s % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(bool)).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(bits, pa.binary()), batch.column(1)], names=["sig", "n", "sketch", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(sketch, sets), pa.binary()), batch.column(1)], names=["sig", "n", "sketch", "text"])
 
     return read
 
 
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """The sketches as rows of 64-bit numbers, all of as many bits as the shortest."""
+    least = min(map(len, sketches))
+    return np.array([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, least // 8)) for x in sketches])
+
+
 def forest(sketch: np.ndarray, n: np.ndarray, measure: Measure, good: set, bad: set, at_once: int) -> list[tuple[int, int]]:
     """Pairs to ask about: those of a minimum spanning forest of what the sketches leave possible, by the least surplus
     of differing bits (Prim's method, a row at a time), except where it is known to be linked (good). Pairs in bad are
@@ -276,7 +311,7 @@ def scan(measure: Measure, at_once: int) -> Callable:
         for part in lists(batches):
             sig, other, linked = (part.column(c).to_pylist() for c in ("sig", "other", "linked"))
             m = sum(x is None for x in other)
-            sketch = np.frombuffer(b"".join(part.column("sketch").slice(0, m).to_pylist()), np.uint64).reshape(m, -1)
+            sketch = folded(part.column("sketch").slice(0, m).to_pylist())
             number = {s: i for i, s in enumerate(sig[:m])}
             pairs = [(number[a], number[b], ok) for a, b, ok in zip(sig[m:], other[m:], linked[m:], strict=True)]
             good, bad = {(a, b) for a, b, ok in pairs if ok}, {(a, b) for a, b, ok in pairs if not ok}
@@ -329,28 +364,31 @@ def links(docs: DataFrame, sets: DataFrame, lists: DataFrame, measure: Measure)
     chosen = sets.groupBy("sig").agg(F.min("row").alias("row")).join(members.select("sig").distinct(), "sig", "left_semi")
     texts = docs.select("row", "text").join(chosen, "row").groupBy("row").agg(F.first("sig").alias("sig"), F.first("text").alias("text"))
     texts = saved(texts.select("sig", "text").mapInArrow(sketches(measure), "sig long, n long, sketch binary, text string"), "near-texts")
-    members = saved(members.join(texts.select("sig", "n", "sketch"), "sig"), "near-members")
+    members = saved(members, "near-members")
 
     def judged(asked: DataFrame) -> DataFrame:
         of = lambda side: texts.select(F.col("sig").alias(side), F.col("text").alias(f"text_{side}"))
         pairs = asked.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b")
         return saved(pairs.mapInArrow(compare(measure), "a long, b long, linked boolean"), "near-judged")
 
+    def with_sketch(rows: DataFrame) -> DataFrame:
+        none = [F.lit(None).cast("long").alias("other"), F.lit(None).cast("boolean").alias("linked")]
+        return rows.join(texts.select("sig", "n", "sketch"), "sig").select("list", "sig", "n", "sketch", "root", *none)
+
     def asked_of(rows: DataFrame, at_once: int) -> DataFrame:
         rows = rows.repartition(n, "list").sortWithinPartitions("list", F.col("other").isNotNull())
         return saved(rows.mapInArrow(scan(measure, at_once), "list long, a long, b long"), "near-asked")
 
-    none = [F.lit(None).cast("long").alias("other"), F.lit(None).cast("boolean").alias("linked")]
     # A first look at each set's longest list alone, which joins most of a group; the rest meets as components.
     length = members.groupBy("list").agg(F.count("*").alias("m"))
     longest = members.join(length, "list").groupBy("sig").agg(F.max(F.struct("m", "list")).alias("x")).select(F.col("x.list").alias("list")).distinct()
-    look = judged(asked_of(members.join(longest, "list", "left_semi").select("list", "sig", "n", "sketch", F.col("sig").alias("root"), *none), 1))
+    look = judged(asked_of(with_sketch(members.join(longest, "list", "left_semi").withColumn("root", F.col("sig"))), 1))
     out = certain.unionByName(look.where("linked").select("a", "b"))
     roots = stars(out)
-    members = members.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("list", "sig", "n", "sketch", F.coalesce("root", "sig").alias("root"))
+    members = members.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("list", "sig", F.coalesce("root", "sig").alias("root"))
     members = saved(members, "near-rooted")
     open_lists = members.groupBy("list").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("list")
-    at_once, known, todo = 1, None, members.join(open_lists, "list", "left_semi").select("list", "sig", "n", "sketch", "root", *none)
+    at_once, known, todo = 1, None, with_sketch(members.join(open_lists, "list", "left_semi"))
     while True:
         asked = asked_of(todo, at_once)
         answer = judged(asked)
@@ -362,7 +400,7 @@ def links(docs: DataFrame, sets: DataFrame, lists: DataFrame, measure: Measure)
         answers = asked.join(answer, ["a", "b"]).select("list", "a", "b", "linked")
         known = saved(answers if known is None else known.unionByName(answers), "near-known")
         again = saved(answers.where("not linked").select("list").distinct(), "near-open")
-        todo = members.join(again, "list", "left_semi").select("list", "sig", "n", "sketch", "root", *none)
+        todo = with_sketch(members.join(again, "list", "left_semi"))
         pairs = known.join(again, "list", "left_semi")
         todo = todo.unionByName(pairs.select("list", F.col("a").alias("sig"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("sketch"), F.lit(None).cast("long").alias("root"), F.col("b").alias("other"), "linked"))
         todo = saved(todo, "near-again")  # a union of joined tables is not dealt out anew by its key without this

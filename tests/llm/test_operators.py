@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,6 +238,33 @@ def test_measure_ranges_suffice():
                 assert shared and min(shared) > differ
 
 
+@pytest.mark.parametrize(("num", "den"), [(80, 100), (90, 100)])
+def test_linked_sets_share_a_list(num, den):
+    rng, m = np.random.default_rng(3), near_dup.Measure(5, num, den)
+    draw = lambda n: rng.integers(0, 2**64, n, np.uint64)
+    for n in (*range(8, 120, 7), 170, 400, 667, 668, 1000, 1001, 2500):
+        for other in {n, (n + m.partners(n)[-1]) // 2, m.partners(n)[-1]}:
+            both = draw(m.overlap(n, other))
+            s, t = (np.unique(np.concatenate([both, draw(k - len(both))])) for k in (n, other))
+            s_keys, t_keys = (np.concatenate(near_dup.list_keys(x, m)) for x in (s, t))
+            assert np.isin(s_keys, t_keys).any()
+    s, t = draw(20_000), draw(20_000)
+    assert not np.isin(*(np.concatenate(near_dup.list_keys(np.sort(x), m)) for x in (s, t))).any()
+
+
+def test_folded_sketches():
+    rng = np.random.default_rng(5)
+    for n in (10, 3000, 9000):
+        words = " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([words])], names=["sig", "text"])
+        out = next(near_dup.sketches(near_dup.Measure(5, 80, 100))(iter([batch])))
+        sketch = out.column("sketch")[0].as_py()
+        assert len(sketch) * 8 >= max(2048, n - 5)
+        s = near_dup.shingles(words, near_dup.Measure(5, 80, 100), near_dup.WordHashes())
+        small = np.packbits((np.bincount((s % np.uint64(2048)).astype(np.int64), minlength=2048) & 1).astype(bool)).tobytes()
+        assert (near_dup.folded([sketch, small])[0] == near_dup.folded([small])[0]).all()
+
+
 # 5
 
 
