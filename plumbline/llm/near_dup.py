@@ -6,14 +6,16 @@ Equal sets are one class from the start. A link between different sets is found
   takes. Two sets that list the same subset are linked, so the first set of a list stands for all of it.
 * Heavy sets are found through inverted lists. A list's term is not one shingle, which a third of all documents may
   hold, but all of a set's shingles in one range of hash values. With more ranges than two linked sets can have
-  different shingles, they agree in some, of which at least one is not empty or both sets list empty ones. Lists are scanned with parity sketches: bits that differ in the
-  sketches are shingles that differ, so the scan rules pairs out and never a link. A minimum spanning forest of what
-  is left is checked on whole texts; where a pair of it turns out not to be linked, its list is scanned again without
-  that pair, asking for four times as many at once, until every list has a forest of true links.
+  different shingles, they agree in some, of which at least one is not empty or both sets list empty ones. Lists are
+  scanned with parity sketches: bits that differ in the sketches are shingles that differ, so the scan rules pairs out
+  and never a link. A minimum spanning forest of what is left is checked on whole texts; where a pair of it turns out
+  not to be linked, its list is scanned again without that pair, asking for sixteen times as many at once, until every
+  list has a forest of true links.
 
 The boundary is the largest size up to which listing subsets costs no more than list entries, by the cost of one entry
-against one subset; sets near it go both ways. A list is scanned in blocks of bounded size, in different tasks. No pair
-is set aside, so the components are those of all links. Nothing of the corpus reaches the driver.
+against one subset; sets near it go both ways. A list is scanned in blocks of bounded size, in different tasks: first
+each block alone with a few members of the list, then each two that are not of one component already. No pair is set
+aside, so the components are those of all links. Nothing of the corpus reaches the driver.
 
 Null and empty texts have the empty set and no link. Rows may repeat; a null doc_id is the largest.
 """
@@ -35,8 +37,9 @@ from plumbline.llm.common import NO_ID, WordHashes, mix, partitions_for, row_key
 from plumbline.llm.components import stars
 from plumbline.llm.substring import grouped, runs, signed
 
-#: Sizes that may be light; what a list entry costs against a subset; members of a list that are scanned together.
-LIGHT_SIZES, LIST_COST, BLOCK = 64, 8, 1024
+#: Sizes that may be light; what a list entry costs against a subset; members of a list that are scanned together, and
+#: of them those that are with every block at the first look.
+LIGHT_SIZES, LIST_COST, BLOCK, HUBS = 64, 8, 1024, 16
 
 #: Bits of a sketch, at least; those of larger sets have as many as shingles, so that unlike ones differ in more bits
 #: than a link allows.
@@ -360,11 +363,10 @@ def links(docs: DataFrame, sets: DataFrame, lists: DataFrame, measure: Measure)
 
     certain = lists.where("sure")
     certain = certain.join(certain.groupBy("list").agg(F.min("sig").alias("first")), "list").where("sig <> first").select(F.col("first").alias("a"), F.col("sig").alias("b")).distinct()
-    members = in_blocks(lists.where("not sure").select("list", "sig", "nth"))
+    members = lists.where("not sure").select("list", "sig", "nth")
     chosen = sets.groupBy("sig").agg(F.min("row").alias("row")).join(members.select("sig").distinct(), "sig", "left_semi")
     texts = docs.select("row", "text").join(chosen, "row").groupBy("row").agg(F.first("sig").alias("sig"), F.first("text").alias("text"))
     texts = saved(texts.select("sig", "text").mapInArrow(sketches(measure), "sig long, n long, sketch binary, text string"), "near-texts")
-    members = saved(members, "near-members")
 
     def judged(asked: DataFrame) -> DataFrame:
         of = lambda side: texts.select(F.col("sig").alias(side), F.col("text").alias(f"text_{side}"))
@@ -380,22 +382,24 @@ def links(docs: DataFrame, sets: DataFrame, lists: DataFrame, measure: Measure)
         return saved(rows.mapInArrow(scan(measure, at_once), "list long, a long, b long"), "near-asked")
 
     # A first look at each set's longest list alone, which joins most of a group; the rest meets as components.
-    length = members.groupBy("list").agg(F.count("*").alias("m"))
-    longest = members.join(length, "list").groupBy("sig").agg(F.max(F.struct("m", "list")).alias("x")).select(F.col("x.list").alias("list")).distinct()
-    look = judged(asked_of(with_sketch(members.join(longest, "list", "left_semi").withColumn("root", F.col("sig"))), 1))
+    blocks = saved(own_blocks(members), "near-own-blocks")
+    length = blocks.groupBy("list").agg(F.count("*").alias("m"))
+    longest = blocks.join(length, "list").groupBy("sig").agg(F.max(F.struct("m", "list")).alias("x")).select(F.col("x.list").alias("list")).distinct()
+    look = judged(asked_of(with_sketch(blocks.join(longest, "list", "left_semi").withColumn("root", F.col("sig"))), 1))
     out = certain.unionByName(look.where("linked").select("a", "b"))
     roots = stars(out)
     members = members.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("list", "sig", F.coalesce("root", "sig").alias("root"))
     members = saved(members, "near-rooted")
     open_lists = members.groupBy("list").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("list")
-    at_once, known, todo = 1, None, with_sketch(members.join(open_lists, "list", "left_semi"))
+    members = saved(in_blocks(saved(members.join(open_lists, "list", "left_semi"), "near-open-members")), "near-blocks")
+    at_once, known, todo = 1, None, with_sketch(members)
     while True:
         asked = asked_of(todo, at_once)
         answer = judged(asked)
         out = out.unionByName(answer.where("linked").select("a", "b"))
         if answer.where("not linked").isEmpty():
             return out.distinct()
-        at_once *= 4
+        at_once *= 16
         # Lists with a pair that failed are scanned again, with all that is known of them.
         answers = asked.join(answer, ["a", "b"]).select("list", "a", "b", "linked")
         known = saved(answers if known is None else known.unionByName(answers), "near-known")
@@ -406,14 +410,32 @@ def links(docs: DataFrame, sets: DataFrame, lists: DataFrame, measure: Measure)
         todo = saved(todo, "near-again")  # a union of joined tables is not dealt out anew by its key without this
 
 
-def in_blocks(lists: DataFrame) -> DataFrame:
-    """(list, sig, nth) with lists longer than BLOCK replaced by one list for each two of their blocks."""
-    long = lists.groupBy("list").agg(F.max("nth").alias("last")).where(F.col("last") >= BLOCK).select("list", F.expr(f"last div {BLOCK}").alias("blocks"))
+def own_blocks(lists: DataFrame) -> DataFrame:
+    """(list, sig) from (list, sig, nth), with a list longer than BLOCK replaced by its blocks; the first HUBS members
+    of the list are in all of them, so that blocks of one component can link."""
+    long = lists.groupBy("list").agg(F.max("nth").alias("last")).where(F.col("last") >= BLOCK).select("list", F.expr(f"last div {BLOCK}").alias("last_block"))
     rows = lists.join(long, "list", "left")
-    others = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), "blocks"))
-    rows = rows.select("list", "sig", "blocks", F.expr(f"nth div {BLOCK}").alias("mine"), F.explode(others).alias("block"))
-    name = F.when(F.col("blocks").isNull(), F.col("list")).otherwise(F.xxhash64("list", F.least("mine", "block"), F.greatest("mine", "block")))
-    return rows.select(name.alias("list"), "sig").distinct()
+    mine = F.expr(f"nth div {BLOCK}")
+    to = F.when(F.col("last_block").isNotNull() & (F.col("nth") < HUBS), F.sequence(F.lit(0).cast("long"), "last_block")).otherwise(F.array(mine))
+    rows = rows.select("list", "sig", "last_block", F.explode(to).alias("block"))
+    return rows.select(F.when(F.col("last_block").isNull(), F.col("list")).otherwise(F.xxhash64("list", "block")).alias("list"), "sig").distinct()
+
+
+def in_blocks(lists: DataFrame) -> DataFrame:
+    """(list, sig, root) with a list longer than BLOCK replaced by one list for each two of its blocks. A block is part
+    of one large component (of) or of all the small ones; two of the same large component need no scan."""
+    groups = lists.groupBy("list", "root").agg(F.count("*").alias("m")).withColumn("of", F.when(F.col("m") >= BLOCK, F.col("root")))
+    sizes = groups.groupBy("list").agg(F.sum("m").alias("total"), F.sum(F.when(F.col("of").isNull(), F.col("m"))).alias("small")).where(F.col("total") > BLOCK)
+    parts = F.ceil(F.when(F.col("of").isNull(), F.col("small")).otherwise(F.col("m")) / BLOCK)
+    split = groups.join(sizes, "list").select("list", "root", "of", parts.alias("parts"))
+    block = F.xxhash64("list", "of", F.pmod(F.xxhash64("sig"), F.col("parts")))
+    rows = lists.join(split, ["list", "root"], "left").select("list", "sig", "root", "of", F.when(F.col("parts").isNotNull(), block).alias("block"))
+    blocks = rows.where("block is not null").select("list", "block", "of").distinct()
+    other = blocks.select("list", F.col("block").alias("other"), F.col("of").alias("other_of"))
+    pairs = blocks.join(other, "list").where("block < other and (of is null or other_of is null or of <> other_of) or block = other and of is null")
+    pairs = pairs.select(F.xxhash64("list", "block", "other").alias("name"), "list", F.explode(F.array("block", "other")).alias("block")).distinct()
+    apart = rows.join(pairs, ["list", "block"]).select(F.col("name").alias("list"), "sig", "root")
+    return rows.where("block is null").select("list", "sig", "root").unionByName(apart)
 
 
 def components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:

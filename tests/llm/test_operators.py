@@ -219,6 +219,13 @@ def test_components_against_hand(spark, k, num, den, bits, monkeypatch):
     assert {(r.id, r.n_shingles, r.component) for r in got.collect()} == components_by_hand(near_rows(), k, num, den)
 
 
+def test_components_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 3)
+    monkeypatch.setattr(near_dup, "HUBS", 1)
+    got = near_dup.components(frame(spark, near_rows()), 5, 80, 100)
+    assert {(r.id, r.n_shingles, r.component) for r in got.collect()} == components_by_hand(near_rows(), 5, 80, 100)
+
+
 def test_one_of_each(spark, docs, empty):
     kept = near_dup.one_of_each(docs)
     assert kept.columns == docs.columns
