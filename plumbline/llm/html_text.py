@@ -34,7 +34,9 @@ HOLDERS = frozenset("article aside blockquote body dl div footer form header htm
 
 PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.DOTALL)
 NAMED = re.compile(r"""\b(class|id|role|data-main)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|display\s*:\s*none""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+MAY_HIDE = re.compile(r"hidden|style", re.IGNORECASE)
+ASIDE = re.compile(r"""/\*.*?(?:\*/|\Z)|"[^"]*"|'[^']*'|\([^)]*\)""", re.DOTALL)  # in CSS: no place for declarations
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -102,7 +104,7 @@ def parse(page: str) -> list[Node]:
             end = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else size
             continue
-        if name in UNSEEN or attributes and HIDDEN.search(attributes):
+        if name in UNSEEN or attributes and hides(attributes):
             if name not in VOID and not attributes.endswith("/"):
                 at = after(page, name, at)
             continue
@@ -136,6 +138,24 @@ def parse(page: str) -> list[Node]:
     return nodes
 
 
+def hides(attributes: str) -> bool:
+    """Of an attribute `hidden` (but for until-found), or a style that ends up with display: none."""
+    if not MAY_HIDE.search(attributes):
+        return False
+    found: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(attributes):
+        found.setdefault(name.lower(), html.unescape(next((v for v in values if v), "")))
+    if found.get("hidden", "until-found").strip().lower() != "until-found":
+        return True
+    display, firm = "", False
+    for declaration in ASIDE.sub(" ", found.get("style", "")).lower().split(";"):
+        name, _, value = declaration.partition(":")
+        value, _, important = value.partition("!")
+        if name.strip() == "display" and value.strip() and (important.strip() == "important" or not firm):
+            display, firm = value.strip(), important.strip() == "important"
+    return display == "none"
+
+
 def after(page: str, name: str, at: int) -> int:
     """Where the element called name, opened before at, ends; nested ones of its name are passed."""
     depth = 1

@@ -387,6 +387,16 @@ def test_page_cases(spark):
     assert html_text.extract(rows.where("page_id = 9")).count() == 0
 
 
+@pytest.mark.parametrize(("attributes", "hidden"), [
+    ('class="overflow-hidden"', False), ('style="overflow:hidden"', False), ('aria-hidden="false"', False), ('aria-hidden="true"', False), ("href=/hidden-gems", False), ('href="/a hidden"', False), ('data-hidden="1"', False),
+    ('hidden="until-found"', False), ('title="display:none"', False), ('style="--display:none"', False), ('style="display:none;display:block"', False), ("style=\"background:url('a;display:none')\"", False), ("", False),
+    ("hidden", True), ('class=x hidden=""', True), ("HIDDEN=hidden", True), ('style="color:red; Display : none !important"', True), ("style=display:none", True), ('style="display:none!important;display:block"', True),
+])
+def test_only_hidden_elements_are_skipped(attributes, hidden):
+    page = f"<body><div {attributes}><p>One two three.</p></div><p>Read <a {attributes}>these words</a> too.</p></body>"
+    assert [n.text for n in html_text.parse(page) if n.text] == (["Read too."] if hidden else ["One two three.", "Read these words too."])
+
+
 def test_marginals_are_those_of_enumeration():
     """Sum-product on a small tree against summing over all labellings."""
     from itertools import product
