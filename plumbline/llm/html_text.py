@@ -5,7 +5,7 @@ of a node's tag, class words, length and link share, are estimated from labelled
 then down the tree, give each run of text its probability of being content; runs at 0.5 or more are kept.
 
 A null or empty page gives an empty text. Broken markup is read as browsers do in simple cases: unclosed elements end
-with their parents. Repeated rows get equal texts; other columns are kept; an empty table gives an empty table.
+with their parents or where the next of their kind begins, seen or not. Repeated rows get equal texts; other columns are kept; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from plumbline.llm import labelled_pages
 # Element names of HTML, by how they are laid out.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("audio button canvas datalist head iframe math noscript object option script select style svg template textarea title video".split())
+UNSEEN = frozenset("audio button canvas datalist iframe math noscript object option script select style svg template textarea title video".split())
 RAW = frozenset("iframe noscript script style textarea title".split())
 ENDS_P = BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "li", "dd", "dt"}
 SIBLINGS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -53,7 +53,7 @@ class Node:
 def parse(page: str) -> list[Node]:
     """The page's nodes in document order; the first is the root. label: of data-main, inherited, else 0."""
     nodes = [Node(-1, ["<html"], 0)]
-    open_tags: list[tuple[str, int]] = [("html", 0)]  # (tag, node that holds its text)
+    open_tags: list[tuple[str, int]] = [("html", 0)]  # (tag, node that holds its text; -1: it is not seen)
     run: list[str] = []
     state = {"links": 0, "linked": 0}
 
@@ -61,7 +61,7 @@ def parse(page: str) -> list[Node]:
         text = " ".join(html.unescape("".join(run)).split()) if run else ""
         run.clear()
         if text:
-            at = open_tags[-1][1]
+            at = next(at for _, at in reversed(open_tags) if at >= 0)
             node = Node(at, [], nodes[at].label)
             node.text, node.linked = text, state["linked"]
             node.features = text_features(node)
@@ -69,7 +69,7 @@ def parse(page: str) -> list[Node]:
         state["linked"] = 0
 
     def close(upto: int) -> None:
-        if any(tag in BLOCKS for tag, _ in open_tags[upto:]):
+        if any(tag in BLOCKS and at >= 0 for tag, at in open_tags[upto:]):
             end_run()
         state["links"] -= sum(tag == "a" for tag, _ in open_tags[upto:])
         del open_tags[upto:]
@@ -78,12 +78,15 @@ def parse(page: str) -> list[Node]:
     while at < size:
         m = PIECE.match(page, at)
         if not m:  # an unclosed quote: the sign is text
-            run.append(page[at])
+            if open_tags[-1][1] >= 0:
+                run.append(page[at])
             at += 1
             continue
         at = m.end()
         text, name = m[4], m[2]
         if text is not None:
+            if open_tags[-1][1] < 0:
+                continue
             run.append(text)
             if state["links"] > 0:
                 state["linked"] += len(text)
@@ -96,7 +99,7 @@ def parse(page: str) -> list[Node]:
                 if open_tags[i][0] == name:
                     close(i)
                     break
-                if name not in BLOCKS and open_tags[i][0] in HOLDERS:
+                if name not in BLOCKS and name not in UNSEEN and (open_tags[i][0] in HOLDERS or open_tags[i][0] in UNSEEN):
                     break
             continue
         attributes = m[3]
@@ -104,16 +107,26 @@ def parse(page: str) -> list[Node]:
             end = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else size
             continue
-        if name in UNSEEN or attributes and hides(attributes):
-            if name not in VOID and not attributes.endswith("/"):
-                at = after(page, name, at)
+        if name == "template":
+            at = after(page, name, at)
+            continue
+        if name == "head":  # its tags may be left out, and what is not seen in it says so by itself
             continue
-        if name == "br" or name == "hr":
-            run.append(" ")
         if name in ENDS_P:
             ends(open_tags, close, ("p",))
         elif name in SIBLINGS:
-            ends(open_tags, close, (*SIBLINGS[name], "p"))
+            if name != "option":
+                ends(open_tags, close, ("p",))
+            ends(open_tags, close, SIBLINGS[name])
+            if name == "tr":  # after a cell, its row
+                ends(open_tags, close, ("tr",))
+        if open_tags[-1][1] < 0 or name in UNSEEN or attributes and hides(attributes):
+            if name not in VOID and not attributes.endswith("/"):
+                state["links"] += name == "a"
+                open_tags.append((name, -1))
+            continue
+        if name == "br" or name == "hr":
+            run.append(" ")
         if name in BLOCKS:
             end_run()
             if name in VOID or name in ("html", "body") and any(tag == name for tag, _ in open_tags):
@@ -167,12 +180,12 @@ def after(page: str, name: str, at: int) -> int:
 
 
 def ends(open_tags: list, close, names: tuple[str, ...]) -> None:
-    """Close the innermost open element of these names that no holder of blocks stands between."""
+    """Close the innermost open element of these names that no holder of blocks or unseen element stands between."""
     for i in range(len(open_tags) - 1, 0, -1):
         if open_tags[i][0] in names:
             close(i)
             return
-        if open_tags[i][0] in HOLDERS:
+        if open_tags[i][0] in HOLDERS or open_tags[i][0] in UNSEEN and open_tags[i][0] != "option":
             return
 
 

@@ -397,6 +397,25 @@ def test_only_hidden_elements_are_skipped(attributes, hidden):
     assert [n.text for n in html_text.parse(page) if n.text] == (["Read too."] if hidden else ["One two three.", "Read these words too."])
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<html><head><title>x</title><meta name=a><body><p>One.</p></body>", ["One."]),
+    ("<head><style>p {}</style><script>x</script></head><body><p>One.", ["One."]),
+    ("<body><p hidden>No.<p>One.<p>Two.", ["One.", "Two."]),
+    ("<ul><li>One<li style=display:none>no <b>no<li>Two</ul><p>Three.", ["One", "Two", "Three."]),
+    ("<ul><li hidden><p>no<li>One<li>Two</ul>", ["One", "Two"]),
+    ("<dl><dt hidden>No<dd>One<dd hidden>no<dt>Two</dl>", ["One", "Two"]),
+    ("<table><tr hidden><td>No<td>no<tr><td>One<td hidden>no<td>Two</table>", ["One", "Two"]),
+    ("<p>One <select><option>no<option>no</select>two <option>no<p>Three", ["One two", "Three"]),
+    ("<div><div hidden>No<p>no</div><p>One.</div>", ["One."]), ("<section><div hidden>No<p>no</section><p>One.", ["One."]),
+    ("<p>One <button><div>no</div></button>two <svg><p>no</svg>three", ["One two three"]),
+    ("<div>One <div hidden>no<br>no<a>no</a></div>two <span hidden>no</span>three</div>", ["One two three"]),
+    ("<template><p>no</div></template><p>One <a hidden href=\"/\">no</a>two", ["One two"]),
+])
+def test_skipped_elements_end_as_others_do(page, want):
+    nodes = html_text.parse(page)
+    assert [n.text for n in nodes if n.text] == want and not any(n.linked for n in nodes)
+
+
 def test_marginals_are_those_of_enumeration():
     """Sum-product on a small tree against summing over all labellings."""
     from itertools import product
