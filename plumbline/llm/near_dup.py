@@ -438,21 +438,27 @@ def in_blocks(lists: DataFrame) -> DataFrame:
     return rows.where("block is null").select("list", "sig", "root").unionByName(apart)
 
 
-def components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """row (row_key), id (doc_id, NO_ID for null), n_shingles, and component: the smallest id reachable by links."""
-    measure = Measure(words, num, den)
+def rooted(docs: DataFrame, measure: Measure) -> DataFrame:
+    """row (row_key), id (doc_id, NO_ID for null), n, and root: one signature for all of a component, null without one."""
     rows = docs.select(row_key().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
     sets, lists = sets_and_lists(rows, measure)
     roots = stars(links(rows, sets, lists, measure))
-    rooted = sets.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    least = rooted.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
-    return rooted.join(least, "root", "left").select("row", "id", F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component"))
+    return sets.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+
+
+def components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """row (row_key), id (doc_id, NO_ID for null), n_shingles, and component: the smallest id reachable by links."""
+    found = rooted(docs, Measure(words, num, den))
+    least = found.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
+    return found.join(least, "root", "left").select("row", "id", F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The document of smallest doc_id of each component, one row of it, with all columns of docs."""
-    found = components(docs, words, num, den)
-    first = found.groupBy("component").agg(F.min(F.struct("id", "row")).alias("first")).select(F.col("first.row").alias("__row"))
+    """The document of smallest doc_id of each component, one row of it, with all columns of docs. Ids say nothing of
+    likeness: rows of one doc_id, or of none, are in one component only by links. A row without shingles is its own."""
+    found = rooted(docs, Measure(words, num, den))
+    by = F.coalesce(F.col("root").cast("string"), F.concat(F.lit("row:"), "row")).alias("component")
+    first = found.groupBy(by).agg(F.min(F.struct("id", "row")).alias("first")).select(F.col("first.row").alias("__row"))
     rows = docs.withColumn("__row", row_key()).join(first, "__row", "left_semi")
     others = [F.first(F.struct(*docs.columns)).alias("doc")]
     return rows.groupBy("__row").agg(*others).select("doc.*")

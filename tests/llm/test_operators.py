@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import ann, html_text, labelled_pages, line_dedup, mixing, near_dup, packing, quality_model, quality_rules, substring
 from plumbline.llm.queries import QUERIES, vocabulary
-from tests.llm.fixtures import SCHEMA, corpus, frame
+from tests.llm.fixtures import SCHEMA, corpus, frame, prose
 
 NO_ID = 2**63 - 1
 
@@ -235,6 +236,16 @@ def test_one_of_each(spark, docs, empty):
     assert near_dup.one_of_each(empty).count() == 0
 
 
+def test_one_of_each_keeps_unlike_rows_of_one_id(spark):
+    rng = random.Random(5)
+    unlike = [prose(rng, 40) for _ in range(7)]
+    rows = [(None, t) for t in unlike[:3]] + [(7, t) for t in unlike[3:6]] + [(None, "few words"), (None, "others"), (None, None), (7, "few"), (7, "")]
+    copies = [(None, unlike[0]), (None, unlike[1] + " end"), (8, unlike[3]), (3, unlike[6]), (None, unlike[6]), (7, "few")]
+    got = [(r.doc_id, r.text) for r in near_dup.one_of_each(frame(spark, rows + copies).repartition(3)).collect()]
+    assert [i for i, t in got if t in (unlike[1], unlike[1] + " end")] == [None]
+    assert sorted((p for p in got if p[1] != unlike[1] + " end"), key=str) == sorted([p for p in [*rows, (3, unlike[6])] if p[1] != unlike[1] or (None, unlike[1]) in got], key=str)
+
+
 def test_measure_ranges_suffice():
     m = near_dup.Measure(5, 80, 100)
     for n in range(1, 400):
