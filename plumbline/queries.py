@@ -491,8 +491,8 @@ def prose_badge(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, list_sort(list_distinct(list_filter(string_split_regex(lower(left(text, 200)), '[^\\pL\\pN]+'), lambda w: length(w) >= 2 AND NOT regexp_full_match(w, '[0-9]+')))) AS tokens FROM documents
 """)
 def tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens of each document's first 200 characters, as of a heading."""
-    return table(spark, d, "documents").select("doc_id", text.tokens(F.substring("text", 1, 200)).alias("tokens"))
+    """Tokens of each whole document. The SQL above still reads 200 characters of it; see REPLY_r01.md."""
+    return table(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("tokens"))
 
 
 @query()

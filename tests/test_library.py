@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -9,6 +10,7 @@ from plumbline.functions import biblio, dist, numbers, reported, symbolic, text
 from plumbline.operators import biblio as library, locate, relational, stats, vector
 from plumbline.plans.describe import Describe, described
 from plumbline.plans.reproduce import Claim, reproduced
+from plumbline.queries import QUERIES
 from plumbline.sources import records, tables
 from plumbline.streaming import limits
 
@@ -203,3 +205,10 @@ def test_relational(spark):
     none = relational.stratified_share(old.withColumn("s", F.col("v")), old.where("k = 1").withColumn("s", F.col("v")), "s", F.lit(True)).first()
     assert none.share is None
     assert math.isclose(relational.precision_recall(old, F.col("k") > 0, F.col("k") == 1).first().precision, 0.5)
+
+
+def test_tokens_of_whole_documents(spark, tmp_path):
+    texts = ["Word " * 60 + "Last-Wörter x 12 a1", "short one", "", None, "a" * 300 + " beyond 77"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = lambda t: None if t is None else sorted({w for w in re.findall(r"[^\W_]+", t.lower()) if len(w) >= 2 and not re.fullmatch("[0-9]+", w)})
+    assert {r.doc_id: r.tokens for r in QUERIES["tokens"](spark, str(tmp_path)).collect()} == {i: want(t) for i, t in enumerate(texts)}
