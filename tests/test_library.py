@@ -212,3 +212,10 @@ def test_tokens_of_whole_documents(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     want = lambda t: None if t is None else sorted({w for w in re.findall(r"[^\W_]+", t.lower()) if len(w) >= 2 and not re.fullmatch("[0-9]+", w)})
     assert {r.doc_id: r.tokens for r in QUERIES["tokens"](spark, str(tmp_path)).collect()} == {i: want(t) for i, t in enumerate(texts)}
+
+
+def test_markers_of_all_pages(spark, tmp_path):
+    pages = ["<p>1 &lt; 2 &gt; 0</p>", "<i>a</i> &#38; <b>b</b>&#160;c", "x &#x26; y &#X026; z", "a &amp; b&nbsp;c", "<p>plain</p>", "", None]
+    want = ["1 < 2 > 0", "*a* & **b** c", "x & y & z", "a & b c", "plain", "", None]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert {r.page_id: r.text for r in QUERIES["markers_from_html"](spark, str(tmp_path)).collect()} == dict(enumerate(want))
