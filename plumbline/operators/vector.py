@@ -35,6 +35,12 @@ def knn(vectors: DataFrame, query: list[float], k: int, id_col: str, vector_col:
     return vectors.where(F.size(vector_col) == len(query)).select(id_col, l2_distance(F.col(vector_col), q).alias("distance")).orderBy("distance", id_col).limit(k)
 
 
+def knn_of_row(vectors: DataFrame, query: DataFrame, k: int, id_col: str, vector_col: str) -> DataFrame:
+    """knn for a query that is a row of a table; without such a row there are no neighbours."""
+    pairs = vectors.crossJoin(F.broadcast(query.select(F.col(vector_col).alias("__q")))).where(F.size(vector_col) == F.size("__q"))
+    return pairs.select(id_col, l2_distance(F.col(vector_col), F.col("__q")).alias("distance")).orderBy("distance", id_col).limit(k)
+
+
 def only_space(rows: DataFrame, *columns: str) -> dict:
     """The one value of columns that all rows share; an error if there is none or more than one."""
     found = rows.select(*columns).distinct().limit(2).collect()

@@ -392,8 +392,7 @@ SELECT vec_id, round(distance, 5) AS distance FROM (
 """)
 def knn(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings")
-    q = vectors.where("vec_id = 7").select("embedding").first()
-    return rounded(vector.knn(vectors, list(q[0]), 10, "vec_id", "embedding"), 5)
+    return rounded(vector.knn_of_row(vectors, vectors.where("vec_id = 7"), 10, "vec_id", "embedding"), 5)
 
 
 @query("""

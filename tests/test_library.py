@@ -219,3 +219,12 @@ def test_markers_of_all_pages(spark, tmp_path):
     want = ["1 < 2 > 0", "*a* & **b** c", "x & y & z", "a & b c", "plain", "", None]
     spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
     assert {r.page_id: r.text for r in QUERIES["markers_from_html"](spark, str(tmp_path)).collect()} == dict(enumerate(want))
+
+
+def test_knn_without_its_query_row(spark, tmp_path):
+    rows = [(i, [float(i), 1.0]) for i in range(20)]
+    for name, some in (("all", rows), ("other", rows[:7]), ("none", [])):
+        spark.createDataFrame(some, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / name / "embeddings.parquet"))
+    found = {name: [tuple(r) for r in QUERIES["knn"](spark, str(tmp_path / name)).collect()] for name in ("all", "other", "none")}
+    assert found["all"] == sorted(((i, float(abs(i - 7))) for i in range(20)), key=lambda x: (x[1], x[0]))[:10]
+    assert found["other"] == found["none"] == []
