@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F, types as T
 
-LOG_GAMMA = np.vectorize(math.lgamma, otypes=[float])
+LOG_GAMMA = np.vectorize(lambda v: math.lgamma(v) if v > 0 else math.nan, otypes=[float])
 ERFC = np.vectorize(math.erfc, otypes=[float])
 
 #: Beyond these degrees of freedom no quantile, and no verdict, is given.
@@ -32,7 +32,7 @@ def beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             c = 1 + k / c
             c = np.where(np.abs(c) < tiny, tiny, c)
             h = h * d * c
-        if np.all(np.abs(d * c - 1) < 1e-16):
+        if not np.any(np.abs(d * c - 1) > 3e-16):
             break
     return h
 
@@ -72,7 +72,7 @@ def gamma_upper(s: np.ndarray, x: np.ndarray) -> np.ndarray:
             c = b + k / c
             c = np.where(np.abs(c) < 1e-300, 1e-300, c)
             h = h * d * c
-            if np.all(np.abs(d * c - 1) < 1e-16):
+            if not np.any(np.abs(d * c - 1) > 3e-16):
                 break
     return np.where(x <= 0, 1.0, np.where(x < s + 1, low, front * h))
 
