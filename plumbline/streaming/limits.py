@@ -49,7 +49,7 @@ def token_bucket(events: DataFrame, capacity: float, rate: float, partitions: in
 
 def token_bucket_stream(events: DataFrame, capacity: float, rate: float, idle_seconds: float = 600.0, late: str = "10 minutes") -> DataFrame:
     """The same over a stream. A key's bucket is dropped once the watermark is idle_seconds past its last event; the
-    watermark trails the latest ts by late, and events behind it are dropped."""
+    watermark trails the latest ts by late, and events behind it are dropped, as are those of a negative ts."""
 
     def step(key, batches, state):
         if state.hasTimedOut:
@@ -59,11 +59,11 @@ def token_bucket_stream(events: DataFrame, capacity: float, rate: float, idle_se
         tokens, last = state.get if state.exists else (capacity, float(rows["ts"].iloc[0]))
         said, tokens, last = consume(rows["ts"].tolist(), tokens, last, capacity, rate)
         state.update((tokens, last))
-        state.setTimeoutTimestamp(max(int((last + idle_seconds) * 1000), state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(int((last + 1 + idle_seconds) * 1000), state.getCurrentWatermarkMs() + 1))
         yield rows.assign(key=key[0], allowed=[s[0] for s in said], retry_after=[s[1] for s in said], remaining=[s[2] for s in said])[["key", "event_id", "ts", "allowed", "retry_after", "remaining"]]
 
     rows = events.select(F.col("key").cast("string").alias("key"), "event_id", F.col("ts").cast("double").alias("ts"))
-    rows = rows.withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", late)
+    rows = rows.withColumn("at", F.timestamp_seconds(F.col("ts") + 1)).withWatermark("at", late)  # what is at 0 counts as late
     return rows.groupBy("key").applyInPandasWithState(step, BUCKET, STATE, "append", "EventTimeTimeout")
 
 
