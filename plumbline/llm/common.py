@@ -24,25 +24,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share; where the session names none, a local one if it runs locally."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/plumbline/{name}-{uuid.uuid4().hex}"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and return the written table, whose lineage is only its files."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/plumbline/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).saved(df, name)
+
+
+class Scratch:
+    """Tables saved in the shared folder, deleted together at the end of a with-block.
+
+    What leaves the block must not read them: it is saved by saved(), and then needs none of them, also when executors
+    are lost."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def saved(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(new_path(self.spark, name))
+        df.write.option("compression", "zstd").parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in map(jvm.org.apache.hadoop.fs.Path, self.paths):
+            path.getFileSystem(conf).delete(path, True)
+
+
+def free_name(df: DataFrame, *names: str) -> list[str]:
+    """Names that df has no column of: those given, with as many underscores before them as that takes."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, ways: int = 16) -> DataFrame:
+    """left joined to right (one row for each key), where one key may be on a third of the rows of left: these are dealt
+    out over `ways` copies of right's row, by the column `by`."""
+    (salt,) = free_name(left, "salt")
+    left = left.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(ways)))
+    right = right.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ways - 1).cast("long"))))
+    return left.join(right, [key, salt], "left").drop(salt)
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """One 64-bit key for each (doc_id, text); repeated rows share it, and so share every decision."""
-    return F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.coalesce(F.col(text_col), F.lit("")))
+    """One 128-bit key for each (doc_id, text), in hexadecimal; repeated rows share it, and so share every decision."""
+    return F.md5(F.concat(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).cast("string"), F.lit(":"), F.coalesce(F.col(text_col), F.lit(""))))
 
 
 class WordHashes(dict):

@@ -1,30 +1,33 @@
 """Exact Jaccard self-join of word-shingle sets: a size-aware heavy-light join that keeps the components.
 
-Equal sets are one class from the start. A link between different sets is found in one of two ways, by size:
+Equal sets are one class, which the text of one row stands for. A link between different sets is found by size:
 
 * Light sets, up to a boundary, list all their subsets of the size that a link to a partner of each possible size
-  takes. Two sets that list the same subset are linked, so the first set of a list stands for all of it.
-* Heavy sets are found through inverted lists. A list's term is not one shingle, which a third of all documents may
-  hold, but all of a set's shingles in one range of hash values. With more ranges than two linked sets can have
-  different shingles, they agree in some, of which at least one is not empty or both sets list empty ones. Lists are
-  scanned with parity sketches: bits that differ in the sketches are shingles that differ, so the scan rules pairs out
-  and never a link. A minimum spanning forest of what is left is checked on whole texts; where a pair of it turns out
-  not to be linked, its list is scanned again without that pair, asking for sixteen times as many at once, until every
-  list has a forest of true links.
-
-The boundary is the largest size up to which listing subsets costs no more than list entries, by the cost of one entry
-against one subset; sets near it go both ways. A list is scanned in blocks of bounded size, in different tasks: first
-each block alone with a few members of the list, then each two that are not of one component already. No pair is set
-aside, so the components are those of all links. Nothing of the corpus reaches the driver.
-
-Null and empty texts have the empty set and no link. Rows may repeat; a null doc_id is the largest.
+  takes; linked light sets list the same subset. Subsets are drawn from the shingles that other sets have too.
+* Heavy sets are found through inverted lists of their shingles. In one order for all, the rarest first, two linked
+  sets share a shingle among the first few of both, so only these lists are scanned. Frequencies are counted over all
+  sets; a set whose first shingles are all its own is in no list.
+
+The boundary is the size at which listing subsets of all smaller sets and scanning lists for the others costs least, by
+the frequencies counted; sets near it go both ways. Lists of nearly the same sets become one, named after the least of
+them, so that the many shingles that a group of near copies shares are scanned once.
+
+Lists are scanned with parity sketches: bits that differ in two sketches are shingles that differ, so the scan rules
+pairs out and never a link. A minimum spanning forest of what is left is checked on whole texts; where a pair of it
+turns out not to be linked, its list is scanned again without that pair, asking for sixteen times as many at once, until
+every list has a forest of true links. A list is scanned in blocks of bounded size, in different tasks: first each block
+alone with a few members of the list, then each two that are not of one component already. No pair is set aside, so the
+components are those of all links. Nothing of the corpus reaches the driver but counts of bounded number.
+
+Shingles are compared by 64-bit hashes; two different sets of one signature are told apart by a second one. Null and
+empty texts have the empty set and no link. Texts of any length are read whole. Rows may repeat; a null doc_id is the
+largest. An empty table gives an empty table. Other columns of documents may have any name.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from functools import cache
 from itertools import combinations
 from typing import NamedTuple
 
@@ -33,20 +36,31 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.common import NO_ID, WordHashes, mix, partitions_for, row_key, saved, shingle_hashes
+from plumbline.llm.common import NO_ID, Scratch, WordHashes, free_name, mix, partitions_for, row_key, saved, shingle_hashes, spread_join
 from plumbline.llm.components import stars
-from plumbline.llm.substring import grouped, runs, signed
+from plumbline.llm.texts import grouped, runs, signed, whole_groups
 
-#: Sizes that may be light; what a list entry costs against a subset; members of a list that are scanned together, and
-#: of them those that are with every block at the first look.
-LIGHT_SIZES, LIST_COST, BLOCK, HUBS = 64, 8, 1024, 16
+#: Sizes that may be light; what the comparison of two sketches costs against a row that is written and sorted.
+LIGHT_SIZES, SCAN_COST = 64, 1 / 64
+
+#: Members of a list that are scanned together, and how many of them are with every block at the first look.
+BLOCK, HUBS = 1024, 16
 
 #: Bits of a sketch, at least; those of larger sets have as many as shingles, so that unlike ones differ in more bits
 #: than a link allows.
 SKETCH_BITS = 2048
 
-#: Rows of one pass over the texts: list entries, with n = -1, and one row for each document, with its row as key.
-ENTRY = "key long, sig long, id long, n long"
+#: Shingles are counted in so many buckets; those of a bucket with more than 1 / HOT of all are spread by set too.
+BUCKETS, HOT = 1 << 16, 1024
+
+#: Sets of one shingle that a task counts exactly; more of them weigh as much, and hot shingles weigh more than all.
+COUNTED, HOT_WEIGHT = 1 << 20, 1 << 21
+
+#: One row for each document, and rows without row: id a bucket, n how many shingles of its texts are in it.
+SET = "row string, id long, sig long, check long, n long"
+
+#: A member of an inverted list, or (list null) a set that may be light with all its shared shingles and costs.
+PREFIX = "list long, sig long, n long, first boolean, terms array<long>, heavy double, light double"
 
 
 class Measure(NamedTuple):
@@ -64,41 +78,17 @@ class Measure(NamedTuple):
         """The sizes of sets that a set of size n can be linked to."""
         return range(-(-self.num * n // self.den), self.den * n // self.num + 1)
 
-    def subsets(self, n: int) -> int:
-        """How many subsets a light set of size n lists."""
-        return sum(math.comb(n, self.overlap(n, m)) for m in self.partners(n))
-
-    def class_of(self, n: int) -> tuple[int, int]:
-        """The least and the last size of n's class; classes grow by half."""
-        least, last = 1, 1
-        while last < n:
-            least, last = last + 1, max(last + 1, 3 * (last + 1) // 2)
-        return least, last
-
-    def cuts(self, n: int) -> list[tuple[int, int]]:
-        """Into how many hash ranges a set of size n is cut, for its own class, and for smaller partners in the class
-        below, each with the number of them that linked sets agree in at least."""
-        least, last = self.class_of(n)
-        out = [cut_of(least, last * (self.den - self.num) // self.num)]
-        if least > 1 and self.partners(n)[0] < least:
-            below, last = self.class_of(least - 1)
-            out.append(cut_of(below, last * (self.den - self.num) // self.num))
-        return out
-
-    def ranges(self, n: int) -> list[int]:
-        """The hash ranges of cuts()."""
-        return [ranges for ranges, _ in self.cuts(n)]
+    def prefix(self, n: int) -> int:
+        """Among so many rarest shingles a set of size n shares one with any partner."""
+        return n - self.overlap(n, max(1, self.partners(n)[0])) + 1
 
+    def first(self, n: int) -> int:
+        """Among so many rarest shingles it shares one with any partner that is not smaller."""
+        return n - self.overlap(n, n) + 1
 
-@cache
-def cut_of(least: int, differ: int) -> tuple[int, int]:
-    """Hash ranges for a class whose linked sets differ in so many shingles at most, and how many they then agree in:
-    the fewest of which sets of the class, save for a few, leave fewer empty than that; else one more than differ."""
-    for n in range(differ + 1, 3 * differ // 2 + 2):
-        empty = n * math.exp(-least / n)
-        if n - differ > empty + 2 * math.sqrt(empty):
-            return n, n - differ
-    return differ + 1, 1
+    def subsets(self, n: int, shared: int) -> float:
+        """How many subsets a light set of size n lists, of its shared shingles."""
+        return float(sum(math.comb(shared, self.overlap(n, m)) for m in self.partners(n)))
 
 
 def shingles(text: str | None, measure: Measure, hashes: WordHashes) -> np.ndarray:
@@ -109,121 +99,163 @@ def shingles(text: str | None, measure: Measure, hashes: WordHashes) -> np.ndarr
     return np.unique(shingle_hashes(hashes.of(words), min(measure.words, len(words))))
 
 
-def signature(s: np.ndarray) -> np.uint64:
-    return mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s))]))[0]
+def signature(s: np.ndarray, salt: int = 0) -> np.uint64:
+    return mix(np.array([mix(s + np.uint64(salt)).sum(dtype=np.uint64) + np.uint64(len(s))]))[0]
 
 
-def list_keys(s: np.ndarray, measure: Measure) -> list[np.ndarray]:
-    """The heavy keys of a set: its shingles in each hash range, hashed; even numbers.
+def signatures(measure: Measure, unsure: frozenset[int]) -> Callable:
+    """(row, id, text) to SET. unsure: signatures that two different sets have; the second signature joins in there."""
 
-    Ranges without a shingle, which unlike sets agree in, are left out by a set that has fewer of them than the ranges
-    that it agrees in with any partner: one of these is then not empty, and the partner lists it too. A set with more
-    of them lists them all, and so meets its like."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s))])
-    out = []
-    for n, agree in measure.cuts(len(s)):
-        at = np.searchsorted((s >> np.uint64(32)) * np.uint64(n) >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
-        part = sums[at[1:]] - sums[at[:-1]]
-        keys = mix(part + mix(np.arange(n, dtype=np.uint64) + np.uint64(n << 32))) & ~np.uint64(1)
-        full = at[1:] > at[:-1]
-        out.append(keys[full] if n - np.count_nonzero(full) < agree else keys)
-    return out
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = WordHashes(), np.zeros(BUCKETS, np.int64)
+        for batch in grouped(batches, 2):
+            sigs, checks, ns, seen = [], [], [], {}
+            for text in batch.column(2).to_pylist():
+                s = shingles(text, measure, hashes)
+                sig, check = (signature(s), signature(s, 1)) if len(s) else (np.uint64(0), np.uint64(0))
+                if unsure and int(sig.view(np.int64)) in unsure:
+                    sig = mix(np.array([sig ^ check]))[0]
+                if len(s):
+                    seen[sig] = s
+                sigs.append(sig)
+                checks.append(check)
+                ns.append(len(s))
+            if seen:
+                counts += np.bincount((np.concatenate(list(seen.values())) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(np.array(sigs, np.uint64)), signed(np.array(checks, np.uint64)), pa.array(ns, pa.int64())], names=["row", "id", "sig", "check", "n"])
+        full = np.flatnonzero(counts)
+        none = pa.nulls(len(full), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(full), pa.string()), pa.array(full), none, none, pa.array(counts[full])], names=["row", "id", "sig", "check", "n"])
 
+    return read
 
-def subset_keys(s: np.ndarray, measure: Measure, boundary: int) -> list[np.ndarray]:
-    """The light keys of a set: its subsets that suffice for a link, hashed with both sizes; odd numbers."""
-    m, out = mix(s), []
-    for other in measure.partners(len(s)):
-        if 0 < other <= boundary:
-            gone = len(s) - measure.overlap(len(s), other)
-            rest = m.sum(dtype=np.uint64) - np.array([sum(map(int, x)) % 2**64 for x in combinations(m, gone)], np.uint64)
-            sizes = np.uint64((min(len(s), other) << 20) + max(len(s), other))
-            out.append(mix(rest + mix(np.array([sizes]))) | np.uint64(1))
-    return out
 
+def terms_of(measure: Measure, hot: dict[int, int]) -> Callable:
+    """(sig, text) to (key, sig, n, hot): a row for each shingle, which is the key, or, spread by set, in hot."""
+    buckets = np.array(sorted(hot), np.uint64)
 
-def light_boundary(measure: Measure) -> int:
-    """The size up to which sets list subsets."""
-    costs = [measure.subsets(n) <= LIST_COST * sum(measure.ranges(n)) for n in range(1, LIGHT_SIZES + 1)]
-    return costs.index(False) if False in costs else LIGHT_SIZES
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in grouped(batches, 1):
+            sets = [shingles(text, measure, hashes) for text in batch.column(1).to_pylist()]
+            sizes = [len(s) for s in sets]
+            term, sig = np.concatenate(sets), np.repeat(batch.column(0).to_numpy().view(np.uint64), sizes)
+            is_hot = np.isin(term % np.uint64(BUCKETS), buckets)
+            key = np.where(is_hot, mix(term ^ mix(sig)), term)
+            yield pa.RecordBatch.from_arrays([signed(key), signed(sig), pa.array(np.repeat(sizes, sizes)), pa.array(term.view(np.int64), mask=~is_hot)], names=["key", "sig", "n", "hot"])
+
+    return read
 
 
-def entries(measure: Measure, boundary: int) -> Callable:
-    """(row, id, text) to the rows of ENTRY: all lists that a set is in, once for equal sets of a batch, and each
-    document's n and sig (0 for the empty set)."""
+def frequencies(hot: dict[int, int]) -> Callable:
+    """Rows of terms_of() in the order of their key to (sig, n, term, weight) for shingles of two sets or more; the
+    weight grows with how many have it. Between batches at most COUNTED rows of one shingle are held."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in grouped(batches, 2):
-            sets, sigs, ns = {}, [], []
-            for text in batch.column(2).to_pylist():
-                s = shingles(text, measure, hashes)
-                sig = signature(s) if len(s) else np.uint64(0)
-                sigs.append(sig)
-                ns.append(len(s))
-                if len(s):
-                    sets[sig] = s
-            yield pa.RecordBatch.from_arrays([batch.column(0), signed(np.array(sigs, np.uint64)), batch.column(1), pa.array(ns, pa.int64())], names=["key", "sig", "id", "n"])
-            keys, sizes = [], []
-            for s in sets.values():
-                mine = subset_keys(s, measure, boundary) if len(s) <= boundary else []
-                if measure.partners(len(s))[-1] > boundary:
-                    mine += list_keys(s, measure)
-                keys += mine
-                sizes.append(sum(map(len, mine)))
-            if keys:
-                sig = np.repeat(np.array(list(sets), np.uint64), sizes)
-                yield pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), signed(sig), pa.array(np.zeros(len(sig), np.int64)), pa.array(np.full(len(sig), -1))], names=["key", "sig", "id", "n"])
+        def out(*columns: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sig", "n", "term", "weight"])
+
+        held = [np.empty(0, np.int64)] * 3  # key, sig, n of the last shingle so far
+        passed = None  # a shingle with COUNTED rows before
+        for batch in batches:
+            is_hot = batch.column("hot").is_valid().to_numpy(zero_copy_only=False)
+            sig, n = batch.column("sig").to_numpy(), batch.column("n").to_numpy()
+            if is_hot.any():
+                term = batch.column("hot").drop_null().to_numpy()
+                weight = HOT_WEIGHT + np.array([hot[x] for x in (term.view(np.uint64) % np.uint64(BUCKETS)).tolist()], np.int64)
+                yield out(sig[is_hot], n[is_hot], term, weight)
+            key, sig, n = (np.concatenate([a, b[~is_hot]]) for a, b in zip(held, (batch.column("key").to_numpy(), sig, n), strict=True))
+            if not len(key):
+                continue
+            if passed is not None:  # the rest of a long one
+                more = key == passed
+                yield out(sig[more], n[more], key[more], np.full(int(more.sum()), COUNTED))
+                key, sig, n = key[~more], sig[~more], n[~more]
+                if not len(key):
+                    held = [np.empty(0, np.int64)] * 3
+                    continue
+                passed = None
+            start = runs(key[1:] != key[:-1])
+            size = np.diff(np.append(start, len(key)))
+            last = start[-1]
+            weight = np.minimum(np.repeat(size, size), COUNTED)
+            upto = len(key) if size[-1] >= COUNTED else last
+            passed = key[-1] if size[-1] >= COUNTED else None
+            again = np.flatnonzero(weight[:upto] > 1)
+            yield out(sig[again], n[again], key[again], weight[again])
+            held = [x[upto:] for x in (key, sig, n)]
+        if len(held[0]) > 1:
+            yield out(held[1], held[2], held[0], np.full(len(held[0]), len(held[0])))
 
     return read
 
 
-def shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of ENTRY in the order of (key, sig) to (list, sure, sig, nth, id, n) for lists of two sets or more; rows
-    of documents (n not null) pass, with their row as list.
-
-    A list is named after its members, so that lists of the same sets can become one; one that is longer than a
-    million is named after its key and passed on as it comes."""
-    key, sig = np.empty(0, np.int64), np.empty(0, np.int64)  # the last list so far
-    passed, skip = 0, 0  # members of it that were passed on; how many of those are still in key
-    end = pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, names=["key", "sig", "id", "n"])
-    names_out = ["list", "sure", "sig", "nth", "id", "n"]
-
-    def with_end() -> Iterator[tuple[pa.RecordBatch, bool]]:
-        yield from ((b, False) for b in batches)
-        yield end, True
-
-    for batch, over in with_end():
-        entry = pa.compute.equal(batch.column("n"), -1)
-        docs = batch.filter(pa.compute.invert(entry))
-        if docs.num_rows:
-            nulls = pa.nulls(docs.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([docs.column("key"), nulls.cast(pa.bool_()), docs.column("sig"), nulls, docs.column("id"), docs.column("n")], names=names_out)
-        batch = batch.filter(entry)
-        key, sig = np.append(key, batch.column(0).to_numpy()), np.append(sig, batch.column(1).to_numpy())
-        if not len(key):
-            continue
-        new = np.append(True, (key[1:] != key[:-1]) | (sig[1:] != sig[:-1]))
-        key, sig = key[new], sig[new]
-        start = runs(key[1:] != key[:-1])
-        size = np.diff(np.append(start, len(key)))
-        nth = np.arange(len(key)) - np.repeat(start, size)
-        nth[: size[0]] += passed - skip
-        names = np.add.reduceat(mix(sig.view(np.uint64)), start) + (key[start].view(np.uint64) & np.uint64(1))
-        long = np.zeros(len(start), bool)
-        long[0] = passed > 0
-        long[-1] |= not over and size[-1] > 1_000_000
-        names[long] = key[start][long].view(np.uint64)
-        out = long | (size > 1)
-        out[-1] &= over or long[-1]
-        out = np.repeat(out, size)
-        out[:skip] = False
-        nulls = pa.nulls(int(out.sum()), pa.int64())
-        yield pa.RecordBatch.from_arrays([signed(np.repeat(names, size)[out]), pa.array((key[out] & 1) == 1), pa.array(sig[out]), pa.array(nth[out]), nulls, nulls], names=names_out)
-        if long[-1]:
-            key, sig, passed, skip = key[-1:], sig[-1:], int(nth[-1]) + 1, 1
-        else:
-            key, sig, passed, skip = key[start[-1] :], sig[start[-1] :], 0, 0
+def prefixes(measure: Measure) -> Callable:
+    """Rows of frequencies(), by sig and rarest first, to PREFIX."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_groups(batches, "sig"):
+            sig, n, term, weight = (part.column(c).to_numpy() for c in ("sig", "n", "term", "weight"))
+            start = runs(sig[1:] != sig[:-1])
+            take: list[np.ndarray] = []
+            first: list[np.ndarray] = []
+            small: dict[str, list] = {"sig": [], "n": [], "terms": [], "heavy": [], "light": []}
+            for i, j in zip(start.tolist(), [*start[1:].tolist(), len(sig)], strict=True):
+                size, shared = int(n[i]), j - i
+                own = size - shared  # shingles of no other set come first
+                until = i + max(0, measure.prefix(size) - own)
+                if size <= LIGHT_SIZES:
+                    for name, value in zip(small, (int(sig[i]), size, term[i:j].tolist(), float((1 + SCAN_COST * weight[i:until]).sum()), measure.subsets(size, shared)), strict=True):
+                        small[name].append(value)
+                elif until > i:
+                    take.append(np.arange(i, min(until, j)))
+                    first.append(np.arange(own, own + len(take[-1])) < measure.first(size))
+            if take:
+                at = np.concatenate(take)
+                none = pa.nulls(len(at), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(term[at]), pa.array(sig[at]), pa.array(n[at]), pa.array(np.concatenate(first)), pa.nulls(len(at), pa.list_(pa.int64())), none, none], names=["list", "sig", "n", "first", "terms", "heavy", "light"])
+            if small["sig"]:
+                size = len(small["sig"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()), pa.array(small["sig"], pa.int64()), pa.array(small["n"], pa.int64()), pa.nulls(size, pa.bool_()), pa.array(small["terms"], pa.list_(pa.int64())), pa.array(small["heavy"], pa.float64()), pa.array(small["light"], pa.float64())], names=["list", "sig", "n", "first", "terms", "heavy", "light"])
+
+    return read
+
+
+def boundary(costs: dict[int, tuple[float, float]], measure: Measure) -> int:
+    """The size up to which sets list subsets, from {size: (cost of its sets' lists, of their subsets)}."""
+    total = lambda b: sum(light * (n <= b) + heavy * (measure.partners(n)[-1] > b) for n, (heavy, light) in costs.items())
+    return min(range(LIGHT_SIZES + 1), key=lambda b: (total(b), b))
+
+
+def small_lists(measure: Measure, upto: int) -> Callable:
+    """(sig, n, terms) of sets that may be light to their lists (list, sig, first): subsets, inverted lists, or both."""
+
+    def subsets(terms: np.ndarray, n: int) -> list[np.ndarray]:
+        m, out = mix(terms.view(np.uint64)), []
+        for other in measure.partners(n):
+            c = measure.overlap(n, other)
+            if 0 < other <= upto and c <= len(m):
+                sums = np.array([sum(x) % 2**64 for x in combinations(m.tolist(), c)], np.uint64)
+                out.append(mix(sums + mix(np.array([(min(n, other) << 20) + max(n, other)], np.uint64))))
+        return out
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, sigs, first = [np.empty(0, np.uint64)], [], []
+            for sig, n, terms in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                terms, mine = np.array(terms, np.int64), []
+                if n <= upto:
+                    mine = subsets(terms, n)
+                    first += [True] * sum(map(len, mine))
+                if measure.partners(n)[-1] > upto:
+                    own = n - len(terms)
+                    mine.append(terms[: max(0, measure.prefix(n) - own)].view(np.uint64))
+                    first += (np.arange(own, own + len(mine[-1])) < measure.first(n)).tolist()
+                names += mine
+                sigs += [sig] * sum(map(len, mine))
+            yield pa.RecordBatch.from_arrays([signed(np.concatenate(names)), pa.array(sigs, pa.int64()), pa.array(first, pa.bool_())], names=["list", "sig", "first"])
+
+    return read
 
 
 def sketches(measure: Measure) -> Callable:
@@ -284,25 +316,6 @@ def scan(measure: Measure, at_once: int) -> Callable:
     """Members (list, sig, n, sketch, root) and known pairs (list, sig, other, linked), in the order of their list, members
     first, to the pairs (list, a, b) that forest() asks about in each list."""
 
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            names = batch.column(0).to_numpy()
-            start = runs(names[1:] != names[:-1])
-            if held and held[-1].column(0)[0].as_py() != names[0]:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held = []
-            for i, j in zip(start, np.append(start[1:], len(names)), strict=True):
-                part = batch.slice(i, j - i)
-                held.append(part)
-                if j < len(names):
-                    yield held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                    held = []
-        if held:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int]] = []
 
@@ -311,7 +324,7 @@ def scan(measure: Measure, at_once: int) -> Callable:
             out.clear()
             return made
 
-        for part in lists(batches):
+        def one(part: pa.RecordBatch) -> None:
             sig, other, linked = (part.column(c).to_pylist() for c in ("sig", "other", "linked"))
             m = sum(x is None for x in other)
             sketch = folded(part.column("sketch").slice(0, m).to_pylist())
@@ -324,8 +337,14 @@ def scan(measure: Measure, at_once: int) -> Callable:
                     good.add((first[root], i))
             for a, b in forest(sketch, part.column("n").slice(0, m).to_numpy(), measure, good, bad, at_once):
                 out.append((part.column(0)[0].as_py(), min(sig[a], sig[b]), max(sig[a], sig[b])))
-            if len(out) > 50_000:
-                yield flush()
+
+        for part in whole_groups(batches, "list"):
+            names = part.column(0).to_numpy()
+            start = runs(names[1:] != names[:-1]).tolist()
+            for i, j in zip(start, [*start[1:], len(names)], strict=True):
+                one(part.slice(i, j - i))
+                if len(out) > 50_000:
+                    yield flush()
         yield flush()
 
     return read
@@ -347,31 +366,46 @@ def compare(measure: Measure) -> Callable:
     return read
 
 
-def sets_and_lists(docs: DataFrame, measure: Measure) -> tuple[DataFrame, DataFrame]:
-    """Of docs (row, id, text): row, id, n and sig (null for the empty set) of each; and list, sure, sig and nth, the
-    members of all lists of two sets or more."""
-    found = docs.mapInArrow(entries(measure, light_boundary(measure)), ENTRY)
-    found = found.repartition(partitions_for(docs.sparkSession), "key").sortWithinPartitions("key", "sig").mapInArrow(shared_lists, "list long, sure boolean, sig long, nth long, id long, n long")
-    found = saved(found, "near-entries")
-    sets = found.where("n is not null").select(F.col("list").alias("row"), "id", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig"))
-    return sets, saved(found.where("n is null").groupBy("list", "sure", "sig").agg(F.min("nth").alias("nth")), "near-lists")
-
-
-def links(docs: DataFrame, sets: DataFrame, lists: DataFrame, measure: Measure) -> DataFrame:
+def classes(docs: DataFrame, measure: Measure, keep: Callable) -> DataFrame:
+    """SET of docs (row, id, text), in which equal signatures are equal sets."""
+    unsure: frozenset[int] = frozenset()
+    while True:
+        found = keep(docs.mapInArrow(signatures(measure, unsure), SET), "near-sets")
+        twice = found.where("n > 0 and row is not null").groupBy("sig").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y")
+        new = frozenset(r.sig for r in twice.select("sig").collect())  # chance collisions of 64 bits: none below a billion sets
+        if not new:
+            return found
+        unsure |= new
+
+
+def inverted_lists(texts: DataFrame, sets: DataFrame, measure: Measure, keep: Callable) -> DataFrame:
+    """(list, sig) of all lists with two sets or more, of texts (sig, text) without equal sets."""
+    n = partitions_for(texts.sparkSession)
+    counts = sets.where("row is null").groupBy("id").agg(F.sum("n").alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = {r.id: r.n for r in counts.where(F.col("n") * HOT > total).collect()}  # less than HOT buckets
+    terms = texts.mapInArrow(terms_of(measure, hot), "key long, sig long, n long, hot long").repartition(n, "key").sortWithinPartitions("key")
+    shared = terms.mapInArrow(frequencies(hot), "sig long, n long, term long, weight long").repartition(n, "sig").sortWithinPartitions("sig", "weight", "term")
+    found = keep(shared.mapInArrow(prefixes(measure), PREFIX), "near-prefixes")
+    small = found.where("list is null")
+    sums = small.groupBy("n").agg(F.sum("heavy"), F.sum("light")).collect()  # a row for each size up to LIGHT_SIZES
+    upto = boundary({r[0]: (r[1], r[2]) for r in sums}, measure)
+    listed = small.select("sig", "n", "terms").mapInArrow(small_lists(measure, upto), "list long, sig long, first boolean")
+    listed = keep(found.where("list is not null").select("list", "sig", "first").unionByName(listed), "near-listed")
+    names = listed.groupBy("list").agg(F.count("*").alias("m"), F.bool_or("first").alias("first"), F.min(F.xxhash64("sig")).alias("name")).where("m > 1 and first").select("list", "name")
+    return keep(listed.join(names, "list").select(F.col("name").alias("list"), "sig").distinct(), "near-lists")
+
+
+def links(texts: DataFrame, members: DataFrame, measure: Measure, keep: Callable) -> DataFrame:
     """Links (a, b) between the signatures of different sets, enough to connect all that links connect."""
-    n = partitions_for(docs.sparkSession)
-
-    certain = lists.where("sure")
-    certain = certain.join(certain.groupBy("list").agg(F.min("sig").alias("first")), "list").where("sig <> first").select(F.col("first").alias("a"), F.col("sig").alias("b")).distinct()
-    members = lists.where("not sure").select("list", "sig", "nth")
-    chosen = sets.groupBy("sig").agg(F.min("row").alias("row")).join(members.select("sig").distinct(), "sig", "left_semi")
-    texts = docs.select("row", "text").join(chosen, "row").groupBy("row").agg(F.first("sig").alias("sig"), F.first("text").alias("text"))
-    texts = saved(texts.select("sig", "text").mapInArrow(sketches(measure), "sig long, n long, sketch binary, text string"), "near-texts")
+    n = partitions_for(texts.sparkSession)
+    texts = texts.join(members.select("sig").distinct(), "sig", "left_semi").select("sig", "text")
+    texts = keep(texts.mapInArrow(sketches(measure), "sig long, n long, sketch binary, text string"), "near-texts")
 
     def judged(asked: DataFrame) -> DataFrame:
         of = lambda side: texts.select(F.col("sig").alias(side), F.col("text").alias(f"text_{side}"))
         pairs = asked.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b")
-        return saved(pairs.mapInArrow(compare(measure), "a long, b long, linked boolean"), "near-judged")
+        return keep(pairs.mapInArrow(compare(measure), "a long, b long, linked boolean"), "near-judged")
 
     def with_sketch(rows: DataFrame) -> DataFrame:
         none = [F.lit(None).cast("long").alias("other"), F.lit(None).cast("boolean").alias("linked")]
@@ -379,19 +413,19 @@ def links(docs: DataFrame, sets: DataFrame, lists: DataFrame, measure: Measure)
 
     def asked_of(rows: DataFrame, at_once: int) -> DataFrame:
         rows = rows.repartition(n, "list").sortWithinPartitions("list", F.col("other").isNotNull())
-        return saved(rows.mapInArrow(scan(measure, at_once), "list long, a long, b long"), "near-asked")
+        return keep(rows.mapInArrow(scan(measure, at_once), "list long, a long, b long"), "near-asked")
 
     # A first look at each set's longest list alone, which joins most of a group; the rest meets as components.
-    blocks = saved(own_blocks(members), "near-own-blocks")
+    blocks = keep(own_blocks(members), "near-own-blocks")
     length = blocks.groupBy("list").agg(F.count("*").alias("m"))
     longest = blocks.join(length, "list").groupBy("sig").agg(F.max(F.struct("m", "list")).alias("x")).select(F.col("x.list").alias("list")).distinct()
     look = judged(asked_of(with_sketch(blocks.join(longest, "list", "left_semi").withColumn("root", F.col("sig"))), 1))
-    out = certain.unionByName(look.where("linked").select("a", "b"))
-    roots = stars(out)
+    out = look.where("linked").select("a", "b")
+    roots = stars(out, keep)
     members = members.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("list", "sig", F.coalesce("root", "sig").alias("root"))
-    members = saved(members, "near-rooted")
+    members = keep(members, "near-rooted")
     open_lists = members.groupBy("list").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("list")
-    members = saved(in_blocks(saved(members.join(open_lists, "list", "left_semi"), "near-open-members")), "near-blocks")
+    members = keep(in_blocks(keep(members.join(open_lists, "list", "left_semi"), "near-open-members")), "near-blocks")
     at_once, known, todo = 1, None, with_sketch(members)
     while True:
         asked = asked_of(todo, at_once)
@@ -402,23 +436,23 @@ def links(docs: DataFrame, sets: DataFrame, lists: DataFrame, measure: Measure)
         at_once *= 16
         # Lists with a pair that failed are scanned again, with all that is known of them.
         answers = asked.join(answer, ["a", "b"]).select("list", "a", "b", "linked")
-        known = saved(answers if known is None else known.unionByName(answers), "near-known")
-        again = saved(answers.where("not linked").select("list").distinct(), "near-open")
+        known = keep(answers if known is None else known.unionByName(answers), "near-known")
+        again = keep(answers.where("not linked").select("list").distinct(), "near-open")
         todo = with_sketch(members.join(again, "list", "left_semi"))
         pairs = known.join(again, "list", "left_semi")
         todo = todo.unionByName(pairs.select("list", F.col("a").alias("sig"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("sketch"), F.lit(None).cast("long").alias("root"), F.col("b").alias("other"), "linked"))
-        todo = saved(todo, "near-again")  # a union of joined tables is not dealt out anew by its key without this
+        todo = keep(todo, "near-again")  # a union of joined tables is not dealt out anew by its key without this
 
 
 def own_blocks(lists: DataFrame) -> DataFrame:
-    """(list, sig) from (list, sig, nth), with a list longer than BLOCK replaced by its blocks; the first HUBS members
-    of the list are in all of them, so that blocks of one component can link."""
-    long = lists.groupBy("list").agg(F.max("nth").alias("last")).where(F.col("last") >= BLOCK).select("list", F.expr(f"last div {BLOCK}").alias("last_block"))
+    """(list, sig) with a list longer than BLOCK replaced by blocks of about that size; some HUBS members of the list are
+    in all of them, so that blocks of one component can link."""
+    long = lists.groupBy("list").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select("list", "m", F.ceil(F.col("m") / BLOCK).alias("parts"))
     rows = lists.join(long, "list", "left")
-    mine = F.expr(f"nth div {BLOCK}")
-    to = F.when(F.col("last_block").isNotNull() & (F.col("nth") < HUBS), F.sequence(F.lit(0).cast("long"), "last_block")).otherwise(F.array(mine))
-    rows = rows.select("list", "sig", "last_block", F.explode(to).alias("block"))
-    return rows.select(F.when(F.col("last_block").isNull(), F.col("list")).otherwise(F.xxhash64("list", "block")).alias("list"), "sig").distinct()
+    is_hub = F.pmod(F.xxhash64("sig", F.lit(1)), F.col("m")) < HUBS
+    to = F.when(F.col("m").isNull(), F.array(F.lit(0).cast("long"))).when(is_hub, F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("sig"), F.col("parts"))))
+    rows = rows.select("list", "sig", "m", F.explode(to).alias("block"))
+    return rows.select(F.when(F.col("m").isNull(), F.col("list")).otherwise(F.xxhash64("list", "block")).alias("list"), "sig")
 
 
 def in_blocks(lists: DataFrame) -> DataFrame:
@@ -439,26 +473,34 @@ def in_blocks(lists: DataFrame) -> DataFrame:
 
 
 def rooted(docs: DataFrame, measure: Measure) -> DataFrame:
-    """row (row_key), id (doc_id, NO_ID for null), n, and root: one signature for all of a component, null without one."""
+    """row (row_key), id (doc_id, NO_ID for null), n, sig (null for the empty set), and root: one signature for all of a
+    component, null without one."""
     rows = docs.select(row_key().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
-    sets, lists = sets_and_lists(rows, measure)
-    roots = stars(links(rows, sets, lists, measure))
-    return sets.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    with Scratch(docs.sparkSession) as scratch:
+        sets = classes(rows, measure, scratch.saved)
+        chosen = sets.where("n > 0").groupBy("sig").agg(F.min("row").alias("row"))
+        texts = rows.select("row", "text").join(chosen, "row").groupBy("row").agg(F.first("sig").alias("sig"), F.first("text").alias("text"))
+        texts = scratch.saved(texts.select("sig", "text"), "near-class-texts")
+        members = inverted_lists(texts, sets, measure, scratch.saved)
+        roots = stars(links(texts, members, measure, scratch.saved), scratch.saved)
+        found = sets.where("row is not null").select("row", "id", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig"))
+        found = spread_join(found, roots.withColumnRenamed("node", "sig"), "sig", "row").withColumn("root", F.coalesce("root", "sig"))
+        return saved(found, "near-rooted-sets")
 
 
 def components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """row (row_key), id (doc_id, NO_ID for null), n_shingles, and component: the smallest id reachable by links."""
     found = rooted(docs, Measure(words, num, den))
     least = found.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
-    return found.join(least, "root", "left").select("row", "id", F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component"))
+    return spread_join(found, least, "root", "row").select("row", "id", F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The document of smallest doc_id of each component, one row of it, with all columns of docs. Ids say nothing of
     likeness: rows of one doc_id, or of none, are in one component only by links. A row without shingles is its own."""
     found = rooted(docs, Measure(words, num, den))
+    key, doc = free_name(docs, "row_key", "doc")
     by = F.coalesce(F.col("root").cast("string"), F.concat(F.lit("row:"), "row")).alias("component")
-    first = found.groupBy(by).agg(F.min(F.struct("id", "row")).alias("first")).select(F.col("first.row").alias("__row"))
-    rows = docs.withColumn("__row", row_key()).join(first, "__row", "left_semi")
-    others = [F.first(F.struct(*docs.columns)).alias("doc")]
-    return rows.groupBy("__row").agg(*others).select("doc.*")
+    first = found.groupBy(by).agg(F.min(F.struct("id", "row")).alias("first")).select(F.col("first.row").alias(key))
+    rows = docs.withColumn(key, row_key()).join(first, key, "left_semi")
+    return rows.groupBy(key).agg(F.first(F.struct(*(docs[c] for c in docs.columns))).alias(doc)).select(f"{doc}.*")

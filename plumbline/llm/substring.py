@@ -29,6 +29,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from plumbline.llm.common import NO_ID, WordHashes, mix, partitions_for, row_key, shingle_hashes
+from plumbline.llm.texts import grouped, runs, signed
 
 #: Words in a window, and in the runs of which the least hash is a window's anchor.
 WIDTH, RUN = 13, 5
@@ -60,25 +61,6 @@ def windows_of(words: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
-def grouped(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches of some TOGETHER words at most (six bytes each)."""
-    for batch in batches:
-        if batch.num_rows:
-            sizes = np.cumsum(pa.compute.binary_length(batch.column(text_at)).fill_null(0).to_numpy(zero_copy_only=False))
-            cuts = [0, *(np.flatnonzero(np.diff(sizes // (6 * TOGETHER))) + 1).tolist(), batch.num_rows]
-            yield from (batch.slice(i, j - i) for i, j in zip(cuts, cuts[1:], strict=False))
-
-
-def runs(*breaks: np.ndarray) -> np.ndarray:
-    """Where runs start, from arrays that say of each row but the first whether it breaks with the one before."""
-    broken = np.logical_or.reduce(breaks)
-    return np.concatenate([[0], np.flatnonzero(broken) + 1])
-
-
-def signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x)
-
-
 def anchor_rows(width: int, run: int) -> Callable:
     """(row, text) to (key, row, nth): the nth anchor of the row's document; nth < 0 says that it is known to be
     repeated, of -1 - nth, and then the key only spreads the rows."""

@@ -246,28 +246,47 @@ def test_one_of_each_keeps_unlike_rows_of_one_id(spark):
     assert sorted((p for p in got if p[1] != unlike[1] + " end"), key=str) == sorted([p for p in [*rows, (3, unlike[6])] if p[1] != unlike[1] or (None, unlike[1]) in got], key=str)
 
 
-def test_measure_ranges_suffice():
-    m = near_dup.Measure(5, 80, 100)
-    for n in range(1, 400):
-        for other in m.partners(n):
-            if other >= n:
-                differ = n + other - 2 * m.overlap(n, other)
-                shared = set(m.ranges(n)[:1]) & set(m.ranges(other))
-                assert shared and min(shared) > differ
-
-
-@pytest.mark.parametrize(("num", "den"), [(80, 100), (90, 100)])
-def test_linked_sets_share_a_list(num, den):
+@pytest.mark.parametrize(("num", "den"), [(80, 100), (90, 100), (50, 100)])
+def test_linked_sets_share_a_first_shingle(num, den):
+    """In any one order, among the first few of both, and within first() of the smaller."""
     rng, m = np.random.default_rng(3), near_dup.Measure(5, num, den)
-    draw = lambda n: rng.integers(0, 2**64, n, np.uint64)
-    for n in (*range(8, 120, 7), 170, 400, 667, 668, 1000, 1001, 2500):
+    for n in (*range(1, 60), 170, 400, 667, 1001):
         for other in {n, (n + m.partners(n)[-1]) // 2, m.partners(n)[-1]}:
-            both = draw(m.overlap(n, other))
-            s, t = (np.unique(np.concatenate([both, draw(k - len(both))])) for k in (n, other))
-            s_keys, t_keys = (np.concatenate(near_dup.list_keys(x, m)) for x in (s, t))
-            assert np.isin(s_keys, t_keys).any()
-    s, t = draw(20_000), draw(20_000)
-    assert not np.isin(*(np.concatenate(near_dup.list_keys(np.sort(x), m)) for x in (s, t))).any()
+            order = rng.permutation(n + other)
+            both = order[: m.overlap(n, other)]
+            s = np.sort(np.concatenate([both, order[m.overlap(n, other) : n]]))
+            t = np.sort(np.concatenate([both, order[n : n + other - len(both)]]))
+            assert set(s[: m.first(n)].tolist()) & set(t[: m.prefix(other)].tolist())
+
+
+def test_boundary_follows_the_costs():
+    m = near_dup.Measure(5, 80, 100)
+    assert near_dup.boundary({}, m) == near_dup.boundary({3: (1.0, 5.0), 30: (1.0, 9e9)}, m) == 0
+    assert near_dup.boundary({3: (100.0, 5.0), 30: (10.0, 9e9)}, m) == 3
+    assert near_dup.boundary({3: (100.0, 5.0), 30: (1e12, 9e9)}, m) >= 30
+
+
+def test_frequencies_across_batches(monkeypatch):
+    """The same shingles whole, and a row a batch; long ones weigh COUNTED."""
+    monkeypatch.setattr(near_dup, "COUNTED", 5)
+    rng = np.random.default_rng(7)
+    key = np.sort(rng.integers(0, 30, 120))
+    key[:9] = 0
+    rows = pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.arange(120)), pa.array(np.full(120, 8)), pa.array([7 if i % 11 == 0 else None for i in range(120)], pa.int64())], names=["key", "sig", "n", "hot"])
+    out = lambda batches: sorted(tuple(r.values()) for b in near_dup.frequencies({7: 3})(iter(batches)) for r in b.to_pylist())
+    counts = Counter(k for i, k in enumerate(key.tolist()) if i % 11)
+    want = [(i, 8, k, min(counts[k], 5)) for i, k in enumerate(key.tolist()) if i % 11 and counts[k] > 1] + [(i, 8, 7, near_dup.HOT_WEIGHT + 3) for i in range(0, 120, 11)]
+    assert out([rows]) == out([rows.slice(i, 1) for i in range(120)]) == sorted(want)
+
+
+def test_signatures_that_two_sets_have():
+    """A signature that is unsure is replaced, by one that the second signature is in."""
+    m = near_dup.Measure(5, 80, 100)
+    batch = pa.RecordBatch.from_arrays([pa.array(["x", "y"]), pa.array([1, 2]), pa.array(["a b c d e f", "b c d e f a"])], names=["row", "id", "text"])
+    sure, again = (next(near_dup.signatures(m, frozenset(unsure))(iter([batch]))).column("sig").to_pylist() for unsure in ((), ()))
+    assert sure == again and sure[0] != sure[1]
+    other = next(near_dup.signatures(m, frozenset(sure[:1]))(iter([batch]))).column("sig").to_pylist()
+    assert other[0] not in sure and other[1] == sure[1]
 
 
 def test_folded_sketches():
