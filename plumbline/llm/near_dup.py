@@ -3,21 +3,24 @@
 Equal sets are one class, which the text of one row stands for. A link between different sets is found by size:
 
 * Light sets, up to a boundary, list all their subsets of the size that a link to a partner of each possible size
-  takes; linked light sets list the same subset. Subsets are drawn from the shingles that other sets have too.
+  takes; linked light sets list the same subset.
 * Heavy sets are found through inverted lists of their shingles. In one order for all, the rarest first, two linked
-  sets share a shingle among the first few of both, so only these lists are scanned. Frequencies are counted over all
-  sets; a set whose first shingles are all its own is in no list.
+  sets share a shingle among the first few of both, so only these are listed and their lists scanned. Shingles are
+  counted over all texts, in buckets by hash: the order needs no exact counts, only to be the same for all sets, and
+  what is frequent comes last.
 
 The boundary is the size at which listing subsets of all smaller sets and scanning lists for the others costs least, by
-the frequencies counted; sets near it go both ways. Lists of nearly the same sets become one, named after the least of
-them, so that the many shingles that a group of near copies shares are scanned once.
-
-Lists are scanned with parity sketches: bits that differ in two sketches are shingles that differ, so the scan rules
-pairs out and never a link. A minimum spanning forest of what is left is checked on whole texts; where a pair of it
-turns out not to be linked, its list is scanned again without that pair, asking for sixteen times as many at once, until
-every list has a forest of true links. A list is scanned in blocks of bounded size, in different tasks: first each block
-alone with a few members of the list, then each two that are not of one component already. No pair is set aside, so the
-components are those of all links. Nothing of the corpus reaches the driver but counts of bounded number.
+the lengths of the lists; sets near it go both ways.
+
+Within a list of bounded length a first scan by coarse parity sketches leaves out members that are like no other. What
+is left of lists of nearly the same sets becomes one list, named after the least of them, so that the many shingles that
+a group of near copies shares are scanned once. These lists are scanned with finer sketches. Bits that differ in two
+sketches are shingles that differ, so a scan rules pairs out and never a link. A minimum spanning forest of what is left
+is checked on whole texts; where a pair of it turns out not to be linked, its list is scanned again without that pair,
+asking for sixteen times as many at once, until every list has a forest of true links. A list is scanned in blocks of
+bounded size, in different tasks: first each block alone with a few members of the list, then each two that are not of
+one component already. No pair is set aside, so the components are those of all links. Nothing of the corpus reaches the
+driver but counts of bounded number.
 
 Shingles are compared by 64-bit hashes; two different sets of one signature are told apart by a second one. Null and
 empty texts have the empty set and no link. Texts of any length are read whole. Rows may repeat; a null doc_id is the
@@ -53,14 +56,11 @@ SKETCH_BITS = 2048
 #: Shingles are counted in so many buckets; those of a bucket with more than 1 / HOT of all are spread by set too.
 BUCKETS, HOT = 1 << 16, 1024
 
-#: Sets of one shingle that a task counts exactly; more of them weigh as much, and hot shingles weigh more than all.
-COUNTED, HOT_WEIGHT = 1 << 20, 1 << 21
+#: Members of one list that a task counts exactly; longer lists, and those of hot shingles, have that length for all.
+COUNTED = 1 << 20
 
 #: One row for each document, and rows without row: id a bucket, n how many shingles of its texts are in it.
-SET = "row string, id long, sig long, check long, n long"
-
-#: A member of an inverted list, or (list null) a set that may be light with all its shared shingles and costs.
-PREFIX = "list long, sig long, n long, first boolean, terms array<long>, heavy double, light double"
+SET = "row string, id long, sig long, check long, n long, coarse binary"
 
 
 class Measure(NamedTuple):
@@ -86,9 +86,18 @@ class Measure(NamedTuple):
         """Among so many rarest shingles it shares one with any partner that is not smaller."""
         return n - self.overlap(n, n) + 1
 
-    def subsets(self, n: int, shared: int) -> float:
-        """How many subsets a light set of size n lists, of its shared shingles."""
-        return float(sum(math.comb(shared, self.overlap(n, m)) for m in self.partners(n)))
+    def subsets(self, n: int) -> float:
+        """How many subsets a light set of size n lists."""
+        return float(sum(math.comb(n, self.overlap(n, m)) for m in self.partners(n)))
+
+    def differ(self, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """In how many shingles linked sets of these sizes differ at most; below 0 where they cannot be linked."""
+        most = n + m - 2 * -(-self.num * (n + m) // (self.num + self.den))
+        return np.where(np.minimum(n, m) * self.den >= np.maximum(n, m) * self.num, most, -1)
+
+    def coarse_bits(self) -> int:
+        """Bits of a coarse sketch; with them unlike sets of up to some 500 shingles differ in more than linked ones."""
+        return 64 * max(4, round(80 * (self.den - self.num) / (self.den + self.num)))
 
 
 def shingles(text: str | None, measure: Measure, hashes: WordHashes) -> np.ndarray:
@@ -103,13 +112,19 @@ def signature(s: np.ndarray, salt: int = 0) -> np.uint64:
     return mix(np.array([mix(s + np.uint64(salt)).sum(dtype=np.uint64) + np.uint64(len(s))]))[0]
 
 
+def parities(s: np.ndarray, bits: int) -> bytes:
+    """Bit i: how many shingles have the hash i, odd or even."""
+    return np.packbits((np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
+
+
 def signatures(measure: Measure, unsure: frozenset[int]) -> Callable:
     """(row, id, text) to SET. unsure: signatures that two different sets have; the second signature joins in there."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = WordHashes(), np.zeros(BUCKETS, np.int64)
+        hashes, counts, bits = WordHashes(), np.zeros(BUCKETS, np.int64), measure.coarse_bits()
+        names = ["row", "id", "sig", "check", "n", "coarse"]
         for batch in grouped(batches, 2):
-            sigs, checks, ns, seen = [], [], [], {}
+            sigs, checks, ns, coarse, seen = [], [], [], [], {}
             for text in batch.column(2).to_pylist():
                 s = shingles(text, measure, hashes)
                 sig, check = (signature(s), signature(s, 1)) if len(s) else (np.uint64(0), np.uint64(0))
@@ -120,103 +135,113 @@ def signatures(measure: Measure, unsure: frozenset[int]) -> Callable:
                 sigs.append(sig)
                 checks.append(check)
                 ns.append(len(s))
+                coarse.append(parities(s, bits))
             if seen:
                 counts += np.bincount((np.concatenate(list(seen.values())) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(np.array(sigs, np.uint64)), signed(np.array(checks, np.uint64)), pa.array(ns, pa.int64())], names=["row", "id", "sig", "check", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(np.array(sigs, np.uint64)), signed(np.array(checks, np.uint64)), pa.array(ns, pa.int64()), pa.array(coarse, pa.binary())], names=names)
         full = np.flatnonzero(counts)
         none = pa.nulls(len(full), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(full), pa.string()), pa.array(full), none, none, pa.array(counts[full])], names=["row", "id", "sig", "check", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(full), pa.string()), pa.array(full), none, none, pa.array(counts[full]), pa.nulls(len(full), pa.binary())], names=names)
 
     return read
 
 
-def terms_of(measure: Measure, hot: dict[int, int]) -> Callable:
-    """(sig, text) to (key, sig, n, hot): a row for each shingle, which is the key, or, spread by set, in hot."""
-    buckets = np.array(sorted(hot), np.uint64)
+def rarest_first(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return s[np.lexsort((s, counts[(s % np.uint64(BUCKETS)).astype(np.int64)]))]
+
+
+def list_members(measure: Measure, counts: np.ndarray, hot: np.ndarray) -> Callable:
+    """(sig, text) to (key, sig, n, first, hot): the lists a set is in, by their shingle, which is the key, or, spread
+    by set, in hot (of hot buckets)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in grouped(batches, 1):
             sets = [shingles(text, measure, hashes) for text in batch.column(1).to_pylist()]
-            sizes = [len(s) for s in sets]
-            term, sig = np.concatenate(sets), np.repeat(batch.column(0).to_numpy().view(np.uint64), sizes)
-            is_hot = np.isin(term % np.uint64(BUCKETS), buckets)
+            n = np.array([len(s) for s in sets])
+            listed = [rarest_first(s, counts)[: measure.prefix(len(s))] for s in sets]
+            size = np.array([len(s) for s in listed])
+            term, sig = np.concatenate(listed), np.repeat(batch.column(0).to_numpy().view(np.uint64), size)
+            nth = np.arange(len(term)) - np.repeat(np.cumsum(size) - size, size)
+            first = nth < np.repeat([measure.first(x) for x in n.tolist()], size)
+            is_hot = np.isin(term % np.uint64(BUCKETS), hot)
             key = np.where(is_hot, mix(term ^ mix(sig)), term)
-            yield pa.RecordBatch.from_arrays([signed(key), signed(sig), pa.array(np.repeat(sizes, sizes)), pa.array(term.view(np.int64), mask=~is_hot)], names=["key", "sig", "n", "hot"])
+            yield pa.RecordBatch.from_arrays([signed(key), signed(sig), pa.array(np.repeat(n, size)), pa.array(first), pa.array(term.view(np.int64), mask=~is_hot)], names=["key", "sig", "n", "first", "hot"])
 
     return read
 
 
-def frequencies(hot: dict[int, int]) -> Callable:
-    """Rows of terms_of() in the order of their key to (sig, n, term, weight) for shingles of two sets or more; the
-    weight grows with how many have it. Between batches at most COUNTED rows of one shingle are held."""
+def shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of list_members() in the order of their key to (list, sig, n, first, m) for lists of two sets or more, one
+    of them with first; m is the length, COUNTED for hot and very long lists. At most COUNTED rows are held."""
+    names = ["list", "sig", "n", "first", "m"]
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(*columns: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sig", "n", "term", "weight"])
+    def out(key: np.ndarray, sig: np.ndarray, n: np.ndarray, first: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (key, sig, n, first, m)], names=names)
 
-        held = [np.empty(0, np.int64)] * 3  # key, sig, n of the last shingle so far
-        passed = None  # a shingle with COUNTED rows before
-        for batch in batches:
+    empty = [np.empty(0, np.int64)] * 3 + [np.empty(0, bool)]
+    held, passed = empty, None  # the last list so far; a list of which COUNTED rows came before
+    for batch in with_end(batches):
+        over = batch is None
+        rows = empty
+        if not over:
             is_hot = batch.column("hot").is_valid().to_numpy(zero_copy_only=False)
-            sig, n = batch.column("sig").to_numpy(), batch.column("n").to_numpy()
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "sig", "n", "first")]
             if is_hot.any():
-                term = batch.column("hot").drop_null().to_numpy()
-                weight = HOT_WEIGHT + np.array([hot[x] for x in (term.view(np.uint64) % np.uint64(BUCKETS)).tolist()], np.int64)
-                yield out(sig[is_hot], n[is_hot], term, weight)
-            key, sig, n = (np.concatenate([a, b[~is_hot]]) for a, b in zip(held, (batch.column("key").to_numpy(), sig, n), strict=True))
-            if not len(key):
-                continue
-            if passed is not None:  # the rest of a long one
-                more = key == passed
-                yield out(sig[more], n[more], key[more], np.full(int(more.sum()), COUNTED))
-                key, sig, n = key[~more], sig[~more], n[~more]
-                if not len(key):
-                    held = [np.empty(0, np.int64)] * 3
-                    continue
-                passed = None
-            start = runs(key[1:] != key[:-1])
-            size = np.diff(np.append(start, len(key)))
-            last = start[-1]
-            weight = np.minimum(np.repeat(size, size), COUNTED)
-            upto = len(key) if size[-1] >= COUNTED else last
-            passed = key[-1] if size[-1] >= COUNTED else None
-            again = np.flatnonzero(weight[:upto] > 1)
-            yield out(sig[again], n[again], key[again], weight[again])
-            held = [x[upto:] for x in (key, sig, n)]
-        if len(held[0]) > 1:
-            yield out(held[1], held[2], held[0], np.full(len(held[0]), len(held[0])))
-
-    return read
-
-
-def prefixes(measure: Measure) -> Callable:
-    """Rows of frequencies(), by sig and rarest first, to PREFIX."""
+                _, sig, n, first = (x[is_hot] for x in columns)
+                yield out(batch.column("hot").drop_null().to_numpy(), sig, n, first, np.full(len(sig), COUNTED))
+            rows = [x[~is_hot] for x in columns]
+        key, sig, n, first = (np.concatenate(x) for x in zip(held, rows, strict=True))
+        if passed is not None and len(key):
+            more = key == passed
+            if more.any():
+                yield out(key[more], sig[more], n[more], first[more], np.full(int(more.sum()), COUNTED))
+            key, sig, n, first = (x[~more] for x in (key, sig, n, first))
+            passed = passed if not len(key) else None
+        if not len(key):
+            held = empty
+            continue
+        start = runs(key[1:] != key[:-1])
+        size = np.diff(np.append(start, len(key)))
+        use = (size > 1) & np.logical_or.reduceat(first, start)
+        upto = len(key)
+        if size[-1] >= COUNTED:
+            use[-1], passed = True, key[-1]
+        elif not over:
+            upto = start[-1]
+        at = np.flatnonzero(np.repeat(use, size)[:upto])
+        yield out(key[at], sig[at], n[at], first[at], np.minimum(np.repeat(size, size)[at], COUNTED))
+        held = [x[upto:] for x in (key, sig, n, first)]
+
+
+def with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def screen(measure: Measure) -> Callable:
+    """(list, sig, n, first, coarse) of lists of bounded length, together, to the (list, sig) that some other of the
+    list may be linked to, by the coarse sketches."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in whole_groups(batches, "sig"):
-            sig, n, term, weight = (part.column(c).to_numpy() for c in ("sig", "n", "term", "weight"))
-            start = runs(sig[1:] != sig[:-1])
-            take: list[np.ndarray] = []
-            first: list[np.ndarray] = []
-            small: dict[str, list] = {"sig": [], "n": [], "terms": [], "heavy": [], "light": []}
-            for i, j in zip(start.tolist(), [*start[1:].tolist(), len(sig)], strict=True):
-                size, shared = int(n[i]), j - i
-                own = size - shared  # shingles of no other set come first
-                until = i + max(0, measure.prefix(size) - own)
-                if size <= LIGHT_SIZES:
-                    for name, value in zip(small, (int(sig[i]), size, term[i:j].tolist(), float((1 + SCAN_COST * weight[i:until]).sum()), measure.subsets(size, shared)), strict=True):
-                        small[name].append(value)
-                elif until > i:
-                    take.append(np.arange(i, min(until, j)))
-                    first.append(np.arange(own, own + len(take[-1])) < measure.first(size))
-            if take:
-                at = np.concatenate(take)
-                none = pa.nulls(len(at), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(term[at]), pa.array(sig[at]), pa.array(n[at]), pa.array(np.concatenate(first)), pa.nulls(len(at), pa.list_(pa.int64())), none, none], names=["list", "sig", "n", "first", "terms", "heavy", "light"])
-            if small["sig"]:
-                size = len(small["sig"])
-                yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()), pa.array(small["sig"], pa.int64()), pa.array(small["n"], pa.int64()), pa.nulls(size, pa.bool_()), pa.array(small["terms"], pa.list_(pa.int64())), pa.array(small["heavy"], pa.float64()), pa.array(small["light"], pa.float64())], names=["list", "sig", "n", "first", "terms", "heavy", "light"])
+        for part in whole_groups(batches, "list"):
+            name, n, first = (part.column(c).to_numpy(zero_copy_only=False) for c in ("list", "n", "first"))
+            sketch = np.frombuffer(b"".join(part.column("coarse").to_pylist()), np.uint64).reshape(len(name), -1)
+            start = runs(name[1:] != name[:-1])
+            size = np.diff(np.append(start, len(name)))
+            behind = np.repeat(start + size, size) - np.arange(len(name)) - 1  # rows of the same list that come later
+            like, rows, step = np.zeros(len(name), bool), np.arange(len(name)), 0
+            while True:
+                step += 1
+                rows = rows[behind[rows] >= step]
+                if not len(rows):
+                    break
+                i = rows[first[rows] | first[rows + step]]
+                j = i + step
+                most = measure.differ(n[i], n[j])
+                ok = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64) <= most
+                like[i[ok]] = like[j[ok]] = True
+            yield pa.RecordBatch.from_arrays([part.column("list").filter(pa.array(like)), part.column("sig").filter(pa.array(like))], names=["list", "sig"])
 
     return read
 
@@ -227,50 +252,34 @@ def boundary(costs: dict[int, tuple[float, float]], measure: Measure) -> int:
     return min(range(LIGHT_SIZES + 1), key=lambda b: (total(b), b))
 
 
-def small_lists(measure: Measure, upto: int) -> Callable:
-    """(sig, n, terms) of sets that may be light to their lists (list, sig, first): subsets, inverted lists, or both."""
-
-    def subsets(terms: np.ndarray, n: int) -> list[np.ndarray]:
-        m, out = mix(terms.view(np.uint64)), []
-        for other in measure.partners(n):
-            c = measure.overlap(n, other)
-            if 0 < other <= upto and c <= len(m):
-                sums = np.array([sum(x) % 2**64 for x in combinations(m.tolist(), c)], np.uint64)
-                out.append(mix(sums + mix(np.array([(min(n, other) << 20) + max(n, other)], np.uint64))))
-        return out
+def subset_lists(measure: Measure, upto: int) -> Callable:
+    """(sig, text) of light sets to (list, sig): their subsets that suffice for a link, with both sizes."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, sigs, first = [np.empty(0, np.uint64)], [], []
-            for sig, n, terms in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                terms, mine = np.array(terms, np.int64), []
-                if n <= upto:
-                    mine = subsets(terms, n)
-                    first += [True] * sum(map(len, mine))
-                if measure.partners(n)[-1] > upto:
-                    own = n - len(terms)
-                    mine.append(terms[: max(0, measure.prefix(n) - own)].view(np.uint64))
-                    first += (np.arange(own, own + len(mine[-1])) < measure.first(n)).tolist()
-                names += mine
-                sigs += [sig] * sum(map(len, mine))
-            yield pa.RecordBatch.from_arrays([signed(np.concatenate(names)), pa.array(sigs, pa.int64()), pa.array(first, pa.bool_())], names=["list", "sig", "first"])
+        hashes = WordHashes()
+        for batch in grouped(batches, 1):
+            names, sizes = [np.empty(0, np.uint64)], []
+            for text in batch.column(1).to_pylist():
+                s, before = mix(shingles(text, measure, hashes)).tolist(), len(names)
+                for other in measure.partners(len(s)):
+                    if 0 < other <= upto:
+                        sums = np.array([sum(x) % 2**64 for x in combinations(s, measure.overlap(len(s), other))], np.uint64)
+                        names.append(mix(sums + mix(np.array([(min(len(s), other) << 20) + max(len(s), other)], np.uint64))))
+                sizes.append(sum(map(len, names[before:])))
+            yield pa.RecordBatch.from_arrays([signed(np.concatenate(names)), pa.array(np.repeat(batch.column(0).to_numpy(), sizes))], names=["list", "sig"])
 
     return read
 
 
 def sketches(measure: Measure) -> Callable:
-    """(sig, text) to (sig, n, sketch, text); bit i of the sketch: how many shingles have the hash i, odd or even. The
-    bits are a power of two, and the halves of a sketch, one xor the other, are the sketch of half the bits."""
-
-    def sketch(s: np.ndarray) -> bytes:
-        bits = max(SKETCH_BITS, 1 << (len(s) - 1).bit_length())
-        return np.packbits((np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
+    """(sig, text) to (sig, n, sketch, text). The bits of a sketch are a power of two, and its halves, one xor the other,
+    are the sketch of half the bits."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in grouped(batches, 1):
             sets = [shingles(text, measure, hashes) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(sketch, sets), pa.binary()), batch.column(1)], names=["sig", "n", "sketch", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([parities(s, max(SKETCH_BITS, 1 << (len(s) - 1).bit_length())) for s in sets], pa.binary()), batch.column(1)], names=["sig", "n", "sketch", "text"])
 
     return read
 
@@ -294,9 +303,8 @@ def forest(sketch: np.ndarray, n: np.ndarray, measure: Measure, good: set, bad:
             known.setdefault(b, []).append((a, value))
     while True:
         differ = np.bitwise_count(sketch ^ sketch[v]).sum(1, dtype=np.int64)
-        allowed = n + n[v] - 2 * -(-measure.num * (n + n[v]) // (measure.num + measure.den))
-        fits = (differ <= allowed) & (np.minimum(n, n[v]) * measure.den >= np.maximum(n, n[v]) * measure.num)
-        row = np.where(fits, differ - allowed, never)
+        allowed = measure.differ(n, n[v])
+        row = np.where(differ <= allowed, differ - allowed, never)
         for other, value in known.get(v, ()):
             row[other] = value
         if -(1 << 29) < slack[v] < never:
@@ -378,22 +386,32 @@ def classes(docs: DataFrame, measure: Measure, keep: Callable) -> DataFrame:
         unsure |= new
 
 
-def inverted_lists(texts: DataFrame, sets: DataFrame, measure: Measure, keep: Callable) -> DataFrame:
-    """(list, sig) of all lists with two sets or more, of texts (sig, text) without equal sets."""
+def all_lists(texts: DataFrame, sets: DataFrame, measure: Measure, keep: Callable) -> DataFrame:
+    """(list, sig) of all lists in which sets may be linked, of texts (sig, n, coarse, text) without equal sets."""
     n = partitions_for(texts.sparkSession)
-    counts = sets.where("row is null").groupBy("id").agg(F.sum("n").alias("n"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = {r.id: r.n for r in counts.where(F.col("n") * HOT > total).collect()}  # less than HOT buckets
-    terms = texts.mapInArrow(terms_of(measure, hot), "key long, sig long, n long, hot long").repartition(n, "key").sortWithinPartitions("key")
-    shared = terms.mapInArrow(frequencies(hot), "sig long, n long, term long, weight long").repartition(n, "sig").sortWithinPartitions("sig", "weight", "term")
-    found = keep(shared.mapInArrow(prefixes(measure), PREFIX), "near-prefixes")
-    small = found.where("list is null")
-    sums = small.groupBy("n").agg(F.sum("heavy"), F.sum("light")).collect()  # a row for each size up to LIGHT_SIZES
-    upto = boundary({r[0]: (r[1], r[2]) for r in sums}, measure)
-    listed = small.select("sig", "n", "terms").mapInArrow(small_lists(measure, upto), "list long, sig long, first boolean")
-    listed = keep(found.where("list is not null").select("list", "sig", "first").unionByName(listed), "near-listed")
-    names = listed.groupBy("list").agg(F.count("*").alias("m"), F.bool_or("first").alias("first"), F.min(F.xxhash64("sig")).alias("name")).where("m > 1 and first").select("list", "name")
-    return keep(listed.join(names, "list").select(F.col("name").alias("list"), "sig").distinct(), "near-lists")
+    rows = sets.where("row is null").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row for each bucket
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[[r.id for r in rows]] = [r.n for r in rows]
+    hot = np.flatnonzero(counts * HOT > counts.sum()).astype(np.uint64)
+    members = texts.select("sig", "text").mapInArrow(list_members(measure, counts, hot), "key long, sig long, n long, first boolean, hot long")
+    members = members.repartition(n, "key").sortWithinPartitions("key").mapInArrow(shared_lists, "list long, sig long, n long, first boolean, m long")
+    members = keep(members, "near-members")
+
+    sizes = dict(texts.where(F.col("n") <= LIGHT_SIZES).groupBy("n").agg(F.count("*")).collect())  # a row for each size
+    scanned = dict(members.where(F.col("n") <= LIGHT_SIZES).groupBy("n").agg(F.sum("m")).collect())
+    costs = {k: (c * measure.prefix(k) + SCAN_COST * scanned.get(k, 0), c * measure.subsets(k)) for k, c in sizes.items()}
+    upto = boundary(costs, measure)
+    light = max((k for k in range(upto + 1) if measure.partners(k)[-1] <= upto), default=0)  # with light partners only
+    members = members.where(F.col("n") > light)
+    subsets = texts.where(F.col("n") <= upto).select("sig", "text").mapInArrow(subset_lists(measure, upto), "list long, sig long")
+    again = subsets.groupBy("list").agg(F.count("*").alias("m")).where("m > 1").select("list")
+
+    short = members.where(F.col("m") <= BLOCK).join(texts.select("sig", "coarse"), "sig").select("list", "sig", "n", "first", "coarse")
+    short = short.repartition(n, "list").sortWithinPartitions("list").mapInArrow(screen(measure), "list long, sig long")
+    found = short.unionByName(members.where(F.col("m") > BLOCK).select("list", "sig")).unionByName(subsets.join(again, "list"))
+    found = keep(found, "near-found")
+    names = found.groupBy("list").agg(F.min(F.xxhash64("sig")).alias("name"))
+    return keep(found.join(names, "list").select(F.col("name").alias("list"), "sig").distinct(), "near-lists")
 
 
 def links(texts: DataFrame, members: DataFrame, measure: Measure, keep: Callable) -> DataFrame:
@@ -478,10 +496,10 @@ def rooted(docs: DataFrame, measure: Measure) -> DataFrame:
     rows = docs.select(row_key().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
     with Scratch(docs.sparkSession) as scratch:
         sets = classes(rows, measure, scratch.saved)
-        chosen = sets.where("n > 0").groupBy("sig").agg(F.min("row").alias("row"))
-        texts = rows.select("row", "text").join(chosen, "row").groupBy("row").agg(F.first("sig").alias("sig"), F.first("text").alias("text"))
-        texts = scratch.saved(texts.select("sig", "text"), "near-class-texts")
-        members = inverted_lists(texts, sets, measure, scratch.saved)
+        chosen = sets.where("n > 0 and row is not null").groupBy("sig").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("coarse").alias("coarse"))
+        texts = rows.select("row", "text").join(chosen, "row").groupBy("row").agg(*(F.first(c).alias(c) for c in ("sig", "n", "coarse", "text")))
+        texts = scratch.saved(texts.drop("row"), "near-class-texts")
+        members = all_lists(texts, sets, measure, scratch.saved)
         roots = stars(links(texts, members, measure, scratch.saved), scratch.saved)
         found = sets.where("row is not null").select("row", "id", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig"))
         found = spread_join(found, roots.withColumnRenamed("node", "sig"), "sig", "row").withColumn("root", F.coalesce("root", "sig"))

@@ -266,19 +266,38 @@ def test_boundary_follows_the_costs():
     assert near_dup.boundary({3: (100.0, 5.0), 30: (1e12, 9e9)}, m) >= 30
 
 
-def test_frequencies_across_batches(monkeypatch):
-    """The same shingles whole, and a row a batch; long ones weigh COUNTED."""
+def test_shared_lists_across_batches(monkeypatch):
+    """The same lists whole, and a row a batch; long ones have the length COUNTED."""
     monkeypatch.setattr(near_dup, "COUNTED", 5)
     rng = np.random.default_rng(7)
     key = np.sort(rng.integers(0, 30, 120))
     key[:9] = 0
-    rows = pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.arange(120)), pa.array(np.full(120, 8)), pa.array([7 if i % 11 == 0 else None for i in range(120)], pa.int64())], names=["key", "sig", "n", "hot"])
-    out = lambda batches: sorted(tuple(r.values()) for b in near_dup.frequencies({7: 3})(iter(batches)) for r in b.to_pylist())
-    counts = Counter(k for i, k in enumerate(key.tolist()) if i % 11)
-    want = [(i, 8, k, min(counts[k], 5)) for i, k in enumerate(key.tolist()) if i % 11 and counts[k] > 1] + [(i, 8, 7, near_dup.HOT_WEIGHT + 3) for i in range(0, 120, 11)]
+    hot, first = [i % 11 == 0 for i in range(120)], [i % 3 == 0 for i in range(120)]
+    rows = pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.arange(120)), pa.array(np.full(120, 8)), pa.array(first), pa.array([7 if x else None for x in hot], pa.int64())], names=["key", "sig", "n", "first", "hot"])
+    out = lambda batches: sorted(tuple(r.values()) for b in near_dup.shared_lists(iter(batches)) for r in b.to_pylist())
+    counts, some = Counter(k for k, h in zip(key.tolist(), hot) if not h), {k for k, h, f in zip(key.tolist(), hot, first) if f and not h}
+    want = [(k, i, 8, first[i], min(counts[k], 5)) for i, k in enumerate(key.tolist()) if not hot[i] and counts[k] > 1 and (k in some or counts[k] >= 5)] + [(7, i, 8, first[i], 5) for i in range(0, 120, 11)]
     assert out([rows]) == out([rows.slice(i, 1) for i in range(120)]) == sorted(want)
 
 
+def test_screen_leaves_out_no_link():
+    rng, m = np.random.default_rng(12), near_dup.Measure(5, 80, 100)
+    base = rng.integers(0, 2**64, 300, np.uint64)
+    sets = [np.unique(np.concatenate([base[int(k) :], rng.integers(0, 2**64, int(k), np.uint64)])) for k in rng.integers(0, 90, 60)]
+    sets += [rng.integers(0, 2**64, 300, np.uint64) for _ in range(20)]
+    name = np.sort(rng.integers(0, 4, 80))
+    order = rng.permutation(80)
+    sketch = [near_dup.parities(sets[i], m.coarse_bits()) for i in order]
+    rows = pa.RecordBatch.from_arrays([pa.array(name), pa.array(order), pa.array([len(sets[i]) for i in order]), pa.array([True] * 80), pa.array(sketch, pa.binary())], names=["list", "sig", "n", "first", "coarse"])
+    got = {(r["list"], r["sig"]) for b in near_dup.screen(m)(iter([rows.slice(0, 33), rows.slice(33)])) for r in b.to_pylist()}
+    for k in range(4):
+        own = order[name == k].tolist()
+        for i in own:
+            if any(i != j and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j])) for j in own):
+                assert (k, i) in got
+    assert not any(i >= 60 for _, i in got)
+
+
 def test_signatures_that_two_sets_have():
     """A signature that is unsure is replaced, by one that the second signature is in."""
     m = near_dup.Measure(5, 80, 100)
