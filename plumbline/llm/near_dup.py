@@ -60,7 +60,7 @@ BUCKETS, HOT = 1 << 16, 1024
 COUNTED = 1 << 20
 
 #: One row for each document, and rows without row: id a bucket, n how many shingles of its texts are in it.
-SET = "row string, id long, sig long, check long, n long, coarse binary"
+SET = "row string, id long, sig long, check long, n long, coarse binary, sketch binary"
 
 
 class Measure(NamedTuple):
@@ -117,14 +117,19 @@ def parities(s: np.ndarray, bits: int) -> bytes:
     return np.packbits((np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Bits in a power of two: the halves of a sketch, one xor the other, are the sketch of half the bits."""
+    return parities(s, max(SKETCH_BITS, 1 << max(0, len(s) - 1).bit_length()))
+
+
 def signatures(measure: Measure, unsure: frozenset[int]) -> Callable:
     """(row, id, text) to SET. unsure: signatures that two different sets have; the second signature joins in there."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts, bits = WordHashes(), np.zeros(BUCKETS, np.int64), measure.coarse_bits()
-        names = ["row", "id", "sig", "check", "n", "coarse"]
+        names = ["row", "id", "sig", "check", "n", "coarse", "sketch"]
         for batch in grouped(batches, 2):
-            sigs, checks, ns, coarse, seen = [], [], [], [], {}
+            sigs, checks, ns, coarse, fine, seen = [], [], [], [], [], {}
             for text in batch.column(2).to_pylist():
                 s = shingles(text, measure, hashes)
                 sig, check = (signature(s), signature(s, 1)) if len(s) else (np.uint64(0), np.uint64(0))
@@ -136,12 +141,13 @@ def signatures(measure: Measure, unsure: frozenset[int]) -> Callable:
                 checks.append(check)
                 ns.append(len(s))
                 coarse.append(parities(s, bits))
+                fine.append(sketch(s))
             if seen:
                 counts += np.bincount((np.concatenate(list(seen.values())) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(np.array(sigs, np.uint64)), signed(np.array(checks, np.uint64)), pa.array(ns, pa.int64()), pa.array(coarse, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(np.array(sigs, np.uint64)), signed(np.array(checks, np.uint64)), pa.array(ns, pa.int64()), pa.array(coarse, pa.binary()), pa.array(fine, pa.binary())], names=names)
         full = np.flatnonzero(counts)
         none = pa.nulls(len(full), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(full), pa.string()), pa.array(full), none, none, pa.array(counts[full]), pa.nulls(len(full), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(full), pa.string()), pa.array(full), none, none, pa.array(counts[full]), *[pa.nulls(len(full), pa.binary())] * 2], names=names)
 
     return read
 
@@ -271,19 +277,6 @@ def subset_lists(measure: Measure, upto: int) -> Callable:
     return read
 
 
-def sketches(measure: Measure) -> Callable:
-    """(sig, text) to (sig, n, sketch, text). The bits of a sketch are a power of two, and its halves, one xor the other,
-    are the sketch of half the bits."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in grouped(batches, 1):
-            sets = [shingles(text, measure, hashes) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([parities(s, max(SKETCH_BITS, 1 << (len(s) - 1).bit_length())) for s in sets], pa.binary()), batch.column(1)], names=["sig", "n", "sketch", "text"])
-
-    return read
-
-
 def folded(sketches: list[bytes]) -> np.ndarray:
     """The sketches as rows of 64-bit numbers, all of as many bits as the shortest."""
     least = min(map(len, sketches))
@@ -387,7 +380,7 @@ def classes(docs: DataFrame, measure: Measure, keep: Callable) -> DataFrame:
 
 
 def all_lists(texts: DataFrame, sets: DataFrame, measure: Measure, keep: Callable) -> DataFrame:
-    """(list, sig) of all lists in which sets may be linked, of texts (sig, n, coarse, text) without equal sets."""
+    """(list, sig) of all lists in which sets may be linked, of texts (sig, n, coarse, sketch, text) without equal sets."""
     n = partitions_for(texts.sparkSession)
     rows = sets.where("row is null").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row for each bucket
     counts = np.zeros(BUCKETS, np.int64)
@@ -417,12 +410,11 @@ def all_lists(texts: DataFrame, sets: DataFrame, measure: Measure, keep: Callabl
 def links(texts: DataFrame, members: DataFrame, measure: Measure, keep: Callable) -> DataFrame:
     """Links (a, b) between the signatures of different sets, enough to connect all that links connect."""
     n = partitions_for(texts.sparkSession)
-    texts = texts.join(members.select("sig").distinct(), "sig", "left_semi").select("sig", "text")
-    texts = keep(texts.mapInArrow(sketches(measure), "sig long, n long, sketch binary, text string"), "near-texts")
 
     def judged(asked: DataFrame) -> DataFrame:
-        of = lambda side: texts.select(F.col("sig").alias(side), F.col("text").alias(f"text_{side}"))
-        pairs = asked.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b")
+        sides = asked.select("a", "b").distinct().select("a", "b", F.explode(F.array("a", "b")).alias("sig"))
+        text = lambda side: F.max(F.when(F.col("sig") == F.col(side), F.col("text"))).alias(f"text_{side}")
+        pairs = sides.join(texts.select("sig", "text"), "sig").groupBy("a", "b").agg(text("a"), text("b"))
         return keep(pairs.mapInArrow(compare(measure), "a long, b long, linked boolean"), "near-judged")
 
     def with_sketch(rows: DataFrame) -> DataFrame:
@@ -496,8 +488,8 @@ def rooted(docs: DataFrame, measure: Measure) -> DataFrame:
     rows = docs.select(row_key().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
     with Scratch(docs.sparkSession) as scratch:
         sets = classes(rows, measure, scratch.saved)
-        chosen = sets.where("n > 0 and row is not null").groupBy("sig").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("coarse").alias("coarse"))
-        texts = rows.select("row", "text").join(chosen, "row").groupBy("row").agg(*(F.first(c).alias(c) for c in ("sig", "n", "coarse", "text")))
+        chosen = sets.where("n > 0 and row is not null").groupBy("sig").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("n", "coarse", "sketch")))
+        texts = rows.select("row", "text").join(chosen, "row").groupBy("row").agg(*(F.first(c).alias(c) for c in ("sig", "n", "coarse", "sketch", "text")))
         texts = scratch.saved(texts.drop("row"), "near-class-texts")
         members = all_lists(texts, sets, measure, scratch.saved)
         roots = stars(links(texts, members, measure, scratch.saved), scratch.saved)
