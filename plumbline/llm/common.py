@@ -87,8 +87,8 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, ways: int
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """One 128-bit key for each (doc_id, text), in hexadecimal; repeated rows share it, and so share every decision."""
-    return F.md5(F.concat(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).cast("string"), F.lit(":"), F.coalesce(F.col(text_col), F.lit(""))))
+    """One 128-bit key for each (doc_id, text); repeated rows share it, and so share every decision."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).cast("string"), F.lit(":"), F.coalesce(F.col(text_col), F.lit("")))))
 
 
 class WordHashes(dict):

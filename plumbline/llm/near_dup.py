@@ -60,7 +60,7 @@ BUCKETS, HOT = 1 << 16, 1024
 COUNTED = 1 << 20
 
 #: One row for each document, and rows without row: id a bucket, n how many shingles of its texts are in it.
-SET = "row string, id long, sig long, check long, n long, coarse binary, sketch binary"
+SET = "row binary, id long, sig long, check long, n long, coarse binary, sketch binary"
 
 
 class Measure(NamedTuple):
@@ -147,7 +147,7 @@ def signatures(measure: Measure, unsure: frozenset[int]) -> Callable:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(np.array(sigs, np.uint64)), signed(np.array(checks, np.uint64)), pa.array(ns, pa.int64()), pa.array(coarse, pa.binary()), pa.array(fine, pa.binary())], names=names)
         full = np.flatnonzero(counts)
         none = pa.nulls(len(full), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(full), pa.string()), pa.array(full), none, none, pa.array(counts[full]), *[pa.nulls(len(full), pa.binary())] * 2], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(full), pa.binary()), pa.array(full), none, none, pa.array(counts[full]), *[pa.nulls(len(full), pa.binary())] * 2], names=names)
 
     return read
 
@@ -510,7 +510,7 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     likeness: rows of one doc_id, or of none, are in one component only by links. A row without shingles is its own."""
     found = rooted(docs, Measure(words, num, den))
     key, doc = free_name(docs, "row_key", "doc")
-    by = F.coalesce(F.col("root").cast("string"), F.concat(F.lit("row:"), "row")).alias("component")
+    by = F.coalesce(F.col("root").cast("string"), F.concat(F.lit("row:"), F.hex("row"))).alias("component")
     first = found.groupBy(by).agg(F.min(F.struct("id", "row")).alias("first")).select(F.col("first.row").alias(key))
     rows = docs.withColumn(key, row_key()).join(first, key, "left_semi")
     return rows.groupBy(key).agg(F.first(F.struct(*(docs[c] for c in docs.columns))).alias(doc)).select(f"{doc}.*")

@@ -47,7 +47,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_shards.records(token_shards.shards(table(spark, sf_dir, "documents"), vocabulary())).drop("tokens")
+    return token_shards.records(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pytest
 
@@ -17,21 +19,27 @@ def test_feistel_is_a_permutation(size):
 def test_shards_round_trip(spark, tmp_path):
     from tokenizers import Tokenizer
 
-    docs = frame(spark, corpus()).repartition(2)
-    made = token_shards.shards(docs, vocabulary(), context=64, per_shard=8)
-    path = str(tmp_path / "shards")
-    token_shards.write(made, path)
+    docs, path = frame(spark, corpus()), str(tmp_path / "shards")
+    index = token_shards.write(docs.repartition(2), vocabulary(), path, context=64, per_shard=8).orderBy("slot").collect()
     rows = token_shards.read(spark, path).collect()
-    assert [r.slot for r in rows] == list(range(len(rows))) and sorted(r.number for r in rows) == list(range(len(rows)))
-    assert all(r.shard == r.slot // 8 and r.byte_offset == r.slot % 8 * 128 and len(r.tokens) == 128 for r in rows)
+    n = len(rows)
+    assert [r.slot for r in index] == [r.slot for r in rows] == list(range(n)) and sorted(r.number for r in index) == list(range(n))
+    assert all(r.shard == r.slot // 8 and r.byte_offset == r.slot % 8 * 128 for r in index)
+    with open(f"{path}/{11 // 8:010d}.bin", "rb") as f:  # a slot by seeking
+        f.seek(11 % 8 * 128)
+        assert f.read(128) == bytes(rows[11].tokens)
+    assert [zlib.crc32(bytes(r.tokens)) for r in rows] == [r.crc32 for r in index]
     tokenizer = Tokenizer.from_file(vocabulary())
     want = sorted(tuple([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]) for _, t in corpus())
-    ids = np.concatenate([np.frombuffer(bytes(r.tokens), "<u2")[: r.n_tokens] for r in sorted(rows, key=lambda r: r.number)])
+    ids = np.concatenate([np.frombuffer(bytes(rows[r.slot].tokens), "<u2")[: r.n_tokens] for r in sorted(index, key=lambda r: r.number)])
     got, at = [], 0
     for i in np.flatnonzero(ids == 1):
         got.append(tuple(ids[at : i + 1].tolist()))
         at = i + 1
-    assert sorted(got) == want
+    assert sorted(got) == want and sum(r.n_tokens < 64 for r in index) <= 1
     later = token_shards.read(spark, path, from_slot=11).collect()
-    assert [(r.slot, r.crc32) for r in later] == [(r.slot, r.crc32) for r in rows[11:]]
-    assert token_shards.shards(spark.createDataFrame([], SCHEMA), vocabulary()).count() == 0
+    assert [(r.slot, bytes(r.tokens)) for r in later] == [(r.slot, bytes(r.tokens)) for r in rows[11:]]
+    other = token_shards.write(docs.repartition(5, "text"), vocabulary(), str(tmp_path / "other"), context=64, per_shard=8).orderBy("slot").collect()
+    assert [tuple(r) for r in other] == [tuple(r) for r in index]  # other splits, the same order
+    empty = str(tmp_path / "empty")
+    assert token_shards.write(spark.createDataFrame([], SCHEMA), vocabulary(), empty).count() == token_shards.read(spark, empty).count() == 0
