@@ -3,7 +3,8 @@
 The tree is fitted on a bounded sample; every row is then put into a leaf. A query walks the tree through a priority
 queue of branches, nearest centroid first, and so orders the leaves; how many it visits is widened until calibration
 queries, compared with brute force over all rows, reach the recall asked for. Queries meet the rows of a leaf in blocks
-of bounded size, so that a leaf with a third of all rows is spread over many tasks.
+of bounded size, so that a leaf with a third of all rows is spread over many tasks; a row is sent once for each block of
+the queries that visit its leaf, and not at all where none does.
 
 Vectors that are null, zero, of another length than most, or hold a null or non-finite number take no part. Rows with
 the query's own id are not its neighbours. Ties go to the smaller id. An empty table gives an empty table; with fewer
@@ -13,6 +14,7 @@ candidates than asked for, all are returned. Other columns are not read.
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -138,10 +140,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = 0.
     spark = vectors.sparkSession
     rows = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     answer = "query_id long, vec_id long, score double"
-    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.count_if("q").alias("q")).orderBy(F.desc("n"), "dim").limit(1).collect()
+    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, total, n_queries = sizes[0]
+    dim, total = sizes[0]
     rows = rows.where(F.size("v") == dim)
     # A bounded sample: the rows of smallest hash.
     sample = rows.select("v").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) <= int((1 << 20) * min(1.0, FIT_ROWS / total))).limit(2 * FIT_ROWS).toArrow()
@@ -158,20 +160,33 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = 0.
     placed = rows.select("id", "v").mapInArrow(place, "id long, v array<double>, leaf long")
     held = dict(placed.groupBy("leaf").agg(F.count("*").alias("n")).collect())  # one number for each leaf of the tree
     visits = calibrate(rows, placed, tree, dim, k, recall)
-    query_blocks = max(1, round(n_queries / BLOCK_QUERIES))
     row_blocks = {leaf: max(1, -(-n // BLOCK_ROWS)) for leaf, n in held.items()}
 
+    def visited(x: np.ndarray) -> Iterator[int]:
+        met = 0
+        for turn, leaf in enumerate(tree.best_bins(x)):
+            if turn >= visits and met > k:
+                return
+            met += held.get(leaf, 0)
+            yield leaf
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: Counter = Counter()
+        for b in batches:
+            for x in unit(matrix(b.column("v"), dim)) if b.num_rows else ():
+                met.update(visited(x))
+        yield pa.RecordBatch.from_arrays([pa.array(list(met), pa.int64()), pa.array(list(met.values()), pa.int64())], names=["leaf", "n"])
+
+    counts = rows.where("q").select("v").mapInArrow(count, "leaf long, n long").groupBy("leaf").agg(F.sum("n")).collect()  # one number for each leaf
+    query_blocks = {leaf: -(-n // BLOCK_QUERIES) for leaf, n in counts}
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: dict[str, list] = {"leaf": [], "block": [], "query_block": [], "n": []}
             for i, x in enumerate(unit(matrix(b.column("v"), dim)) if b.num_rows else ()):
-                met = 0
-                for turn, leaf in enumerate(tree.best_bins(x)):
-                    if turn >= visits and met > k:
-                        break
-                    met += held.get(leaf, 0)
+                for leaf in visited(x):
                     for block in range(row_blocks.get(leaf, 0)):
-                        for name, value in zip(out, (leaf, block, hash(b.column("id")[i].as_py()) % query_blocks, i), strict=True):
+                        for name, value in zip(out, (leaf, block, hash(b.column("id")[i].as_py()) % query_blocks[leaf], i), strict=True):
                             out[name].append(value)
             n = pa.array(out.pop("n"), pa.int32())
             yield pa.RecordBatch.from_arrays([b.column("id").take(n), b.column("v").take(n), *(pa.array(v, pa.int64()) for v in out.values())], names=["id", "v", *out])
@@ -183,8 +198,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = 0.
             leaf, ids = np.asarray(b.column("leaf")), np.asarray(b.column("id"))
             n = np.array([row_blocks.get(x, 1) for x in leaf.tolist()], np.uint64)
             block = (mix(ids.astype(np.uint64)) % n).astype(np.int64)
-            for query_block in range(query_blocks):
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(block), pa.array(np.full(len(ids), query_block))], names=["id", "v", *keys])
+            ways = np.array([query_blocks.get(x, 0) for x in leaf.tolist()])
+            at = np.repeat(np.arange(len(ids)), ways)
+            query_block = np.arange(len(at)) - np.repeat(np.cumsum(ways) - ways, ways)
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in b.columns), pa.array(block[at]), pa.array(query_block)], names=["id", "v", *keys])
 
     asked = rows.where("q").select("id", "v").mapInArrow(walk, "id long, v array<double>, leaf long, block long, query_block long")
     offered = rows.select("id", "v").mapInArrow(offer, "id long, v array<double>, leaf long, block long, query_block long")
