@@ -4,8 +4,10 @@ Block elements and runs of text are the nodes. Each node is content or not: pote
 of a node's tag, class words, length and link share, are estimated from labelled pages. Sum-product messages, up and
 then down the tree, give each run of text its probability of being content; runs at 0.5 or more are kept.
 
-A null or empty page gives an empty text. Broken markup is read as browsers do in simple cases: unclosed elements end
-with their parents or where the next of their kind begins, seen or not. Repeated rows get equal texts; other columns are kept; an empty table gives an empty table.
+A null or empty page gives an empty text; pages of any length are read whole. Broken markup is read as browsers do in
+simple cases: unclosed elements end with their parents or where the next of their kind begins, seen or not, and a quote
+opens a value only behind an equals sign. An unseen element that ends nowhere on the page hides nothing. Repeated rows
+get equal texts; other columns are kept, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,13 +28,13 @@ from plumbline.llm import labelled_pages
 # Element names of HTML, by how they are laid out.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("audio button canvas datalist iframe math noscript object option script select style svg template textarea title video".split())
+UNSEEN = frozenset("audio button canvas datalist iframe noscript object option script select style svg template textarea title video".split())
 RAW = frozenset("iframe noscript script style textarea title".split())
 ENDS_P = BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "li", "dd", "dt"}
 SIBLINGS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 HOLDERS = frozenset("article aside blockquote body dl div footer form header html main nav ol section table tbody td th thead ul".split())
 
-PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.DOTALL)
+PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)|([^<]+|<)", re.DOTALL)
 NAMED = re.compile(r"""\b(class|id|role|data-main)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 MAY_HIDE = re.compile(r"hidden|style", re.IGNORECASE)
@@ -120,7 +122,10 @@ def parse(page: str) -> list[Node]:
             ends(open_tags, close, SIBLINGS[name])
             if name == "tr":  # after a cell, its row
                 ends(open_tags, close, ("tr",))
-        if open_tags[-1][1] < 0 or name in UNSEEN or attributes and hides(attributes):
+        unseen = name in UNSEEN
+        if unseen and name not in RAW and name != "option" and not closes(page, name, at):
+            continue
+        if open_tags[-1][1] < 0 or unseen or attributes and hides(attributes):
             if name not in VOID and not attributes.endswith("/"):
                 state["links"] += name == "a"
                 open_tags.append((name, -1))
@@ -169,6 +174,11 @@ def hides(attributes: str) -> bool:
     return display == "none"
 
 
+def closes(page: str, name: str, at: int) -> bool:
+    """Is there an end tag of that name behind at?"""
+    return page.find(f"</{name}", at) >= 0 or re.compile(f"</{name}", re.IGNORECASE).search(page, at) is not None
+
+
 def after(page: str, name: str, at: int) -> int:
     """Where the element called name, opened before at, ends; nested ones of its name are passed."""
     depth = 1
