@@ -7,8 +7,9 @@ schedule is close to the target weights. The r-th slot of a source, by schedule
 starting over when the axis ends; its last slot is cut so that the words taken meet the target exactly.
 
 Null texts have size 0 and are never taken; a null source is a source of its own, the last one. Rows equal in
-doc_id, text and source are one document, counted once, whose figures every such row gets. An empty table gives
-an empty schedule. Ties of the shuffle are broken by the document's key, so reruns agree.
+doc_id, text and source are copies of one document: each counts, and has a place of its own on the axis, one after
+the other. Texts of any length are counted whole. An empty table gives an empty schedule. Ties of the shuffle are
+broken by the document's key, so reruns agree. Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -18,18 +19,18 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from plumbline.llm.common import NOT_SPACE, partitions_for, saved
+from plumbline.llm.common import NOT_SPACE, free_name, partitions_for, saved
 
 #: Words in a block, slots that one row of the slot list is expanded to, schedule positions ranked together.
 BLOCK, CHUNK, SEGMENT_BITS = 1024, 4096, 14
 
 #: Documents of one source that are laid out together, on average.
-BUCKET_DOCS = 8192
+BUCKET_DOCS = 1024
 
 
 class Mix(NamedTuple):
     """documents: key, doc_id, source, size, copies, source_size, target; schedule: slot (its place in the mix),
-    key, doc_id, source, epoch, block, start and length (in words of the document)."""
+    key, copy, doc_id, source, epoch, block, start and length (in words of the document)."""
 
     documents: DataFrame
     schedule: DataFrame
@@ -51,7 +52,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: flo
 
     The windows have no key: the table has one row for each source."""
     by_name = W.orderBy(F.col("source").isNull(), "source")
-    s = sizes.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
+    s = sizes.groupBy("skey").agg(F.first("source").alias("source"), F.sum(F.col("size") * F.col("copies")).alias("source_size"))
     s = s.withColumn("nth", F.row_number().over(by_name))
     s = s.withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("nth") - 1) % len(weights) + 1))
     s = s.withColumn("most", cap * F.col("source_size"))
@@ -90,15 +91,16 @@ def slot_list(sources: DataFrame) -> DataFrame:
 
 
 def laid_out(documents: DataFrame, total: int) -> DataFrame:
-    """Adds at: the words of the same source that come before the document in the shuffled order.
+    """Adds at: the words of the same source that come before the document and its copies in the shuffled order.
 
     Sums over ranges of the shuffle key come first, so that no source is ordered in one task."""
     bits = min(28, max(0, math.ceil(math.log2(max(1, total / BUCKET_DOCS)))))
     d = documents.where("size > 0").withColumn("bucket", F.shiftright(F.conv(F.substring("place", 1, 7), 16, 10).cast("long"), 28 - bits))
-    sums = d.groupBy("skey", "bucket").agg(F.sum("size").alias("n"))
+    words = F.col("size") * F.col("copies")
+    sums = d.groupBy("skey", "bucket").agg(F.sum(words).alias("n"))
     sums = sums.select("skey", "bucket", (F.sum("n").over(W.partitionBy("skey").orderBy("bucket")) - F.col("n")).alias("earlier"))
     order = W.partitionBy("skey", "bucket").orderBy("place", "key").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return d.withColumn("within", F.sum("size").over(order) - F.col("size")).join(sums, ["skey", "bucket"]).withColumn("at", F.col("earlier") + F.col("within"))
+    return d.withColumn("within", F.sum(words).over(order) - words).join(sums, ["skey", "bucket"]).withColumn("at", F.col("earlier") + F.col("within"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2, block: int = BLOCK, seed: int = 1, source_col: str = "source") -> Mix:
@@ -107,32 +109,38 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     cap: no source gives more than cap times its own words, and so no document more than ceil(cap) passes."""
     size = F.coalesce(F.regexp_count("text", F.lit(NOT_SPACE)), F.lit(0)).cast("long")
     rows = docs.select("doc_id", F.col(source_col).alias("source"), source_key(F.col(source_col)).alias("skey"), size.alias("size"), document_key(source_col).alias("key"))
-    place = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    place = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), "key")))
     rows = rows.groupBy("key").agg(*(F.first(c).alias(c) for c in ("doc_id", "source", "skey", "size")), F.count("*").alias("copies")).withColumn("place", place)
     documents = saved(rows, "mix-documents")
     sources = saved(slot_counts(targets(documents, weights, share, cap), block), "mix-sources")
-    pieces = laid_out(documents, documents.count()).select("key", "doc_id", "source", "skey", "size", "at", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")).alias("block"))
+    laid = laid_out(documents, documents.count())
+    laid = laid.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (copies - 1) div {CHUNK})"))).withColumn("copy", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least(copies, (chunk + 1) * {CHUNK}) - 1)")))
+    laid = laid.withColumn("at", F.col("at") + F.col("copy") * F.col("size"))
+    pieces = laid.select("key", "copy", "doc_id", "source", "skey", "size", "at", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")).alias("block"))
     slots = slot_list(sources).join(sources.select("skey", "blocks", "full", "rest", "source_size"), "skey")
     slots = slots.select("skey", "slot", (F.col("nth_slot") % F.col("blocks")).alias("block"), F.expr("nth_slot div blocks").alias("epoch"), "full", F.when(F.expr("nth_slot div blocks < full"), F.col("source_size")).otherwise(F.col("rest")).alias("until"))
     first, last = F.greatest("at", F.col("block") * block), F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block, "until")
     taken = slots.join(pieces, ["skey", "block"]).where(first < last)
-    schedule = taken.select("slot", "key", "doc_id", "source", "epoch", "block", (first - F.col("at")).alias("start"), (last - first).alias("length"))
+    schedule = taken.select("slot", "key", "copy", "doc_id", "source", "epoch", "block", (first - F.col("at")).alias("start"), (last - first).alias("length"))
     return Mix(documents.join(sources.select("skey", "source_size", "target"), "skey"), schedule)
 
 
 def figures(mixed: Mix) -> DataFrame:
     """Per row of the input: doc_id, size, source_size, target and taken, the words that the schedule takes of it."""
-    taken = mixed.schedule.groupBy("key").agg(F.sum("length").alias("taken"))
-    rows = mixed.documents.join(taken, "key", "left").withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
-    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = mixed.schedule.groupBy("key", "copy").agg(F.sum("length").alias("taken"))
+    rows = mixed.documents.withColumn("chunk", F.explode(F.expr(f"sequence(0L, (copies - 1) div {CHUNK})"))).withColumn("copy", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least(copies, (chunk + 1) * {CHUNK}) - 1)")))
+    return rows.join(taken, ["key", "copy"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def texts(docs: DataFrame, mixed: Mix, source_col: str = "source") -> DataFrame:
     """The mix as rows of docs: a row for each pass that takes from a document. A pass that takes all of it keeps
-    its text; one that ends within it keeps the words taken, joined by one space."""
-    passes = mixed.schedule.groupBy("key", "epoch").agg(F.min("start").alias("start"), F.sum("length").alias("length"))
-    passes = passes.join(mixed.documents.select("key", "size"), "key").select(F.col("key").alias("__key"), F.col("start").alias("__start"), F.col("length").alias("__length"), F.col("size").alias("__size"))
-    rows = docs.withColumn("__key", document_key(source_col)).join(passes, "__key")
-    part = F.expr(r"array_join(slice(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0), cast(__start + 1 as int), cast(__length as int)), ' ')")
-    text = F.when(F.col("__length") == F.col("__size"), F.col("text")).otherwise(part)
+    its text; one that ends within it keeps the words taken, joined by one space. Copies of a document, which are equal
+    in doc_id, text and source, show the other columns of one of them."""
+    key, doc, start, length, size = free_name(docs, "mix_key", "mix_doc", "mix_start", "mix_length", "mix_size")
+    passes = mixed.schedule.groupBy("key", "copy", "epoch").agg(F.min("start").alias("start"), F.sum("length").alias("length"))
+    passes = passes.join(mixed.documents.select("key", "size"), "key").select(F.col("key").alias(key), F.col("start").alias(start), F.col("length").alias(length), F.col("size").alias(size))
+    rows = docs.withColumn(key, document_key(source_col)).groupBy(key).agg(F.first(F.struct(*(docs[c] for c in docs.columns))).alias(doc))
+    rows = rows.join(passes, key).select(f"{doc}.*", start, length, size)
+    part = F.expr(rf"array_join(slice(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0), cast({start} + 1 as int), cast({length} as int)), ' ')")
+    text = F.when(F.col(length) == F.col(size), F.col("text")).otherwise(part)
     return rows.select(*(text.alias(c) if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
