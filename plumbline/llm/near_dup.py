@@ -413,8 +413,9 @@ def links(texts: DataFrame, members: DataFrame, measure: Measure, keep: Callable
 
     def judged(asked: DataFrame) -> DataFrame:
         sides = asked.select("a", "b").distinct().select("a", "b", F.explode(F.array("a", "b")).alias("sig"))
+        few = keep(sides.select("sig").distinct(), "near-few")  # where they are few, Spark finds their texts without a shuffle
         text = lambda side: F.max(F.when(F.col("sig") == F.col(side), F.col("text"))).alias(f"text_{side}")
-        pairs = sides.join(texts.select("sig", "text"), "sig").groupBy("a", "b").agg(text("a"), text("b"))
+        pairs = texts.select("sig", "text").join(few, "sig", "left_semi").join(sides, "sig").groupBy("a", "b").agg(text("a"), text("b"))
         return keep(pairs.mapInArrow(compare(measure), "a long, b long, linked boolean"), "near-judged")
 
     def with_sketch(rows: DataFrame) -> DataFrame:
@@ -509,8 +510,13 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     """The document of smallest doc_id of each component, one row of it, with all columns of docs. Ids say nothing of
     likeness: rows of one doc_id, or of none, are in one component only by links. A row without shingles is its own."""
     found = rooted(docs, Measure(words, num, den))
-    key, doc = free_name(docs, "row_key", "doc")
+    key, doc, stays = free_name(docs, "row_key", "doc", "stays")
     by = F.coalesce(F.col("root").cast("string"), F.concat(F.lit("row:"), F.hex("row"))).alias("component")
-    first = found.groupBy(by).agg(F.min(F.struct("id", "row")).alias("first")).select(F.col("first.row").alias(key))
-    rows = docs.withColumn(key, row_key()).join(first, key, "left_semi")
-    return rows.groupBy(key).agg(F.first(F.struct(*(docs[c] for c in docs.columns))).alias(doc)).select(f"{doc}.*")
+    first = found.groupBy(by).agg(F.min(F.struct("id", "row")).alias("first")).select(F.col("first.row").alias("row"), F.lit(True).alias("stays"))
+    rows = found.groupBy("row").agg(F.count("*").alias("n")).join(first, "row", "left").withColumn("stays", F.coalesce("stays", F.lit(False)))
+    # Most rows stay as they are; where the others are few, Spark leaves them out without a shuffle of the texts.
+    others = saved(rows.where("n > 1 or not stays").select(F.col("row").alias(key), F.col("stays").alias(stays)), "near-others")
+    marked = docs.withColumn(key, row_key()).join(others, key, "left")
+    whole = marked.where(F.col(stays).isNull()).select(*docs.columns)
+    repeated = marked.where(F.col(stays)).groupBy(key).agg(F.first(F.struct(*docs.columns)).alias(doc)).select(f"{doc}.*")
+    return whole.unionByName(repeated)
