@@ -47,7 +47,8 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_shards.records(table(spark, sf_dir, "documents"), vocabulary())
+    """What is known of each record; with a path, materialised() writes the shards as well."""
+    return token_shards.materialised(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

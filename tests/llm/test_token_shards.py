@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import token_shards
 from plumbline.llm.queries import vocabulary
@@ -19,8 +20,9 @@ def test_feistel_is_a_permutation(size):
 def test_shards_round_trip(spark, tmp_path):
     from tokenizers import Tokenizer
 
-    docs, path = frame(spark, corpus()), str(tmp_path / "shards")
-    index = token_shards.write(docs.repartition(2), vocabulary(), path, context=64, per_shard=8).orderBy("slot").collect()
+    frame(spark, corpus()).repartition(2).write.parquet(str(tmp_path / "docs"))
+    docs, path = spark.read.parquet(str(tmp_path / "docs")), str(tmp_path / "shards")
+    index = token_shards.materialised(docs, vocabulary(), path, context=64, per_shard=8).orderBy("slot").collect()
     rows = token_shards.read(spark, path).collect()
     n = len(rows)
     assert [r.slot for r in index] == [r.slot for r in rows] == list(range(n)) and sorted(r.number for r in index) == list(range(n))
@@ -39,7 +41,11 @@ def test_shards_round_trip(spark, tmp_path):
     assert sorted(got) == want and sum(r.n_tokens < 64 for r in index) <= 1
     later = token_shards.read(spark, path, from_slot=11).collect()
     assert [(r.slot, bytes(r.tokens)) for r in later] == [(r.slot, bytes(r.tokens)) for r in rows[11:]]
-    other = token_shards.write(docs.repartition(5, "text"), vocabulary(), str(tmp_path / "other"), context=64, per_shard=8).orderBy("slot").collect()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    other = token_shards.materialised(docs, vocabulary(), context=64, per_shard=8).orderBy("slot").collect()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [tuple(r) for r in other] == [tuple(r) for r in index]  # other splits, the same order
+    made = token_shards.materialised(frame(spark, corpus()).repartition(3), vocabulary(), context=64, per_shard=8)
+    assert made.count() == n and made.agg(F.sum("n_tokens")).first()[0] == sum(map(len, want))
     empty = str(tmp_path / "empty")
-    assert token_shards.write(spark.createDataFrame([], SCHEMA), vocabulary(), empty).count() == token_shards.read(spark, empty).count() == 0
+    assert token_shards.materialised(spark.createDataFrame([], SCHEMA), vocabulary(), empty).count() == token_shards.read(spark, empty).count() == 0
