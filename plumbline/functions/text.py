@@ -1,12 +1,15 @@
-"""Text measures and cleaning as Column expressions; all run inside the JVM.
+"""Text measures and cleaning as Column expressions; all but char_perplexity run inside the JVM.
 
 Every function takes and returns Columns. A null text gives null unless said otherwise."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 # Phrases that mark formulaic prose, as the badge rules list them.
 CLICHES = (
@@ -38,6 +41,20 @@ def folded_chars(text: Column) -> Column:
     return F.split(F.regexp_replace(F.lower(text), r"\s+", " "), "")
 
 
+@F.pandas_udf(T.DoubleType())
+def char_perplexity(folded: pd.Series) -> pd.Series:
+    """2 to the entropy of the characters of a folded text, 1 for fewer than two; a document is never taken apart into
+    rows."""
+
+    def one(s: str | None) -> float | None:
+        if s is None or len(s) < 2:
+            return None if s is None else 1.0
+        n = np.fromiter(Counter(s).values(), float)
+        return float(2 ** -(n / len(s) * np.log2(n / len(s))).sum())
+
+    return folded.map(one)
+
+
 def normal_words(text: Column) -> Column:
     """Lower-case words of a-z and 0-9, all else as white space."""
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " "), r"\s+"), lambda w: w != "")

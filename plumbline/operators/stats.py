@@ -15,6 +15,10 @@ from plumbline.functions.checks import exclusion
 SUMMARY = ("n", "missing", "mean", "sd", "min", "q1", "median", "q3", "max")
 
 
+#: Ranges that ranks are counted in.
+RANGES = 64
+
+
 def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A row for each column: SUMMARY and reason. sd has n - 1 and is null below two values; quartiles are type 7.
 
@@ -88,15 +92,17 @@ def t_test(df: DataFrame, group: str, outcome: str, levels: tuple[str, str], wel
     return out
 
 
-def paired_t(df: DataFrame, a: str, b: str) -> DataFrame:
-    """n, mean_diff, sd_diff, t and df of a - b over complete pairs."""
+def paired_t(df: DataFrame, a: str, b: str, inference: bool = True) -> DataFrame:
+    """n, mean_diff, sd_diff, t and df of a - b over complete pairs; with inference, p."""
     pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select((F.col(a).cast("double") - F.col(b).cast("double")).alias("d"))
     out = pairs.agg(F.count("d").alias("n"), F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("sd_diff"))
-    return out.select("n", "mean_diff", "sd_diff", F.try_divide(F.col("mean_diff"), F.col("sd_diff") / F.sqrt("n")).alias("t"), (F.col("n") - 1).alias("df"))
+    out = out.select("n", "mean_diff", "sd_diff", F.try_divide(F.col("mean_diff"), F.col("sd_diff") / F.sqrt("n")).alias("t"), (F.col("n") - 1).alias("df"))
+    return out.withColumn("p", dist.t_two_tailed("t", F.col("df").cast("double"))) if inference else out
 
 
-def anova(df: DataFrame, group: str, outcome: str) -> DataFrame:
-    """n, groups, ss_between, ss_within, df1, df2 and f over complete cases, squares about the groups' means.
+def anova(df: DataFrame, group: str, outcome: str, inference: bool = True) -> DataFrame:
+    """n, groups, ss_between, ss_within, df1, df2 and f over complete cases, squares about the groups' means; with
+    inference, p.
 
     Group sums are aggregated first and joined back, so that a group with most rows is in no task whole."""
     used = df.where(F.col(group).isNotNull() & F.col(outcome).isNotNull()).select(F.col(group).alias("g"), F.col(outcome).cast("double").alias("y"))
@@ -105,7 +111,8 @@ def anova(df: DataFrame, group: str, outcome: str) -> DataFrame:
     grand = means.agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"))
     between = means.crossJoin(grand).agg(F.sum("n").alias("n"), F.count("*").alias("groups"), F.sum(F.col("n") * (F.col("mean") - F.col("grand")) ** 2).alias("ss_between"))  # one row each
     out = between.crossJoin(within).withColumn("df1", F.col("groups") - 1).withColumn("df2", F.col("n") - F.col("groups"))
-    return out.withColumn("f", F.try_divide(F.try_divide("ss_between", "df1"), F.try_divide("ss_within", "df2")))
+    out = out.withColumn("f", F.try_divide(F.try_divide("ss_between", "df1"), F.try_divide("ss_within", "df2")))
+    return out.withColumn("p", dist.f_upper("f", F.col("df1").cast("double"), F.col("df2").cast("double"))) if inference else out
 
 
 def ranked_values(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -113,34 +120,44 @@ def ranked_values(df: DataFrame, column: str, out: str) -> DataFrame:
 
     Values are counted first and summed up over ranges, so that the order of the rows themselves is never needed."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    parts = counts.repartitionByRange("value").withColumn("part", F.spark_partition_id())
+    edges = [float(x) for x in counts.agg(F.approx_percentile(F.col("value").cast("double"), [i / RANGES for i in range(1, RANGES)]).alias("q")).first()["q"] or []]
+    part = F.lit(0)  # ranges by fixed edges: the same for both branches below, whatever their partitions
+    for edge in sorted({x for x in edges if x == x}):
+        part = part + (F.col("value") > edge).cast("int")
+    parts = counts.withColumn("part", part)
     sums = parts.groupBy("part").agg(F.sum("n").alias("total"))
-    before = sums.select("part", (F.sum("total").over(W.orderBy("part")) - F.col("total")).alias("before"))  # one row a partition
+    before = sums.select("part", (F.sum("total").over(W.orderBy("part")) - F.col("total")).alias("before"))  # one row a range
     within = F.sum("n").over(W.partitionBy("part").orderBy("value"))
     return parts.withColumn("upto", within).join(F.broadcast(before), "part").select("value", (F.col("before") + F.col("upto") - (F.col("n") - 1) / 2).alias(out))
 
 
-def correlation(df: DataFrame, x: str, y: str, ranks: bool = False) -> DataFrame:
-    """n, r and df of Pearson's r, or of Spearman's with ranks, over complete cases."""
+def correlation(df: DataFrame, x: str, y: str, ranks: bool = False, inference: bool = True) -> DataFrame:
+    """n, r and df of Pearson's r, or of Spearman's with ranks, over complete cases; with inference, p (of t)."""
     used = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     if ranks:
         rx, ry = ranked_values(used, "x", "rx").withColumnRenamed("value", "x"), ranked_values(used, "y", "ry").withColumnRenamed("value", "y")
         used = used.join(rx, "x").join(ry, "y").select(F.col("rx").alias("x"), F.col("ry").alias("y"))
-    return used.agg(F.count("*").alias("n"), F.corr("x", "y").alias("r")).withColumn("df", F.col("n") - 2)
+    out = used.agg(F.count("*").alias("n"), F.corr("x", "y").alias("r")).withColumn("df", F.col("n") - 2)
+    return out.withColumn("p", dist.r_two_tailed("r", F.col("df").cast("double"))) if inference else out
 
 
-def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
-    """n, chi2 and df of independence, uncorrected: n * (sum of o * o / (row total * column total) - 1), for which
+def chi_square(df: DataFrame, a: str, b: str, inference: bool = True) -> DataFrame:
+    """n, chi2, df and, with inference, p of independence, uncorrected: n * (sum of o * o / (row total * column total) - 1), for which
     empty cells need not be made."""
     cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("o"))
     rows, cols = cells.groupBy("a").agg(F.sum("o").alias("ra")), cells.groupBy("b").agg(F.sum("o").alias("cb"))
     o = F.col("o").cast("double")
     out = cells.join(rows, "a").join(cols, "b").agg(F.sum("o").alias("n"), F.sum(o * o / (F.col("ra") * F.col("cb"))).alias("share"), F.count_distinct("a").alias("na"), F.count_distinct("b").alias("nb"))
-    return out.select("n", (F.col("n") * (F.col("share") - 1)).alias("chi2"), ((F.col("na") - 1) * (F.col("nb") - 1)).alias("df"))
+    out = out.select("n", (F.col("n") * (F.col("share") - 1)).alias("chi2"), ((F.col("na") - 1) * (F.col("nb") - 1)).alias("df"))
+    return with_chi_square_p(out) if inference else out
+
+
+def with_chi_square_p(df: DataFrame) -> DataFrame:
+    return df.withColumn("p", dist.chi_square_upper("chi2", F.col("df").cast("double")))
 
 
-def chi_square_yates(df: DataFrame, a: str, b: str, levels_a: tuple, levels_b: tuple) -> DataFrame:
-    """n, chi2 and df of a two by two table, each |O - E| less the smaller of itself and 1/2."""
+def chi_square_yates(df: DataFrame, a: str, b: str, levels_a: tuple, levels_b: tuple, inference: bool = True) -> DataFrame:
+    """n, chi2, df and, with inference, p of a two by two table, each |O - E| less the smaller of itself and 1/2."""
     cell = {(i, j): F.count_if((F.col(a) == x) & (F.col(b) == y)).cast("double").alias(f"o{i}{j}") for i, x in enumerate(levels_a) for j, y in enumerate(levels_b)}
     o = {k: F.col(f"o{k[0]}{k[1]}") for k in cell}
     n = o[0, 0] + o[0, 1] + o[1, 0] + o[1, 1]
@@ -149,7 +166,8 @@ def chi_square_yates(df: DataFrame, a: str, b: str, levels_a: tuple, levels_b: t
         e = (o[i, 0] + o[i, 1]) * (o[0, j] + o[1, j]) / n
         gap = F.abs(o[i, j] - e)
         total += (gap - F.least(F.lit(0.5), gap)) ** 2 / e
-    return df.agg(*cell.values()).select(n.cast("long").alias("n"), total.alias("chi2"), F.lit(1).alias("df"))
+    out = df.agg(*cell.values()).select(n.cast("long").alias("n"), total.alias("chi2"), F.lit(1).alias("df"))
+    return with_chi_square_p(out) if inference else out
 
 
 def least_squares(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from plumbline.functions import biblio, checks, dist, numbers, text
@@ -90,7 +92,7 @@ SELECT count(*) AS n, round(avg(d), 6) AS mean_diff, round(stddev_samp(d), 6) AS
 """)
 def paired_t(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select((F.col("l_extendedprice") * F.col("l_discount")).alias("a"), (F.col("l_extendedprice") * F.col("l_tax")).alias("b"))
-    return rounded(stats.paired_t(rows, "a", "b"))
+    return rounded(stats.paired_t(rows, "a", "b", inference=False))
 
 
 @query("""
@@ -101,13 +103,24 @@ SELECT n, groups, round(ssb, 0) AS ss_between, round(ssw, 0) AS ss_within, group
        round((ssb / (groups - 1)) / (ssw / (n - groups)), 6) AS f FROM b, w
 """)
 def anova_one_way(spark: SparkSession, d: str) -> DataFrame:
-    out = stats.anova(table(spark, d, "orders"), "o_orderpriority", "o_totalprice")
+    out = stats.anova(table(spark, d, "orders"), "o_orderpriority", "o_totalprice", inference=False)
     return out.select("n", "groups", F.round("ss_between", 0).alias("ss_between"), F.round("ss_within", 0).alias("ss_within"), "df1", "df2", F.round("f", 6).alias("f"))
 
 
+@query()
+def inference_of_tests(spark: SparkSession, d: str) -> DataFrame:
+    """p of each test, on the tables of the queries without it."""
+    items, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
+    tests = {
+        "paired_t": stats.paired_t(items, "l_discount", "l_tax"), "anova": stats.anova(orders, "o_orderpriority", "o_totalprice"), "pearson": stats.correlation(items, "l_quantity", "l_extendedprice"),
+        "spearman": stats.correlation(items, "l_quantity", "l_discount", ranks=True), "chi_square": stats.chi_square(items, "l_returnflag", "l_linestatus"),
+    }
+    return reduce(DataFrame.unionByName, (t.select(F.lit(name).alias("test"), "n", "p") for name, t in tests.items()))
+
+
 @query("SELECT count(*) AS n, round(corr(l_quantity, l_extendedprice), 9) AS r, count(*) - 2 AS df FROM lineitem")
 def pearson(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(stats.correlation(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice"), 9)
+    return rounded(stats.correlation(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", inference=False), 9)
 
 
 @query("""
@@ -116,7 +129,7 @@ WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION
 SELECT count(*) AS n, round(corr(a, b), 9) AS r, count(*) - 2 AS df FROM r
 """)
 def spearman(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(stats.correlation(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", ranks=True), 9)
+    return rounded(stats.correlation(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", ranks=True, inference=False), 9)
 
 
 @query("""
@@ -125,7 +138,7 @@ g AS (SELECT x.a, y.b, x.r, y.c, (SELECT sum(o) FROM c) AS n FROM (SELECT a, sum
 SELECT CAST(any_value(n) AS BIGINT) AS n, round(sum((coalesce(o, 0) - r * g.c / n) ** 2 / (r * g.c / n)), 4) AS chi2, (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS df FROM g LEFT JOIN c USING (a, b)
 """)
 def chi_square(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(stats.chi_square(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus"), 4)
+    return rounded(stats.chi_square(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus", inference=False), 4)
 
 
 @query("""
@@ -135,7 +148,7 @@ e AS (SELECT unnest([a, b, c, d]) AS o, unnest([(a+b)*(a+c), (a+b)*(b+d), (c+d)*
 SELECT CAST(any_value(n) AS BIGINT) AS n, round(sum((abs(o - e) - least(0.5, abs(o - e))) ** 2 / e), 6) AS chi2, 1 AS df FROM e
 """)
 def chi_square_yates(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(stats.chi_square_yates(table(spark, d, "labels"), "quality", "toxic", (0, 1), (0, 1)))
+    return rounded(stats.chi_square_yates(table(spark, d, "labels"), "quality", "toxic", (0, 1), (0, 1), inference=False))
 
 
 @query("""
@@ -450,11 +463,8 @@ t AS (SELECT doc_id, sum(n) AS total FROM c GROUP BY doc_id)
 SELECT doc_id, round(CASE WHEN any_value(total) < 2 THEN 1.0 ELSE pow(2, -sum(n / total * log2(n / total))) END, 6) AS perplexity FROM c JOIN t USING (doc_id) GROUP BY doc_id
 """)
 def char_perplexity(spark: SparkSession, d: str) -> DataFrame:
-    chars = table(spark, d, "documents").select("doc_id", F.explode(text.folded_chars(F.col("text"))).alias("ch")).where("ch <> ''")
-    n = chars.groupBy("doc_id", "ch").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(W.partitionBy("doc_id"))
-    p = n.withColumn("p", F.col("n") / total).groupBy("doc_id").agg(F.sum("n").alias("total"), F.sum(F.col("p") * F.log2("p")).alias("h"))
-    return rounded(p.select("doc_id", F.when(F.col("total") < 2, F.lit(1.0)).otherwise(F.pow(F.lit(2.0), -F.col("h"))).alias("perplexity")))
+    docs = table(spark, d, "documents").where("length(text) > 0")
+    return rounded(docs.select("doc_id", text.char_perplexity(F.array_join(text.folded_chars(F.col("text")), "")).alias("perplexity")))
 
 
 @query("""
@@ -487,10 +497,10 @@ def prose_badge(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, list_sort(list_distinct(list_filter(string_split_regex(lower(left(text, 200)), '[^\\pL\\pN]+'), lambda w: length(w) >= 2 AND NOT regexp_full_match(w, '[0-9]+')))) AS tokens FROM documents
+SELECT doc_id, list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[^\\pL\\pN]+'), lambda w: length(w) >= 2 AND NOT regexp_full_match(w, '[0-9]+')))) AS tokens FROM documents
 """)
 def tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens of each whole document. The SQL above still reads 200 characters of it; see REPLY_r01.md."""
+    """Tokens of each whole document."""
     return table(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("tokens"))
 
 
@@ -500,9 +510,8 @@ def clean_quotes(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.length("q.text").alias("n"), "q.cut")
 
 
-@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '</?i>', '*', 'gi'), '</?(?:b|strong)>', '**', 'gi'), '<[^>]+>', '', 'g'), '&amp;', '&', 'g'), '&nbsp;|&#0?160;', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages WHERE html NOT LIKE '%&lt;%' AND html NOT LIKE '%&gt;%' AND html NOT LIKE '%&#%'")
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '</?i>', '*', 'gi'), '</?(?:b|strong)>', '**', 'gi'), '<[^>]+>', '', 'g'), '&amp;', '&', 'g'), '&lt;', '<', 'g'), '&gt;', '>', 'g'), '&#0?38;|&#x0?26;', '&', 'gi'), '&nbsp;|&#0?160;', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages")
 def markers_from_html(spark: SparkSession, d: str) -> DataFrame:
-    """All pages; the SQL above leaves out those with escaped signs and null html, see REPLY_r01.md."""
     return table(spark, d, "pages").select("page_id", text.html_markers(F.col("html")).alias("text"))
 
 
