@@ -14,7 +14,8 @@ A word goes when a window over it also starts in a document with a smaller doc_i
 a task finds repeated among its own rows is settled there, and one row stands for it: a passage that a third of the
 documents share reaches its anchor once a batch, not once a document.
 
-Null texts count as empty, texts shorter than a window stay whole. A null doc_id is the largest. Rows that share a
+Null texts count as empty, texts shorter than a window stay whole, texts of any length are read whole, and other
+columns are not read. A null doc_id is the largest. Rows that share a
 doc_id do not remove words of each other; repeated rows get equal results. An empty table gives an empty table.
 """
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from plumbline.llm.common import NO_ID, WordHashes, mix, partitions_for, row_key, shingle_hashes
+from plumbline.llm.common import NO_ID, WordHashes, mix, partitions_for, shingle_hashes
 from plumbline.llm.texts import grouped, runs, signed
 
 #: Words in a window, and in the runs of which the least hash is a window's anchor.
@@ -199,11 +200,12 @@ def sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """Both joins to texts start from this same projection, so that Spark shuffles the texts once."""
-    return docs.select(row_key().alias("row"), "doc_id", "text")
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.coalesce("text", F.lit("")))
+    return docs.select(key.alias("row"), "doc_id", "text")
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, run: int = RUN) -> DataFrame:
-    """row (row_key of the document), doc_id, start (a word), n (windows), source_doc and source_start: what each
+    """row (a 64-bit key of the document), doc_id, start (a word), n (windows), source_doc and source_start: what each
     document shares with a smaller one. Spans may overlap or go on into each other; a null doc_id shows as NO_ID."""
     n = partitions_for(docs.sparkSession)
     rows = keyed(docs)
