@@ -35,9 +35,6 @@ from plumbline.llm.texts import grouped, runs, signed
 #: Words in a window, and in the runs of which the least hash is a window's anchor.
 WIDTH, RUN = 13, 5
 
-#: Words that a task works on at a time, unless one text is longer.
-TOGETHER = 1_500_000
-
 SPAN = "key long, doc_id long, row long, start long, hashes array<long>, n long, source_doc long, source_start long"
 FLAGGED = "row long, nth int"
 

@@ -166,9 +166,7 @@ def removed_by_hand(rows, width):
     return out
 
 
-@pytest.mark.parametrize("together", [substring.TOGETHER, 40])
-def test_substring_against_hand(docs, empty, together, monkeypatch):
-    monkeypatch.setattr(substring, "TOGETHER", together)
+def test_substring_against_hand(docs, empty):
     got = [tuple(r) for r in substring.without_repeats(docs, digest=True).collect()]
     assert sorted(got, key=str) == sorted(removed_by_hand(corpus(), 13), key=str)
     assert substring.without_repeats(empty).count() == 0
