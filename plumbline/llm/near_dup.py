@@ -1,6 +1,6 @@
 """Exact Jaccard self-join of word-shingle sets: a size-aware heavy-light join that keeps the components.
 
-Equal sets are one class, which the text of one row stands for. A link between different sets is found by size:
+Equal sets are one class. Texts are read where they lie and not shuffled, but for those whose pairs are compared. A link between different sets is found by size:
 
 * Light sets, up to a boundary, list all their subsets of the size that a link to a partner of each possible size
   takes; linked light sets list the same subset.
@@ -59,8 +59,9 @@ BUCKETS, HOT = 1 << 16, 1024
 #: Members of one list that a task counts exactly; longer lists, and those of hot shingles, have that length for all.
 COUNTED = 1 << 20
 
-#: One row for each document, and rows without row: id a bucket, n how many shingles of its texts are in it.
-SET = "row binary, id long, sig long, check long, n long, coarse binary, sketch binary"
+#: One row for each document, small being its shingles if they are few enough for a light set, and rows without row: id a
+#: bucket, n how many shingles of its texts are in it.
+SET = "row binary, id long, sig long, check long, n long, coarse binary, sketch binary, small binary"
 
 
 class Measure(NamedTuple):
@@ -112,6 +113,12 @@ def signature(s: np.ndarray, salt: int = 0) -> np.uint64:
     return mix(np.array([mix(s + np.uint64(salt)).sum(dtype=np.uint64) + np.uint64(len(s))]))[0]
 
 
+def set_name(s: np.ndarray, unsure: frozenset[int]) -> np.uint64:
+    """The signature; where two different sets have it (unsure), the second signature joins in."""
+    sig = signature(s)
+    return mix(np.array([sig ^ signature(s, 1)]))[0] if unsure and int(sig.view(np.int64)) in unsure else sig
+
+
 def parities(s: np.ndarray, bits: int) -> bytes:
     """Bit i: how many shingles have the hash i, odd or even."""
     return np.packbits((np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
@@ -123,18 +130,16 @@ def sketch(s: np.ndarray) -> bytes:
 
 
 def signatures(measure: Measure, unsure: frozenset[int]) -> Callable:
-    """(row, id, text) to SET. unsure: signatures that two different sets have; the second signature joins in there."""
+    """(row, id, text) to SET."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts, bits = WordHashes(), np.zeros(BUCKETS, np.int64), measure.coarse_bits()
-        names = ["row", "id", "sig", "check", "n", "coarse", "sketch"]
+        names = ["row", "id", "sig", "check", "n", "coarse", "sketch", "small"]
         for batch in grouped(batches, 2):
-            sigs, checks, ns, coarse, fine, seen = [], [], [], [], [], {}
+            sigs, checks, ns, coarse, fine, small, seen = [], [], [], [], [], [], {}
             for text in batch.column(2).to_pylist():
                 s = shingles(text, measure, hashes)
-                sig, check = (signature(s), signature(s, 1)) if len(s) else (np.uint64(0), np.uint64(0))
-                if unsure and int(sig.view(np.int64)) in unsure:
-                    sig = mix(np.array([sig ^ check]))[0]
+                sig, check = (set_name(s, unsure), signature(s, 1)) if len(s) else (np.uint64(0), np.uint64(0))
                 if len(s):
                     seen[sig] = s
                 sigs.append(sig)
@@ -142,12 +147,13 @@ def signatures(measure: Measure, unsure: frozenset[int]) -> Callable:
                 ns.append(len(s))
                 coarse.append(parities(s, bits))
                 fine.append(sketch(s))
+                small.append(s.tobytes() if len(s) <= LIGHT_SIZES else None)
             if seen:
                 counts += np.bincount((np.concatenate(list(seen.values())) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(np.array(sigs, np.uint64)), signed(np.array(checks, np.uint64)), pa.array(ns, pa.int64()), pa.array(coarse, pa.binary()), pa.array(fine, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(np.array(sigs, np.uint64)), signed(np.array(checks, np.uint64)), pa.array(ns, pa.int64()), *(pa.array(x, pa.binary()) for x in (coarse, fine, small))], names=names)
         full = np.flatnonzero(counts)
         none = pa.nulls(len(full), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(full), pa.binary()), pa.array(full), none, none, pa.array(counts[full]), *[pa.nulls(len(full), pa.binary())] * 2], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(full), pa.binary()), pa.array(full), none, none, pa.array(counts[full]), *[pa.nulls(len(full), pa.binary())] * 3], names=names)
 
     return read
 
@@ -156,18 +162,20 @@ def rarest_first(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return s[np.lexsort((s, counts[(s % np.uint64(BUCKETS)).astype(np.int64)]))]
 
 
-def list_members(measure: Measure, counts: np.ndarray, hot: np.ndarray) -> Callable:
-    """(sig, text) to (key, sig, n, first, hot): the lists a set is in, by their shingle, which is the key, or, spread
-    by set, in hot (of hot buckets)."""
+def list_members(measure: Measure, counts: np.ndarray, hot: np.ndarray, unsure: frozenset[int]) -> Callable:
+    """Texts to (key, sig, n, first, hot): the lists a set is in, by their shingle, which is the key, or, spread by set,
+    in hot (of hot buckets). Equal sets are listed once a batch."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in grouped(batches, 1):
-            sets = [shingles(text, measure, hashes) for text in batch.column(1).to_pylist()]
-            n = np.array([len(s) for s in sets])
-            listed = [rarest_first(s, counts)[: measure.prefix(len(s))] for s in sets]
+        for batch in grouped(batches, 0):
+            sets = {set_name(s, unsure): s for s in (shingles(text, measure, hashes) for text in batch.column(0).to_pylist()) if len(s)}
+            if not sets:
+                continue
+            n = np.array([len(s) for s in sets.values()])
+            listed = [rarest_first(s, counts)[: measure.prefix(len(s))] for s in sets.values()]
             size = np.array([len(s) for s in listed])
-            term, sig = np.concatenate(listed), np.repeat(batch.column(0).to_numpy().view(np.uint64), size)
+            term, sig = np.concatenate(listed), np.repeat(np.array(list(sets), np.uint64), size)
             nth = np.arange(len(term)) - np.repeat(np.cumsum(size) - size, size)
             first = nth < np.repeat([measure.first(x) for x in n.tolist()], size)
             is_hot = np.isin(term % np.uint64(BUCKETS), hot)
@@ -178,8 +186,9 @@ def list_members(measure: Measure, counts: np.ndarray, hot: np.ndarray) -> Calla
 
 
 def shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of list_members() in the order of their key to (list, sig, n, first, m) for lists of two sets or more, one
-    of them with first; m is the length, COUNTED for hot and very long lists. At most COUNTED rows are held."""
+    """Rows of list_members() in the order of (key, sig), each counted once, to (list, sig, n, first, m) for lists of two
+    sets or more, one of them with first; m is the length, COUNTED for hot and very long lists. At most COUNTED rows are
+    held."""
     names = ["list", "sig", "n", "first", "m"]
 
     def out(key: np.ndarray, sig: np.ndarray, n: np.ndarray, first: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
@@ -187,7 +196,7 @@ def shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     empty = [np.empty(0, np.int64)] * 3 + [np.empty(0, bool)]
     held, passed = empty, None  # the last list so far; a list of which COUNTED rows came before
-    for batch in with_end(batches):
+    for batch in with_end(without_repeats(batches)):
         over = batch is None
         rows = empty
         if not over:
@@ -220,6 +229,17 @@ def shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [x[upto:] for x in (key, sig, n, first)]
 
 
+def without_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose (key, sig) is not that of the row before."""
+    last = None
+    for batch in batches:
+        if batch.num_rows:
+            key, sig = (batch.column(c).to_numpy() for c in ("key", "sig"))
+            new = np.append((key[0], sig[0]) != last, (key[1:] != key[:-1]) | (sig[1:] != sig[:-1]))
+            last = (key[-1], sig[-1])
+            yield batch.filter(pa.array(new))
+
+
 def with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
     yield from batches
     yield None
@@ -259,14 +279,13 @@ def boundary(costs: dict[int, tuple[float, float]], measure: Measure) -> int:
 
 
 def subset_lists(measure: Measure, upto: int) -> Callable:
-    """(sig, text) of light sets to (list, sig): their subsets that suffice for a link, with both sizes."""
+    """(sig, small) of light sets to (list, sig): their subsets that suffice for a link, with both sizes."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in grouped(batches, 1):
             names, sizes = [np.empty(0, np.uint64)], []
-            for text in batch.column(1).to_pylist():
-                s, before = mix(shingles(text, measure, hashes)).tolist(), len(names)
+            for small in batch.column(1).to_pylist():
+                s, before = mix(np.frombuffer(small, np.uint64)).tolist(), len(names)
                 for other in measure.partners(len(s)):
                     if 0 < other <= upto:
                         sums = np.array([sum(x) % 2**64 for x in combinations(s, measure.overlap(len(s), other))], np.uint64)
@@ -367,39 +386,39 @@ def compare(measure: Measure) -> Callable:
     return read
 
 
-def classes(docs: DataFrame, measure: Measure, keep: Callable) -> DataFrame:
-    """SET of docs (row, id, text), in which equal signatures are equal sets."""
+def classes(docs: DataFrame, measure: Measure, keep: Callable) -> tuple[DataFrame, frozenset[int]]:
+    """SET of docs (row, id, text), in which equal signatures are equal sets, and the signatures that were not enough."""
     unsure: frozenset[int] = frozenset()
     while True:
         found = keep(docs.mapInArrow(signatures(measure, unsure), SET), "near-sets")
         twice = found.where("n > 0 and row is not null").groupBy("sig").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y")
         new = frozenset(r.sig for r in twice.select("sig").collect())  # chance collisions of 64 bits: none below a billion sets
         if not new:
-            return found
+            return found, unsure
         unsure |= new
 
 
-def all_lists(texts: DataFrame, sets: DataFrame, measure: Measure, keep: Callable) -> DataFrame:
-    """(list, sig) of all lists in which sets may be linked, of texts (sig, n, coarse, sketch, text) without equal sets."""
-    n = partitions_for(texts.sparkSession)
+def all_lists(docs: DataFrame, sets: DataFrame, chosen: DataFrame, unsure: frozenset[int], measure: Measure, keep: Callable) -> DataFrame:
+    """(list, sig) of all lists in which sets may be linked; chosen are the sets (sig, n, coarse, small), each once."""
+    n = partitions_for(docs.sparkSession)
     rows = sets.where("row is null").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row for each bucket
     counts = np.zeros(BUCKETS, np.int64)
     counts[[r.id for r in rows]] = [r.n for r in rows]
     hot = np.flatnonzero(counts * HOT > counts.sum()).astype(np.uint64)
-    members = texts.select("sig", "text").mapInArrow(list_members(measure, counts, hot), "key long, sig long, n long, first boolean, hot long")
-    members = members.repartition(n, "key").sortWithinPartitions("key").mapInArrow(shared_lists, "list long, sig long, n long, first boolean, m long")
+    members = docs.select("text").mapInArrow(list_members(measure, counts, hot, unsure), "key long, sig long, n long, first boolean, hot long")
+    members = members.repartition(n, "key").sortWithinPartitions("key", "sig").mapInArrow(shared_lists, "list long, sig long, n long, first boolean, m long")
     members = keep(members, "near-members")
 
-    sizes = dict(texts.where(F.col("n") <= LIGHT_SIZES).groupBy("n").agg(F.count("*")).collect())  # a row for each size
+    sizes = dict(chosen.where(F.col("n") <= LIGHT_SIZES).groupBy("n").agg(F.count("*")).collect())  # a row for each size
     scanned = dict(members.where(F.col("n") <= LIGHT_SIZES).groupBy("n").agg(F.sum("m")).collect())
     costs = {k: (c * measure.prefix(k) + SCAN_COST * scanned.get(k, 0), c * measure.subsets(k)) for k, c in sizes.items()}
     upto = boundary(costs, measure)
     light = max((k for k in range(upto + 1) if measure.partners(k)[-1] <= upto), default=0)  # with light partners only
     members = members.where(F.col("n") > light)
-    subsets = texts.where(F.col("n") <= upto).select("sig", "text").mapInArrow(subset_lists(measure, upto), "list long, sig long")
+    subsets = chosen.where(F.col("n") <= upto).select("sig", "small").mapInArrow(subset_lists(measure, upto), "list long, sig long")
     again = subsets.groupBy("list").agg(F.count("*").alias("m")).where("m > 1").select("list")
 
-    short = members.where(F.col("m") <= BLOCK).join(texts.select("sig", "coarse"), "sig").select("list", "sig", "n", "first", "coarse")
+    short = members.where(F.col("m") <= BLOCK).join(chosen.select("sig", "coarse"), "sig").select("list", "sig", "n", "first", "coarse")
     short = short.repartition(n, "list").sortWithinPartitions("list").mapInArrow(screen(measure), "list long, sig long")
     found = short.unionByName(members.where(F.col("m") > BLOCK).select("list", "sig")).unionByName(subsets.join(again, "list"))
     found = keep(found, "near-found")
@@ -407,20 +426,22 @@ def all_lists(texts: DataFrame, sets: DataFrame, measure: Measure, keep: Callabl
     return keep(found.join(names, "list").select(F.col("name").alias("list"), "sig").distinct(), "near-lists")
 
 
-def links(texts: DataFrame, members: DataFrame, measure: Measure, keep: Callable) -> DataFrame:
-    """Links (a, b) between the signatures of different sets, enough to connect all that links connect."""
-    n = partitions_for(texts.sparkSession)
+def links(docs: DataFrame, chosen: DataFrame, members: DataFrame, measure: Measure, keep: Callable) -> DataFrame:
+    """Links (a, b) between the signatures of different sets, enough to connect all that links connect; chosen are the
+    sets (sig, row, n, sketch), each once, and row is whose text stands for it."""
+    n = partitions_for(docs.sparkSession)
 
     def judged(asked: DataFrame) -> DataFrame:
         sides = asked.select("a", "b").distinct().select("a", "b", F.explode(F.array("a", "b")).alias("sig"))
-        few = keep(sides.select("sig").distinct(), "near-few")  # where they are few, Spark finds their texts without a shuffle
+        asked_sets = sides.select("sig").distinct()
+        few = keep(chosen.select("sig", "row").join(asked_sets, "sig"), "near-few")  # where they are few, Spark finds their texts without a shuffle
         text = lambda side: F.max(F.when(F.col("sig") == F.col(side), F.col("text"))).alias(f"text_{side}")
-        pairs = texts.select("sig", "text").join(few, "sig", "left_semi").join(sides, "sig").groupBy("a", "b").agg(text("a"), text("b"))
+        pairs = docs.select("row", "text").join(few, "row").select("sig", "text").join(sides, "sig").groupBy("a", "b").agg(text("a"), text("b"))
         return keep(pairs.mapInArrow(compare(measure), "a long, b long, linked boolean"), "near-judged")
 
     def with_sketch(rows: DataFrame) -> DataFrame:
         none = [F.lit(None).cast("long").alias("other"), F.lit(None).cast("boolean").alias("linked")]
-        return rows.join(texts.select("sig", "n", "sketch"), "sig").select("list", "sig", "n", "sketch", "root", *none)
+        return rows.join(chosen.select("sig", "n", "sketch"), "sig").select("list", "sig", "n", "sketch", "root", *none)
 
     def asked_of(rows: DataFrame, at_once: int) -> DataFrame:
         rows = rows.repartition(n, "list").sortWithinPartitions("list", F.col("other").isNotNull())
@@ -488,12 +509,11 @@ def rooted(docs: DataFrame, measure: Measure) -> DataFrame:
     component, null without one."""
     rows = docs.select(row_key().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
     with Scratch(docs.sparkSession) as scratch:
-        sets = classes(rows, measure, scratch.saved)
-        chosen = sets.where("n > 0 and row is not null").groupBy("sig").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("n", "coarse", "sketch")))
-        texts = rows.select("row", "text").join(chosen, "row").groupBy("row").agg(*(F.first(c).alias(c) for c in ("sig", "n", "coarse", "sketch", "text")))
-        texts = scratch.saved(texts.drop("row"), "near-class-texts")
-        members = all_lists(texts, sets, measure, scratch.saved)
-        roots = stars(links(texts, members, measure, scratch.saved), scratch.saved)
+        sets, unsure = classes(rows, measure, scratch.saved)
+        chosen = sets.where("n > 0 and row is not null").groupBy("sig").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("n", "coarse", "sketch", "small")))
+        chosen = scratch.saved(chosen, "near-classes")
+        members = all_lists(rows, sets, chosen, unsure, measure, scratch.saved)
+        roots = stars(links(rows, chosen, members, measure, scratch.saved), scratch.saved)
         found = sets.where("row is not null").select("row", "id", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig"))
         found = spread_join(found, roots.withColumnRenamed("node", "sig"), "sig", "row").withColumn("root", F.coalesce("root", "sig"))
         return saved(found, "near-rooted-sets")
