@@ -1,6 +1,7 @@
 """Exact Jaccard self-join of word-shingle sets: a size-aware heavy-light join that keeps the components.
 
-Equal sets are one class. Texts are read where they lie and not shuffled, but for those whose pairs are compared. A link between different sets is found by size:
+Equal sets are one class. Lists are made from the texts where they lie; only comparing pairs joins texts, and where the sets
+asked about are too many to broadcast, each such round shuffles all texts. A link between different sets is found by size:
 
 * Light sets, up to a boundary, list all their subsets of the size that a link to a partner of each possible size
   takes; linked light sets list the same subset.
@@ -434,7 +435,7 @@ def links(docs: DataFrame, chosen: DataFrame, members: DataFrame, measure: Measu
     def judged(asked: DataFrame) -> DataFrame:
         sides = asked.select("a", "b").distinct().select("a", "b", F.explode(F.array("a", "b")).alias("sig"))
         asked_sets = sides.select("sig").distinct()
-        few = keep(chosen.select("sig", "row").join(asked_sets, "sig"), "near-few")  # where they are few, Spark finds their texts without a shuffle
+        few = keep(chosen.select("sig", "row").join(asked_sets, "sig"), "near-few")  # small: broadcast; else all texts are shuffled
         text = lambda side: F.max(F.when(F.col("sig") == F.col(side), F.col("text"))).alias(f"text_{side}")
         pairs = docs.select("row", "text").join(few, "row").select("sig", "text").join(sides, "sig").groupBy("a", "b").agg(text("a"), text("b"))
         return keep(pairs.mapInArrow(compare(measure), "a long, b long, linked boolean"), "near-judged")
