@@ -15,6 +15,9 @@ NOT_SPACE = r"[^\x20\x09-\x0D]+"
 #: A null doc_id is treated as the largest possible id.
 NO_ID = 2**63 - 1
 
+#: Bits of a filter of keys: at most BITS / 64 rows of two longs, 16 MB, however many keys there are.
+BITS = 1 << 26
+
 #: Distinct words whose hashes a task remembers before it starts over.
 WORD_MEMORY = 200_000
 
@@ -86,6 +89,19 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, ways: int
     return left.join(right, [key, salt], "left").drop(salt)
 
 
+def with_flag(rows: DataFrame, key: str, keys: DataFrame, flag: str) -> DataFrame:
+    """rows with a boolean column that is true where key is in keys (a table with that column) and rarely elsewhere.
+
+    The keys set bits, one in BITS each, and only words of bits are broadcast: few for few keys, BITS / 64 at most. With
+    more than some BITS keys the flag is true for nearly all rows, so what it saves goes, but no result."""
+    word, bits = free_name(rows, "word", "bits")
+    at = F.pmod(F.xxhash64(key), F.lit(BITS))
+    bit = F.pmod(at, F.lit(64)).cast("int")
+    filled = keys.groupBy(F.shiftright(at, 6).alias(word)).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias(bits))
+    rows = rows.withColumn(word, F.shiftright(at, 6)).join(F.broadcast(filled), word, "left")
+    return rows.withColumn(flag, F.coalesce(F.getbit(bits, bit) == 1, F.lit(False))).drop(word, bits)
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """One 128-bit key for each (doc_id, text); repeated rows share it, and so share every decision."""
     return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).cast("string"), F.lit(":"), F.coalesce(F.col(text_col), F.lit("")))))

@@ -1,7 +1,9 @@
 """Exact Jaccard self-join of word-shingle sets: a size-aware heavy-light join that keeps the components.
 
-Equal sets are one class. Lists are made from the texts where they lie; only comparing pairs joins texts, and where the sets
-asked about are too many to broadcast, each such round shuffles all texts. A link between different sets is found by size:
+Equal sets are one class. Lists are made from the texts where they lie. One text of each set that is in a list with
+another is saved, once, and pairs are compared on these; a filter of bounded size leaves the others out of the shuffle
+(beyond some BITS such sets it leaves out ever fewer, and at worst all texts are shuffled that once). A link between
+different sets is found by size:
 
 * Light sets, up to a boundary, list all their subsets of the size that a link to a partner of each possible size
   takes; linked light sets list the same subset.
@@ -40,7 +42,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.common import NO_ID, Scratch, WordHashes, free_name, mix, partitions_for, row_key, saved, shingle_hashes, spread_join
+from plumbline.llm.common import NO_ID, Scratch, WordHashes, free_name, mix, partitions_for, row_key, saved, shingle_hashes, spread_join, with_flag
 from plumbline.llm.components import stars
 from plumbline.llm.texts import grouped, runs, signed, whole_groups
 
@@ -434,10 +436,8 @@ def links(docs: DataFrame, chosen: DataFrame, members: DataFrame, measure: Measu
 
     def judged(asked: DataFrame) -> DataFrame:
         sides = asked.select("a", "b").distinct().select("a", "b", F.explode(F.array("a", "b")).alias("sig"))
-        asked_sets = sides.select("sig").distinct()
-        few = keep(chosen.select("sig", "row").join(asked_sets, "sig"), "near-few")  # small: broadcast; else all texts are shuffled
         text = lambda side: F.max(F.when(F.col("sig") == F.col(side), F.col("text"))).alias(f"text_{side}")
-        pairs = docs.select("row", "text").join(few, "row").select("sig", "text").join(sides, "sig").groupBy("a", "b").agg(text("a"), text("b"))
+        pairs = texts.join(sides, "sig").groupBy("a", "b").agg(text("a"), text("b"))
         return keep(pairs.mapInArrow(compare(measure), "a long, b long, linked boolean"), "near-judged")
 
     def with_sketch(rows: DataFrame) -> DataFrame:
@@ -448,6 +448,10 @@ def links(docs: DataFrame, chosen: DataFrame, members: DataFrame, measure: Measu
         rows = rows.repartition(n, "list").sortWithinPartitions("list", F.col("other").isNotNull())
         return keep(rows.mapInArrow(scan(measure, at_once), "list long, a long, b long"), "near-asked")
 
+    listed = keep(chosen.select("sig", "row").join(members.select("sig").distinct(), "sig"), "near-listed")
+    texts = with_flag(docs.select("row", "text"), "row", listed.select("row"), "listed").where("listed")
+    texts = keep(texts.groupBy("row").agg(F.first("text").alias("text")).join(listed, "row").select("sig", "text"), "near-texts")
+
     # A first look at each set's longest list alone, which joins most of a group; the rest meets as components.
     blocks = keep(own_blocks(members), "near-own-blocks")
     length = blocks.groupBy("list").agg(F.count("*").alias("m"))
@@ -531,13 +535,14 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     """The document of smallest doc_id of each component, one row of it, with all columns of docs. Ids say nothing of
     likeness: rows of one doc_id, or of none, are in one component only by links. A row without shingles is its own."""
     found = rooted(docs, Measure(words, num, den))
-    key, doc, stays = free_name(docs, "row_key", "doc", "stays")
+    key, doc, stays, maybe = free_name(docs, "row_key", "doc", "stays", "maybe")
     by = F.coalesce(F.col("root").cast("string"), F.concat(F.lit("row:"), F.hex("row"))).alias("component")
     first = found.groupBy(by).agg(F.min(F.struct("id", "row")).alias("first")).select(F.col("first.row").alias("row"), F.lit(True).alias("stays"))
     rows = found.groupBy("row").agg(F.count("*").alias("n")).join(first, "row", "left").withColumn("stays", F.coalesce("stays", F.lit(False)))
-    # Most rows stay as they are; where the others are few, Spark leaves them out without a shuffle of the texts.
+    # Most rows stay as they are: those that the filter of the others knows nothing of do so without a shuffle.
     others = saved(rows.where("n > 1 or not stays").select(F.col("row").alias(key), F.col("stays").alias(stays)), "near-others")
-    marked = docs.withColumn(key, row_key()).join(others, key, "left")
-    whole = marked.where(F.col(stays).isNull()).select(*docs.columns)
-    repeated = marked.where(F.col(stays)).groupBy(key).agg(F.first(F.struct(*docs.columns)).alias(doc)).select(f"{doc}.*")
+    marked = with_flag(docs.withColumn(key, row_key()), key, others.select(key), maybe)
+    asked = marked.where(F.col(maybe)).join(others, key, "left")
+    whole = marked.where(~F.col(maybe)).select(*docs.columns).unionByName(asked.where(F.col(stays).isNull()).select(*docs.columns))
+    repeated = asked.where(F.col(stays)).groupBy(key).agg(F.first(F.struct(*docs.columns)).alias(doc)).select(f"{doc}.*")
     return whole.unionByName(repeated)

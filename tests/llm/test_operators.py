@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from plumbline.llm import ann, html_text, labelled_pages, line_dedup, mixing, near_dup, packing, quality_model, quality_rules, substring
+from plumbline.llm import ann, common, html_text, labelled_pages, line_dedup, mixing, near_dup, packing, quality_model, quality_rules, substring
 from plumbline.llm.queries import QUERIES, vocabulary
 from tests.llm.fixtures import SCHEMA, corpus, frame, prose
 
@@ -247,6 +247,18 @@ def test_components_in_small_blocks(spark, monkeypatch):
     assert {(r.id, r.n_shingles, r.component) for r in got.collect()} == components_by_hand(near_rows(), 5, 80, 100)
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 26])
+def test_flag_misses_no_key(spark, monkeypatch, bits):
+    monkeypatch.setattr(common, "BITS", bits)
+    rows = spark.range(3000).selectExpr("cast(id as string) as k", "id as word", "id as bits")
+    keys = spark.createDataFrame([(str(i),) for i in range(0, 3000, 7)] * 2, "k string")
+    got = common.with_flag(rows, "k", keys, "listed")
+    assert got.columns == ["k", "word", "bits", "listed"] and got.count() == 3000
+    flagged = {int(r.k) for r in got.where("listed").collect()}
+    assert set(range(0, 3000, 7)) <= flagged and (bits == 64 or len(flagged) < 440)
+    assert common.with_flag(rows, "k", keys.limit(0), "listed").where("listed").isEmpty()
+
+
 def test_one_of_each(spark, docs, empty):
     kept = near_dup.one_of_each(docs)
     assert kept.columns == docs.columns
