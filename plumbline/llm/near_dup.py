@@ -442,15 +442,18 @@ def links(docs: DataFrame, chosen: DataFrame, members: DataFrame, measure: Measu
 
     def with_sketch(rows: DataFrame) -> DataFrame:
         none = [F.lit(None).cast("long").alias("other"), F.lit(None).cast("boolean").alias("linked")]
-        return rows.join(chosen.select("sig", "n", "sketch"), "sig").select("list", "sig", "n", "sketch", "root", *none)
+        return rows.join(listed.select("sig", "n", "sketch"), "sig").select("list", "sig", "n", "sketch", "root", *none)
 
     def asked_of(rows: DataFrame, at_once: int) -> DataFrame:
         rows = rows.repartition(n, "list").sortWithinPartitions("list", F.col("other").isNotNull())
         return keep(rows.mapInArrow(scan(measure, at_once), "list long, a long, b long"), "near-asked")
 
-    listed = keep(chosen.select("sig", "row").join(members.select("sig").distinct(), "sig"), "near-listed")
+    # What each round joins is of listed sets only, and neither it nor the texts send the other sets through a shuffle.
+    in_list = keep(members.select("sig").distinct(), "near-in-list")
+    listed = with_flag(chosen.select("sig", "row", "n", "sketch"), "sig", in_list, "listed").where("listed").drop("listed")
+    listed = keep(listed.join(in_list, "sig"), "near-listed")
     texts = with_flag(docs.select("row", "text"), "row", listed.select("row"), "listed").where("listed")
-    texts = keep(texts.groupBy("row").agg(F.first("text").alias("text")).join(listed, "row").select("sig", "text"), "near-texts")
+    texts = keep(texts.groupBy("row").agg(F.first("text").alias("text")).join(listed.select("row", "sig"), "row").select("sig", "text"), "near-texts")
 
     # A first look at each set's longest list alone, which joins most of a group; the rest meets as components.
     blocks = keep(own_blocks(members), "near-own-blocks")
