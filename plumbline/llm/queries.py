@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import ann, html_text, line_dedup, mixing, near_dup, packing, quality_model, quality_rules, substring, token_shards
+from plumbline.llm import ann, html_text, importance, lexical_search, license_scan, line_dedup, mixing, near_dup, packing, quality_model, quality_rules, substring, token_shards
 from plumbline.llm.common import NO_ID, table
 
 
@@ -66,6 +66,18 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scanned(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "found")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.with_ranks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, least_words=20, buckets=10_000, longest=1, seed=2024)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
@@ -77,8 +89,71 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_html_text": op10_html_text,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_license_scan": op12_license_scan,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
+#: Terms of a text, A-Z lower-cased.
+TERMS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP11_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {TERMS_SQL} AS w FROM documents),
+c AS (SELECT CAST(count(*) AS BIGINT) AS big_n, CAST(sum(len(w)) AS BIGINT) AS big_l FROM d WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, unnest({TERMS_SQL}) AS t FROM benchmark),
+u AS (SELECT rid, unnest(w) AS t FROM d),
+p AS (SELECT rid, t, CAST(count(*) AS BIGINT) AS tf FROM u SEMI JOIN q USING (t) GROUP BY ALL),
+f AS (SELECT t, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, c GROUP BY t, big_n),
+m AS (SELECT rid, doc_id, 50 + (50 * len(w) * big_n) // big_l AS m FROM d, c),
+s AS (SELECT item_id, doc_id, rid, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+      FROM q JOIN p USING (t) JOIN f USING (t) JOIN m USING (rid) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
+def as_expression(template: license_scan.Template) -> str:
+    """A template as a regular expression over words with a space before and behind each."""
+    kinds = {"must": lambda x: " " + b" ".join(x).decode(), "opt": lambda x: f"(?: {b' '.join(x).decode()})?", "var": lambda x: f"(?: [^ ]+){{0,{x}}}?"}
+    return "".join(kinds[kind](what) for kind, what in license_scan.parts(template.wording)) + " "
+
+
+#: Each template as label, expression and weight.
+TEMPLATES_SQL = ", ".join(f"('{t.label}', '{as_expression(t)}', {t.weight}::DOUBLE, {str(t in license_scan.BASE).lower()})" for t in (*license_scan.BASE, *license_scan.TEMPLATES))
+
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {TERMS_SQL} AS w FROM documents),
+l AS (SELECT rid, ' ' || array_to_string(w, ' ') || ' ' AS x FROM d),
+b AS (SELECT rid, list_filter(generate_series(0, len(w) - 1), lambda i:
+        w[i+1] = 'mit' AND w[i+2] = 'license' OR w[i+1] = 'apache' AND w[i+2] = 'license' OR w[i+1] = 'general' AND w[i+2] = 'public' AND w[i+3] = 'license') AS spots FROM d),
+t AS (SELECT * FROM (VALUES {TEMPLATES_SQL}) AS t(label, form, weight, base)),
+f AS (SELECT rid, label, weight, base FROM l JOIN t ON regexp_matches(x, form)),
+g AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(weight) AS score FROM f GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(spots) AS BIGINT) AS n_base, list_min(spots) AS first_word, list_max(spots) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM d JOIN b USING (rid) LEFT JOIN g USING (rid)
+"""
+
+#: crc32 of a word: the register runs over the bytes, eight steps of shift and polynomial (fixed value) each.
+CRC_SQL = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(generate_series(1, len(hex(encode(t))), 2), lambda i: ('0x' || substr(hex(encode(t)), i, 2))::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
+
+OP13_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {TERMS_SQL} AS w FROM documents),
+a AS (SELECT rid, unnest(w) AS t FROM d),
+b AS (SELECT unnest({TERMS_SQL}) AS t FROM benchmark),
+h AS (SELECT t, {CRC_SQL} % 10000 AS bucket FROM (SELECT t FROM a UNION SELECT t FROM b)),
+sa AS (SELECT bucket, count(*) AS s FROM a JOIN h USING (t) GROUP BY bucket),
+sb AS (SELECT bucket, count(*) AS t FROM b JOIN h USING (t) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM a) AS all_s, (SELECT count(*) FROM b) AS all_t),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000) / ((s + 1)::DOUBLE * (all_t + 10000)))) AS BIGINT) AS gain FROM sa LEFT JOIN sb USING (bucket), n),
+v AS (SELECT rid, sum(gain) AS weight FROM a JOIN h USING (t) JOIN g USING (bucket) GROUP BY rid),
+r AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+             ('0x' || left(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 8))::BIGINT AS h FROM d LEFT JOIN v USING (rid)),
+s AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM r),
+k AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_features >= 20) OVER () AS able FROM s)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * able // 100 THEN place END AS rank FROM k
+"""
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
@@ -188,4 +263,7 @@ ORACLES = {
     "op6_line_dedup": OP6_SQL,
     "op1_mixing": OP1_SQL,
     "op8_quality_rules": OP8_SQL,
+    "op11_lexical_search": OP11_SQL,
+    "op12_license_scan": OP12_SQL,
+    "op13_importance_resampling": OP13_SQL,
 }

@@ -49,3 +49,15 @@ def whole_groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Reco
         held.append(batch.slice(last))
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+#: Fixed value: A-Z lower-cased, digits, a-z and all beyond ASCII kept, any other byte a space.
+TERM_BYTES = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+
+
+def terms(text: bytes | None) -> list[bytes]:
+    """The runs of digits, letters a-z and signs beyond ASCII in the UTF-8 text, A-Z lower-cased; null has none."""
+    return text.translate(TERM_BYTES).split() if text else []
+
+
+def utf8(column: pa.Array) -> list[bytes | None]:
+    return column.cast(pa.binary()).to_pylist()
