@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from plumbline.operators.filters import maybe_in
+
 
 def hits(text: Column, needle: Column) -> Column:
     """All places of needle in text, from 0, overlapping ones too."""
@@ -22,18 +24,42 @@ def kth_occurrence(planned: DataFrame, printed: DataFrame) -> DataFrame:
     return rows.select("doc", "needle", "seq", "page", "at", reason.alias("reason"))
 
 
-def sentence_of_citation(citations: DataFrame, sentences: DataFrame) -> DataFrame:
-    """citations (doc, cite, start, end) with seq of the sentence (doc, seq, s0, s1) that holds its end, else the last
-    that ends before it starts; null with reason "wide" for ranges over more than two sentences, "none" otherwise.
-
-    Both sides share doc as an equality key, so the comparison of places stays within a document."""
-    pairs = citations.join(sentences, "doc", "left")
-    over = (F.col("start") < F.col("s1")) & (F.col("end") > F.col("s0"))
-    holds = (F.col("end") > F.col("s0")) & (F.col("end") <= F.col("s1"))
-    out = pairs.groupBy("doc", "cite", "start", "end").agg(F.count_if(over).alias("covered"), F.min(F.when(holds, F.col("seq"))).alias("inside"), F.max_by(F.when(F.col("s1") <= F.col("start"), F.col("seq")), F.when(F.col("s1") <= F.col("start"), F.col("s1"))).alias("before"))
-    wide = F.col("covered") > 2
-    seq = F.when(~wide, F.coalesce("inside", "before"))
-    return out.select("doc", "cite", seq.alias("seq"), F.when(wide, "wide").when(seq.isNull(), "none").alias("reason"))
+def sentence_of_citation(citations: DataFrame, sentences: DataFrame, most: int = 2) -> DataFrame:
+    """citations (doc, cite, start, end) with seq of the sentence (doc, seq, s0, s1) that holds the end of its range,
+    else of the last that ends before it starts; null with reason "wide" for ranges over more than `most` sentences,
+    "none" otherwise. Sentences of a document do not overlap.
+
+    If sentences have a text, a sentence that is nothing but cited link text (no letter outside the ranges that start in
+    it) passes its citations to the one before. Both sides are put in one order by document and place, and the last
+    sentence begun and the last one ended are carried forward, so no citation meets more than these."""
+    last = F.greatest(F.col("end") - 1, F.col("start"))
+    carried = F.struct(F.col("seq").cast("long").alias("seq"), F.col("s0").cast("long").alias("s0"), F.col("s1").cast("long").alias("s1"))
+    none = F.lit(None).cast("struct<seq:bigint,s0:bigint,s1:bigint>")
+    begins = sentences.select("doc", F.col("s0").cast("long").alias("at"), F.lit("begin").alias("kind"), carried.alias("sentence"))
+    ends = sentences.select("doc", F.col("s1").cast("long").alias("at"), F.lit("a_end").alias("kind"), carried.alias("sentence"))
+    cited = citations.select("doc", "cite", "start", "end")
+    places = [cited.select("doc", at.cast("long").alias("at"), F.lit(kind).alias("kind"), none.alias("sentence"), "cite", "start", "end") for at, kind in ((F.col("start"), "cite_start"), (last, "cite_last"))]
+    events = begins.unionByName(ends).unionByName(places[0], allowMissingColumns=True).unionByName(places[1], allowMissingColumns=True)
+    w = W.partitionBy("doc").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)  # at one place: ends, beginnings, citations
+    of = lambda kind: F.when(F.col("kind") == kind, F.col("sentence"))
+    carried_on = events.select("*", F.last(of("begin"), ignorenulls=True).over(w).alias("begun"), F.last(of("a_end"), ignorenulls=True).over(w).alias("ended"), *(F.count_if(F.col("kind") == k).over(w).alias(f"n_{k}") for k in ("begin", "a_end")))
+    at_kind = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    rows = carried_on.where(F.col("kind").startswith("cite")).groupBy("doc", "cite", "start", "end").agg(
+        at_kind("cite_last", "begun").alias("inside"), at_kind("cite_start", "ended").alias("before"), at_kind("cite_start", "begun").alias("local"), (at_kind("cite_last", "n_begin") - at_kind("cite_start", "n_a_end")).alias("covered")
+    )
+    wide = F.col("covered") > most
+    seq = F.when(~wide, F.coalesce(F.when(last < F.col("inside.s1"), F.col("inside.seq")), F.col("before.seq")))
+    rows = rows.select("doc", "cite", "start", "end", "local", wide.alias("wide"), seq.alias("seq"))
+    if "text" in sentences.columns:
+        here = rows.where(~F.col("wide") & (F.col("start") < F.col("local.s1")))
+        spans = here.groupBy("doc", F.col("local.seq").alias("seq")).agg(F.collect_set(F.struct((F.col("start") - F.col("local.s0")).alias("a"), (F.col("end") - F.col("local.s0")).alias("b"))).alias("spans"))
+        signs = F.filter(F.sequence(F.lit(0), F.length("text") - 1), lambda i: F.substr("text", i + 1, F.lit(1)).rlike(r"\p{L}"))
+        bare = F.exists(signs, lambda i: ~F.exists("spans", lambda s: (s["a"] <= i) & (i < s["b"])))
+        any_cited = F.exists("spans", lambda s: (s["b"] > s["a"]) & (s["a"] < F.length("text")))
+        known = sentences.select("doc", F.col("seq").cast("long").alias("seq"), "text", F.lag(F.col("seq").cast("long")).over(W.partitionBy("doc").orderBy("s0")).alias("previous"))
+        links = known.join(spans, ["doc", "seq"]).where((F.length("text") > 0) & ~bare & any_cited & F.col("previous").isNotNull()).select("doc", "seq", "previous")
+        rows = rows.join(links, ["doc", "seq"], "left").withColumn("seq", F.coalesce("previous", "seq"))
+    return rows.select("doc", "cite", "seq", F.when(F.col("wide"), "wide").when(F.col("seq").isNull(), "none").alias("reason"))
 
 
 def merged_spans(spans: DataFrame, by: tuple[str, ...], start: str = "start", end: str = "end") -> DataFrame:
@@ -46,9 +72,10 @@ def merged_spans(spans: DataFrame, by: tuple[str, ...], start: str = "start", en
 
 def containment_matches(texts: DataFrame, references: DataFrame, least: float = 0.5) -> DataFrame:
     """texts (id, grams) against references (ref, rank, grams): the reference that holds the largest share of a text's
-    grams, if `least` or more, the lowest rank at a tie. Through an inverted index; a text's grams are distinct."""
+    grams, if `least` or more, the lowest rank at a tie. Through an inverted index, which grams that no text has do not
+    enter; a text's grams are distinct."""
     mine = texts.select("id", F.size("grams").alias("n"), F.explode("grams").alias("g"))
-    theirs = references.select("ref", "rank", F.explode(F.array_distinct("grams")).alias("g"))
+    theirs = maybe_in(references.select("ref", "rank", F.explode(F.array_distinct("grams")).alias("g")), "g", mine.select("g"))
     shares = mine.join(theirs, "g").groupBy("id", "n", "ref", "rank").agg(F.count("*").alias("hits")).withColumn("score", F.col("hits") / F.col("n")).where(F.col("score") >= least)
     return shares.groupBy("id").agg(F.max_by(F.struct("ref", "score"), F.struct("score", -F.col("rank"))).alias("best")).select("id", "best.*")
 

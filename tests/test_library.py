@@ -1,3 +1,4 @@
+import dataclasses
 import math
 import re
 
@@ -252,3 +253,93 @@ def test_knn_without_its_query_row(spark, tmp_path):
     found = {name: [tuple(r) for r in QUERIES["knn"](spark, str(tmp_path / name)).collect()] for name in ("all", "other", "none")}
     assert found["all"] == sorted(((i, float(abs(i - 7))) for i in range(20)), key=lambda x: (x[1], x[0]))[:10]
     assert found["other"] == found["none"] == []
+
+
+def claims_of(spark, df, *claims):
+    found = reproduced(spark, [(c, c.token("f")) for c in claims], "f", lambda: df)
+    return {(r.claim_id, r.variant): r for r in found.collect()}
+
+
+def test_rounding_of_stored_cells_can_explain_a_mismatch(spark):
+    """Two honest papers whose deposits are rounded to one decimal, and the same numbers on exact data."""
+    s1 = [("1.0", "a"), ("1.1", "a"), ("1.0", "a"), ("1.2", "b"), ("1.1", "b"), ("1.2", "b"), ("1.1", "c"), ("1.3", "c"), ("1.2", "c")]
+    one = spark.createDataFrame(s1, "y string, g string")
+    f = Claim("f", 1, "one_way", ("g", "y"), "17.66", ("a", "b", "c"))
+    r = claims_of(spark, one, f)["f", "one_way"]
+    assert (r.status, r.reason) == ("could_not_check", "data_precision:1") and r.computed == pytest.approx(4.2) and r.precision_lo <= 4.2 and r.precision_hi >= 17.657419
+    two = spark.createDataFrame([("1.0", "2.0"), ("1.1", "2.2"), ("1.3", "2.5"), ("1.4", "2.8"), ("1.6", "3.2"), ("1.7", "3.3")], "x string, y string")
+    r = claims_of(spark, two, Claim("r", 1, "pearson", ("x", "y"), ".96"))["r", "pearson"]
+    assert (r.status, r.reason) == ("could_not_check", "data_precision:1") and r.computed == pytest.approx(0.996069, abs=1e-6) and r.precision_lo < 0.956247 < r.precision_hi
+    exact = one.select(F.col("y").cast("double").alias("y"), "g")
+    r = claims_of(spark, exact, f)["f", "one_way"]
+    assert (r.status, r.reason) == ("not_matched", None) and r.precision_lo == r.precision_hi == r.computed
+    r = claims_of(spark, exact, dataclasses.replace(f, decimals=(("y", 1),)))["f", "one_way"]
+    assert r.reason == "data_precision:1"
+
+
+def test_welch_refuses_students_numbers_on_exact_whole_numbers(spark):
+    a, b = [10, 12, 11, 13, 12, 14], [15, 25, 9, 30, 12, 28, 20, 18]
+    df = spark.createDataFrame([("a", x) for x in a] + [("b", x) for x in b], "g string, y int")
+    pooled = (np.var(a, ddof=1) * 5 + np.var(b, ddof=1) * 7) / 12
+    student = (np.mean(a) - np.mean(b)) / np.sqrt(pooled * (1 / 6 + 1 / 8))
+    claim = Claim("w", 1, "independent_t", ("g", "y"), f"{student:.2f}", ("a", "b"), variant="welch", exact=("y",))
+    found = claims_of(spark, df, claim, dataclasses.replace(claim, claim_id="rounded", exact=()), dataclasses.replace(claim, claim_id="both", variant=None), dataclasses.replace(claim, claim_id="other", variant="paired"))
+    assert found["w", "welch"].status == "not_matched" and ("w", "student") not in found
+    assert found["rounded", "welch"].precision_lo < found["rounded", "welch"].computed < found["rounded", "welch"].precision_hi
+    assert found["both", "student"].status == "matched" and found["other", None].reason == "variant_not_available"
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_precision_intervals_hold_every_rounding(spark, seed):
+    """Cells drawn at random within half a unit never leave the interval; the interval is not vacuous."""
+    rng = np.random.default_rng(seed)
+    n = 12
+    x, g = np.round(rng.normal(5, 1, n), 1), np.array(["a", "b", "c"])[np.arange(n) % 3]
+    y = np.round(0.7 * x + rng.normal(0, 0.6, n), 1)
+    df = spark.createDataFrame([(str(i), f"{j:.1f}", f"{k:.1f}") for i, j, k in zip(g, x, y)], "g string, x string, y string")
+    claims = [Claim("t", 1, "independent_t", ("g", "y"), "0", ("a", "b")), Claim("p", 1, "paired_t", ("x", "y"), "0"), Claim("f", 1, "one_way", ("g", "y"), "0", ("a", "b", "c")), Claim("r", 1, "pearson", ("x", "y"), "0")]
+    found = claims_of(spark, df, *claims)
+
+    def all_of(x, y):
+        u, v = y[g == "a"], y[g == "b"]
+        pooled = (u.var(ddof=1) * (len(u) - 1) + v.var(ddof=1) * (len(v) - 1)) / (len(u) + len(v) - 2)
+        means = [y[g == k].mean() for k in "abc"]
+        between, within = sum(4 * (m - y.mean()) ** 2 for m in means), sum(((y[g == k] - m) ** 2).sum() for k, m in zip("abc", means))
+        return {
+            ("t", "student"): (u.mean() - v.mean()) / np.sqrt(pooled * (1 / len(u) + 1 / len(v))), ("t", "welch"): (u.mean() - v.mean()) / np.sqrt(u.var(ddof=1) / len(u) + v.var(ddof=1) / len(v)),
+            ("p", "paired"): (x - y).mean() / ((x - y).std(ddof=1) / np.sqrt(n)), ("f", "one_way"): between / 2 / (within / 9), ("r", "pearson"): np.corrcoef(x, y)[0, 1],
+        }
+
+    for k, v in all_of(x, y).items():
+        assert found[k].computed == pytest.approx(v, rel=1e-9)
+    for _ in range(300):
+        e = [rng.choice([-0.05, 0.05], n) if rng.random() < 0.5 else rng.uniform(-0.05, 0.05, n) for _ in range(2)]
+        for k, v in all_of(x + e[0], y + e[1]).items():
+            assert found[k].precision_lo - 1e-9 <= v <= found[k].precision_hi + 1e-9, k
+    assert all(abs(found[k].precision_hi - found[k].precision_lo) < 6 * abs(v) + 3 for k, v in all_of(x, y).items())
+
+
+def test_claims_share_one_scan_and_count_what_they_drop(spark, tmp_path):
+    rows = [("a", 1.0, "u", "x"), ("a", 2.0, "u", "x"), ("a", None, "u", "x"), ("b", 4.0, "u", "y"), ("b", 6.0, "v", "y"), ("c", 5.0, "u", "x"), (None, 5.0, "u", "y"), ("b", 5.5, "u", None)]
+    spark.createDataFrame(rows, "g string, y double, f string, h string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    claims = [Claim(f"c{i}", 1, "independent_t", ("g", "y"), "1.0", ("a", "b"), filters=(("f", ("u",)),) if i % 2 else ()) for i in range(50)]
+    pairs = [(c, c.token("f")) for c in [*claims, Claim("k", 1, "chi_square", ("g", "h"), "5.0", (("a", "b"), ("x", "y"))), Claim("few", 1, "independent_t", ("g", "y"), "1", ("a", "zz")), Claim("bad", 1, "independent_t", ("h", "g"), "1", ("x", "y"))]]
+    found = reproduced(spark, pairs, "f", lambda: df)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1 and "Join" not in plan
+    by = {(r.claim_id, r.variant): r for r in found.collect()}
+    assert len(by) == 50 * 2 + 2 + 2 + 2
+    r = by["c1", "student"]
+    assert (r.rows_read, r.filtered_out, r.missing_in_bound_column, r.level_not_selected, r.n) == (8, 1, 2, 1, 4)
+    assert (by["c0", "student"].filtered_out, by["c0", "student"].n) == (0, 5)
+    assert by["k", "uncorrected"].status == "matched" and by["k", "uncorrected"].n == 5 and by["k", "yates"].computed == pytest.approx(1.7013888889)
+    assert by["few", "welch"].reason == "too_few_complete_cases" and by["bad", "student"].reason == "not_numeric"
+    empty = {r.reason for r in reproduced(spark, pairs, "f", lambda: df.limit(0)).collect()}
+    assert empty <= {"too_few_complete_cases", "empty_row_or_column"}
+
+
+def test_claims_of_ranks(spark):
+    df = spark.createDataFrame([(float(i), float(i * i), "u") for i in range(9)] + [(3.0, 100.0, "v"), (None, 1.0, "u")], "x double, y double, f string")
+    r = claims_of(spark, df, Claim("s", 1, "spearman", ("x", "y"), "1.00", filters=(("f", ("u",)),)))["s", "spearman"]
+    assert (r.status, r.rows_read, r.filtered_out, r.missing_in_bound_column, r.n) == ("matched", 11, 1, 1, 9)
