@@ -50,8 +50,10 @@ class Buckets(dict):
 
     def of(self, words: list[bytes], longest: int) -> np.ndarray:
         """Buckets of all runs of 1 to `longest` consecutive words."""
-        runs = [map(self.__getitem__, words), *(map(self.__getitem__, (b" ".join(words[i : i + k]) for i in range(len(words) - k + 1))) for k in range(2, longest + 1))]
-        return np.concatenate([np.fromiter(r, np.int64) for r in runs])
+        found = [np.fromiter(map(self.__getitem__, words), np.int64, len(words))]
+        for k in range(2, longest + 1):
+            found.append(np.array([self[b" ".join(words[i : i + k])] for i in range(len(words) - k + 1)], np.int64))
+        return np.concatenate(found)
 
 
 def bucket_counts(texts: DataFrame, buckets: int, longest: int, text_col: str = "text") -> DataFrame:
