@@ -31,7 +31,8 @@ def sentence_of_citation(citations: DataFrame, sentences: DataFrame, most: int =
 
     If sentences have a text, a sentence that is nothing but cited link text (no letter outside the ranges that start in
     it) passes its citations to the one before. Both sides are put in one order by document and place, and the last
-    sentence begun and the last one ended are carried forward, so no citation meets more than these."""
+    sentence begun and the last one ended are carried forward, so no citation meets more than these. Rows that repeat
+    wholly are one citation, and each of them counts the sentences that it covers."""
     last = F.greatest(F.col("end") - 1, F.col("start"))
     carried = F.struct(F.col("seq").cast("long").alias("seq"), F.col("s0").cast("long").alias("s0"), F.col("s1").cast("long").alias("s1"))
     none = F.lit(None).cast("struct<seq:bigint,s0:bigint,s1:bigint>")
@@ -45,7 +46,7 @@ def sentence_of_citation(citations: DataFrame, sentences: DataFrame, most: int =
     carried_on = events.select("*", F.last(of("begin"), ignorenulls=True).over(w).alias("begun"), F.last(of("a_end"), ignorenulls=True).over(w).alias("ended"), *(F.count_if(F.col("kind") == k).over(w).alias(f"n_{k}") for k in ("begin", "a_end")))
     at_kind = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
     rows = carried_on.where(F.col("kind").startswith("cite")).groupBy("doc", "cite", "start", "end").agg(
-        at_kind("cite_last", "begun").alias("inside"), at_kind("cite_start", "ended").alias("before"), at_kind("cite_start", "begun").alias("local"), (at_kind("cite_last", "n_begin") - at_kind("cite_start", "n_a_end")).alias("covered")
+        at_kind("cite_last", "begun").alias("inside"), at_kind("cite_start", "ended").alias("before"), at_kind("cite_start", "begun").alias("local"), ((at_kind("cite_last", "n_begin") - at_kind("cite_start", "n_a_end")) * F.count_if(F.col("kind") == "cite_start")).alias("covered"),
     )
     wide = F.col("covered") > most
     seq = F.when(~wide, F.coalesce(F.when(last < F.col("inside.s1"), F.col("inside.seq")), F.col("before.seq")))

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from plumbline.functions import text
+from plumbline.operators.filters import maybe_in
+
+#: Queries that meet all rows at once, and numbers of their vectors that are broadcast at most; parts of a token's rows.
+BLOCK_QUERIES, BROADCAST_NUMBERS, WAYS = 256, 4_000_000, 8
+
 
 def doubles(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
@@ -41,6 +49,39 @@ def knn_of_row(vectors: DataFrame, query: DataFrame, k: int, id_col: str, vector
     return pairs.select(id_col, l2_distance(F.col(vector_col), F.col("__q")).alias("distance")).orderBy("distance", id_col).limit(k)
 
 
+def semantic_search(queries: DataFrame, chunks: DataFrame, k: int, least: int | None = None, terms: int = 4, where: Column | None = None) -> DataFrame:
+    """qid, rank, cid, score and via of the k chunks (cid, text, vector) nearest to each query (qid, text, vector) by
+    cosine, ties by cid, among those that `where` keeps.
+
+    A query's `terms` longest tokens choose its candidates through an inverted index, and these alone are ranked (via
+    lexical). Where fewer than `least` (k) are found, the query is ranked against all chunks instead (via all). Null
+    texts have no tokens, vectors of another length score 0, null ones take no part. Ids must be distinct.
+
+    Tokens that no query asks for are dropped before anything is shuffled, the chunks of a token are dealt out over
+    WAYS tasks, and a chunk's vector is sent once, to all its queries. Queries for all chunks come in blocks."""
+    least = k if least is None else least
+    pool = (chunks if where is None else chunks.where(where)).select("cid", "text", "vector").where(F.col("vector").isNotNull())
+    asked = queries.where(F.col("vector").isNotNull())
+    gate = asked.select("qid", F.explode(text.distinctive_terms(text.tokens(F.col("text")), terms)).alias("token"))
+    postings = maybe_in(pool.select("cid", F.explode(text.tokens(F.col("text"))).alias("token")), "token", gate.select("token")).withColumn("way", F.pmod(F.xxhash64("cid"), F.lit(WAYS)))
+    dealt = gate.withColumn("way", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(WAYS - 1).cast("long"))))
+    pairs = postings.join(dealt, ["token", "way"]).select("qid", "cid").distinct()
+    counts = pairs.groupBy("qid").agg(F.count("*").alias("candidates"))
+    asked = asked.select("qid", F.col("vector").alias("query")).join(counts, "qid", "left").withColumn("thin", F.coalesce("candidates", F.lit(0)) < least)
+    size = asked.agg(F.count("*").alias("n"), F.max(F.size("query")).alias("dim"), F.count_if("thin").alias("thin")).first()
+    small = size.n * (size.dim or 0) <= BROADCAST_NUMBERS
+    rich = asked.where("not thin").select("qid", "query")
+    rows = pairs.groupBy("cid").agg(F.collect_set("qid").alias("qids")).join(pool.select("cid", "vector"), "cid").select("cid", "vector", F.explode("qids").alias("qid"))
+    found = [rows.join(F.broadcast(rich) if small else rich, "qid").select("qid", "cid", cosine(F.col("query"), F.col("vector")).alias("score"), F.lit("lexical").alias("via"))]
+    blocks = -(-size.thin // BLOCK_QUERIES)
+    for i in range(blocks):
+        block = asked.where(F.col("thin") & (F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)).select("qid", "query")
+        found.append(pool.crossJoin(F.broadcast(block)).select("qid", "cid", cosine(F.col("query"), F.col("vector")).alias("score"), F.lit("all").alias("via")))
+    best = W.partitionBy("qid").orderBy(F.desc("score"), "cid")
+    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("qid", F.col("rank").cast("long").alias("rank"), "cid", "score", "via")
+
+
 def only_space(rows: DataFrame, *columns: str) -> dict:
     """The one value of columns that all rows share; an error if there is none or more than one."""
     found = rows.select(*columns).distinct().limit(2).collect()

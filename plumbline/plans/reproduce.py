@@ -100,16 +100,20 @@ class Moments:
     """Aggregates asked for so far, and the values of a row that they need, as SQL text; the same one is computed once."""
 
     def __init__(self, data: DataFrame):
-        self.data, self.known, self.inputs = data, {}, {}
+        self.data, self.known, self.inputs, self.basics = data, {}, {}, {}
         self.kinds = dict(data.dtypes)
 
+    def basic(self, value: str) -> str:
+        """The name of a value that others are made of."""
+        return self.basics.setdefault(value, f"b{len(self.basics)}")
+
     def of(self, f: str, *values: str) -> str:
         """The name of an aggregate of values of a row."""
         inputs = [self.inputs.setdefault(v, f"x{len(self.inputs)}") for v in values]
         return self.known.setdefault(f.format(*inputs), f"m{len(self.known)}")
 
     def frame(self) -> DataFrame:
-        rows = self.data.select(*(F.expr(v).alias(n) for v, n in self.inputs.items()))
+        rows = self.data.select(*(F.expr(v).alias(n) for v, n in self.basics.items())).select(*(F.expr(v).alias(n) for v, n in self.inputs.items()))
         return rows.agg(*(F.expr(v).alias(n) for v, n in self.known.items()))
 
 
@@ -118,10 +122,10 @@ class Rows:
 
     def __init__(self, moments: Moments, claim: Claim):
         self.m, self.claim = moments, claim
-        one_of = lambda c, levels: f"coalesce(cast({name_of(c)} as string) in ({', '.join(map(text_of, levels))}), false)"
+        one_of = lambda c, levels: moments.basic(f"coalesce(cast({name_of(c)} as string) in ({', '.join(map(text_of, levels))}), false)")
         every = lambda conditions: " and ".join(conditions) or "true"
         kept = every([one_of(c, levels) for c, levels in claim.filters])
-        complete = every([f"nullif(trim(cast({name_of(c)} as string)), '') is not null" for c in claim.columns])
+        complete = every([moments.basic(f"nullif(trim(cast({name_of(c)} as string)), '') is not null") for c in claim.columns])
         selected = every([one_of(c, levels) for c, levels in claim.groups.items()])
         self.used = f"({kept}) and ({complete}) and ({selected})"
         bad = " or ".join(f"coalesce(isnan({x}) or abs({x}) = double('Infinity'), true)" for x in map(self.number, claim.outcomes)) or "false"
@@ -131,10 +135,13 @@ class Rows:
         self.not_numbers = moments.of("count_if({})", f"({self.used}) and ({bad})")
 
     def number(self, c: str) -> str:
-        return f"try_cast({name_of(c)} as double)"
+        return self.m.basic(f"try_cast({name_of(c)} as double)")
+
+    def level(self, c: str, level: object) -> str:
+        return self.m.basic(f"coalesce(cast({name_of(c)} as string) = {text_of(level)}, false)")
 
     def value(self, c: str, level: tuple[str, object] | None = None) -> str:
-        of_level = f" and cast({name_of(level[0])} as string) = {text_of(level[1])}" if level else ""
+        of_level = f" and {self.level(*level)}" if level else ""
         return f"if({self.used}{of_level}, {self.number(c)}, null)"
 
     def squares(self, *columns: str, level: tuple[str, object] | None = None) -> str:
@@ -150,7 +157,8 @@ class Rows:
         if stated is not None:
             return str(int(stated))
         if kind == "string":
-            return self.m.of("max({})", f"if({self.used}, length(regexp_extract(trim({name_of(c)}), '[.]([0-9]*)$', 1)), null)")
+            places = self.m.basic(f"length(regexp_extract(trim({name_of(c)}), '[.]([0-9]*)$', 1))")
+            return self.m.of("max({})", f"if({self.used}, {places}, null)")
         if kind.startswith("decimal"):
             return kind[:-1].split(",")[1]
         return "cast(null as int)" if kind in ("double", "float") else "0"
@@ -172,8 +180,8 @@ class Rows:
                 parts = [self.squares(c) for c in claim.columns]
                 cov = self.m.of("covar_pop({}, {})", *map(self.value, claim.columns))
             case "chi_square":
-                a, b = (f"cast({name_of(c)} as string)" for c in claim.columns)
-                of = lambda i, j: f"double({self.m.of('count_if({})', f'({self.used}) and {a} = {text_of(i)} and {b} = {text_of(j)}')})"
+                a, b = claim.columns
+                of = lambda i, j: f"double({self.m.of('count_if({})', f'({self.used}) and {self.level(a, i)} and {self.level(b, j)}')})"
                 cells = f"array({', '.join('array(' + ', '.join(of(i, j) for j in claim.levels[1]) + ')' for i in claim.levels[0])})"
         halves = [self.half(c) for c in claim.outcomes]
         decimals = [self.decimals(c) for c in claim.outcomes]
@@ -288,9 +296,10 @@ def of_ranks(data: DataFrame, claim: Claim) -> DataFrame:
     """A claim of ranks, from a read of its own. Rounding may make or part ties, so an interval is not given."""
     moments = Moments(data)
     rows = Rows(moments, claim)
-    used = data.where(rows.used).select(*(F.expr(rows.number(c)).alias(c) for c in claim.columns))
+    named = {f"n{i}": rows.number(c) for i, c in enumerate(claim.columns)}
+    used = data.select(*(F.expr(v).alias(n) for v, n in moments.basics.items())).where(rows.used).select(*(F.col(v).alias(c) for c, v in named.items()))
     counts = rows.of_variant("spearman")
-    found = moments.frame().select(F.expr(f"inline(array({counts}))")).crossJoin(stats.correlation(used, *claim.columns, ranks=True, inference=False).select(F.col("r").alias("computed")))  # one row each
+    found = moments.frame().select(F.expr(f"inline(array({counts}))")).crossJoin(stats.correlation(used, *named, ranks=True, inference=False).select(F.col("r").alias("computed")))  # one row each
     reason = first_reason((F.col("not_numbers") > 0, "not_numeric"), (F.col("n") < 3, "too_few_complete_cases"), (F.col("computed").isNull(), "zero_variance"))
     none = F.lit(None).cast("double")
     return found.withColumns({"precision_lo": none, "precision_hi": none, "reason": reason})
