@@ -92,3 +92,33 @@ def ambiguous_locations(places: DataFrame, sections: DataFrame) -> DataFrame:
     ambiguous."""
     n = sections.groupBy("doc", "kind").agg(F.count("*").alias("n"))
     return places.join(n, ["doc", "kind"], "left").withColumn("state", F.when(F.coalesce("n", F.lit(0)) == 0, "unresolved").when(F.col("n") > 1, "ambiguous").otherwise("anchored"))
+
+
+def placed_passages(sections: DataFrame, passages: DataFrame) -> DataFrame:
+    """passages (doc, idx, kind, text, start) with the section (doc, section, kind, text) in which each is placed and its
+    place there, from 0; both null if it is not.
+
+    Sections are taken in order, and each takes the passages of its kind that none before it has taken, by start and idx,
+    looking behind the last one that it has taken; one that is not found there is passed over. The order is a fold over
+    the passages of a section with the place reached as its state, and only what is placed nowhere goes on to the next
+    section of its kind."""
+    both = sections.groupBy("doc", "kind").agg(F.array_sort(F.collect_list(F.struct("section", "text"))).alias("sections"))
+    mine = passages.groupBy("doc", "kind").agg(F.array_sort(F.collect_list(F.struct("start", "idx", "text"))).alias("passages"))
+    state = "struct<at:int,out:array<struct<idx:bigint,section:bigint,place:int>>>"
+
+    def taken(out: Column, idx: Column) -> Column:
+        return F.exists(out, lambda o: o["idx"] == idx)
+
+    def through(done: Column, section: Column) -> Column:
+        def one(s: Column, p: Column) -> Column:
+            place = F.when(F.length(p["text"]) == 0, s["at"]).otherwise(F.call_function("locate", p["text"], section["text"], s["at"] + 1) - 1)
+            hit = ~taken(done, p["idx"]) & (place >= 0)
+            row = F.struct(p["idx"].cast("long").alias("idx"), section["section"].cast("long").alias("section"), place.alias("place"))
+            return F.struct(F.when(hit, place + F.length(p["text"])).otherwise(s["at"]).alias("at"), F.when(hit, F.concat(s["out"], F.array(row))).otherwise(s["out"]).alias("out"))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(state)
+        return F.concat(done, F.aggregate("passages", start, lambda s, p: one(s, p).cast(state), lambda s: s["out"]))
+
+    folded = F.aggregate("sections", F.array().cast("array<struct<idx:bigint,section:bigint,place:int>>"), through)
+    found = mine.join(both, ["doc", "kind"]).select("doc", "kind", F.inline(folded))
+    return passages.join(found, ["doc", "kind", "idx"], "left").select("doc", "idx", "kind", "section", "place")

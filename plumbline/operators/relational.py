@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from plumbline.operators import quantiles
+
 
 def optional_filter(df: DataFrame, given: Mapping[str, object]) -> DataFrame:
     """Equality on each column whose value is given; None leaves the column free."""
@@ -109,12 +111,9 @@ def gate(deltas: DataFrame, drop: str = "delta", deterministic: str = "determini
 def floor_percentile(df: DataFrame, by: Sequence[str], x: str, shares: Sequence[float], nearest: bool = False) -> DataFrame:
     """Per group and share p the value at index floor((n - 1) * p) of the sorted values, or round() of it with nearest.
 
-    Positions come from counts of distinct values, which are aggregated before they are put in order."""
-    counts = df.where(F.col(x).isNotNull()).groupBy(*by, F.col(x).alias("value")).agg(F.count("*").alias("c"))
-    w = W.partitionBy(*by)
-    rows = counts.withColumn("upto", F.sum("c").over(w.orderBy("value"))).withColumn("n", F.sum("c").over(w))
-    at = [(F.floor((F.col("n") - 1) * p + 0.5) if nearest else F.floor((F.col("n") - 1) * p)) for p in shares]
-    return rows.groupBy(*by).agg(F.max("n").alias("n"), *(F.min(F.when(F.col("upto") > i, F.col("value"))).alias(f"p{round(p * 100)}") for i, p in zip(at, shares, strict=True)))
+    By selection: only values near the wanted places are put in order."""
+    position = quantiles.nearest_position if nearest else quantiles.floor_position
+    return quantiles.selected(df, by, x, [(f"p{round(p * 100)}", p, position) for p in shares])
 
 
 def quota_consumed(events: DataFrame, keys: Sequence[str], time: str, tie: str, limit: int) -> DataFrame:

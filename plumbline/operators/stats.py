@@ -5,12 +5,14 @@ What cannot be computed is null with a reason code beside it, never 0."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from plumbline.functions import dist
 from plumbline.functions.checks import exclusion
+from plumbline.operators import quantiles
 
 SUMMARY = ("n", "missing", "mean", "sd", "min", "q1", "median", "q3", "max")
 
@@ -22,17 +24,46 @@ RANGES = 64
 def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A row for each column: SUMMARY and reason. sd has n - 1 and is null below two values; quartiles are type 7.
 
-    Two passes: the minimum of each column first, as the shift."""
-    long = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns))))
-    shift = long.groupBy("column").agg(F.min("x").alias("shift"))
-    rows = long.join(F.broadcast(shift), "column")  # one row for each of the columns named
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = rows.groupBy("column").agg(
-        F.count("x").alias("n"), F.count_if(F.col("x").isNull()).alias("missing"), F.avg("x").alias("mean"), F.stddev_samp(F.col("x") - F.col("shift")).alias("sd"),
-        F.min("x").alias("min"), q.alias("q"), F.max("x").alias("max"),
-    )
-    reason = F.when(F.col("n") == 0, "stats.desc.no_values").when(F.col("n") == 1, "stats.desc.single_value").when(~(F.abs("mean") < float("inf")), "stats.desc.overflow")
-    return out.select("column", "n", "missing", "mean", F.when(F.col("n") > 1, F.col("sd")).alias("sd"), "min", *(F.get("q", F.lit(i)).alias(c) for i, c in enumerate(("q1", "median", "q3"))), "max", reason.alias("reason"))
+    One wide aggregate gives all but the quartiles, and brackets for these; a second counts what lies below each bracket,
+    a third puts in order what lies within. The driver sees one row of each, and two values a quartile and column."""
+    shares = (0.25, 0.5, 0.75)
+    eps = 2 / quantiles.ACCURACY
+    rows = df.select(*(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)))
+    each = {"n": F.count, "missing": lambda x: F.count_if(F.col(x).isNull()), "mean": F.avg, "sd": F.stddev_samp, "min": F.min, "max": F.max, "ends": lambda x: F.percentile_approx(x, [s + side * eps for s in shares for side in (-1, 1)], quantiles.ACCURACY)}
+    first = rows.agg(*(f(f"x{i}").alias(f"{name}{i}") for i in range(len(columns)) for name, f in each.items())).first()
+    known = [i for i in range(len(columns)) if first[f"n{i}"]]
+    bracket = {(i, k): (first[f"ends{i}"][2 * k], first[f"ends{i}"][2 * k + 1]) for i in known for k in range(len(shares))}
+    beyond = []
+    for (i, k), (lo, hi) in bracket.items():
+        x = F.col(f"x{i}")
+        beyond += [F.count_if(x < lo).alias(f"below{i}_{k}"), F.max(F.when(x < lo, x)).alias(f"down{i}_{k}"), F.min(F.when(x > hi, x)).alias(f"up{i}_{k}")]
+    second = rows.agg(*beyond).first() if beyond else None
+    places = {key: (first[f"n{key[0]}"] - 1) * shares[key[1]] for key in bracket}
+    wanted = [(i, k, int(at), math.ceil(places[i, k])) for (i, k), at in places.items()]
+    values: dict[tuple[int, int, int], float] = {}
+    if bracket:
+        cells = F.array(*(F.when(F.col(f"x{i}").between(lo, hi), F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), F.col(f"x{i}").alias("x"))) for (i, k), (lo, hi) in bracket.items()))
+        within = rows.select(F.inline(F.filter(cells, lambda c: c.isNotNull()))).groupBy("i", "k", "x").agg(F.count("*").alias("c"))
+        within = within.withColumn("upto", F.sum("c").over(W.partitionBy("i", "k").orderBy("x")))
+        asked = df.sparkSession.createDataFrame([(i, k, at, at - second[f"below{i}_{k}"]) for i, k, low, high in wanted for at in {low, high}], "i int, k int, at long, nth long")
+        found = within.join(F.broadcast(asked), ["i", "k"]).where((F.col("upto") > F.col("nth")) & (F.col("upto") - F.col("c") <= F.col("nth")))  # two rows a quartile and column
+        values = {(r.i, r.k, r["at"]): r.x for r in found.select("i", "k", "at", "x").collect()}
+
+    def quartile(i: int, k: int) -> float:
+        def at(place: int) -> float:
+            outside = second[f"down{i}_{k}"] if place < second[f"below{i}_{k}"] else second[f"up{i}_{k}"]
+            return values.get((i, k, place), outside)
+
+        place = places[i, k]
+        low, high = at(int(place)), at(math.ceil(place))
+        return low + (high - low) * (place - int(place)) if low != high else low
+
+    out = []
+    for i, c in enumerate(columns):
+        n, mean = first[f"n{i}"], first[f"mean{i}"]
+        reason = "stats.desc.no_values" if not n else "stats.desc.single_value" if n == 1 else None if math.isfinite(mean) else "stats.desc.overflow"
+        out.append((c, n, first[f"missing{i}"], mean, first[f"sd{i}"] if n > 1 else None, first[f"min{i}"], *(quartile(i, k) if n else None for k in range(len(shares))), first[f"max{i}"], reason))
+    return df.sparkSession.createDataFrame(out, "column string, n long, missing long, mean double, sd double, min double, q1 double, median double, q3 double, max double, reason string")
 
 
 def categorical_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -115,29 +146,36 @@ def anova(df: DataFrame, group: str, outcome: str, inference: bool = True) -> Da
     return out.withColumn("p", dist.f_upper("f", F.col("df1").cast("double"), F.col("df2").cast("double"))) if inference else out
 
 
-def ranked_values(df: DataFrame, column: str, out: str) -> DataFrame:
-    """column's distinct values with their average rank over all rows of df.
+def ranked_values(counts: DataFrame, out: str) -> DataFrame:
+    """The distinct values of counts (value, n) with their average rank over all n.
 
-    Values are counted first and summed up over ranges, so that the order of the rows themselves is never needed."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    edges = [float(x) for x in counts.agg(F.approx_percentile(F.col("value").cast("double"), [i / RANGES for i in range(1, RANGES)]).alias("q")).first()["q"] or []]
-    part = F.lit(0)  # ranges by fixed edges: the same for both branches below, whatever their partitions
-    for edge in sorted({x for x in edges if x == x}):
-        part = part + (F.col("value") > edge).cast("int")
-    parts = counts.withColumn("part", part)
-    sums = parts.groupBy("part").agg(F.sum("n").alias("total"))
-    before = sums.select("part", (F.sum("total").over(W.orderBy("part")) - F.col("total")).alias("before"))  # one row a range
+    Counts are summed up over ranges, so that the order of the values as a whole is never needed."""
+    ranges = max(RANGES, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    edges = counts.agg(F.approx_percentile("value", [i / ranges for i in range(1, ranges)]).alias("q")).first()["q"] or []
+    known = F.array(*(F.lit(x) for x in sorted({float(x) for x in edges if x == x})) or [F.lit(0.0)])
+    parts = counts.withColumn("part", F.size(F.filter(known, lambda e: e < F.col("value"))))  # by fixed edges, whatever the partitions
+    before = parts.groupBy("part").agg(F.sum("n").alias("total")).select("part", (F.sum("total").over(W.orderBy("part")) - F.col("total")).alias("before"))  # one row a range
     within = F.sum("n").over(W.partitionBy("part").orderBy("value"))
     return parts.withColumn("upto", within).join(F.broadcast(before), "part").select("value", (F.col("before") + F.col("upto") - (F.col("n") - 1) / 2).alias(out))
 
 
 def correlation(df: DataFrame, x: str, y: str, ranks: bool = False, inference: bool = True) -> DataFrame:
-    """n, r and df of Pearson's r, or of Spearman's with ranks, over complete cases; with inference, p (of t)."""
+    """n, r and df of Pearson's r, or of Spearman's with ranks, over complete cases; with inference, p (of t).
+
+    Ranks are given to distinct values, and pairs of values are counted before they meet their ranks, whose mean is known
+    beforehand."""
     used = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     if ranks:
-        rx, ry = ranked_values(used, "x", "rx").withColumnRenamed("value", "x"), ranked_values(used, "y", "ry").withColumnRenamed("value", "y")
-        used = used.join(rx, "x").join(ry, "y").select(F.col("rx").alias("x"), F.col("ry").alias("y"))
-    out = used.agg(F.count("*").alias("n"), F.corr("x", "y").alias("r")).withColumn("df", F.col("n") - 2)
+        pairs = used.groupBy("x", "y").agg(F.count("*").alias("n"))
+        rx, ry = (ranked_values(used.groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n")), f"r{c}").withColumnRenamed("value", c) for c in ("x", "y"))
+        total = used.agg(F.count("*").alias("all"))
+        met = pairs.join(rx, "x").join(ry, "y").crossJoin(F.broadcast(total))  # one row
+        a, b = F.col("rx") - (F.col("all") + 1) / 2, F.col("ry") - (F.col("all") + 1) / 2
+        sums = met.agg(F.sum("n").alias("n"), F.sum(F.col("n") * a * b).alias("ab"), F.sum(F.col("n") * a * a).alias("aa"), F.sum(F.col("n") * b * b).alias("bb"))
+        out = sums.select(F.coalesce("n", F.lit(0)).alias("n"), F.try_divide(F.col("ab"), F.sqrt("aa") * F.sqrt("bb")).alias("r"))
+    else:
+        out = used.agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"))
+    out = out.withColumn("df", F.col("n") - 2)
     return out.withColumn("p", dist.r_two_tailed("r", F.col("df").cast("double"))) if inference else out
 
 

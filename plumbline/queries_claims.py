@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.functions import intervals, places, wording
+from plumbline.functions import features, intervals, places, wording
 from plumbline.operators import locate, vector, verbatim
 from plumbline.plans.reproduce import Claim, reproduced
 from plumbline.registry import query, table
+from plumbline.streaming import gate
 
 # Claims against data
 
@@ -316,3 +317,86 @@ def method_words(spark: SparkSession, d: str) -> DataFrame:
     sentence = F.concat(pick([x[0] for x in FRAGMENTS], "i"), pick([x[0] for x in TAILS], "j"), F.lit("; t("), F.col("n"), F.lit(") = 2.10, p = .040."))
     found = rows.select("doc_id", wording.sentence_methods(sentence, pick([x[1] for x in TAILS], "j")).alias("w"))
     return found.select("doc_id", "w.t_variant", "w.continuity", "w.one_tailed", "w.adjusted", F.array_join("w.methods", ",").alias("methods"))
+
+
+# Style and places of passages
+
+#: Word lists of the features query; both are parameters of the operator.
+FUNCTION_WORDS, TEMPLATES = ("the", "of", "and", "in", "that", "de", "la", "der", "die", "le", "et"), ("on the", "in the", "de la", "of the")
+
+@query(rf"""
+WITH d AS (SELECT doc_id, text AS raw, lower(text) AS t, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+(?:[''’][\p{{L}}\p{{N}}]+)*') AS w,
+                  CASE WHEN doc_id % 3 = 0 THEN ['10.1234/abc', 'doi missing', 'none'] WHEN doc_id % 3 = 1 THEN []::VARCHAR[] END AS refs FROM documents),
+l AS (SELECT *, list_filter(list_transform(string_split_regex(t, '[.!?]+'), lambda s: len(regexp_extract_all(s, '[\p{{L}}\p{{N}}]+(?:[''’][\p{{L}}\p{{N}}]+)*'))::DOUBLE), lambda n: n > 0) AS len,
+             CASE WHEN len(w) >= 3 THEN list_transform(generate_series(1, len(w) - 2), lambda i: w[i:i+2]) ELSE [] END AS g,
+             len(regexp_extract_all(raw, '\[\d+(?:\s*[,–-]\s*\d+)*\]')) AS numbered, len(regexp_extract_all(raw, '\([^()]*?\b(?:1[89]|20)\d\d[a-z]?\)')) AS named,
+             list_transform(['on the', 'in the', 'de la', 'of the'], lambda p: (length(t) - length(replace(t, p, ''))) // length(p)) AS hits FROM d)
+SELECT doc_id, round(CASE WHEN len(len) > 1 THEN sqrt(list_sum(list_transform(len, lambda x: (x - list_avg(len)) ** 2)) / len(len)) / list_avg(len) END, 6) AS sentence_length_cv,
+       round(CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: list_contains(['the', 'of', 'and', 'in', 'that', 'de', 'la', 'der', 'die', 'le', 'et'], x))) / len(w) END, 6) AS function_word_ratio,
+       round(CASE WHEN len(w) > 0 THEN 100.0 * (length(raw) - length(replace(raw, '—', ''))) / len(w) END, 6) AS em_dash_per100,
+       round(CASE WHEN len(g) > 0 THEN 1 - len(list_distinct(g)) / len(g) END, 6) AS ngram_repetition,
+       round(CASE WHEN len(w) > 0 THEN CASE WHEN len(list_filter(hits, lambda h: h > 0)) >= 2 THEN 100.0 * list_sum(hits) / len(w) ELSE 0 END END, 6) AS template_density,
+       round(CASE WHEN len(w) > 0 AND NOT (coalesce(len(refs), 0) > 0 AND numbered + named = 0) THEN 1000.0 * (numbered + named) / len(w) END, 6) AS citation_density,
+       round(CASE WHEN numbered + named > 0 THEN greatest(numbered, named) / (numbered + named) END, 6) AS citation_style_consistency, CASE WHEN doc_id % 3 = 0 AND raw IS NOT NULL THEN 0.5 END AS doi_syntax_validity
+FROM l
+""")
+def style_features(spark: SparkSession, d: str) -> DataFrame:
+    """The features that SQL can express quickly: all but lexical diversity."""
+    return document_features(spark, d).drop("mtld", "mtld_deviation")
+
+
+@query()
+def document_features(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("10.1234/abc"), F.lit("doi missing"), F.lit("none"))).when(F.col("doc_id") % 3 == 1, F.array().cast("array<string>")).alias("refs"))
+    found = rows.select("doc_id", features.document_features(F.col("text"), F.col("refs"), FUNCTION_WORDS, TEMPLATES).alias("f"))
+    return found.select("doc_id", *(F.round(F.col(f"f.{c}"), 6).alias(c) for c in features.RESULT.names))
+
+
+@query("""
+WITH RECURSIVE d AS (SELECT doc_id AS doc, text, length(text) // 2 AS half FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc, i AS section, CASE i WHEN 0 THEN left(text, half) WHEN 1 THEN substr(text, half + 1) ELSE text END AS text, CASE i WHEN 2 THEN 'other' ELSE 'body' END AS kind FROM d, (SELECT unnest([0, 1, 2]) AS i)),
+p AS (SELECT doc, i AS idx, CASE i WHEN 5 THEN 'other' ELSE 'body' END AS kind, CASE i WHEN 4 THEN 'no such passage' ELSE substr(text, 1 + (i * 7 % 4) * 40, 12) END AS text, CASE WHEN i = 3 THEN 0 ELSE (i * 7 % 4) * 40 END AS start FROM d, (SELECT unnest(generate_series(0, 5)) AS i)),
+t AS (SELECT p.doc, p.idx, s.section, s.text AS inside, p.text, p.kind, row_number() OVER (PARTITION BY p.doc, p.kind ORDER BY s.section, p.start, p.idx) AS step FROM p JOIN s ON p.doc = s.doc AND p.kind = s.kind),
+r AS (
+  SELECT doc, kind, 0 AS step, -1 AS section, 0 AS reached, []::BIGINT[] AS used, NULL::BIGINT AS idx, NULL::BIGINT AS place FROM (SELECT DISTINCT doc, kind FROM t)
+  UNION ALL
+  SELECT doc, kind, step, section, CASE WHEN hit THEN found + length(text) ELSE base END, CASE WHEN hit THEN list_append(used, idx) ELSE used END, CASE WHEN hit THEN idx END, CASE WHEN hit THEN found END
+  FROM (SELECT *, NOT list_contains(used, idx) AND found >= 0 AS hit FROM (
+    SELECT t.doc, t.kind, t.step, t.section, t.idx, t.text, r.used, CASE WHEN t.section = r.section THEN r.reached ELSE 0 END AS base,
+           CASE WHEN strpos(substr(t.inside, CASE WHEN t.section = r.section THEN r.reached ELSE 0 END + 1), t.text) > 0 THEN CASE WHEN t.section = r.section THEN r.reached ELSE 0 END + strpos(substr(t.inside, CASE WHEN t.section = r.section THEN r.reached ELSE 0 END + 1), t.text) - 1 ELSE -1 END AS found
+    FROM r JOIN t ON r.doc = t.doc AND r.kind = t.kind AND t.step = r.step + 1)))
+SELECT p.doc, p.idx, p.kind, r.section, r.place FROM p LEFT JOIN r ON p.doc = r.doc AND p.idx = r.idx
+""")
+def placed_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Passages of each document in and out of order, repeated and absent, among two sections of a kind and one of another."""
+    docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("doc"), "text", F.floor(F.length("text") / 2).cast("int").alias("half"))
+    i = F.col("i")
+    parts = docs.withColumn("i", F.explode(F.array(*map(F.lit, range(3)))))
+    sections = parts.select("doc", i.alias("section"), F.when(i == 0, F.substr("text", F.lit(1), F.col("half"))).when(i == 1, F.substr("text", F.col("half") + 1)).otherwise(F.col("text")).alias("text"), F.when(i == 2, "other").otherwise("body").alias("kind"))
+    at = (i * 7 % 4) * 40
+    cut = docs.withColumn("i", F.explode(F.array(*map(F.lit, range(6)))))
+    passages = cut.select("doc", i.cast("long").alias("idx"), F.when(i == 5, "other").otherwise("body").alias("kind"), F.when(i == 4, "no such passage").otherwise(F.substr("text", at + 1, F.lit(12))).alias("text"), F.when(i == 3, 0).otherwise(at).alias("start"))
+    return locate.placed_passages(sections, passages)
+
+
+# Requests
+
+
+@query("""
+WITH RECURSIVE e AS (
+  SELECT user_id, event_id, ts, strftime(ts, '%Y-%m') AS month, CASE event_type WHEN 'click' THEN 'open' WHEN 'view' THEN 'held' WHEN 'purchase' THEN 'done' END AS "to" FROM events),
+g AS (SELECT *, row_number() OVER (PARTITION BY user_id, month ORDER BY ts, event_id) AS nth, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM e),
+r AS (
+  SELECT user_id, 0::BIGINT AS step, NULL::BIGINT AS event_id, false AS granted, 0::BIGINT AS quota_remaining, false AS accepted, 'new' AS status FROM (SELECT DISTINCT user_id FROM g)
+  UNION ALL
+  SELECT user_id, step, event_id, granted, quota_remaining, ok, CASE WHEN ok THEN "to" ELSE status END
+  FROM (SELECT g.user_id, g.step, g.event_id, nth <= 5 AS granted, greatest(5 - nth, 0) AS quota_remaining, r.status, "to",
+               coalesce(nth <= 5 AND (r.status = 'new' AND "to" = 'open' OR r.status = 'open' AND "to" IN ('held', 'done') OR r.status = 'held' AND "to" = 'open'), false) AS ok
+        FROM r JOIN g ON g.user_id = r.user_id AND g.step = r.step + 1))
+SELECT CAST(user_id AS VARCHAR) AS key, event_id, granted, quota_remaining, accepted, status FROM r WHERE step > 0
+""")
+def request_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Quota and status of every user's events, with a bucket that is never empty."""
+    events = table(spark, d, "events").select(F.col("user_id").alias("key"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.when(F.col("event_type") == "click", "open").when(F.col("event_type") == "view", "held").when(F.col("event_type") == "purchase", "done").alias("to"))
+    rules = gate.Rules(capacity=1e9, rate=1.0, limit=5, first="new", moves={"new": ("open",), "open": ("held", "done"), "held": ("open",)})
+    return gate.decided(events, rules, int(spark.conf.get("spark.sql.shuffle.partitions"))).select("key", "event_id", "granted", "quota_remaining", "accepted", "status")

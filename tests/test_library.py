@@ -13,7 +13,7 @@ from plumbline.plans.describe import Describe, described
 from plumbline.plans.reproduce import Claim, reproduced
 from plumbline.queries import QUERIES
 from plumbline.sources import records, tables
-from plumbline.streaming import limits
+from plumbline.streaming import gate, limits
 
 
 def one(df):
@@ -343,3 +343,65 @@ def test_claims_of_ranks(spark):
     df = spark.createDataFrame([(float(i), float(i * i), "u") for i in range(9)] + [(3.0, 100.0, "v"), (None, 1.0, "u")], "x double, y double, f string")
     r = claims_of(spark, df, Claim("s", 1, "spearman", ("x", "y"), "1.00", filters=(("f", ("u",)),)))["s", "spearman"]
     assert (r.status, r.rows_read, r.filtered_out, r.missing_in_bound_column, r.n) == ("matched", 11, 1, 1, 9)
+
+
+# The gate of requests
+
+RULES = gate.Rules(capacity=3.0, rate=0.02, limit=6, first="new", moves={"new": ("open",), "open": ("held", "done"), "held": ("open",)}, idle=300.0)
+
+
+def requests_of(seed=0, n=120):
+    rng = np.random.default_rng(seed)
+    rows = [(f"k{rng.integers(3)}", i, float(np.round(rng.uniform(0, 4000), 3)), [None, "open", "held", "done", "new"][rng.integers(5)]) for i in range(n)]
+    return rows + [("k0", n, rows[0][2], "open"), (None, n + 1, 5.0, "open"), ("k1", n + 2, 40 * 86400.0, "open")]
+
+
+def by_hand(rows):
+    """The gate's rules written out once more, a request at a time."""
+    out, state = [], {}
+    for key, event, ts, to in sorted(rows, key=lambda r: (r[0] or "", r[2], r[1])):
+        s = state.setdefault(key or "", {"tokens": 3.0, "at": ts, "used": {}, "status": "new"})
+        s["tokens"] = 3.0 if ts - s["at"] > 300 else min(3.0, s["tokens"] + (ts - s["at"]) * 0.02)
+        s["at"] = ts
+        allowed = s["tokens"] >= 1
+        s["tokens"] -= allowed
+        month = int(ts // (31 * 86400))  # January 1970 and what comes after
+        granted = allowed and s["used"].get(month, 0) < 6
+        s["used"][month] = s["used"].get(month, 0) + granted
+        accepted = granted and to in RULES.moves.get(s["status"], ())
+        s["status"] = to if accepted else s["status"]
+        out.append((key or "", event, allowed, granted, 6 - s["used"][month], accepted, s["status"]))
+    return sorted(out)
+
+
+def short(rows):
+    return sorted((r.key, r.event_id, r.allowed, r.granted, r.quota_remaining, r.accepted, r.status) for r in rows)
+
+
+def test_gate_over_a_table(spark):
+    rows = requests_of()
+    df = spark.createDataFrame(rows, "key string, event_id long, ts double, to string")
+    found = gate.decided(df, RULES, 3).collect()
+    assert short(found) == by_hand(rows)
+    assert {r.granted for r in found} == {True, False} and any(r.accepted for r in found) and any(r.allowed and not r.granted for r in found)
+    assert all(r.retry_after == 0 if r.allowed else r.retry_after > 0 for r in found)
+    assert gate.decided(df.limit(0), RULES, 3).count() == 0
+
+
+def test_gate_over_a_stream_is_that_over_the_table(spark, tmp_path):
+    """Shuffled micro-batches, a stop between them and a restart from the checkpoint give the table's answers."""
+    rows = requests_of(1)
+    order = np.random.default_rng(5).permutation(len(rows) - 1)  # the last request, far ahead, comes last
+    shuffled = [rows[i] for i in order] + [rows[-1]]
+    schema = "key string, event_id long, ts double, to string"
+    want = by_hand(rows)
+    (tmp_path / "in").mkdir()
+    for part in (0, 1):
+        for i in range(part, 4, 2):
+            cut = shuffled[i * len(shuffled) // 4 : (i + 1) * len(shuffled) // 4] if part == 0 or i < 3 else shuffled[3 * len(shuffled) // 4 :] + [("end", 10**6, 80 * 86400.0, None)]
+            spark.createDataFrame(cut, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        q = gate.decided_stream(stream, RULES, late="2 days").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+        assert q.awaitTermination(240) and q.exception() is None
+    found = [r for r in short(spark.read.parquet(str(tmp_path / "out")).collect()) if r[0] != "end"]
+    assert found == want
