@@ -65,3 +65,27 @@ def manuscript_rules(results: DataFrame) -> DataFrame:
     cases = [(F.col("effect_size").isNull(), "missing_effect_size"), (F.col("interval").isNull(), "missing_interval"), ((F.col("family") == "t") & (F.col("groups") > 2), "test_group_mismatch")]
     found = F.filter(F.array(*(F.when(c, F.lit(code)) for c, code in cases)), lambda x: x.isNotNull())
     return results.select("doc_id", "family", F.explode(found).alias("finding"))
+
+
+#: Words that claim more than a p value can show, and words that take it back.
+OVERCLAIM, HEDGED = r"\b(prov(e|es|ed|en|ing)|proof|definitive(ly)?|conclusive(ly)?|confirm(s|ed)? (that|the hypothesis)|demonstrat(es|ed) (beyond|that)|establish(es|ed) that|undeniabl[ey]|without (a )?doubt)\b", r"\b(not|cannot|no|never|neither|nor|rather than)\b[^.;]*$"
+
+
+def overclaims(text: Column, p: Column) -> Column:
+    """Whether a paragraph draws from a p value what none can show: it has one, and says proven or the like without a
+    negation ahead of it in the clause. False for a null text or without a p."""
+    before = F.regexp_extract(F.lower(text), rf"^(.*?){OVERCLAIM}", 1)
+    said = F.lower(text).rlike(OVERCLAIM)
+    return F.coalesce(p.isNotNull() & said & ~before.rlike(HEDGED), F.lit(False))
+
+
+def rule_outcomes(paragraphs: DataFrame, by: str) -> DataFrame:
+    """by, rule, flags and passed of each document's paragraphs (p, effect_size, interval, family, groups, text): a row for
+    every rule that ran, passed without a flag. A rule on small samples is declined, so there is no row for it."""
+    p = F.col("p")
+    rules = {
+        "missing_effect_size": p.isNotNull() & F.col("effect_size").isNull(), "missing_confidence_interval": p.isNotNull() & F.col("interval").isNull(),
+        "test_group_mismatch": (F.col("family") == "t") & (F.col("groups") > 2), "p_value_overclaim": overclaims(F.col("text"), p),
+    }
+    counts = paragraphs.groupBy(by).agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in rules.items()))
+    return counts.select(by, F.inline(F.array(*(F.struct(F.lit(k).alias("rule"), F.col(k).alias("flags"), (F.col(k) == 0).alias("passed")) for k in rules))))

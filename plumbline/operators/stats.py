@@ -17,8 +17,8 @@ from plumbline.operators import quantiles
 SUMMARY = ("n", "missing", "mean", "sd", "min", "q1", "median", "q3", "max")
 
 
-#: Ranges that ranks are counted in.
-RANGES = 64
+#: Ranges that ranks are counted in, at least; the smallest double of full precision.
+RANGES, TINY = 64, 2.2250738585072014e-308
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -210,6 +210,7 @@ def chi_square_yates(df: DataFrame, a: str, b: str, levels_a: tuple, levels_b: t
 
 def least_squares(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
     """A row for each term: coefficient, se and t; with r2, f, df1, df2 and reason of the whole. Complete cases.
+    with_p adds p of each t and of F.
 
     One pass for means, one for centred cross-products; the system of len(xs) equations, however many rows there are,
     is solved on the driver."""
@@ -240,3 +241,26 @@ def least_squares(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
     f, r2 = explained / k / (rest / df2) if rest > 0 else None, explained / float(s[k, k]) if s[k, k] > 0 else None
     rows = [(term, c, float(np.sqrt(v)), c / float(np.sqrt(v)) if v > 0 else None, r2, f, k, df2, None) for term, c, v in zip(["(intercept)", *xs], coefficients, var, strict=True)]
     return df.sparkSession.createDataFrame(rows, schema)
+
+
+def with_p(ols: DataFrame) -> DataFrame:
+    """least_squares with p of each coefficient (two-tailed, on df2) and f_p of the whole (upper tail)."""
+    df1, df2 = F.col("df1").cast("double"), F.col("df2").cast("double")
+    return ols.withColumn("p", dist.t_two_tailed("t", df2)).withColumn("f_p", dist.f_upper("f", df1, df2))
+
+
+def range_refusals(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """by, column, n and reason: whether squares of the cells leave the range of doubles. overflow: a mean or sum of
+    squares is infinite, though no cell is; underflow: cells differ, and yet their squares sum to 0 or below the smallest
+    number of full precision; non_finite_input: a cell is no finite number. Null where nothing is wrong.
+
+    One aggregate; what is infinite only between two steps of a test is found here, not in its plausible result."""
+    cells = df.select(*by, F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns))))
+    x = F.col("x")
+    sums = cells.groupBy(*by, "column").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum(x * x).alias("squares"), F.max(F.abs("x")).alias("far"), F.bool_or(F.isnan("x") | (F.abs("x") == float("inf"))).alias("bad"))
+    infinite = lambda c: F.isnan(c) | (F.abs(c) == float("inf"))
+    reason = (
+        F.when(F.coalesce("bad", F.lit(False)), "non_finite_input").when(infinite("mean") | infinite("var") | infinite("squares"), "overflow")
+        .when(((F.col("lo") < F.col("hi")) & (F.col("var") < TINY)) | ((F.col("far") > 0) & (F.col("squares") < TINY)), "underflow")
+    )
+    return sums.select(*by, "column", "n", reason.alias("reason"))

@@ -120,3 +120,41 @@ def journal_directory(lines: DataFrame) -> DataFrame:
     detail = lambda name: F.coalesce(F.trim(F.regexp_replace(F.try_element_at(F.filter(own, lambda x: x.startswith(f"{name}:")), F.lit(-1)), rf"(?i)^{name}:\s*", "")), F.lit(""))
     good = F.col("line").startswith("ISSN:") & F.col("title").isNotNull() & ~F.col("title").rlike(r"(?i)^ISSN:|^Publisher:|^Table of Contents|^Last Updated|^Verified and") & (F.length("title") <= 130)
     return rows.where(good).select("file", "at", "title", F.coalesce("category", F.lit("General")).alias("category"), F.col("line").alias("issn_line"), F.trim(F.regexp_extract("line", r"(?i)Quartile:\s*([^|]+)", 1)).alias("quartile"), detail("Publisher").alias("publisher"), detail("Website").alias("website"))
+
+
+#: The columns of a t-test's CSV, and the statistics in their order.
+T_TEST_HEADER = ("statistic", "group", "label", "value", "note")
+T_TEST_STATISTICS = ("t", "df", "p", "mean_difference", "standard_error", "confidence_level", "ci_lower", "ci_upper", "cohens_d", "d_standardizer", "sd_ratio")
+
+
+def t_test_lines(result: DataFrame, excluded: DataFrame | None = None, limitations: DataFrame | None = None) -> DataFrame:
+    """nth and line of a t-test's CSV: the variant, its statistics, both groups, exclusions (code, n) and limitations
+    (code). result: one row with variant, T_TEST_STATISTICS, standardizer, and level, n, mean and sd of each group as
+    level1, n1 and so on. What could not be computed has an empty value; labels and codes are quoted, numbers are not."""
+    def line(statistic: Column, group: Column, label: Column, value: Column, note: Column) -> Column:
+        return F.concat_ws(",", guarded(statistic), guarded(group), guarded(label), value, guarded(note))
+
+    empty = F.lit("")
+    rows = [line(F.lit("variant"), empty, empty, empty, F.col("variant"))]
+    for s in T_TEST_STATISTICS:
+        note = F.col("standardizer") if s in ("cohens_d", "d_standardizer") else F.when(F.col("sd_ratio").isNull(), "not_computable") if s == "sd_ratio" else empty
+        rows.append(line(F.lit(s), empty, empty, printed(F.col(s)), F.coalesce(note, empty)))
+    for k in (1, 2):
+        for s, value in (("level_index", F.lit(str(k - 1))), ("n", printed(F.col(f"n{k}"))), ("mean", printed(F.col(f"mean{k}"))), ("sd", printed(F.col(f"sd{k}")))):
+            rows.append(line(F.lit(s), F.lit(str(k)), F.col(f"level{k}"), value, empty))
+    out = result.select(F.posexplode(F.array(*rows)).alias("nth", "line"))
+    for at, frame, make in ((1000, excluded, lambda: line(F.lit("excluded"), empty, empty, F.col("n").cast("string"), F.col("code"))), (2000, limitations, lambda: line(F.lit("limitation"), empty, empty, empty, F.col("code")))):
+        if frame is not None:
+            order = F.row_number().over(W.orderBy("code"))  # a few codes
+            out = out.unionByName(frame.select((order + at).alias("nth"), make().alias("line")))
+    return out
+
+
+def run_manifest(outputs: DataFrame, settings: Column, codes: DataFrame, engine: str) -> DataFrame:
+    """manifest: one JSON text on a run. outputs (name, line, nth) are hashed in their order and counted; codes (code) are
+    listed distinct and sorted; settings is a struct. Names are in code-point order, so equal runs give equal bytes."""
+    lines = outputs.groupBy("name").agg(F.count("*").alias("lines"), F.sum(F.octet_length("line")).alias("bytes"), F.array_sort(F.collect_list(F.struct("nth", F.sha2(F.col("line").cast("binary"), 256).alias("h")))).alias("hashes"))
+    files = lines.select(F.struct("bytes", "lines", "name", F.sha2(F.array_join(F.transform("hashes", lambda x: x["h"]), "\n").cast("binary"), 256).alias("sha256")).alias("f")).agg(F.sort_array(F.collect_list(F.struct("f.name", "f"))).alias("files"))
+    listed = codes.agg(F.sort_array(F.collect_set("code")).alias("codes"))
+    body = F.struct("codes", F.lit(engine).alias("engine"), F.transform("files", lambda x: x["f"]).alias("outputs"), settings.alias("settings"))
+    return files.crossJoin(listed).select(F.to_json(body).alias("manifest"))  # one row each
