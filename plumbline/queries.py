@@ -720,4 +720,4 @@ def extraction_findings(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", F.array("lang").alias("statistics"), F.array(F.struct(F.col("source").alias("text"), F.when(F.col("doc_id") % 2 == 1, F.lit("10.1/x")).alias("doi"))).alias("refs"))
     return tables.extraction_rows(docs)[1]
 
-from plumbline import queries_claims, queries_reports  # noqa: E402, F401  (they register their queries)
+from plumbline import queries_claims, queries_records, queries_reports  # noqa: E402, F401  (they register their queries)

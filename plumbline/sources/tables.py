@@ -91,7 +91,7 @@ def extraction_rows(extractions: DataFrame) -> tuple[DataFrame, DataFrame]:
 def script_outcomes(files: DataFrame) -> DataFrame:
     """files (path, text) of analysis scripts with kind, outcome (parsed, stored or rejected) and reason."""
     kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))
-    reason = F.when(~kind.isin("sps", "jnl", "py", "r", "ipynb", "csv"), "unsupported_format").when(F.length("text") > 8 * 2**20, "too_large").when(F.trim("text") == "", "empty")
+    reason = F.when(~kind.isin("sps", "jnl", "py", "r", "ipynb", "csv"), "unsupported_format").when(F.length("text") > 8 * 2**20, "too_large").when(F.coalesce("text", F.lit("")).rlike(r"^\s*$"), "empty")
     return files.select("path", kind.alias("kind"), F.when(reason.isNotNull(), "rejected").when(kind.isin("sps", "jnl"), "parsed").otherwise("stored").alias("outcome"), reason.alias("reason"))
 
 
