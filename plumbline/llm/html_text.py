@@ -1,8 +1,11 @@
 """Main text of web pages by a tree-structured graphical model over the DOM.
 
 Block elements and runs of text are the nodes. Each node is content or not: potentials between parent and child, and
-of a node's tag, class words, length and link share, are estimated from labelled pages. Sum-product messages, up and
-then down the tree, give each run of text its probability of being content; runs at 0.5 or more are kept.
+of a node's tag, class words and those of the two elements around it, length and link share, are estimated from labelled
+pages. What a list or table is told from is the share of links in it, and a run of text is judged among runs in elements
+of its kind, so that short items of an article's list are not taken for a menu. Sum-product messages, up and then down
+the tree, give each run of text its probability of being content; runs at 0.5 or more are kept. Where none is, those are
+that no tag, class word or link speaks against.
 
 A null or empty page gives an empty text; pages of any length are read whole. Broken markup is read as browsers do in
 simple cases: unclosed elements end with their parents or where the next of their kind begins, seen or not, and a quote
@@ -32,6 +35,8 @@ UNSEEN = frozenset("audio button canvas datalist iframe noscript object option s
 RAW = frozenset("iframe noscript script style textarea title".split())
 ENDS_P = BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "li", "dd", "dt"}
 SIBLINGS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+LISTS = frozenset("dd dl dt li ol table tbody td th tr ul".split())
+KINDS = {"li": "l", "dd": "l", "dt": "l", "td": "c", "th": "c", "p": "p", "blockquote": "p", "figcaption": "f"} | {f"h{i}": "h" for i in range(1, 7)}
 HOLDERS = frozenset("article aside blockquote body dl div footer form header html main nav ol section table tbody td th thead ul".split())
 
 PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)|([^<]+|<)", re.DOTALL)
@@ -40,6 +45,11 @@ ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([
 MAY_HIDE = re.compile(r"hidden|style", re.IGNORECASE)
 ASIDE = re.compile(r"""/\*.*?(?:\*/|\Z)|"[^"]*"|'[^']*'|\([^)]*\)""", re.DOTALL)  # in CSS: no place for declarations
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+UNQUOTED = re.compile(r"""=\s*[^\s"'>]+\Z""")
+UNSEEN_END = re.compile(rf"</({'|'.join(sorted(UNSEEN))})", re.IGNORECASE)
+
+#: Elements up to which class words are taken from around a node; elements that stand beside an article.
+AROUND, BESIDE = 2, frozenset(("<nav", "<aside", "<footer", "<header", "<form", "<dialog", "<menu"))
 
 
 class Node:
@@ -55,6 +65,7 @@ class Node:
 def parse(page: str) -> list[Node]:
     """The page's nodes in document order; the first is the root. label: of data-main, inherited, else 0."""
     nodes = [Node(-1, ["<html"], 0)]
+    last_end = {m[1].lower(): m.start() for m in UNSEEN_END.finditer(page)}
     open_tags: list[tuple[str, int]] = [("html", 0)]  # (tag, node that holds its text; -1: it is not seen)
     run: list[str] = []
     state = {"links": 0, "linked": 0}
@@ -66,7 +77,6 @@ def parse(page: str) -> list[Node]:
             at = next(at for _, at in reversed(open_tags) if at >= 0)
             node = Node(at, [], nodes[at].label)
             node.text, node.linked = text, state["linked"]
-            node.features = text_features(node)
             nodes.append(node)
         state["linked"] = 0
 
@@ -105,7 +115,7 @@ def parse(page: str) -> list[Node]:
                     break
             continue
         attributes = m[3]
-        if name in RAW and not attributes.endswith("/"):
+        if name in RAW and not closed(attributes):
             end = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else size
             continue
@@ -123,10 +133,10 @@ def parse(page: str) -> list[Node]:
             if name == "tr":  # after a cell, its row
                 ends(open_tags, close, ("tr",))
         unseen = name in UNSEEN
-        if unseen and name not in RAW and name != "option" and not closes(page, name, at):
+        if unseen and name not in RAW and name != "option" and last_end.get(name, -1) < at:
             continue
         if open_tags[-1][1] < 0 or unseen or attributes and hides(attributes):
-            if name not in VOID and not attributes.endswith("/"):
+            if name not in VOID and not closed(attributes):
                 state["links"] += name == "a"
                 open_tags.append((name, -1))
             continue
@@ -147,15 +157,47 @@ def parse(page: str) -> list[Node]:
                         node.features += {"." + w.lower() for w in WORD.findall(value) if len(w) > 1}
             nodes.append(node)
             open_tags.append((name, len(nodes) - 1))
-        elif name not in VOID and not attributes.endswith("/"):
+        elif name not in VOID and not closed(attributes):
             state["links"] += name == "a"
             open_tags.append((name, open_tags[-1][1]))
     end_run()
     for i, node in enumerate(nodes[1:], 1):
         nodes[node.parent].children.append(i)
+    describe(nodes)
     return nodes
 
 
+def describe(nodes: list[Node]) -> None:
+    """Adds the features that need a node's surroundings or what is in it."""
+    size, linked = [len(n.text) for n in nodes], [n.linked for n in nodes]
+    for i in range(len(nodes) - 1, 0, -1):
+        size[nodes[i].parent] += size[i]
+        linked[nodes[i].parent] += linked[i]
+    words = [[f for f in n.features if f[0] == "."] for n in nodes]
+    tags = [n.features[0][1:] if n.features else "" for n in nodes]
+    for i, node in enumerate(nodes[1:], 1):
+        if node.text:
+            node.features = text_features(node, KINDS.get(tags[node.parent], "d"))
+        elif tags[i] in LISTS:
+            node.features[0] += f"|{share_class(linked[i], size[i])}"
+        around, at = set(), node.parent
+        for _ in range(AROUND):
+            if at > 0 and tags[at] not in ("html", "body"):
+                around.update("^" + w[1:] for w in words[at])
+                at = nodes[at].parent
+        node.features += sorted(around)
+
+
+def share_class(linked: int, size: int) -> int:
+    share = linked / max(1, size)
+    return 0 if share < 0.1 else 1 if share < 0.6 else 2
+
+
+def closed(attributes: str) -> bool:
+    """Of a slash at the end of a tag that is not part of an unquoted value."""
+    return attributes.endswith("/") and not UNQUOTED.search(attributes)
+
+
 def hides(attributes: str) -> bool:
     """Of an attribute `hidden` (but for until-found), or a style that ends up with display: none."""
     if not MAY_HIDE.search(attributes):
@@ -174,11 +216,6 @@ def hides(attributes: str) -> bool:
     return display == "none"
 
 
-def closes(page: str, name: str, at: int) -> bool:
-    """Is there an end tag of that name behind at?"""
-    return page.find(f"</{name}", at) >= 0 or re.compile(f"</{name}", re.IGNORECASE).search(page, at) is not None
-
-
 def after(page: str, name: str, at: int) -> int:
     """Where the element called name, opened before at, ends; nested ones of its name are passed."""
     depth = 1
@@ -199,11 +236,12 @@ def ends(open_tags: list, close, names: tuple[str, ...]) -> None:
             return
 
 
-def text_features(node: Node) -> list[str]:
-    words = node.text.count(" ") + 1
-    share = node.linked / max(1, len(node.text))
-    found = [f"words{min(5, int(math.log2(words)))}", f"links{0 if share < 0.1 else 1 if share < 0.6 else 2}", "stop" if node.text[-1] in ".!?\"'»”…:" else "nostop"]
-    return found + ["©"] * ("©" in node.text)
+def text_features(node: Node, kind: str) -> list[str]:
+    """Of a run in an element of a kind: how many words, how much of it links and how it ends, taken together."""
+    words = min(5, int(math.log2(node.text.count(" ") + 1)))
+    links = share_class(node.linked, len(node.text))
+    stop = int(node.text[-1] in ".!?\"'»”…:。！？")
+    return [f"{kind}{links}{words}{stop}"] + ["©"] * ("©" in node.text)
 
 
 class Model(NamedTuple):
@@ -273,7 +311,19 @@ def main_text(page: str | None, model: Model) -> str:
     if not page:
         return ""
     nodes = parse(page)
-    return "\n".join(node.text for node, p in zip(nodes, marginals(nodes, model), strict=True) if node.text and p >= 0.5)
+    chances = marginals(nodes, model)
+    kept = [i for i, n in enumerate(nodes) if n.text and chances[i] >= 0.5]
+    return "\n".join(nodes[i].text for i in kept or unopposed(nodes, model))
+
+
+def unopposed(nodes: list[Node], model: Model) -> list[int]:
+    """The runs of text that no tag, class word or links around them speak against; for pages without anything else."""
+    against = [False]
+    for node in nodes[1:]:
+        known = [model.emit[f] for f in node.features if f in model.emit and f[0] == "."]
+        named = bool(node.features) and node.features[0].split("|")[0] in BESIDE
+        against.append(against[node.parent] or named or any(a > 3 * b for a, b in known) or "©" in node.features or bool(node.text) and 2 * node.linked > len(node.text))
+    return [i for i, n in enumerate(nodes) if n.text and not against[i]]
 
 
 def extract(pages: DataFrame, model: Model | None = None, html_col: str = "html", out_col: str = "text") -> DataFrame:

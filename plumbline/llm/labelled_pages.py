@@ -16,6 +16,7 @@ SIDES = ["sidebar", "side", "widget", "related", "related-posts", "recent-posts"
 NOTICES = ["cookie", "cookie-notice", "consent", "gdpr", "alert", "notice", "cookie-banner", "popup", "modal", "newsletter", "subscribe", "promo", "signup", "paywall", "disclaimer"]
 ADVERTS = ["ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "ad-slot", "banner-ad", "adsbox", "promoted", "google-ad"]
 COMMENTS = ["comments", "comment", "comment-list", "discussion", "responses", "disqus", "replies", "reader-comments", "comment-body"]
+ONE_COMMENT = [*COMMENTS, "post", "entry", "message", "reply", "item", "text", "body", "content"]
 SHARES = ["share", "social", "social-links", "share-buttons", "follow-us"]
 WRAPPERS = ["wrapper", "container", "page", "row", "col", "layout", "inner", "grid", "site"]
 
@@ -37,6 +38,14 @@ class Writer:
         opening = tag if tag in tags and self.rng.random() < 0.6 else self.named(names, tag)
         return f"<{opening}{label}>{inner}</{tag}>"
 
+    def unknown(self) -> str:
+        """A class that tells nothing: invented, or one of a builder's."""
+        return "".join(self.rng.choice("abcdefghikmnoprtuxz") for _ in range(self.rng.randint(1, 9)))
+
+    def linking(self) -> str:
+        """A sentence with links in it."""
+        return " ".join(f'{self.words(1, 9, False)} <a href="/z">{self.words(1, 4, False)}</a>' for _ in range(self.rng.randint(1, 4))) + f" {self.words(1, 6)}"
+
     def links(self, n: int) -> str:
         items = [f'<a href="/{i}">{self.words(1, 4, stop=False)}</a>' for i in range(n)]
         return "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" if self.rng.random() < 0.7 else " | ".join(items)
@@ -45,7 +54,7 @@ class Writer:
         return f"<form{self.rng.choice(['', ' class=search', ' id=subscribe'])}><label>{self.words(1, 6, False)}</label><input name=q>{self.rng.choice(['<p>' + self.words(4, 14) + '</p>', ''])}</form>"
 
     def comments(self) -> str:
-        one = lambda: f'<{self.named(COMMENTS)}><p>{self.words(3, 40)}</p></div>' if self.rng.random() < 0.7 else f"<p>{self.words(3, 40)}</p>"
+        one = lambda: f'<{self.named(ONE_COMMENT)}><p>{self.words(3, 40)}</p></div>' if self.rng.random() < 0.7 else f"<p>{self.words(3, 40)}</p>"
         head = f"<h{self.rng.choice('23')}>{self.words(1, 2, False)}</h3>" if self.rng.random() < 0.6 else ""
         return self.part(["section"], COMMENTS, head + "".join(one() for _ in range(self.rng.randint(1, 5))))
 
@@ -63,13 +72,16 @@ class Writer:
 
     def paragraph(self) -> str:
         r, w = self.rng.random(), self.words
-        if r < 0.72:
+        if r < 0.1:
+            return f"<p>{self.linking()}</p>"
+        if r < 0.66:
             link = f' <a href="/y">{w(1, 3, False)}</a> ' if self.rng.random() < 0.2 else " "
-            return f"<p>{self.rng.choice(['', '', '<b>'])}{w(3, 60)}{link}{w(2, 60) if self.rng.random() < 0.7 else ''}" + self.rng.choice(["</p>", "</p>", "<br>"])
-        if r < 0.8:
+            return f"<p>{self.rng.choice(['', '', '<b>'])}{w(*self.rng.choice([(1, 3), (1, 6), (3, 60), (3, 60), (30, 120)]), self.rng.random() < 0.8)}{link}{w(2, 60) if self.rng.random() < 0.6 else ''}" + self.rng.choice(["</p>", "</p>", "<br>"])
+        if r < 0.74:
             return f"<h{(k := self.rng.choice('234'))}>{w(1, 8, False)}</h{k}>"
         if r < 0.86:
-            return f"<{(k := self.rng.choice(['ul', 'ol']))}>" + "".join(f"<li>{w(2, 15, self.rng.random() < 0.5)}</li>" for _ in range(self.rng.randint(2, 5))) + f"</{k}>"
+            item = lambda: w(*self.rng.choice([(1, 3), (2, 6), (4, 25)]), self.rng.random() < 0.4)
+            return f"<{(k := self.rng.choice(['ul', 'ol']))}>" + "".join(f"<li>{item()}</li>" for _ in range(self.rng.randint(2, 8))) + f"</{k}>"
         if r < 0.9:
             return f"<blockquote><p>{w(5, 40)}</p></blockquote>"
         if r < 0.93:
@@ -99,11 +111,25 @@ class Writer:
         body = [self.paragraph() for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 12, 20]))]
         for _ in range(rng.choice([0, 0, 0, 1, 2])):
             body.insert(rng.randint(0, len(body)), self.within())
+        if rng.random() < 0.25:  # a wrapper that tells nothing, or none
+            inner = f'{title}{"".join(body)}'
+            if rng.random() < 0.6:
+                return f'<div {rng.choice(["class", "id"])}="{self.unknown()}" data-main="1">{inner}</div>'
+            return f'<div data-main="1">{inner}</div>'
         tag, opening = rng.choice([("article", "article"), ("article", "article"), ("main", "main"), ("div", self.named(ARTICLES)), ("div", self.named(ARTICLES)), ("section", self.named(ARTICLES, "section")), ("article", self.named(ARTICLES, "article"))])
         return f'<{opening} data-main="1">{title}{"".join(body)}</{tag}>'
 
+    def bare_page(self) -> str:
+        """A page that is its text: no wrapper, and hardly anything around it."""
+        blocks = self.rng.choice([[self.words(2, 60)], [f"<p>{self.words(1, 20)}</p>"], [f"<h1>{self.words(1, 8, False)}</h1>", *(self.paragraph() for _ in range(self.rng.randint(1, 6)))], [self.paragraph() for _ in range(self.rng.randint(1, 6))]])
+        around = [x.replace(" ", ' data-main="0" ', 1) if x.find(" ") < x.find(">") else x.replace(">", ' data-main="0">', 1) for x in (self.part(["nav"], MENUS, self.links(4)), self.part(["footer"], FEET, self.links(3)))]
+        before, behind = ((around[0] if self.rng.random() < 0.3 else ""), (around[1] if self.rng.random() < 0.3 else ""))
+        return f'<html><body data-main="1">{before}{"".join(blocks)}{behind}</body></html>'
+
     def page(self) -> str:
         rng = self.rng
+        if rng.random() < 0.12:
+            return self.bare_page()
         before = [self.part(["nav"], MENUS, self.links(rng.randint(3, 8)))] if rng.random() < 0.9 else []
         if rng.random() < 0.5:
             before.insert(rng.randint(0, len(before)), self.part(["header"], HEADS, self.rng.choice([f"<h1>{self.words(1, 4, False)}</h1><p>{self.words(2, 10)}</p>", f"<a href=/>{self.words(1, 3, False)}</a>", self.words(1, 8)])))
@@ -118,6 +144,6 @@ class Writer:
         return f"<!DOCTYPE html><html><head><title>{self.words(2, 9)}</title></head><body>{''.join(before)}{middle}{''.join(behind)}</body></html>"
 
 
-def pages(n: int = 600, seed: int = 10) -> Iterator[str]:
+def pages(n: int = 1200, seed: int = 10) -> Iterator[str]:
     for i in range(n):
         yield Writer(seed * 1_000_003 + i).page()
