@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.llm.common import NO_ID, Scratch, free_name, row_key, saved
+from plumbline.llm.common import NO_ID, Scratch, free_name, row_key, saved, with_flag
 
 WINDOW = 3
 
@@ -55,9 +55,10 @@ def removed_lines(docs: DataFrame, text_col: str = "text", width: int = WINDOW)
 def dedup(docs: DataFrame, text_col: str = "text", width: int = WINDOW, report: bool = False) -> DataFrame:
     """docs with the repeated lines taken out of text_col; with report, also n_lines and n_removed, in the place of
     columns of these names."""
-    key, removed, cut = free_name(docs, "row_key", "removed", "cut")
+    key, removed, cut, maybe = free_name(docs, "row_key", "removed", "cut", "maybe_cut")
     gone = removed_lines(docs, text_col, width).select(F.col("key").alias(key), F.col("removed").alias(removed))
-    rows = docs.withColumn(key, row_key(text_col=text_col)).join(gone, key, "left")
+    rows = with_flag(docs.withColumn(key, row_key(text_col=text_col)), key, gone.select(key), maybe)  # other texts stay where they lie
+    rows = rows.where(maybe).drop(maybe).join(gone, key, "left").unionByName(rows.where(~F.col(maybe)).drop(maybe), allowMissingColumns=True)
     lines = lines_of(text_col)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(removed))
     text = F.when(F.col(removed).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
