@@ -139,7 +139,7 @@ def texts(docs: DataFrame, mixed: Mix, source_col: str = "source") -> DataFrame:
     key, doc, start, length, size = free_name(docs, "mix_key", "mix_doc", "mix_start", "mix_length", "mix_size")
     passes = mixed.schedule.groupBy("key", "copy", "epoch").agg(F.min("start").alias("start"), F.sum("length").alias("length"))
     passes = passes.join(mixed.documents.select("key", "size"), "key").select(F.col("key").alias(key), F.col("start").alias(start), F.col("length").alias(length), F.col("size").alias(size))
-    rows = docs.withColumn(key, document_key(source_col)).groupBy(key).agg(F.first(F.struct(*(docs[c] for c in docs.columns))).alias(doc))
+    rows = docs.withColumn(key, document_key(source_col)).groupBy(key).agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*(c for c in docs.columns if c != "text")))).alias(doc))
     rows = rows.join(passes, key).select(f"{doc}.*", start, length, size)
     part = F.expr(rf"array_join(slice(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0), cast({start} + 1 as int), cast({length} as int)), ' ')")
     text = F.when(F.col(length) == F.col(size), F.col("text")).otherwise(part)

@@ -547,5 +547,6 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     marked = with_flag(docs.withColumn(key, row_key()), key, others.select(key), maybe)
     asked = marked.where(F.col(maybe)).join(others, key, "left")
     whole = marked.where(~F.col(maybe)).select(*docs.columns).unionByName(asked.where(F.col(stays).isNull()).select(*docs.columns))
-    repeated = asked.where(F.col(stays)).groupBy(key).agg(F.first(F.struct(*docs.columns)).alias(doc)).select(f"{doc}.*")
+    order = F.to_json(F.struct(*(c for c in docs.columns if c != "text")))  # the texts are equal
+    repeated = asked.where(F.col(stays)).groupBy(key).agg(F.min_by(F.struct(*docs.columns), order).alias(doc)).select(f"{doc}.*")
     return whole.unionByName(repeated)
