@@ -235,6 +235,6 @@ def test_draw_follows_the_target(spark):
 def test_cosines_of_very_large_and_small_components(spark):
     from plumbline.llm import ann
 
-    rows = [(0, [1.0, 0.0]), (1, [1e-200, 0.0]), (2, [1e200, 1e200]), (3, [0.0, -3.0]), (4, [5e-324, 0.0]), (5, [1.7e308, 1.7e308]), (6, [0.0, 0.0])]
+    rows = [(0, [1.0, 0.0]), (1, [1e-200, 0.0]), (2, [2.0**600, 2.0**600]), (3, [0.0, -3.0]), (4, [5e-324, 0.0]), (5, [2.0**1023, 2.0**1023]), (6, [0.0, 0.0])]
     found = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=5).collect()
     assert [(r.vec_id, round(r.score, 12)) for r in sorted(found, key=lambda r: r["rank"])] == [(1, 1.0), (4, 1.0), (2, round(0.5**0.5, 12)), (5, round(0.5**0.5, 12)), (3, 0.0)]
