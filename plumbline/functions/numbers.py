@@ -101,6 +101,17 @@ def grim(mean: Column, n: Column, items: Column, whole: Column) -> Column:
     return F.struct(F.when(reason.isNotNull(), "could_not_check").when(lo <= hi, "consistent").otherwise("inconsistent").alias("verdict"), reason.alias("reason"))
 
 
+def grim_percent(percent: Column, n: Column) -> Column:
+    """Can a share of n whole cases print as this percentage? struct(verdict, reason); uninformative where every print
+    can, that is from as many cases as there are prints."""
+    p, parts = measured(percent), n.cast("decimal(18,0)")
+    lo, hi = F.ceil(p["lo"].cast("decimal(20,8)") * parts / 100), F.floor(p["hi"].cast("decimal(20,8)") * parts / 100)
+    unit = F.pow(F.lit(10.0), decimals(percent).cast("double") + 2)
+    reason = F.when(p.isNull() | n.isNull() | (n <= 0) | (p["hi"] < 0) | (p["lo"] > 100), "invalid_input").when(parts >= unit, "uninformative")
+    possible = F.greatest(lo, F.lit(0)) <= F.least(hi, parts)
+    return F.struct(F.when(reason.isNotNull(), "could_not_check").when(possible, "consistent").otherwise("inconsistent").alias("verdict"), reason.alias("reason"))
+
+
 def estimate_in_interval(estimate: Column, low: Column, high: Column) -> Column:
     """The estimate against its interval: consistent, concern where its negation or reciprocal is inside, else not."""
     e, lo, hi = measured(estimate), measured(low)["lo"], measured(high)["hi"]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from plumbline.operators.filters import maybe_in
@@ -122,3 +125,49 @@ def placed_passages(sections: DataFrame, passages: DataFrame) -> DataFrame:
     folded = F.aggregate("sections", F.array().cast("array<struct<idx:bigint,section:bigint,place:int>>"), through)
     found = mine.join(both, ["doc", "kind"]).select("doc", "kind", F.inline(folded))
     return passages.join(found, ["doc", "kind", "idx"], "left").select("doc", "idx", "kind", "section", "place")
+
+
+#: Characters of needles that are sought at once.
+NEEDLE_CHARS = 2_000_000
+
+
+def needle_hits(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """id, needle and at (from 0) of every place of every needle (needle, text) in texts (id, text), overlapping ones too.
+
+    The needles are a stated set: they come to the driver a partition at a time, in blocks of at most NEEDLE_CHARS, and
+    each block is one automaton that goes over every text once, however many needles it holds. Null and empty needles are
+    nowhere; needles that are equal are found each under its own number."""
+    import ahocorasick
+    import pyarrow as pa
+
+    def blocks() -> Iterator[dict[str, list[int]]]:
+        block: dict[str, list[int]] = {}
+        size = 0
+        for row in needles.where("text is not null and text <> ''").select(F.col("needle").cast("long").alias("needle"), "text").toLocalIterator():
+            if block and size + len(row.text) > NEEDLE_CHARS:
+                yield block
+                block, size = {}, 0
+            block.setdefault(row.text, []).append(row.needle)
+            size += len(row.text)
+        if block:
+            yield block
+
+    def seek(block: dict[str, list[int]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = ahocorasick.Automaton()
+            for text, numbers in block.items():
+                automaton.add_word(text, (len(text), numbers))
+            automaton.make_automaton()
+            for batch in batches:
+                found: tuple[list, list, list] = ([], [], [])
+                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    for end, (length, numbers) in automaton.iter(text or ""):
+                        for n in numbers:
+                            for column, value in zip(found, (key, n, end - length + 1), strict=True):
+                                column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["id", "needle", "at"])
+
+        return texts.select(F.col("id").cast("long"), "text").mapInArrow(run, "id long, needle long, at long")
+
+    found = [seek(b) for b in blocks()]
+    return reduce(DataFrame.unionByName, found) if found else texts.sparkSession.createDataFrame([], "id long, needle long, at long")

@@ -133,3 +133,11 @@ def changed_protected(old: DataFrame, new: DataFrame, key: str, columns: Sequenc
     rows = old.alias("o").join(new.alias("n"), key)
     names = F.filter(F.array(*(F.when(~F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")), F.lit(c)) for c in columns)), lambda x: x.isNotNull())
     return rows.select(key, names.alias("changed")).where(F.size("changed") > 0)
+
+
+def touching(edges: DataFrame, seeds: DataFrame, source: str = "source", target: str = "target", key: str = "id") -> DataFrame:
+    """The edges with a seed at either end, each once."""
+    asked = seeds.select(F.col(key).alias("__k")).distinct()
+    ends = edges.select(source, F.explode(F.array_distinct(F.array(source, target))).alias("__k"), F.struct(*edges.columns).alias("__e"))
+    hit = ends.join(asked, "__k", "left_semi").groupBy("__e").agg(F.count("*").alias("__n"))
+    return edges.join(hit.select(*(F.col(f"__e.{c}").alias(c) for c in edges.columns)), edges.columns, "left_semi")

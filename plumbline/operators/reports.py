@@ -240,3 +240,28 @@ def described_statistic(kind: Column, fields: Mapping[str, Column], section: Col
         .when(kind == "effect_size", F.concat(F.lit("effect size: "), f["name"], F.lit(" = "), f["value"])).when(kind == "significance_threshold", F.concat(F.lit("significance threshold p "), f["operator"], F.lit(" "), f["value"]))
     )
     return F.concat(text, where)
+
+
+def of_severity(findings: DataFrame, severity: str) -> DataFrame:
+    """The findings of one severity, in the order they have."""
+    return findings.where(F.col("severity") == severity)
+
+
+def lacking_effect_size(statistics: Column) -> Column:
+    """Of an array of statistics (is_threshold, effect_size_present, ...) those that report a result without an effect
+    size; a declared threshold reports none."""
+    return F.filter(statistics, lambda s: ~s["is_threshold"] & ~s["effect_size_present"])
+
+
+def thresholds(statistics: Column) -> Column:
+    return F.filter(statistics, lambda s: s["is_threshold"])
+
+
+def revisions_due(opinions: DataFrame, rounds: int = 3) -> DataFrame:
+    """opinions (debate, agent, answer, round, reconsidered) with contradicting, the peers of another answer, and due: an
+    agent reconsiders once, if a peer contradicts it and a round is left. Peers are counted by answer, never paired."""
+    by_answer = opinions.groupBy("debate", "answer").agg(F.count("*").alias("same"))
+    of_all = opinions.groupBy("debate").agg(F.count("*").alias("all"))
+    rows = opinions.join(by_answer, ["debate", "answer"]).join(of_all, "debate")
+    due = (F.col("all") > F.col("same")) & ~F.col("reconsidered") & (F.col("round") < rounds)
+    return rows.select(*opinions.columns, (F.col("all") - F.col("same")).alias("contradicting"), due.alias("due"))

@@ -12,6 +12,9 @@ from plumbline.operators.filters import maybe_in
 #: Queries that meet all rows at once, and numbers of their vectors that are broadcast at most; parts of a token's rows.
 BLOCK_QUERIES, BROADCAST_NUMBERS, WAYS = 256, 4_000_000, 8
 
+#: Ranges of ranks over which words are summed up.
+RANGES = 64
+
 
 def doubles(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
@@ -91,12 +94,23 @@ def only_space(rows: DataFrame, *columns: str) -> dict:
 
 
 def within_budget(ranked: DataFrame, budget: int, rank: str, words: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """The rows of each group, by rank, up to the first that would overrun the budget of words; the first always."""
-    w = W.partitionBy(*by).orderBy(rank)
-    rows = ranked.withColumn("used", F.sum(words).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    """The rows of each group, by rank (a number), up to the first that would overrun the budget of words; the first
+    always.
+
+    Words are first summed up over ranges of ranks, and only the ranges that begin within the budget go on, so that the
+    rows of a group are never put in order as a whole."""
+    key, part, start = "__g", "__part", "__start"
+    rows = ranked.withColumn(key, F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(by))) if by else F.lit(0))  # structs join where nulls meet
+    edges = rows.groupBy(key).agg(F.percentile_approx(rank, [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("__edges"))
+    parts = rows.join(edges, key).withColumn(part, F.size(F.filter("__edges", lambda e: e < F.col(rank)))).drop("__edges")
+    ahead = W.partitionBy(key).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    sums = parts.groupBy(key, part).agg(F.sum(words).alias("__words")).withColumn(start, F.coalesce(F.sum("__words").over(ahead), F.lit(0)))
+    open_parts = sums.withColumn("__most", F.max(start).over(ahead.rowsBetween(W.unboundedPreceding, W.currentRow))).where(F.col("__most") <= budget).select(key, part)
+    w = W.partitionBy(key).orderBy(rank)
+    rows = parts.join(open_parts, [key, part], "left_semi").withColumn("used", F.sum(words).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
     over = (F.col("used") > budget) & (F.row_number().over(w) > 1)
     rows = rows.withColumn("cut", F.max(over.cast("int")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return rows.where("cut = 0").drop("cut")
+    return rows.where("cut = 0").drop("cut", key, part)
 
 
 def budget_words(tokens: Column, words_per_token: float = 0.767) -> Column:
@@ -148,6 +162,29 @@ def hash_embed(df: DataFrame, text_col: str, out_col: str = "vector", dim: int =
     return df.withColumn(out_col, embed(text_col))
 
 
+def stored(store: DataFrame, new: DataFrame, space: str) -> DataFrame:
+    """store (id, space, vector) with new vectors (id, vector) of a space put in, in place of those of the same id and
+    space. Vectors of other spaces stay, as they are not comparable."""
+    coming = new.select("id", F.lit(space).alias("space"), "vector")
+    return store.join(coming, ["id", "space"], "left_anti").select("id", "space", "vector").unionByName(coming)
+
+
+def fetched(store: DataFrame, ids: DataFrame, space: str) -> DataFrame:
+    """id, vector and found for each of the ids, in one space."""
+    held = store.where(F.col("space") == space).select("id", "vector")
+    return ids.select("id").join(held, "id", "left").withColumn("found", F.col("vector").isNotNull())
+
+
+def cross_similarity(chunks: DataFrame, first: int = 12) -> DataFrame:
+    """doc_a, doc_b, pairs, best and mean cosine between the first chunks (doc, seq, vector) of each two documents, doc_a
+    before doc_b. Every two documents are compared, so the work grows with their square: it is a study of a few
+    documents, `first` chunks of each; those beyond are not read, as they are beyond the study."""
+    some = chunks.withColumn("nth", F.row_number().over(W.partitionBy("doc").orderBy("seq"))).where(F.col("nth") <= first).select("doc", "vector")
+    a, b = some.select(F.col("doc").alias("doc_a"), F.col("vector").alias("a")), some.select(F.col("doc").alias("doc_b"), F.col("vector").alias("b"))
+    score = a.join(b, F.col("doc_a") < F.col("doc_b")).select("doc_a", "doc_b", cosine(F.col("a"), F.col("b")).alias("s"))
+    return score.groupBy("doc_a", "doc_b").agg(F.count("*").alias("pairs"), F.max("s").alias("best"), F.avg("s").alias("mean"))
+
+
 def to_blob(v: Column) -> Column:
     """A vector as little-endian 32-bit floats."""
     import numpy as np

@@ -400,3 +400,42 @@ def request_gate(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events").select(F.col("user_id").alias("key"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.when(F.col("event_type") == "click", "open").when(F.col("event_type") == "view", "held").when(F.col("event_type") == "purchase", "done").alias("to"))
     rules = gate.Rules(capacity=1e9, rate=1.0, limit=5, first="new", moves={"new": ("open",), "open": ("held", "done"), "held": ("open",)})
     return gate.decided(events, rules, int(spark.conf.get("spark.sql.shuffle.partitions"))).select("key", "event_id", "granted", "quota_remaining", "accepted", "status")
+
+
+# Needles and vectors
+
+
+@query("""
+WITH n AS (SELECT item_id AS needle, substr(text, 3, 4 + item_id % 5) AS t FROM benchmark),
+p AS (SELECT doc_id AS id, needle, t, text, unnest(generate_series(0, length(text) - length(t))) AS place FROM documents JOIN n ON contains(text, t))
+SELECT id, needle, count(*) AS hits, min(place) AS first, max(place) AS last FROM p WHERE substr(text, place + 1, length(t)) = t GROUP BY ALL
+""")
+def needle_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Where short pieces of benchmark items stand in documents, inside words too."""
+    needles = table(spark, d, "benchmark").select(F.col("item_id").alias("needle"), F.substr("text", F.lit(3), (F.col("item_id") % 5 + 4).cast("int")).alias("text"))
+    found = locate.needle_hits(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), needles)
+    return found.groupBy("id", "needle").agg(F.count("*").alias("hits"), F.min("at").alias("first"), F.max("at").alias("last"))
+
+
+@query("""
+SELECT vec_id + 1 AS id, CASE WHEN vec_id % 3 = 1 THEN round(-embedding[1]::DOUBLE, 6) WHEN vec_id % 4 = 0 THEN NULL ELSE round(embedding[1]::DOUBLE, 6) END AS first, NOT (vec_id % 3 <> 1 AND vec_id % 4 = 0) AS found FROM embeddings
+""")
+def vector_store(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors put into a space of a store, some in place of others, and fetched by id."""
+    k = F.col("vec_id")
+    v = table(spark, d, "embeddings").select((k + 1).alias("id"), "vec_id", F.col("embedding").alias("vector"))
+    store = v.where(k % 4 > 0).select("id", F.lit("a").alias("space"), "vector").unionByName(v.select("id", F.lit("b").alias("space"), F.slice("vector", 2, 3).alias("vector")))
+    after = vector.stored(store, v.where(k % 3 == 1).select("id", F.transform("vector", lambda x: -x).alias("vector")), "a")
+    found = vector.fetched(after, v, "a")
+    return found.select("id", F.round(F.get("vector", F.lit(0)).cast("double"), 6).alias("first"), "found")
+
+
+@query("""
+WITH c AS (SELECT label AS doc, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 4)
+SELECT a.doc AS doc_a, b.doc AS doc_b, count(*) AS pairs, round(max(list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v))), 9) AS best, round(avg(list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v))), 9) AS mean
+FROM c a JOIN c b ON a.doc < b.doc GROUP BY ALL
+""")
+def cross_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """The first four vectors of each label against those of every other: a study of as many documents as there are labels."""
+    found = vector.cross_similarity(table(spark, d, "embeddings").select(F.col("label").alias("doc"), F.col("vec_id").alias("seq"), F.col("embedding").alias("vector")), 4)
+    return found.select("doc_a", "doc_b", "pairs", F.round("best", 9).alias("best"), F.round("mean", 9).alias("mean"))

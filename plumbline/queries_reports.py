@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.functions import reported
-from plumbline.operators import biblio as library, bindings, reports, stats
+from plumbline.functions import numbers, reported
+from plumbline.operators import biblio as library, bindings, relational as rel, reports, stats
 from plumbline.registry import query, table
 from plumbline.sources import tables
 
@@ -360,3 +360,44 @@ def lowest_free_keys(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     rows = table(spark, d, "part").select(k.alias("id"), F.concat(F.lit("k"), F.floor(k / 4).cast("string"), F.when(k % 4 == 1, "-2").otherwise("")).alias("key"))
     return library.decollided(rows, "key", "id")
+
+
+@query("""
+WITH o AS (SELECT user_id AS debate, event_id AS agent, event_type AS answer, event_id % 4 AS round, event_id % 5 = 0 AS reconsidered FROM events),
+c AS (SELECT *, count(*) OVER (PARTITION BY debate) - count(*) OVER (PARTITION BY debate, answer) AS contradicting FROM o)
+SELECT *, contradicting > 0 AND NOT reconsidered AND round < 3 AS due FROM c
+""")
+def revisions_due(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    opinions = table(spark, d, "events").select(F.col("user_id").alias("debate"), k.alias("agent"), F.col("event_type").alias("answer"), (k % 4).alias("round"), (k % 5 == 0).alias("reconsidered"))
+    return reports.revisions_due(opinions)
+
+
+@query("""
+SELECT o_orderkey, o_orderkey % 3 AS lacking, o_orderkey % 2 AS thresholds FROM orders WHERE o_orderpriority = '1-URGENT'
+""")
+def severe_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Findings of one severity with the statistics that lack an effect size, and declared thresholds."""
+    one = lambda threshold, effect: F.struct(F.lit(threshold).alias("is_threshold"), F.lit(effect).alias("effect_size_present"))
+    k = F.col("o_orderkey")
+    some = F.concat(F.array_repeat(one(False, False), (k % 3).cast("int")), F.array_repeat(one(True, False), (k % 2).cast("int")), F.array(one(False, True)))
+    found = reports.of_severity(table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("severity"), some.alias("statistics")), "1-URGENT")
+    return found.select("o_orderkey", F.size(reports.lacking_effect_size(F.col("statistics"))).alias("lacking"), F.size(reports.thresholds(F.col("statistics"))).alias("thresholds"))
+
+
+@query("SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem WHERE l_linenumber = 1 AND (l_partkey % 50 = 0 OR l_suppkey % 50 = 0)")
+def touching_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges from parts to suppliers with a seed at either end."""
+    edges = table(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_partkey", "l_suppkey")
+    seeds = table(spark, d, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("id")).union(table(spark, d, "supplier").where("s_suppkey % 50 = 0").select("s_suppkey"))
+    return rel.touching(edges, seeds, "l_partkey", "l_suppkey")
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS k, p_size AS n, (p_partkey * 37 % 1000 / 10.0)::DECIMAL(10,1) AS pc FROM part)
+SELECT k, n, CASE WHEN n >= 1000 THEN 'could_not_check' WHEN greatest(ceil((pc - 0.05) * n / 100), 0) <= least(floor((pc + 0.05) * n / 100), n) THEN 'consistent' ELSE 'inconsistent' END AS verdict FROM p
+""")
+def grim_percentages(spark: SparkSession, d: str) -> DataFrame:
+    """Can a share of so many cases print as this percentage?"""
+    pc = (F.col("p_partkey") * 37 % 1000 / 10.0).cast("decimal(10,1)").cast("string")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("n"), numbers.grim_percent(pc, F.col("p_size"))["verdict"].alias("verdict"))

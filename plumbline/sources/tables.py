@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 # What the formats are called, and the caps of a table.
 SEPARATORS = {"csv": ",", "tsv": "\t"}
-CAPS = {"rows": 5_000, "columns": 128, "cell_chars": 512, "file_bytes": 10 * 2**20}
+CAPS = {"rows": 5_000, "columns": 128, "cell_chars": 512, "file_bytes": 10 * 2**20, "cell_bytes": 2 * 2**20}
 
 # Signs at which a spreadsheet takes a text for a formula.
 FORMULA_STARTS = r"^[=+\-@\t\r']"
@@ -28,15 +29,29 @@ def read_table(spark: SparkSession, path: str, caps: dict[str, int] | None = Non
     kind = path.rsplit(".", 1)[-1].lower()
     if kind not in SEPARATORS:
         raise Refused("unsupported_format")
+    try:
+        size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+    except AnalysisException as error:
+        raise Refused("not_readable") from error
+    if caps and size and size > caps["file_bytes"]:
+        raise Refused("file_too_large")
     df = spark.read.csv(path, sep=SEPARATORS[kind], header=True, inferSchema=False, multiLine=True, escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     if not df.columns:
         raise Refused("no_table")
+    if any(not c.strip() for c in df.columns):
+        raise Refused("no_columns")
     if caps:
         if len(df.columns) > caps["columns"]:
             raise Refused("too_wide")
-        if df.limit(caps["rows"] + 1).count() > caps["rows"]:
+        cells = [F.col(f"`{c}`") for c in df.columns]
+        wrong, most, n = df.limit(caps["rows"] + 1).agg(F.bool_or(F.concat_ws("", *cells).contains("\ufffd")), F.max(F.greatest(*(F.coalesce(F.octet_length(c), F.lit(0)) for c in (*cells, F.lit(""))))), F.count("*")).first()
+        if wrong or any("\ufffd" in c for c in df.columns):
+            raise Refused("encoding_not_utf8")
+        if n > caps["rows"]:
             raise Refused("too_large")
-        df = df.select(*(F.substring(F.col(f"`{c}`"), 1, caps["cell_chars"]).alias(c) for c in df.columns))
+        if (most or 0) > caps["cell_bytes"]:
+            raise Refused("content_too_large")
+        df = df.select(*(F.substring(c, 1, caps["cell_chars"]).alias(name) for c, name in zip(cells, df.columns, strict=True)))
     return df
 
 

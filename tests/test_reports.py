@@ -3,13 +3,14 @@
 import hashlib
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline import queries_claims, queries_records, queries_reports
-from plumbline.functions import reported, symbolic
-from plumbline.operators import bindings, reports, stats
+from plumbline.functions import numbers, places, reported, symbolic
+from plumbline.operators import bindings, locate, relational as reports_rel, reports, stats, vector
 from plumbline.queries import ORACLES, QUERIES
 from plumbline.sources import tables
 
@@ -125,3 +126,68 @@ def test_t_test_lines_and_manifest(spark):
 def test_unequal_quotients_differ_without_a_witness(monkeypatch):
     monkeypatch.setattr(symbolic, "points", lambda names: iter(()))
     assert symbolic.compared("a", "a + 1") == ("differs", None)
+
+
+def test_needles(spark, monkeypatch):
+    texts = [(1, "aaaa bb 😀aa"), (2, None), (3, ""), (4, "xbbx")]
+    needles = [(1, "aa"), (2, "bb"), (3, "😀"), (4, ""), (5, None), (6, "aa"), (7, "zz")]
+    t, n = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(needles, "needle long, text string")
+    want = sorted((i, k, at) for i, x in texts for k, y in needles if x and y for at in range(len(x)) if x.startswith(y, at))
+    for chars in (1, 10**6):
+        monkeypatch.setattr(locate, "NEEDLE_CHARS", chars)
+        assert sorted(map(tuple, locate.needle_hits(t, n).collect())) == want
+    assert locate.needle_hits(t, n.limit(0)).count() == 0 and locate.needle_hits(t.limit(0), n).count() == 0
+
+
+def test_budget_takes_rows_up_to_the_first_overrun(spark):
+    rng = random.Random(3)
+    rows = [(g, i, rng.choice([0, 1, 5, 40])) for g, n in (("a", 500), (None, 300), ("b", 1), ("c", 7)) for i in range(n)] + [("d", 5, 999), ("d", 6, 1)]
+    want = set()
+    for g in {r[0] for r in rows}:
+        used = 0
+        for k, (_, i, w) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: r[1])):
+            used += w
+            if used > 100 and k:
+                break
+            want.add((g, i))
+    df = spark.createDataFrame(rows, "g string, r long, w long")
+    assert {(x.g, x.r) for x in vector.within_budget(df, 100, "r", "w", ("g",)).collect()} == want
+    assert vector.within_budget(df.where("g = 'a'"), 0, "r", "w").count() >= 1 and vector.within_budget(df.limit(0), 5, "r", "w", ("g",)).count() == 0
+
+
+@pytest.mark.parametrize(("percent", "n", "verdict"), [("33.3", 3, "consistent"), ("33.4", 3, "inconsistent"), ("50", 7, "inconsistent"), ("57", 7, "consistent"), ("100", 7, "consistent"), ("0.0", 7, "consistent"), ("50.0", 1000, "could_not_check"), ("x", 5, "could_not_check"), ("120", 5, "could_not_check"), ("12.5", 0, "could_not_check")])
+def test_grim_of_percentages(spark, percent, n, verdict):
+    df = spark.createDataFrame([(percent, n)], "p string, n long")
+    assert df.select(numbers.grim_percent(F.col("p"), F.col("n"))["verdict"]).first()[0] == verdict
+
+
+def test_touching_edges_of_both_ends_come_once(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 1), (3, 3), (4, 5), (1, 1), (None, 1), (6, None)], "source long, target long")
+    found = reports_rel.touching(edges, spark.createDataFrame([(1,), (1,), (3,)], "id long"))
+    assert set(map(tuple, found.collect())) >= {(1, 2), (2, 1), (3, 3), (1, 1)} and found.where("source in (4, 6)").count() == 0 and found.count() <= 5
+
+
+def test_lines_logs_and_units(spark, tmp_path):
+    lines = spark.createDataFrame([("a,b",)], "line string")
+    tables.write_lines(lines, str(tmp_path / "l"), header="h")
+    raw = b"".join(sorted(p.read_bytes() for p in (tmp_path / "l").glob("part-*")))
+    assert raw == b"a,b\r\nh\r\n" or raw == b"h\r\na,b\r\n"
+    for i in range(2):
+        tables.append_log(spark.createDataFrame([(i,)], "i long"), str(tmp_path / "log"))
+    assert {r.i for r in spark.read.json(str(tmp_path / "log")).collect()} == {0, 1}
+    df = spark.createDataFrame([("a😀b",)], "t string")
+    assert [df.select(places.to_utf16(F.lit(i), places.astral_places(F.col("t")))).first()[0] for i in range(4)] == [0, 1, 3, 4]
+    found = reported.manuscript_rules(spark.createDataFrame([(1, "t", None, "i", 3), (2, "F", "d", None, 3), (3, "t", "d", "i", 2)], "doc_id long, family string, effect_size string, interval string, groups int"))
+    assert sorted((r.doc_id, r.finding) for r in found.collect()) == [(1, "missing_effect_size"), (1, "test_group_mismatch"), (2, "missing_interval")]
+
+
+@pytest.mark.parametrize(("name", "content", "caps", "code"), [
+    ("x.xls", b"a\n1\n", {}, "unsupported_format"), ("none.csv", None, {}, "not_readable"), ("x.csv", b"a\n" + b"1\n" * 50, {"file_bytes": 20}, "file_too_large"), ("x.csv", b"a,b,c\n1,2,3\n", {"columns": 2}, "too_wide"),
+    ("x.csv", b"a\n1\n2\n3\n", {"rows": 2}, "too_large"), ("x.csv", b"a\n" + b"y" * 90 + b"\n", {"cell_bytes": 80}, "content_too_large"), ("x.csv", b"a\n\xff\xfe\n", {}, "encoding_not_utf8"), ("x.csv", b"", {}, "no_table"),
+])
+def test_tables_that_are_refused(spark, tmp_path, name, content, caps, code):
+    if content is not None:
+        (tmp_path / name).write_bytes(content)
+    with pytest.raises(tables.Refused) as refused:
+        tables.read_table(spark, str(tmp_path / name), tables.CAPS | caps)
+    assert refused.value.code == code
