@@ -24,16 +24,16 @@ RANGES, TINY = 64, 2.2250738585072014e-308
 def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A row for each column: SUMMARY and reason. sd has n - 1 and is null below two values; quartiles are type 7.
 
-    One wide aggregate gives all but the quartiles, and brackets for these; a second counts what lies below each bracket,
-    a third puts in order what lies within. The driver sees one row of each, and two values a quartile and column."""
+    One wide aggregate gives all but sd and the quartiles, and brackets for these; a second counts what lies below each
+    bracket and squares about the minimum, a third puts in order what lies within. The driver sees one row of each, and two values a quartile and column."""
     shares = (0.25, 0.5, 0.75)
     eps = 2 / quantiles.ACCURACY
     rows = df.select(*(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)))
-    each = {"n": F.count, "missing": lambda x: F.count_if(F.col(x).isNull()), "mean": F.avg, "sd": F.stddev_samp, "min": F.min, "max": F.max, "ends": lambda x: F.percentile_approx(x, [s + side * eps for s in shares for side in (-1, 1)], quantiles.ACCURACY)}
+    each = {"n": F.count, "missing": lambda x: F.count_if(F.col(x).isNull()), "mean": F.avg, "min": F.min, "max": F.max, "ends": lambda x: F.percentile_approx(x, [s + side * eps for s in shares for side in (-1, 1)], quantiles.ACCURACY)}
     first = rows.agg(*(f(f"x{i}").alias(f"{name}{i}") for i in range(len(columns)) for name, f in each.items())).first()
     known = [i for i in range(len(columns)) if first[f"n{i}"]]
     bracket = {(i, k): (first[f"ends{i}"][2 * k], first[f"ends{i}"][2 * k + 1]) for i in known for k in range(len(shares))}
-    beyond = []
+    beyond = [F.stddev_samp(F.col(f"x{i}") - first[f"min{i}"]).alias(f"sd{i}") for i in known]  # about a shift, so that large offsets do not cancel
     for (i, k), (lo, hi) in bracket.items():
         x = F.col(f"x{i}")
         beyond += [F.count_if(x < lo).alias(f"below{i}_{k}"), F.max(F.when(x < lo, x)).alias(f"down{i}_{k}"), F.min(F.when(x > hi, x)).alias(f"up{i}_{k}")]
@@ -62,7 +62,7 @@ def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     for i, c in enumerate(columns):
         n, mean = first[f"n{i}"], first[f"mean{i}"]
         reason = "stats.desc.no_values" if not n else "stats.desc.single_value" if n == 1 else None if math.isfinite(mean) else "stats.desc.overflow"
-        out.append((c, n, first[f"missing{i}"], mean, first[f"sd{i}"] if n > 1 else None, first[f"min{i}"], *(quartile(i, k) if n else None for k in range(len(shares))), first[f"max{i}"], reason))
+        out.append((c, n, first[f"missing{i}"], mean, second[f"sd{i}"] if n > 1 else None, first[f"min{i}"], *(quartile(i, k) if n else None for k in range(len(shares))), first[f"max{i}"], reason))
     return df.sparkSession.createDataFrame(out, "column string, n long, missing long, mean double, sd double, min double, q1 double, median double, q3 double, max double, reason string")
 
 
