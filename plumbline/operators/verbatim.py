@@ -99,8 +99,9 @@ def shared_spans(docs: DataFrame, references: DataFrame | None = None, shingle:
     what each document repeats within itself, the earlier place first.
 
     Prints of documents that no reference has are dropped before anything is shuffled, and the postings of a print are
-    dealt out over WAYS tasks. Null and shorter texts share nothing. Ids must be distinct on either side; null ids take
-    no part."""
+    dealt out over WAYS tasks. A run of words that stands n times in one text and m times in the other makes n times m
+    seeds, as each pair of places is a span of its own. Null and shorter texts share nothing. Ids must be distinct on
+    either side; null ids take no part."""
     least = max(least or 0, shingle + window - 1)
     same = references is None
     known = docs.where("id is not null").select("id", "text")
