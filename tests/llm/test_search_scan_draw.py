@@ -216,7 +216,8 @@ def test_draw_against_hand(spark, docs, empty, percent, least, buckets, longest)
 
 def test_draw_with_one_score_for_all(spark):
     """Ties are cut by id: exact copies with one score, ids over the whole range of longs."""
-    ids = random.Random(2).sample(range(-(2**62), 2**62), 300)
+    rng = random.Random(2)
+    ids = sorted({rng.randint(-(2**62), 2**62) for _ in range(300)}, key=lambda i: i % 1009)
     scores = spark.createDataFrame([(i, 30, 30, 7, 7 if i % 3 else 8) for i in ids], "doc_id long, n_words long, n_features long, weight long, score long")
     cut = importance.cutoff(scores, 50, 20)
     found = {r.doc_id: r["rank"] for r in importance.ranked(scores.where(F.col("score") >= cut.least), cut).collect()}
@@ -227,7 +228,7 @@ def test_draw_with_one_score_for_all(spark):
 def test_draw_follows_the_target(spark):
     rng = random.Random(4)
     rows = [(i, prose(rng, 40)) for i in range(200)] + [(200 + i, " ".join(rng.choice(["wanted", "theme", "words"]) for _ in range(40))) for i in range(20)]
-    target = items_of(spark, [(0, "wanted theme words " * 20, "", "")])
+    target = items_of(spark, [(0, "wanted theme words " * 2000, "", "")])
     found = importance.resampled(frame(spark, rows), target, percent=5, least_words=20)
     assert all(r.doc_id >= 200 for r in found.collect()) and found.count() == 11
 
