@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from plumbline.functions import dist
 from plumbline.functions.checks import exclusion
@@ -43,7 +44,8 @@ def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     values: dict[tuple[int, int, int], float] = {}
     if bracket:
         cells = F.array(*(F.when(F.col(f"x{i}").between(lo, hi), F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), F.col(f"x{i}").alias("x"))) for (i, k), (lo, hi) in bracket.items()))
-        within = rows.select(F.inline(F.filter(cells, lambda c: c.isNotNull()))).groupBy("i", "k", "x").agg(F.count("*").alias("c"))
+        near = reduce(Column.__or__, (F.col(f"x{i}").between(lo, hi) for (i, _), (lo, hi) in bracket.items()))
+        within = rows.where(near).select(F.inline(F.filter(cells, lambda c: c.isNotNull()))).groupBy("i", "k", "x").agg(F.count("*").alias("c"))
         within = within.withColumn("upto", F.sum("c").over(W.partitionBy("i", "k").orderBy("x")))
         asked = df.sparkSession.createDataFrame([(i, k, at, at - second[f"below{i}_{k}"]) for i, k, low, high in wanted for at in {low, high}], "i int, k int, at long, nth long")
         found = within.join(F.broadcast(asked), ["i", "k"]).where((F.col("upto") > F.col("nth")) & (F.col("upto") - F.col("c") <= F.col("nth")))  # two rows a quartile and column
