@@ -251,7 +251,7 @@ def filtered_search(spark: SparkSession, d: str) -> DataFrame:
 WITH p AS (SELECT page_id, regexp_replace(url, '^http:', 'https:') AS url, page_id % 8 AS kind FROM pages),
 h AS (SELECT *, regexp_extract(url, '^https://([^/?#]*)', 1) AS host FROM p),
 e AS (SELECT * FROM h)
-SELECT page_id, CASE WHEN kind IN (0, 1) AND ok THEN 201 END AS start, CASE WHEN kind IN (0, 1) AND ok THEN 201 + length(url) END AS "end",
+SELECT page_id, CASE WHEN kind IN (0, 1) AND ok THEN 201 END AS start, CASE WHEN kind IN (0, 1) AND ok THEN 201 + length(url) END::INT AS "end",
        CASE WHEN NOT ok THEN NULL WHEN kind = 0 THEN 'code_points' WHEN kind = 1 THEN 'utf16' END AS unit,
        CASE WHEN kind = 5 THEN 'malformed' WHEN kind = 3 THEN 'not_https' WHEN kind = 4 THEN 'bad_host' WHEN NOT ok THEN 'domain_not_allowed'
             WHEN kind = 2 THEN 'range_does_not_name_source' WHEN kind = 6 THEN 'range_outside_text' WHEN kind = 7 THEN 'range_does_not_name_source' END AS reason
@@ -337,7 +337,7 @@ SELECT doc_id, round(CASE WHEN len(len) > 1 THEN sqrt(list_sum(list_transform(le
        round(CASE WHEN len(g) > 0 THEN 1 - len(list_distinct(g)) / len(g) END, 6) AS ngram_repetition,
        round(CASE WHEN len(w) > 0 THEN CASE WHEN len(list_filter(hits, lambda h: h > 0)) >= 2 THEN 100.0 * list_sum(hits) / len(w) ELSE 0 END END, 6) AS template_density,
        round(CASE WHEN len(w) > 0 AND NOT (coalesce(len(refs), 0) > 0 AND numbered + named = 0) THEN 1000.0 * (numbered + named) / len(w) END, 6) AS citation_density,
-       round(CASE WHEN numbered + named > 0 THEN greatest(numbered, named) / (numbered + named) END, 6) AS citation_style_consistency, CASE WHEN doc_id % 3 = 0 AND raw IS NOT NULL THEN 0.5 END AS doi_syntax_validity
+       round(CASE WHEN numbered + named > 0 THEN greatest(numbered, named) / (numbered + named) END, 6) AS citation_style_consistency, CASE WHEN doc_id % 3 = 0 AND raw IS NOT NULL THEN 0.5::DOUBLE END AS doi_syntax_validity
 FROM l
 """)
 def style_features(spark: SparkSession, d: str) -> DataFrame:
@@ -365,7 +365,7 @@ r AS (
     SELECT t.doc, t.kind, t.step, t.section, t.idx, t.text, r.used, CASE WHEN t.section = r.section THEN r.reached ELSE 0 END AS base,
            CASE WHEN strpos(substr(t.inside, CASE WHEN t.section = r.section THEN r.reached ELSE 0 END + 1), t.text) > 0 THEN CASE WHEN t.section = r.section THEN r.reached ELSE 0 END + strpos(substr(t.inside, CASE WHEN t.section = r.section THEN r.reached ELSE 0 END + 1), t.text) - 1 ELSE -1 END AS found
     FROM r JOIN t ON r.doc = t.doc AND r.kind = t.kind AND t.step = r.step + 1)))
-SELECT p.doc, p.idx, p.kind, r.section, r.place FROM p LEFT JOIN r ON p.doc = r.doc AND p.idx = r.idx
+SELECT p.doc, p.idx, p.kind, r.section::BIGINT AS section, r.place::INT AS place FROM p LEFT JOIN r ON p.doc = r.doc AND p.idx = r.idx
 """)
 def placed_passages(spark: SparkSession, d: str) -> DataFrame:
     """Passages of each document in and out of order, repeated and absent, among two sections of a kind and one of another."""

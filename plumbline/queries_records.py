@@ -214,7 +214,7 @@ def merged_lines(spark: SparkSession, d: str) -> DataFrame:
 def unit_vectors(spark: SparkSession, d: str) -> DataFrame:
     v = F.when(F.col("vec_id") % 9 == 0, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding"))
     rows = table(spark, d, "embeddings").select("vec_id", vector.unit(v).alias("u"))
-    return rows.select("vec_id", F.round(vector.dot(F.col("u"), F.col("u")), 6).alias("norm"), F.round(F.get("u", F.lit(0)), 6).alias("first"), F.size("u").alias("n"))
+    return rows.select("vec_id", F.round(vector.dot(F.col("u"), F.col("u")), 6).alias("norm"), F.round(F.get("u", F.lit(0)), 6).alias("first"), F.size("u").cast("long").alias("n"))
 
 
 # Text and labels
@@ -228,11 +228,11 @@ SELECT doc_id, round(CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: x IN
 """)
 def word_measures(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("doc_id", text.normal_words(F.col("text")).alias("w"))
-    return rows.select("doc_id", F.round(text.stopword_share(F.col("w"), ("the", "of", "de", "la")), 9).alias("stopwords"), F.round(text.distinct_ngram_share(F.col("w")), 9).alias("distinct_trigrams"), F.array_join(text.distinctive_terms(F.col("w"), 4), " ").alias("longest"), F.size(text.overlap(F.array_distinct("w"), F.array(*map(F.lit, ("the", "de", "und", "et"))))).alias("shared"))
+    return rows.select("doc_id", F.round(text.stopword_share(F.col("w"), ("the", "of", "de", "la")), 9).alias("stopwords"), F.round(text.distinct_ngram_share(F.col("w")), 9).alias("distinct_trigrams"), F.array_join(text.distinctive_terms(F.col("w"), 4), " ").alias("longest"), F.size(text.overlap(F.array_distinct("w"), F.array(*map(F.lit, ("the", "de", "und", "et"))))).cast("long").alias("shared"))
 
 
 @query("""
-SELECT p_partkey AS id, p_partkey % 4 < 2 AS is_total, CASE p_partkey % 3 WHEN 0 THEN 1234.5 WHEN 1 THEN 12.0 END::DOUBLE AS quantity, round(p_size - 3.5, 6) AS numbers, 'a' || p_size || '.png' AS image, 'model-' || p_size AS model FROM part
+SELECT p_partkey AS id, p_partkey % 4 < 2 AS is_total, CASE p_partkey % 3 WHEN 0 THEN 1234.5 WHEN 1 THEN 12.0 END::DOUBLE AS quantity, round((p_size - 3.5)::DOUBLE, 6) AS numbers, 'a' || p_size || '.png' AS image, 'model-' || p_size AS model FROM part
 """)
 def cell_measures(spark: SparkSession, d: str) -> DataFrame:
     size = F.col("p_size").cast("string")
@@ -325,7 +325,7 @@ def tails_in_closed_form(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH i AS (SELECT p_partkey AS k, p_size - 25.0 AS n, p_retailprice AS x, p_partkey % 40 / 10.0 - 2 AS y FROM part), v AS (SELECT k, n, x - 0.005 AS a, x + 0.005 AS b, y - 0.05 AS c, y + 0.05 AS d FROM i)
-SELECT k, round(n, 3) AS literal, round(-d, 3) AS negated, a <= n + 950 AND b >= n + 950 AS overlaps, CASE WHEN c <= 0 AND d >= 0 THEN 0 ELSE round(least(c * c, d * d), 4) END AS square_lo, round(greatest(c * c, d * d), 4) AS square_hi, c <= 0 AND d >= 0 AS no_quotient FROM v
+SELECT k, round(n::DOUBLE, 3) AS literal, round(-d, 3) AS negated, a <= n + 950 AND b >= n + 950 AS overlaps, CASE WHEN c <= 0 AND d >= 0 THEN 0 ELSE round(least(c * c, d * d), 4) END AS square_lo, round(greatest(c * c, d * d), 4) AS square_hi, c <= 0 AND d >= 0 AS no_quotient FROM v
 """)
 def interval_steps(spark: SparkSession, d: str) -> DataFrame:
     n, x, y = (F.col("p_size") - 25).cast("string"), numbers.measured(F.format_string("%.2f", "p_retailprice")), numbers.measured(F.format_string("%.1f", F.col("p_partkey") % 40 / 10.0 - 2))

@@ -59,7 +59,7 @@ def outcome_tally(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH s AS (SELECT l_orderkey AS k, l_discount * 10 AS similarity FROM lineitem WHERE l_returnflag = 'R')
-SELECT o_orderkey AS k, coalesce(max(similarity), 0) AS peak, CASE WHEN coalesce(max(similarity), 0) >= 0.85 THEN 'concern' ELSE 'pass' END AS verdict, count(*) FILTER (similarity >= 0.85) AS major, count(*) FILTER (similarity < 0.85) AS minor, CASE WHEN count(similarity) = 0 THEN 1 ELSE 0 END AS info
+SELECT o_orderkey AS k, coalesce(max(similarity), 0) AS peak, CASE WHEN coalesce(max(similarity), 0) >= 0.85 THEN 'concern' ELSE 'pass' END AS verdict, count(*) FILTER (similarity >= 0.85) AS major, count(*) FILTER (similarity < 0.85) AS minor, CASE WHEN count(similarity) = 0 THEN 1 ELSE 0 END::BIGINT AS info
 FROM orders LEFT JOIN s ON o_orderkey = k GROUP BY o_orderkey
 """)
 def peak_verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -382,7 +382,7 @@ def severe_findings(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     some = F.concat(F.array_repeat(one(False, False), (k % 3).cast("int")), F.array_repeat(one(True, False), (k % 2).cast("int")), F.array(one(False, True)))
     found = reports.of_severity(table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("severity"), some.alias("statistics")), "1-URGENT")
-    return found.select("o_orderkey", F.size(reports.lacking_effect_size(F.col("statistics"))).alias("lacking"), F.size(reports.thresholds(F.col("statistics"))).alias("thresholds"))
+    return found.select("o_orderkey", F.size(reports.lacking_effect_size(F.col("statistics"))).cast("long").alias("lacking"), F.size(reports.thresholds(F.col("statistics"))).cast("long").alias("thresholds"))
 
 
 @query("SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem WHERE l_linenumber = 1 AND (l_partkey % 50 = 0 OR l_suppkey % 50 = 0)")
