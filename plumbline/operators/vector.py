@@ -102,15 +102,16 @@ def within_budget(ranked: DataFrame, budget: int, rank: str, words: str, by: tup
     key, part, start = "__g", "__part", "__start"
     rows = ranked.withColumn(key, F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(by))) if by else F.lit(0))  # structs join where nulls meet
     edges = rows.groupBy(key).agg(F.percentile_approx(rank, [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("__edges"))
-    parts = rows.join(edges, key).withColumn(part, F.size(F.filter("__edges", lambda e: e < F.col(rank)))).drop("__edges")
+    parts = rows.join(edges, key).withColumn(part, F.size(F.filter("__edges", lambda e: e < F.col(rank)))).withColumn("__end", F.get("__edges", F.col(part)))
     ahead = W.partitionBy(key).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
-    sums = parts.groupBy(key, part).agg(F.sum(words).alias("__words")).withColumn(start, F.coalesce(F.sum("__words").over(ahead), F.lit(0)))
-    open_parts = sums.withColumn("__most", F.max(start).over(ahead.rowsBetween(W.unboundedPreceding, W.currentRow))).where(F.col("__most") <= budget).select(key, part)
+    sums = parts.groupBy(key, part).agg(F.sum(words).alias("__words"), F.max("__end").alias("__end")).withColumn(start, F.coalesce(F.sum("__words").over(ahead), F.lit(0)))
+    open_parts = sums.withColumn("__most", F.max(start).over(ahead.rowsBetween(W.unboundedPreceding, W.currentRow))).where(F.col("__most") <= budget)
+    reach = open_parts.groupBy(key).agg(F.max_by("__end", part).alias("__end"))  # an edge and not its number, as edges may come out otherwise when made again
     w = W.partitionBy(key).orderBy(rank)
-    rows = parts.join(open_parts, [key, part], "left_semi").withColumn("used", F.sum(words).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    rows = rows.join(reach, key).where(F.col("__end").isNull() | (F.col(rank) <= F.col("__end"))).withColumn("used", F.sum(words).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
     over = (F.col("used") > budget) & (F.row_number().over(w) > 1)
     rows = rows.withColumn("cut", F.max(over.cast("int")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return rows.where("cut = 0").drop("cut", key, part)
+    return rows.where("cut = 0").drop("cut", key, "__end")
 
 
 def budget_words(tokens: Column, words_per_token: float = 0.767) -> Column:

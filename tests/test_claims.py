@@ -334,6 +334,17 @@ def test_selected_quantiles(spark, kind):
     assert whole.m == np.sort(x)[(n - 1) // 2] and quantiles.selected(df.limit(0), ["g"], "x", [("m", 0.5, quantiles.floor_position)]).count() == 0
 
 
+@pytest.mark.parametrize("off", [-0.05, 0.003, 0.4])
+def test_selected_quantiles_where_the_sketch_is_off(spark, monkeypatch, off):
+    sketch = quantiles.F.percentile_approx
+    monkeypatch.setattr(quantiles.F, "percentile_approx", lambda x, ends, accuracy: sketch(x, [min(1.0, max(0.0, e + off)) for e in ends], accuracy))
+    df = spark.range(0, 30_000, 1, 4).select((F.col("id") % 2).alias("g"), F.pmod(F.col("id") * 7919, F.lit(1_000_003)).alias("x"))
+    found = quantiles.selected(df, ["g"], "x", [("a", 0.1, quantiles.nearest_position), ("m", 0.5, lambda n, _: F.floor(n / 2))]).collect()
+    for r in found:
+        own = sorted(i * 7919 % 1_000_003 for i in range(r.g, 30_000, 2))
+        assert (len(found), r.n, r.a, r.m) == (2, 15_000, own[1500], own[7500])
+
+
 def test_summary_quartiles_by_selection(spark):
     rng = np.random.default_rng(8)
     x = np.concatenate([rng.normal(size=40_003), np.full(30_000, 0.25)])
