@@ -308,7 +308,7 @@ def upsert(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id, user_id FROM events WHERE epoch(ts)::BIGINT + 86400 > (SELECT epoch(max(ts))::BIGINT FROM events) - 86400")
 def ttl_fresh(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events")
-    rows = events.select("event_id", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("created_at"), F.lit(86400).alias("ttl_seconds"))
+    rows = events.select("event_id", "user_id", F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long").alias("created_at"), F.lit(86400).alias("ttl_seconds"))
     now = rows.agg(F.max("created_at")).first()[0] or 0
     return rel.fresh(rows, now - 86400).select("event_id", "user_id")
 

@@ -191,3 +191,11 @@ def test_tables_that_are_refused(spark, tmp_path, name, content, caps, code):
     with pytest.raises(tables.Refused) as refused:
         tables.read_table(spark, str(tmp_path / name), tables.CAPS | caps)
     assert refused.value.code == code
+
+
+def test_ttl_fresh_rounds_seconds_as_its_sql(spark, tmp_path):
+    last, edge = 1_700_000_000_000_000, 1_700_000_000_000_000 - 172_800_000_000
+    at = [last, last - 1, *(edge + k for k in (-500_000, 0, 499_999, 500_000, 500_001, 600_000, 1_000_000, 1_500_000))]
+    rows = spark.createDataFrame(list(enumerate(at)), "event_id long, at long").select("event_id", F.lit(1).cast("long").alias("user_id"), F.timestamp_micros("at").cast("timestamp_ntz").alias("ts"))
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    assert sorted(r.event_id for r in QUERIES["ttl_fresh"](spark, str(tmp_path)).collect()) == [0, 1, 6, 7, 8, 9]
