@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,8 @@ from plumbline.operators.filters import maybe_in
 #: Fixed value: words are what stands between these white-space characters.
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
-#: Parts into which the postings of each print are dealt.
-WAYS = 8
+#: Parts into which the postings of each print are dealt; spans of a text that are sent on together.
+WAYS, SPANS_TOGETHER = 8, 10_000
 
 SPANS = "doc long, ref long, start long, end long, ref_start long, ref_end long, words long, start_char long, end_char long, ref_start_char long, ref_end_char long"
 
@@ -98,22 +99,20 @@ def shared_spans(docs: DataFrame, references: DataFrame | None = None, shingle:
     guarantees, unless more is asked for): words (ends exclusive) and characters on both sides. Without references,
     what each document repeats within itself, the earlier place first.
 
-    Prints of documents that no reference has are dropped before anything is shuffled, and the postings of a print are
+    What a document repeats is found where the document is read. Prints of documents that no reference has are dropped before anything is shuffled, and the postings of a print are
     dealt out over WAYS tasks. A run of words that stands n times in one text and m times in the other makes n times m
     seeds, as each pair of places is a span of its own. Null and shorter texts share nothing. Ids must be distinct on
     either side; null ids take no part."""
     least = max(least or 0, shingle + window - 1)
     same = references is None
     known = docs.where("id is not null").select("id", "text")
-    others = known if same else references.where("id is not null").select("id", "text")
-    mine, theirs = postings(known, shingle, window), postings(others, shingle, window)
     if same:
-        right = theirs.select(F.col("id"), "print", F.col("at").alias("ref_at")).withColumn("ref", F.col("id"))
-        pairs = mine.join(right, ["id", "print"]).where("at < ref_at")
-    else:
-        mine = maybe_in(mine, "print", theirs.select("print")).withColumn("way", F.pmod(F.xxhash64("id", "at"), F.lit(WAYS)))
-        right = theirs.select(F.col("id").alias("ref"), "print", F.col("at").alias("ref_at")).withColumn("way", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(WAYS - 1).cast("long"))))
-        pairs = mine.join(right, ["print", "way"])
+        return repeated_spans(known, shingle, window, least)
+    others = references.where("id is not null").select("id", "text")
+    mine, theirs = postings(known, shingle, window), postings(others, shingle, window)
+    mine = maybe_in(mine, "print", theirs.select("print")).withColumn("way", F.pmod(F.xxhash64("id", "at"), F.lit(WAYS)))
+    right = theirs.select(F.col("id").alias("ref"), "print", F.col("at").alias("ref_at")).withColumn("way", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(WAYS - 1).cast("long"))))
+    pairs = mine.join(right, ["print", "way"])
     seeds = pairs.groupBy("id", "ref").agg(F.collect_list(F.struct("at", "ref_at")).alias("seeds"))
     found = maybe_in(known, "id", seeds.select("id"))  # texts without a seed are not shuffled
     seeds = seeds.join(found, "id").join(others.select(F.col("id").alias("ref"), F.col("text").alias("other")), "ref")
@@ -125,7 +124,7 @@ def shared_spans(docs: DataFrame, references: DataFrame | None = None, shingle:
             for doc, ref, places, text, other in zip(*(batch.column(c).to_pylist() for c in ("id", "ref", "seeds", "text", "other")), strict=True):
                 a, b = (list(WORD.finditer(lowered(x))) for x in (text, other))
                 at, there = characters(lowered(text)), characters(lowered(other))
-                for i, end, j, stop in extended([m[0] for m in a], [m[0] for m in b], [(p["at"], p["ref_at"]) for p in places], same):
+                for i, end, j, stop in extended([m[0] for m in a], [m[0] for m in b], [(p["at"], p["ref_at"]) for p in places], False):
                     if end - i >= least:
                         rows.append((doc, ref, i, end, j, stop, end - i, int(at[a[i].start()]), int(at[a[end - 1].end()]), int(there[b[j].start()]), int(there[b[stop - 1].end()])))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * len(names))], names=names)
@@ -133,6 +132,44 @@ def shared_spans(docs: DataFrame, references: DataFrame | None = None, shingle:
     return seeds.select("id", "ref", "seeds", "text", "other").mapInArrow(verify, SPANS)
 
 
+def repeats(words: list[bytes], shingle: int, window: int) -> Iterator[tuple[int, int, int, int]]:
+    """What a text repeats: start, end, and start and end of the later place, each once.
+
+    Later places of a print are taken all at once, and those in a run that is known already are left out."""
+    prints, at = chosen(word_hashes(words), shingle, window)
+    order = np.lexsort((at, prints))
+    sorted_prints = prints[order]
+    if not (sorted_prints[1:] == sorted_prints[:-1]).any():
+        return
+    groups = [g for g in np.split(at[order], np.flatnonzero(np.diff(sorted_prints)) + 1) if len(g) > 1]
+    reached = np.zeros(len(words), np.int64)  # by distance
+    for a, later in sorted(((int(a), g[k + 1 :]) for g in groups for k, a in enumerate(g[:-1])), key=lambda x: x[0]):
+        for b in later[reached[later - a] <= a].tolist():
+            for found in extended(words, words, [(a, b)], True):
+                reached[b - a] = found[1]
+                yield found
+
+
+def repeated_spans(texts: DataFrame, shingle: int, window: int, least: int) -> DataFrame:
+    """Spans that each text (id, text) repeats within itself: a text at a time, where it is read, and nothing is shuffled."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in SPANS.split(", ")]
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                low = lowered(text)
+                found = (x for x in repeats(WORD.findall(low), shingle, window) if x[1] - x[0] >= least)
+                at = edges = None
+                while block := list(islice(found, SPANS_TOGETHER)):
+                    if at is None:
+                        at, edges = characters(low), np.array([m.span() for m in WORD.finditer(low)], np.int64)
+                    i, end, j, stop = np.array(block, np.int64).T
+                    columns = [np.full(len(block), doc, np.int64)] * 2 + [i, end, j, stop, end - i, at[edges[i, 0]], at[edges[end - 1, 1]], at[edges[j, 0]], at[edges[stop - 1, 1]]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+    return texts.select(F.col("id").cast("long"), "text").mapInArrow(find, SPANS)
+
+
 def duplication(spans: DataFrame, totals: DataFrame) -> DataFrame:
     """doc, words, covered and ratio of totals (doc, words): the share of words that any span covers; 0 without words."""
     from plumbline.operators.locate import merged_spans

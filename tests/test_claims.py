@@ -56,6 +56,15 @@ def test_shared_spans(spark, same):
     assert verbatim.shared_spans(left.limit(0), right).count() == 0
 
 
+def test_what_a_text_repeats_is_not_shuffled(spark, capsys):
+    docs = spark.createDataFrame([(1, "a b c d e f g h " * 3), (2, "a " * 40), (3, None), (4, "x y")], "id long, text string")
+    found = verbatim.shared_spans(docs)
+    found.explain()
+    assert "Exchange" not in capsys.readouterr().out
+    got = sorted((r.doc, r.start, r.end, r.ref_start) for r in found.collect())
+    assert got == [(1, 0, 8, 16), (1, 0, 16, 8), *sorted((2, 0, 40 - d, d) for d in range(1, 33))]
+
+
 def test_prints_that_agree_by_chance_give_no_span():
     assert verbatim.extended([b"a", b"b"], [b"c", b"b"], [(0, 0)], False) == []
 
