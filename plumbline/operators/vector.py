@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections import Counter
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from plumbline.functions import text
 from plumbline.operators.filters import maybe_in
 
-#: Queries that meet all rows at once, and numbers of their vectors that are broadcast at most; parts of a token's rows.
-BLOCK_QUERIES, BROADCAST_NUMBERS, WAYS = 256, 4_000_000, 8
+if TYPE_CHECKING:
+    import numpy as np
+    import pyarrow as pa
+
+#: Queries and chunks that meet in a task; queries whose products are taken at once.
+BLOCK_QUERIES, PART_CHUNKS, TOGETHER = 4096, 20_000, 128
 
 #: Ranges of ranks over which words are summed up.
 RANGES = 64
@@ -60,31 +65,129 @@ def semantic_search(queries: DataFrame, chunks: DataFrame, k: int, least: int |
     lexical). Where fewer than `least` (k) are found, the query is ranked against all chunks instead (via all). Null
     texts have no tokens, vectors of another length score 0, null ones take no part. Ids must be distinct.
 
-    Tokens that no query asks for are dropped before anything is shuffled, the chunks of a token are dealt out over
-    WAYS tasks, and a chunk's vector is sent once, to all its queries. Queries for all chunks come in blocks."""
+    Tokens that no query asks for are dropped before anything is shuffled. Blocks of queries meet parts of the chunks, each
+    pair in a task of its own that multiplies matrices and sends on k rows of either kind and a count for each query."""
     least = k if least is None else least
     pool = (chunks if where is None else chunks.where(where)).select("cid", "text", "vector").where(F.col("vector").isNotNull())
-    asked = queries.where(F.col("vector").isNotNull())
-    gate = asked.select("qid", F.explode(text.distinctive_terms(text.tokens(F.col("text")), terms)).alias("token"))
-    postings = maybe_in(pool.select("cid", F.explode(text.tokens(F.col("text"))).alias("token")), "token", gate.select("token")).withColumn("way", F.pmod(F.xxhash64("cid"), F.lit(WAYS)))
-    dealt = gate.withColumn("way", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(WAYS - 1).cast("long"))))
-    pairs = postings.join(dealt, ["token", "way"]).select("qid", "cid").distinct()
-    counts = pairs.groupBy("qid").agg(F.count("*").alias("candidates"))
-    asked = asked.select("qid", F.col("vector").alias("query")).join(counts, "qid", "left").withColumn("thin", F.coalesce("candidates", F.lit(0)) < least)
-    size = asked.agg(F.count("*").alias("n"), F.max(F.size("query")).alias("dim"), F.count_if("thin").alias("thin")).first()
-    small = size.n * (size.dim or 0) <= BROADCAST_NUMBERS
-    rich = asked.where("not thin").select("qid", "query")
-    rows = pairs.groupBy("cid").agg(F.collect_set("qid").alias("qids")).join(pool.select("cid", "vector"), "cid").select("cid", "vector", F.explode("qids").alias("qid"))
-    found = [rows.join(F.broadcast(rich) if small else rich, "qid").select("qid", "cid", cosine(F.col("query"), F.col("vector")).alias("score"), F.lit("lexical").alias("via"))]
-    blocks = -(-size.thin // BLOCK_QUERIES)
-    for i in range(blocks):
-        block = asked.where(F.col("thin") & (F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)).select("qid", "query")
-        found.append(pool.crossJoin(F.broadcast(block)).select("qid", "cid", cosine(F.col("query"), F.col("vector")).alias("score"), F.lit("all").alias("via")))
+    asked = queries.where(F.col("vector").isNotNull()).select("qid", text.distinctive_terms(text.tokens(F.col("text")), terms).alias("terms"), doubles(F.col("vector")).alias("query"))
+    n, size = asked.count(), pool.count()
+    blocks, parts = max(1, -(-n // BLOCK_QUERIES)), max(1, -(-size // PART_CHUNKS))
+    # Not explode, for which Spark would put a filter below the caller's joins and so take all texts apart, and twice.
+    held = maybe_in(pool.select("cid", F.explode_outer(text.tokens(F.col("text"))).alias("token")), "token", asked.select(F.explode_outer("terms").alias("token")))
+    held = held.groupBy("cid").agg(F.collect_list("token").alias("tokens"))
+    known = pool.select("cid", doubles(F.col("vector")).alias("vector")).join(held, "cid", "left").withColumn("part", F.pmod(F.xxhash64("cid"), F.lit(parts)))
+    every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+    left = asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks))).withColumn("part", every(parts)).groupBy("block", "part")
+    right = known.withColumn("block", every(blocks)).groupBy("block", "part")
+    schema = f"qid {asked.schema['qid'].dataType.simpleString()}, cid {known.schema['cid'].dataType.simpleString()}, score double, via string, hits long"
+    found = left.cogroup(right).applyInArrow(lambda a, b: nearest_of_part(a, b, k, least), schema)
+    rich = F.sum("hits").over(W.partitionBy("qid")) >= least
     best = W.partitionBy("qid").orderBy(F.desc("score"), "cid")
-    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    chosen = found.withColumn("rich", rich).where(F.col("via") == F.when(F.col("rich"), "lexical").otherwise("all"))
+    ranked = chosen.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("qid", F.col("rank").cast("long").alias("rank"), "cid", "score", "via")
 
 
+def nearest_of_part(asked: pa.Table, chunks: pa.Table, k: int, least: int) -> pa.Table:
+    """Of each query (qid, terms, query): the count of chunks (cid, vector, tokens) that share a term, the k nearest of
+    these, and of all if they are fewer than `least`. Products of matrices choose, and what they choose is computed again a
+    term after the other, so that equal vectors score equally wherever they stand."""
+    import numpy as np
+    import pyarrow as pa
+
+    cids, vectors = np.array(chunks["cid"].to_pylist(), object), chunks["vector"].to_pylist()
+    where: dict[str, list[int]] = {}
+    for i, tokens in enumerate(chunks["tokens"].to_pylist()):
+        for token in tokens or ():
+            where.setdefault(token, []).append(i)
+    places = {token: np.array(at) for token, at in where.items()}
+    usual = max(Counter(map(len, vectors)).items(), key=lambda x: x[1], default=(0, 0))[0]
+    plain = np.array([len(v) == usual and None not in v for v in vectors], bool)
+    matrix = np.array([v if ok else [0.0] * usual for v, ok in zip(vectors, plain, strict=True)], float).reshape(len(vectors), usual)
+    norms = np.sqrt(in_order(matrix, matrix))
+    with np.errstate(all="ignore"):
+        units = matrix / np.where(norms > 0, norms, 1.0)[:, None]
+    plain &= np.isfinite(units).all(1) & np.isfinite(norms) & ((norms == 0) | (norms > 1e-100))
+    units[~plain] = 0.0
+    odd = np.flatnonzero(~plain)
+
+    def exact(query: list, at: np.ndarray) -> list[tuple[float | None, int]]:
+        """(score, place) of the chunks at these places, as cosine() has it."""
+        scores: list[float | None] = []
+        own = np.array(query, float) if len(query) == usual and None not in query else None
+        if own is not None:
+            with np.errstate(all="ignore"):
+                both = np.sqrt(in_order(own[None], own[None])[0]) * norms[at]
+                scores = np.where(both == 0, 0.0, in_order(own[None], matrix[at]) / np.where(both == 0, 1.0, both)).tolist()
+        out = []
+        for j, i in enumerate(at.tolist()):
+            v = vectors[i]
+            if len(v) != len(query):
+                out.append((0.0, i))
+            elif None in v or None in query:
+                out.append((None, i))
+            elif own is not None:
+                out.append((scores[j], i))
+            else:
+                with np.errstate(all="ignore"):
+                    x, y = np.array([query], float), np.array([v], float)
+                    both = np.sqrt(in_order(x, x)[0]) * np.sqrt(in_order(y, y)[0])
+                    out.append((0.0 if both == 0 else float(in_order(x, y)[0] / both), i))
+        return out
+
+    def first(query: list, rough: np.ndarray | None, at: np.ndarray | None) -> list[tuple[float | None, int]]:
+        if rough is not None:
+            near = rough if at is None else rough[at]
+            if len(near) > k:
+                kth = np.partition(near, len(near) - k)[len(near) - k]
+                keep = near >= kth - 1e-9
+                if at is None:
+                    keep[odd] = True
+                else:
+                    keep |= ~plain[at]
+                at = np.flatnonzero(keep) if at is None else at[keep]
+        found = exact(query, np.arange(len(vectors)) if at is None else at)
+        rank = lambda x: (x[0] is None, 0 if x[0] is None else -np.inf if np.isnan(x[0]) else -x[0], x[0] is not None and not np.isnan(x[0]), cids[x[1]])
+        return sorted(found, key=rank)[:k]
+
+    out: dict[str, list] = {c: [] for c in ("qid", "cid", "score", "via", "hits")}
+    ids, terms, queries = (asked[c].to_pylist() for c in ("qid", "terms", "query"))
+    for start in range(0, len(ids) if len(vectors) else 0, TOGETHER):
+        block = range(start, min(start + TOGETHER, len(ids)))
+        usable = [len(queries[q]) == usual and None not in queries[q] for q in block]
+        with np.errstate(all="ignore"):
+            own = np.array([queries[q] if ok else [0.0] * usual for q, ok in zip(block, usable, strict=True)], float).reshape(len(block), usual)
+            length = np.sqrt(in_order(own, own))
+            usable = np.array(usable) & np.isfinite(length) & (length > 1e-100)
+            own = np.where(usable[:, None], own, 0.0) / np.where(usable, length, 1.0)[:, None]
+        table = own @ units.T
+        for j, q in enumerate(block):
+            rough = table[j] if usable[j] else None
+            shared = [places[t] for t in terms[q] or () if t in places]
+            at = np.unique(np.concatenate(shared)) if shared else np.empty(0, int)
+            rows = [("lexical", x) for x in first(queries[q], rough, at)] if len(at) else []
+            if len(at) < least:
+                rows += [("all", x) for x in first(queries[q], rough, None)]
+            for via, (score, i) in rows:
+                for c, v in zip(out, (ids[q], cids[i], score, via, 0), strict=True):
+                    out[c].append(v)
+            for c, v in zip(out, (ids[q], None, None, "count", len(at)), strict=True):
+                out[c].append(v)
+    kinds = {"qid": asked.schema.field("qid").type, "cid": chunks.schema.field("cid").type, "score": pa.float64(), "via": pa.string(), "hits": pa.int64()}
+    return pa.table({c: pa.array(v, kinds[c], from_pandas=False) for c, v in out.items()})
+
+
+def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, the products of a and b, summed up from the first column to the last."""
+    import numpy as np
+
+    total = np.zeros(np.broadcast_shapes(a.shape, b.shape)[0])
+    with np.errstate(all="ignore"):
+        for i in range(b.shape[1]):
+            total += a[:, i] * b[:, i]
+    return total
+
+
 def only_space(rows: DataFrame, *columns: str) -> dict:
     """The one value of columns that all rows share; an error if there is none or more than one."""
     found = rows.select(*columns).distinct().limit(2).collect()

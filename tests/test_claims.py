@@ -214,6 +214,23 @@ def test_citations_of_sentences(spark):
 # Search
 
 
+def test_search_in_parts_gives_what_one_part_gives(spark, monkeypatch, capsys):
+    rng = random.Random(4)
+    odd = {3: None, 5: [0.0, 0.0], 7: [1.0], 9: [1.0, None], 11: [float("nan"), 1.0]}
+    rows = [(i, rng.choice(["alpha beta", "gamma", "delta 12", None]), odd.get(i, [float(i % 4), 0.1])) for i in range(60)]
+    chunks = spark.createDataFrame(rows, "cid long, text string, vector array<double>")
+    asked = chunks.where("cid % 6 < 3").withColumnRenamed("cid", "qid")
+    for where in (None, F.col("cid") < 3):
+        whole = vector.semantic_search(asked, chunks, 4, where=where).orderBy("qid", "rank").collect()
+        monkeypatch.setattr(vector, "BLOCK_QUERIES", 7)
+        monkeypatch.setattr(vector, "PART_CHUNKS", 9)
+        found = vector.semantic_search(asked, chunks, 4, where=where)
+        assert str(found.orderBy("qid", "rank").collect()) == str(whole) and len(whole) > 20
+        monkeypatch.undo()
+    found.explain()
+    assert "CartesianProduct" not in (plan := capsys.readouterr().out) and "NestedLoop" not in plan
+
+
 def test_semantic_search(spark):
     rng = np.random.default_rng(2)
     words = ["alphabetical", "bordering", "cat", "dog", "encyclopaedia", "frog"]
