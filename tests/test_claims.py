@@ -406,3 +406,17 @@ def test_passages_are_placed_in_order(spark):
         s = spark.createDataFrame([(trial, *x) for x in sections], "doc long, section long, kind string, text string")
         p = spark.createDataFrame([(trial, i, k, t, at) for i, k, t, at in passages], "doc long, idx long, kind string, text string, start long")
         assert {r.idx: (r.section, r.place) for r in locate.placed_passages(s, p).collect()} == placed_by_hand(sections, passages)
+
+
+def test_expressions_that_come_again_are_not_worked_out_again():
+    from plumbline.functions import symbolic
+
+    bound = {"x": "1.50", "n": "3", "unused": "7"}
+    first = intervals.at_row("x / n", bound, ["n"], False)
+    before = intervals.at_prints.cache_info().misses
+    assert intervals.at_row("x / n", bound | {"unused": "8"}, ["n"], False) == first and intervals.at_prints.cache_info().misses == before
+    assert [str(v) for v in first[:2]] == ["0.498333333333", "0.501666666667"] and first[2:] == (False, None)
+    assert intervals.at_row("x", {"x": "1", "y": "no"}, [], False)[3] == intervals.at_row("(x", bound, [], False)[3] == "unreadable"
+    symbolic.compared("(a + 1)^2", "a^2 + 2*a + 1")
+    before = symbolic.compared.cache_info().misses
+    assert symbolic.compared("(a + 1)^2", "a^2 + 2*a + 1") == ("identical", None) and symbolic.compared.cache_info().misses == before
