@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import os
 import re
 import string
 import zlib
@@ -30,7 +31,7 @@ CONTEXT, END_ID = 2048, 1
 
 #: Distinct words whose ids a worker remembers; characters whose words are looked up together; pieces of one length
 #: that are ranked together, on average.
-REMEMBERED, GROUP_CHARS, RANKED_TOGETHER = 400_000, 1 << 20, 16_384
+REMEMBERED, GROUP_CHARS, RANKED_TOGETHER = 200_000, 1 << 20, 16_384
 
 
 class WordIds(dict):
@@ -44,6 +45,7 @@ class WordIds(dict):
     STOPS, TOGETHER = string.punctuation.encode(), 2000
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core, and each thread would keep memory
         from tokenizers import Tokenizer
 
         self.tokenizer, self.before = Tokenizer.from_file(path), {}
@@ -71,8 +73,8 @@ class WordIds(dict):
         runs = {w: ids for w in set(cores.values()) if (ids := self.get(w)) is not None}
         new = [c for c in set(cores.values()) if c not in runs and c.decode().isalpha()] if self.ends.any() else []
         groups = [new[i : i + self.TOGETHER] for i in range(0, len(new), self.TOGETHER)]
-        together = self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)
-        for group, encoding in zip(groups, together, strict=True):
+        for group in groups:  # one at a time: encodings are some hundred bytes a token
+            (encoding,) = self.tokenizer.encode_batch_fast([b" ".join(group).decode()], add_special_tokens=False)
             ids = np.array(encoding.ids, "<u4")
             cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
             if len(cuts) == len(group) + 1:  # else one of them is more than one run, and they are taken singly
