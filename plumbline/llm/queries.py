@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm import ann, html_text, importance, lexical_search, license_scan, line_dedup, mixing, near_dup, packing, quality_model, quality_rules, substring, token_shards
-from plumbline.llm.common import NO_ID, table
+from plumbline.llm.common import NO_ID, new_path, table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,8 +47,9 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is known of each record; with a path, materialised() writes the shards as well."""
-    return token_shards.materialised(table(spark, sf_dir, "documents"), vocabulary())
+    """The shards, written to a new folder of the shared one, and what is known of each record in them."""
+    path = new_path(spark, "token-shards")
+    return token_shards.materialised(table(spark, sf_dir, "documents"), vocabulary(), path).withColumn("path", F.lit(path))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,48 +57,47 @@ def feistel(x: np.ndarray, size: int, seed: int) -> np.ndarray:
 
 
 def positioned(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """file, at (the row's number in it) and text."""
+    """file, block (where the split that one task reads begins in it) and text, in the order of rows within a split."""
     try:
-        return docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"), "text")
+        return docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "text")
     except AnalysisException:  # not from Parquet files
         return positioned(scratch.saved(docs.select("text"), "shard-texts"), scratch)
 
 
 def tokenised(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """The stream in runs: file and first name the rows without a gap that a run is of, start is its place among the ids
-    of these; n and ids (little-endian 16-bit). Each text ends with the end id."""
+    """The stream in runs: file and block name the split that a run is of, whichever of its rows are there, start is its
+    place among the ids of these; n and ids (little-endian 16-bit). Each text ends with the end id."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, end = word_ids(vocabulary), END_ID.to_bytes(4, "little")
-        file, first, after, start = None, 0, -1, 0
+        split, start = None, 0
         for batch in batches:
-            texts, names, rows = batch.column(2).to_pylist(), batch.column(0), batch.column(1).to_numpy()
+            texts, names, blocks = batch.column(2).to_pylist(), batch.column(0).to_pylist(), batch.column(1).to_numpy()
             sizes = np.cumsum([len(t or "") for t in texts])
             cuts = np.flatnonzero(np.diff(sizes // TOGETHER)) + 1
-            gaps = np.flatnonzero(np.diff(rows) != 1) + 1
-            for part in np.split(np.arange(len(texts)), np.union1d(cuts, gaps)):
+            others = [i for i in range(1, len(texts)) if blocks[i] != blocks[i - 1] or names[i] != names[i - 1]]
+            for part in np.split(np.arange(len(texts)), np.union1d(cuts, others).astype(np.int64)):
                 if not len(part):
                     continue
-                name, row = names[int(part[0])].as_py(), int(rows[part[0]])
-                if (name, row) != (file, after):
-                    file, first, start = name, row, 0
-                after = int(rows[part[-1]]) + 1
+                name, block = names[part[0]], int(blocks[part[0]])
+                if (name, block) != split:
+                    split, start = (name, block), 0
                 ids = np.frombuffer(end.join(known.of([words_of(texts[i]) for i in part])) + end, "<u4").astype("<u2")
                 runs = [ids[i : i + RUN] for i in range(0, len(ids), RUN)]
                 n = np.array([len(x) for x in runs])
                 starts = start + np.cumsum(n) - n
                 start += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array([file] * len(runs)), pa.array([first] * len(runs), pa.int64()), pa.array(starts), pa.array(n), pa.array([x.tobytes() for x in runs], pa.binary())], names=["file", "first", "start", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(runs)), pa.array([block] * len(runs), pa.int64()), pa.array(starts), pa.array(n), pa.array([x.tobytes() for x in runs], pa.binary())], names=["file", "block", "start", "n", "ids"])
 
-    return docs.mapInArrow(read, "file string, first long, start long, n long, ids binary")
+    return docs.mapInArrow(read, "file string, block long, start long, n long, ids binary")
 
 
 def placed(tokens: DataFrame) -> DataFrame:
-    """start (in the whole stream) and ids of each run. The window has one row for each stretch of rows that a task read."""
-    order = W.orderBy("file", "first")
-    counts = tokens.groupBy("file", "first").agg(F.sum("n").alias("all"))
-    before = counts.select("file", "first", (F.sum("all").over(order) - F.col("all")).alias("before"))
-    return tokens.join(before, ["file", "first"]).select((F.col("before") + F.col("start")).alias("start"), "ids")
+    """start (in the whole stream) and ids of each run. The window, and the broadcast, have one row for each split."""
+    order = W.orderBy("file", "block")
+    counts = tokens.groupBy("file", "block").agg(F.sum("n").alias("all"))
+    before = counts.select("file", "block", (F.sum("all").over(order) - F.col("all")).alias("before"))
+    return tokens.join(F.broadcast(before), ["file", "block"]).select((F.col("before") + F.col("start")).alias("start"), "ids")
 
 
 def file_system(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -120,27 +119,28 @@ def materialised(docs: DataFrame, vocabulary: str, path: str | None = None, seed
         shards, n = -(-size // per_shard), partitions_for(spark)
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            codec = pa.Codec("zstd", compression_level=1)  # ids of one part take two thirds of their bytes, on disk too
             for b in batches:
                 for start, ids in zip(*(b.column(i).to_pylist() for i in range(2)), strict=True):
                     ends = np.append(np.arange(context - start % context, len(ids) // 2, context), len(ids) // 2)
                     begins = np.append(0, ends[:-1])
                     number, offset = np.divmod(start + begins, context)
                     slot = feistel(number, size, seed)
-                    parts = [ids[2 * i : 2 * j] for i, j in zip(begins.tolist(), ends.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), pa.array(number), pa.array(offset), pa.array(parts, pa.binary())], names=["shard", "slot", "number", "offset", "part"])
+                    parts = [codec.compress(ids[2 * i : 2 * j], asbytes=True) for i, j in zip(begins.tolist(), ends.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), pa.array(number), pa.array(offset), pa.array(ends - begins), pa.array(parts, pa.binary())], names=["shard", "slot", "number", "offset", "n", "part"])
 
         def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shard, held, known = None, bytearray(), {}
+            shard, held, known, codec = None, bytearray(), {}, pa.Codec("zstd")
             for b in batches:
-                for at, slot, number, offset, part in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                for at, slot, number, offset, n, part in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                     if at != shard:
                         if shard is not None:
                             yield filled(shard, held, known)
                         shard, known = at, {}
                         held = bytearray(PAD_ID.to_bytes(2, "little") * (context * min(per_shard, size - at * per_shard)))
                     place = (slot % per_shard) * stride + 2 * offset
-                    held[place : place + len(part)] = part
-                    known[slot] = number, known.get(slot, (0, 0))[1] + len(part) // 2
+                    held[place : place + 2 * n] = codec.decompress(part, 2 * n, asbytes=True)
+                    known[slot] = number, known.get(slot, (0, 0))[1] + n
             if shard is not None:
                 yield filled(shard, held, known)
 
@@ -157,7 +157,7 @@ def materialised(docs: DataFrame, vocabulary: str, path: str | None = None, seed
             columns = [slots, [shard] * len(slots), at, [known[x][0] for x in slots], [known[x][1] for x in slots], [zlib.crc32(held[i : i + stride]) for i in at]]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["slot", "shard", "byte_offset", "number", "n_tokens", "crc32"])
 
-        pieces = placed(tokens).mapInArrow(cut, "shard long, slot long, number long, offset long, part binary")
+        pieces = placed(tokens).mapInArrow(cut, "shard long, slot long, number long, offset long, n long, part binary")
         # The permutation spreads sequences evenly, so ranges of equally many shards need no sample.
         ranges = F.expr(f"cast(shard * {n} div {max(1, shards)} as int)")
         pieces = pieces.repartitionById(n, ranges).sortWithinPartitions("shard")

@@ -49,3 +49,21 @@ def test_shards_round_trip(spark, tmp_path):
     assert made.count() == n and made.agg(F.sum("n_tokens")).first()[0] == sum(map(len, want))
     empty = str(tmp_path / "empty")
     assert token_shards.materialised(spark.createDataFrame([], SCHEMA), vocabulary(), empty).count() == token_shards.read(spark, empty).count() == 0
+
+
+def test_query_writes_its_shards(spark, tmp_path):
+    from plumbline.llm.queries import op7_token_shards
+
+    frame(spark, corpus()).write.parquet(str(tmp_path / "documents.parquet"))
+    index = op7_token_shards(spark, str(tmp_path)).orderBy("slot").collect()
+    rows = token_shards.read(spark, index[0].path).collect()
+    assert [(r.slot, r.shard, r.byte_offset, zlib.crc32(bytes(r.tokens))) for r in rows] == [(r.slot, r.shard, r.byte_offset, r.crc32) for r in index]
+
+
+def test_a_filtered_table_has_one_stretch_a_split(spark, tmp_path):
+    frame(spark, corpus()).repartition(2).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs")).where("doc_id % 2 = 0")
+    runs = token_shards.tokenised(token_shards.positioned(docs, None), vocabulary()).collect()
+    assert len({(r.file, r.block) for r in runs}) <= 2
+    index = token_shards.materialised(docs, vocabulary(), context=64, per_shard=8)
+    assert index.agg(F.sum("n_tokens")).first()[0] == sum(r.n for r in runs)
