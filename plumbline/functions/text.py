@@ -1,14 +1,15 @@
-"""Text measures and cleaning as Column expressions; all but char_perplexity run inside the JVM.
+"""Text measures and cleaning as Column expressions; all but char_perplexity and word_measures run inside the JVM.
 
 Every function takes and returns Columns. A null text gives null unless said otherwise."""
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 # Phrases that mark formulaic prose, as the badge rules list them.
@@ -26,6 +27,16 @@ HYPHEN_STAYS = ("and", "or", "to", "nor", "but", "versus", "vs")
 HYPHEN_BREAK = rf"(?<=\p{{L}}{{2}})-[ \t]+(?!(?:{'|'.join(HYPHEN_STAYS)})(?!\p{{L}}))(?=\p{{Ll}}{{2,}}(?!\p{{L}}))"
 
 
+#: Rows that an Arrow function takes out of a batch together, so that its memory does not grow with the batch.
+TOGETHER = 128
+
+
+def in_slices(column: pa.Array) -> Iterator[list]:
+    """The column's values as Python objects, some rows at a time."""
+    for i in range(0, len(column), TOGETHER):
+        yield column.slice(i, TOGETHER).to_pylist()
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of a value that is computed once: inside a lambda function, an expression is computed for each element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -55,9 +66,14 @@ def char_perplexity(folded: pd.Series) -> pd.Series:
     return folded.map(one)
 
 
+def normal_text(text: Column) -> Column:
+    """Lower case; all but a-z, 0-9 and white space as spaces."""
+    return F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " ")
+
+
 def normal_words(text: Column) -> Column:
     """Lower-case words of a-z and 0-9, all else as white space."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " "), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(normal_text(text), r"\s+"), lambda w: w != "")
 
 
 def tokens(text: Column) -> Column:
@@ -178,6 +194,28 @@ def winnow(words: Column, shingle: int, window: int) -> Column:
     return let(let(words, hashed), least)
 
 
+def word_measures(text: Column, stopwords: Sequence[str], listed: Sequence[str], terms: int, n: int = 3) -> Column:
+    """struct of measures of the text's normal_words(), a text at a time in Arrow batches: stopword_share() (stopwords),
+    distinct_ngram_share() (distinct), distinctive_terms() (terms) and how many of listed are among them (shared)."""
+    few, wanted = frozenset(stopwords), frozenset(listed)
+    kind = pa.struct([("stopwords", pa.float64()), ("distinct", pa.float64()), ("terms", pa.list_(pa.string())), ("shared", pa.int64())])
+
+    def measured(normal: str) -> tuple[float | None, float | None, list[str], int]:
+        w = normal.split()
+        grams = max(0, len(w) - n + 1)
+        return (
+            sum(x in few for x in w) / len(w) if w else None, len(set(zip(*(w[i:] for i in range(n)), strict=False))) / grams if grams else None,
+            sorted(w, key=len, reverse=True)[:terms], len(wanted.intersection(w)),
+        )
+
+    @F.arrow_udf("stopwords double, distinct double, terms array<string>, shared long")
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [pa.array([None if t is None else dict(zip(kind.names, measured(t), strict=True)) for t in some], kind) for some in in_slices(texts)]
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    return run(normal_text(text))
+
+
 def stopword_share(words: Column, stopwords: Sequence[str]) -> Column:
     """The share of words that are in the list; null without words."""
     listed = F.array(*map(F.lit, stopwords))

@@ -227,8 +227,8 @@ SELECT doc_id, round(CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: x IN
        array_to_string(list_transform(list_sort(list_transform(w, lambda x, i: {'n': -length(x), 'i': i, 'x': x}))[1:4], lambda v: v.x), ' ') AS longest, len(list_intersect(list_distinct(w), ['the', 'de', 'und', 'et'])) AS shared FROM g
 """)
 def word_measures(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", text.normal_words(F.col("text")).alias("w"))
-    return rows.select("doc_id", F.round(text.stopword_share(F.col("w"), ("the", "of", "de", "la")), 9).alias("stopwords"), F.round(text.distinct_ngram_share(F.col("w")), 9).alias("distinct_trigrams"), F.array_join(text.distinctive_terms(F.col("w"), 4), " ").alias("longest"), F.size(text.overlap(F.array_distinct("w"), F.array(*map(F.lit, ("the", "de", "und", "et"))))).cast("long").alias("shared"))
+    rows = table(spark, d, "documents").select("doc_id", text.word_measures(F.col("text"), ("the", "of", "de", "la"), ("the", "de", "und", "et"), 4).alias("m"))
+    return rows.select("doc_id", F.round("m.stopwords", 9).alias("stopwords"), F.round("m.distinct", 9).alias("distinct_trigrams"), F.array_join("m.terms", " ").alias("longest"), "m.shared")
 
 
 @query("""

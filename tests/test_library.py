@@ -405,3 +405,25 @@ def test_gate_over_a_stream_is_that_over_the_table(spark, tmp_path):
         assert q.awaitTermination(240) and q.exception() is None
     found = [r for r in short(spark.read.parquet(str(tmp_path / "out")).collect()) if r[0] != "end"]
     assert found == want
+
+
+def test_word_measures_equal_the_column_functions(spark):
+    from plumbline.functions import text
+
+    plain = "The\u212aing of\x1fthe la--la; 7 seas, " * 3
+    rows = [(i, t) for i, t in enumerate([None, "", "  ", "One", "two words", plain, plain * 40, "\u0130x \u03a3\u03a3 de\x85la la", *(f"w{i} x y z" * i for i in range(1, 12))] * 20)]
+    df = spark.createDataFrame(rows, "id long, t string").coalesce(1)
+    w = text.normal_words(F.col("t"))
+    m = df.select(text.word_measures(F.col("t"), ("the", "la"), ("la", "de", "no"), 3).alias("m"), w.alias("w"))
+    same = F.col("m.stopwords").eqNullSafe(text.stopword_share(F.col("w"), ("the", "la"))) & F.col("m.distinct").eqNullSafe(text.distinct_ngram_share(F.col("w"))) & F.col("m.terms").eqNullSafe(text.distinctive_terms(F.col("w"), 3))
+    shared = F.size(text.overlap(F.array_distinct("w"), F.array(*map(F.lit, ("la", "de", "no"))))).cast("long")
+    assert m.where(~(same & F.col("m.shared").eqNullSafe(shared))).isEmpty()
+
+
+def test_arrow_functions_take_some_rows_at_a_time():
+    import pyarrow as pa
+
+    from plumbline.functions import text
+
+    slices = list(text.in_slices(pa.array([*map(str, range(300)), None])))
+    assert max(map(len, slices)) <= text.TOGETHER and sum(slices, []) == [*map(str, range(300)), None]
