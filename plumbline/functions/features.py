@@ -6,9 +6,11 @@ import re
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
+from plumbline.functions.text import in_slices
+
 #: The type-token ratio at which a factor of MTLD ends, and the words that it needs.
 MTLD_RATIO, MTLD_WORDS = 0.72, 100
 
@@ -80,9 +82,9 @@ def document_features(text: Column, references: Column, function_words: Sequence
     nulls for all shares; texts of any length are read whole, one at a time."""
     listed, phrases = frozenset(function_words), [t.lower() for t in templates]
 
-    @F.pandas_udf(RESULT)
-    def run(texts: pd.Series, lists: pd.Series) -> pd.DataFrame:
-        rows = [features_of(t, None if r is None else list(r), listed, phrases, norm, spread) for t, r in zip(texts, lists, strict=True)]
-        return pd.DataFrame(rows, columns=RESULT.names, dtype=float)
+    @F.arrow_udf(RESULT)
+    def run(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        rows = [features_of(t, r, listed, phrases, norm, spread) for some, refs in zip(in_slices(texts), in_slices(lists), strict=True) for t, r in zip(some, refs, strict=True)]
+        return pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in (zip(*rows, strict=True) if rows else [[]] * len(RESULT))], names=RESULT.names)
 
     return run(text, references)
