@@ -14,7 +14,6 @@ from __future__ import annotations
 import heapq
 import math
 import os
-import re
 import string
 import zlib
 from collections.abc import Iterator
@@ -52,25 +51,59 @@ class WordIds(dict):
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.code = [i.to_bytes(4, "little") for i in range(len(self.ends))]
+        self.plain = self.leaves_letters()
+
+    def leaves_letters(self) -> bool:
+        """Whether words of the letters a-z reach the model as they are, so that it can be asked for their ids itself."""
+        letters, before, normalizer = string.ascii_lowercase, self.tokenizer.pre_tokenizer, self.tokenizer.normalizer
+        same = normalizer is None or normalizer.normalize_str(letters) == letters
+        return same and before is not None and all(before.pre_tokenize_str(x) == [(x, (0, len(x)))] for x in (letters, letters[::-1], *letters))
 
     def singly(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
     def of(self, texts: list[list[bytes]]) -> list[bytes]:
         """The ids of each text, given as its words."""
+        ids, sizes = self.coded(pa.array([w for words in texts for w in words], pa.binary()))
+        ends = np.cumsum(np.append(0, sizes))[np.cumsum([len(words) for words in texts])]
+        return [x.tobytes() for x in np.split(ids, ends)[: len(texts)]]
+
+    def stream(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts, each text with end_id behind it, one after another, and where each text ends."""
+        words, counts = split(texts)
+        ids, sizes = self.coded(words)
+        ends = np.cumsum(np.append(0, sizes))[np.cumsum(counts)]
+        return np.insert(ids, ends, end_id), ends + np.arange(1, len(texts) + 1)
+
+    def coded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after another, and how many each word has. Each different word is looked up once."""
         if len(self) > REMEMBERED:
             self.before = dict(self)
             self.clear()
-        found = [list(map(self.get, words)) for words in texts]
-        unknown = {w for words, ids in zip(texts, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
-        now = self.resolved(unknown)
-        return [b"".join([now[w] if x is None else x for w, x in zip(words, ids, strict=True)] if None in ids else ids) for words, ids in zip(texts, found, strict=True)]
-
-    def resolved(self, unknown: set[bytes]) -> dict[bytes, bytes]:
+        encoded = words.dictionary_encode()
+        distinct = encoded.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist() makes an object more for each
+        found = list(map(self.get, distinct))
+        if None in found:
+            now = self.resolved([w for w, ids in zip(distinct, found, strict=True) if ids is None])
+            found = [now[w] if ids is None else ids for w, ids in zip(distinct, found, strict=True)]
+        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        which = encoded.indices.to_numpy()
+        sizes = n[which]
+        ahead = (np.cumsum(n) - n)[which] - (np.cumsum(sizes) - sizes)  # of a word's ids, from where they go to where they are
+        return np.frombuffer(b"".join(found), "<u4")[np.repeat(ahead, sizes) + np.arange(sizes.sum())], sizes
+
+    def resolved(self, unknown: list[bytes]) -> dict[bytes, bytes]:
         """The ids of new words, which are known from now on."""
         again = dict(zip(unknown, map(self.before.get, unknown), strict=True))
-        cores = {w: w.rstrip(self.STOPS) for w, ids in again.items() if ids is None}
-        runs = {w: ids for w in set(cores.values()) if (ids := self.get(w)) is not None}
+        new = [w for w, ids in again.items() if ids is None]
+        if self.plain:
+            merged, code = self.tokenizer.model.tokenize, self.code
+            letters = [w for w in new if w.isalpha() and w.islower()]  # of bytes: a-z only
+            again.update((w, b"".join([code[x.id] for x in merged(w.decode())])) for w in letters)
+            new = [w for w in new if again[w] is None]
+        cores = {w: w.rstrip(self.STOPS) for w in new}
+        runs = {c: ids for c in set(cores.values()) if (ids := again.get(c) or self.get(c)) is not None}
         new = [c for c in set(cores.values()) if c not in runs and c.decode().isalpha()] if self.ends.any() else []
         groups = [new[i : i + self.TOGETHER] for i in range(0, len(new), self.TOGETHER)]
         for group in groups:  # one at a time: encodings are some hundred bytes a token
@@ -91,17 +124,33 @@ class WordIds(dict):
         return again
 
 
-#: The sign comes first in the pattern, so that the search leaps from sign to sign.
-STOP = re.compile(rb"[.,](?<=[a-z0-9][.,])(?=[ \n]|\Z)")
+#: Bytes that separate words; what a stop ends a word behind, and stands ahead of, if it is to be a word of its own.
+WHITE, LETTER, BREAK = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\v\f\r", (string.ascii_lowercase + string.digits).encode(), b" \n"))
+
+
+def split(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+    """Words with the ids of the texts', one text after another, and how many each has. Where that cannot change ids,
+    capitals are made small and a stop after a letter or digit is a word of its own, so that there are fewer different
+    words."""
+    raw = [(text or "").encode() for text in texts]
+    plain = np.array([b"<|" not in x and b"\xcc" not in x and b"\xcd" not in x for x in raw], bool)  # special tokens; signs that combine with letters
+    signs = np.frombuffer(b"".join([(x.lower() if small else x) + b"\n" for x, small in zip(raw, plain, strict=True)]), np.uint8)
+    begins = np.cumsum([0, *(len(x) + 1 for x in raw)])
+    white = WHITE[signs]
+    first = ~white
+    first[1:] &= white[:-1]
+    stops = np.flatnonzero((signs == ord(".")) | (signs == ord(",")))
+    stops = stops[LETTER[signs[stops - 1]] & BREAK[signs[stops - len(signs) + 1]]]  # there is an end of line behind each, and ahead of the first
+    first[stops[plain[np.searchsorted(begins, stops, "right") - 1]]] = True
+    at = np.flatnonzero(first)
+    offsets = np.append(at - np.searchsorted(np.flatnonzero(white), at), len(signs) - np.count_nonzero(white)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(signs[~white])])
+    return words, np.diff(np.searchsorted(at, begins))
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """Words with the ids of the text's. Where that cannot change ids, capitals are made small and a stop after a
-    letter or digit is a word of its own, so that there are fewer different words."""
-    raw = (text or "").encode()
-    if b"<|" not in raw and b"\xcc" not in raw and b"\xcd" not in raw:  # special tokens; signs that combine with letters
-        raw = STOP.sub(rb" \g<0>", raw.lower())
-    return raw.split()
+    """The words of split(), of one text."""
+    return split([text])[0].to_pylist()
 
 
 @lru_cache(1)
@@ -113,7 +162,6 @@ def pieces(docs: DataFrame, vocabulary: str, context: int = CONTEXT, end_id: int
     """Rows doc_id, start, length, doc_tokens, ids_crc32 and, with_ids, ids (32-bit little-endian).
 
     vocabulary: the file of a tokenizer whose tokens never reach across white space."""
-    end = end_id.to_bytes(4, "little")
     kinds = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "doc_tokens": pa.int64(), "ids_crc32": pa.int64()} | ({"ids": pa.binary()} if with_ids else {})
     schema = pa.schema(list(kinds.items()))
 
@@ -123,13 +171,15 @@ def pieces(docs: DataFrame, vocabulary: str, context: int = CONTEXT, end_id: int
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             sizes = np.cumsum([len(x or "") for x in texts])
             for rows in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(sizes // GROUP_CHARS)) + 1):
-                encoded = known.of([words_of(texts[i]) for i in rows])
+                if not len(rows):
+                    continue
+                ids, ends = known.stream([texts[i] for i in rows], end_id)
+                ids = ids.tobytes()
                 out: dict[str, list] = {c: [] for c in kinds}
-                for i, ids in zip(rows, encoded, strict=True):
-                    ids += end
-                    n = len(ids) // 4
+                for i, begin, upto in zip(rows.tolist(), [0, *ends.tolist()], ends.tolist(), strict=False):
+                    n = upto - begin
                     for start in range(0, n, context):
-                        piece = ids[4 * start : 4 * (start + context)]
+                        piece = ids[4 * (begin + start) : 4 * min(begin + start + context, upto)]
                         for c, v in zip(out, (doc_ids[i], start, len(piece) // 4, n, zlib.crc32(piece), piece), strict=False):
                             out[c].append(v)
                 yield pa.RecordBatch.from_pydict(out, schema)

@@ -27,7 +27,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from plumbline.llm.common import Scratch, mix, partitions_for, saved
-from plumbline.llm.packing import word_ids, words_of
+from plumbline.llm.packing import word_ids
 
 CONTEXT, PER_SHARD, END_ID, PAD_ID, ROUNDS = 2048, 1024, 1, 65535, 6
 
@@ -69,7 +69,7 @@ def tokenised(docs: DataFrame, vocabulary: str) -> DataFrame:
     place among the ids of these; n and ids (little-endian 16-bit). Each text ends with the end id."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end = word_ids(vocabulary), END_ID.to_bytes(4, "little")
+        known = word_ids(vocabulary)
         split, start = None, 0
         for batch in batches:
             texts, names, blocks = batch.column(2).to_pylist(), batch.column(0).to_pylist(), batch.column(1).to_numpy()
@@ -82,7 +82,7 @@ def tokenised(docs: DataFrame, vocabulary: str) -> DataFrame:
                 name, block = names[part[0]], int(blocks[part[0]])
                 if (name, block) != split:
                     split, start = (name, block), 0
-                ids = np.frombuffer(end.join(known.of([words_of(texts[i]) for i in part])) + end, "<u4").astype("<u2")
+                ids = known.stream([texts[i] for i in part], END_ID)[0].astype("<u2")
                 runs = [ids[i : i + RUN] for i in range(0, len(ids), RUN)]
                 n = np.array([len(x) for x in runs])
                 starts = start + np.cumsum(n) - n

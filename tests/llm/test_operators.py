@@ -146,6 +146,28 @@ def test_word_ids_equal_whole_text():
         assert np.frombuffer(ids.of([packing.words_of(text)])[0], "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_streams_equal_whole_texts():
+    """Many texts at once; each different word of them is looked up once."""
+
+    class Counted(packing.WordIds):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+    ids = Counted(vocabulary())
+    assert ids.plain
+    texts = ["A stop. And, one.", None, "", ".", "\u00c9t\u00e9. Z, q.\x0bdon't I'LL", "e\u0301. A, b", "x<|endoftext|>Y. z, ", "a\u00a0b \u00a0 c", "  \n", "1.5, 2. zqxj", "Stop.\nNext,", "\U0001f600. OK"]
+    whole = [ids.tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    found, ends = ids.stream(texts, 1)
+    assert [x.tolist() for x in np.split(found, ends)[:-1]] == whole and len(found) == ends[-1]
+    ids.clear()
+    ids.asked = 0
+    assert ids.stream(["word other. " * 500] * 3, 1)[1].tolist() == [1501, 3002, 4503]
+    assert ids.asked < 20
+
+
 # 3
 
 
