@@ -33,37 +33,44 @@ def sentence_of_citation(citations: DataFrame, sentences: DataFrame, most: int =
     "none" otherwise. Sentences of a document do not overlap.
 
     If sentences have a text, a sentence that is nothing but cited link text (no letter outside the ranges that start in
-    it) passes its citations to the one before. Both sides are put in one order by document and place, and the last
-    sentence begun and the last one ended are carried forward, so no citation meets more than these. Rows that repeat
-    wholly are one citation, and each of them counts the sentences that it covers."""
+    it) passes its citations to the one before. Both sides are shuffled once, together, by document; in order of place
+    the last sentence begun and the one before it are carried forward, so no citation meets more than these. Rows that
+    repeat wholly are one citation, and each of them counts the sentences that it covers."""
     last = F.greatest(F.col("end") - 1, F.col("start"))
-    carried = F.struct(F.col("seq").cast("long").alias("seq"), F.col("s0").cast("long").alias("s0"), F.col("s1").cast("long").alias("s1"))
-    none = F.lit(None).cast("struct<seq:bigint,s0:bigint,s1:bigint>")
-    begins = sentences.select("doc", F.col("s0").cast("long").alias("at"), F.lit("begin").alias("kind"), carried.alias("sentence"))
-    ends = sentences.select("doc", F.col("s1").cast("long").alias("at"), F.lit("a_end").alias("kind"), carried.alias("sentence"))
-    cited = citations.select("doc", "cite", "start", "end")
-    places = [cited.select("doc", at.cast("long").alias("at"), F.lit(kind).alias("kind"), none.alias("sentence"), "cite", "start", "end") for at, kind in ((F.col("start"), "cite_start"), (last, "cite_last"))]
-    events = begins.unionByName(ends).unionByName(places[0], allowMissingColumns=True).unionByName(places[1], allowMissingColumns=True)
-    w = W.partitionBy("doc").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)  # at one place: ends, beginnings, citations
-    of = lambda kind: F.when(F.col("kind") == kind, F.col("sentence"))
-    carried_on = events.select("*", F.last(of("begin"), ignorenulls=True).over(w).alias("begun"), F.last(of("a_end"), ignorenulls=True).over(w).alias("ended"), *(F.count_if(F.col("kind") == k).over(w).alias(f"n_{k}") for k in ("begin", "a_end")))
-    at_kind = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
-    rows = carried_on.where(F.col("kind").startswith("cite")).groupBy("doc", "cite", "start", "end").agg(
-        at_kind("cite_last", "begun").alias("inside"), at_kind("cite_start", "ended").alias("before"), at_kind("cite_start", "begun").alias("local"), ((at_kind("cite_last", "n_begin") - at_kind("cite_start", "n_a_end")) * F.count_if(F.col("kind") == "cite_start")).alias("covered"),
-    )
-    wide = F.col("covered") > most
-    seq = F.when(~wide, F.coalesce(F.when(last < F.col("inside.s1"), F.col("inside.seq")), F.col("before.seq")))
-    rows = rows.select("doc", "cite", "start", "end", "local", wide.alias("wide"), seq.alias("seq"))
+    told = sentences.select("doc", *(F.col(c).cast("long").alias(c) for c in ("seq", "s0", "s1")), *(c for c in ("text",) if c in sentences.columns), F.lit(False).alias("cited"))
+    rows = told.unionByName(citations.select("doc", "cite", "start", "end", F.lit(True).alias("cited")), allowMissingColumns=True)
+    # A given number of parts: by their compressed size they would be put together until the sorts below spill.
+    rows = rows.repartition(int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc")
+    in_order = lambda at, *more: W.partitionBy("doc").orderBy(F.coalesce("s0", at.cast("long")), "cited", *more)  # noqa: E731  at one place: sentences, citations
+    so_far = lambda w: w.rowsBetween(W.unboundedPreceding, W.currentRow)
+
+    by_start = in_order(F.col("start"), "end", "cite")  # rows that repeat are neighbours, and the last of them stays
+    row = F.struct("cited", "start", "end", "cite")
+    rows = rows.withColumn("previous", F.last("seq", ignorenulls=True).over(by_start.rowsBetween(W.unboundedPreceding, -1)))
+    rows = rows.withColumn("nth", F.row_number().over(by_start)).withColumn("first", ~row.eqNullSafe(F.lag(row).over(by_start))).withColumn("repeated", F.col("cited") & row.eqNullSafe(F.lead(row).over(by_start)))
+    begun = F.last(F.when(~F.col("cited"), F.struct("seq", "s0", "s1", "previous")), ignorenulls=True).over(so_far(by_start))
+    rows = rows.select("*", begun.alias("local"), F.count_if(~F.col("cited")).over(so_far(by_start)).alias("n_local"), (F.col("nth") - F.last(F.when(F.col("first"), F.col("nth")), ignorenulls=True).over(so_far(by_start)) + 1).alias("times"))
+    rows = rows.where(~F.col("repeated")).drop("nth", "first", "repeated")
+
+    by_last = so_far(in_order(last))
+    inside = F.last(F.when(~F.col("cited"), F.struct("seq", "s1")), ignorenulls=True).over(by_last)
+    rows = rows.select("*", inside.alias("inside"), F.count_if(~F.col("cited")).over(by_last).alias("n_last"))
+    open_yet = F.coalesce(F.col("local.s1") > F.col("start"), F.lit(False))
+    wide = (F.col("n_last") - F.col("n_local") + open_yet.cast("long")) * F.col("times") > most
+    before = F.when(open_yet, F.col("local.previous")).otherwise(F.col("local.seq"))
+    rows = rows.withColumn("wide", F.col("cited") & wide).withColumn("seq", F.when(~F.col("cited"), F.col("seq")).when(~F.col("wide"), F.coalesce(F.when(last < F.col("inside.s1"), F.col("inside.seq")), before)))
     if "text" in sentences.columns:
-        here = rows.where(~F.col("wide") & (F.col("start") < F.col("local.s1")))
-        spans = here.groupBy("doc", F.col("local.seq").alias("seq")).agg(F.collect_set(F.struct((F.col("start") - F.col("local.s0")).alias("a"), (F.col("end") - F.col("local.s0")).alias("b"))).alias("spans"))
+        here = F.col("cited") & ~F.col("wide") & (F.col("start") < F.col("local.s1"))
+        span = F.struct((F.col("start") - F.col("local.s0")).alias("a"), (F.col("end") - F.col("local.s0")).alias("b"))
+        rows = rows.select("doc", "cite", "cited", "wide", "seq", "previous", "text", F.when(here, span).alias("span"), F.when(F.col("cited"), F.col("local.seq")).otherwise(F.col("seq")).alias("of"))
+        rows = rows.withColumn("spans", F.collect_set("span").over(W.partitionBy("doc", "of")))
         signs = F.filter(F.sequence(F.lit(0), F.length("text") - 1), lambda i: F.substr("text", i + 1, F.lit(1)).rlike(r"\p{L}"))
         bare = F.exists(signs, lambda i: ~F.exists("spans", lambda s: (s["a"] <= i) & (i < s["b"])))
         any_cited = F.exists("spans", lambda s: (s["b"] > s["a"]) & (s["a"] < F.length("text")))
-        known = sentences.select("doc", F.col("seq").cast("long").alias("seq"), "text", F.lag(F.col("seq").cast("long")).over(W.partitionBy("doc").orderBy("s0")).alias("previous"))
-        links = known.join(spans, ["doc", "seq"]).where((F.length("text") > 0) & ~bare & any_cited & F.col("previous").isNotNull()).select("doc", "seq", "previous")
-        rows = rows.join(links, ["doc", "seq"], "left").withColumn("seq", F.coalesce("previous", "seq"))
-    return rows.select("doc", "cite", "seq", F.when(F.col("wide"), "wide").when(F.col("seq").isNull(), "none").alias("reason"))
+        link = ~F.col("cited") & F.col("doc").isNotNull() & F.col("seq").isNotNull() & (F.length("text") > 0) & any_cited & ~bare
+        rows = rows.select("doc", "cite", "cited", "wide", "seq", F.when(link, F.col("previous")).alias("instead"))
+        rows = rows.withColumn("seq", F.coalesce(F.max("instead").over(W.partitionBy("doc", "seq")), "seq"))
+    return rows.where("cited").select("doc", "cite", "seq", F.when(F.col("wide"), "wide").when(F.col("seq").isNull(), "none").alias("reason"))
 
 
 def merged_spans(spans: DataFrame, by: tuple[str, ...], start: str = "start", end: str = "end") -> DataFrame:

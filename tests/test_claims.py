@@ -211,6 +211,15 @@ def test_citations_of_sentences(spark):
     assert "Join" not in plan
 
 
+def test_citations_are_shuffled_once(spark):
+    """Also with texts; a citation that is there twice counts its sentences twice, and one row is returned."""
+    sentences = spark.createDataFrame([(1, 0, 0, 10, "Words one."), (1, 1, 12, 20, "(bmj.co)"), (1, 2, 20, 30, "Last one")], "doc long, seq long, s0 long, s1 long, text string")
+    cites = spark.createDataFrame([(1, 0, 2, 5), (1, 0, 2, 5), (1, 1, 8, 14), (1, 1, 8, 14), (1, 2, 12, 20), (1, 3, 20, 21), (None, 4, 1, 2)], "doc long, cite long, start long, end long")
+    df = locate.sentence_of_citation(cites, sentences)
+    assert sorted(tuple(r)[1:] for r in df.collect()) == [(0, 0, None), (1, None, "wide"), (2, 0, None), (3, 2, None), (4, None, "none")]
+    assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+
+
 # Search
 
 
