@@ -13,7 +13,8 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
 from plumbline.operators.filters import maybe_in
@@ -28,6 +29,17 @@ SPANS = "doc long, ref long, start long, end long, ref_start long, ref_end long,
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
+#: Bytes of texts whose words are found and hashed together; a longer text goes alone, its words some at a time.
+BYTES_TOGETHER = 1 << 17
+
+#: Of each byte: whether it is part of a word, and a number, A-Z having those of a-z.
+IN_WORD = np.array([WORD.match(bytes([b])) is not None for b in range(256)])
+NUMBERS = np.array([xxh64_intdigest(bytes([b]).lower()) for b in range(256)], np.uint64)
+
+#: Powers that the number of a byte is multiplied with by its place, and their inverses.
+STEP = 0xD6E8FEB86659FD93
+POWERS, INVERSES = (np.cumprod(np.full(BYTES_TOGETHER, base, np.uint64)) for base in (STEP, pow(STEP, -1, 1 << 64)))
+
 
 def lowered(text: str) -> bytes:
     return (text or "").encode().lower()  # bytes.lower() changes A-Z alone
@@ -37,8 +49,9 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
 
 
-def chosen(hashes: np.ndarray, shingle: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Prints and places of the winnowed shingles: the last least one of each window; of all, if they fill none."""
+def chosen(hashes: np.ndarray, shingle: int, window: int, texts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Prints and places of the winnowed shingles: the last least one of each window; of all, if they fill none. Words of
+    several texts, one after the other, are winnowed by themselves if `texts` numbers the text of each word."""
     n = len(hashes) - shingle + 1
     if n <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -46,11 +59,66 @@ def chosen(hashes: np.ndarray, shingle: int, window: int) -> tuple[np.ndarray, n
     for i in range(shingle):
         prints = (prints + hashes[i : i + n]) * MULTIPLIER
         prints ^= prints >> np.uint64(29)
-    size = min(window, n)
-    views = np.lib.stride_tricks.sliding_window_view(prints, size)
-    last_least = size - 1 - np.argmin(views[:, ::-1], axis=1)
-    at = np.unique(np.arange(len(views)) + last_least)
-    return prints[at], at
+    texts = np.zeros(len(hashes), np.int64) if texts is None else texts
+    at = np.flatnonzero(texts[:n] == texts[shingle - 1 :])
+    prints, of = prints[at], texts[at]
+    best, last_least, opens = prints.copy(), np.arange(len(at)), np.ones(len(at), bool)
+    opens[1:] = of[1:] != of[:-1]  # a text's first shingle has a window, filled or not
+    for j in range(1, window):
+        less = (prints[j:] <= best[:-j]) & (of[j:] == of[:-j])
+        best[:-j] = np.where(less, prints[j:], best[:-j])
+        last_least[:-j] = np.where(less, np.arange(j, len(at)), last_least[:-j])
+    last = of[window - 1 :]
+    opens[: len(last)] |= last == of[: len(last)]
+    places = last_least[opens]  # in order
+    new = np.ones(len(places), bool)
+    new[1:] = places[1:] != places[:-1]
+    places = places[new]
+    return prints[places], at[places]
+
+
+def together(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """A column of texts, BYTES_TOGETHER at a time: the number of the first text, bytes, and where each text begins and
+    the last one ends. A null text is empty."""
+    held = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    if not len(held):
+        return
+    _, offsets, data = held.buffers()
+    edges = np.frombuffer(offsets, np.int64)[held.offset : held.offset + len(held) + 1]
+    held_bytes = np.frombuffer(data or b"", np.uint8)
+    i = 0
+    while i < len(held):
+        j = max(i + 1, int(np.searchsorted(edges, edges[i] + BYTES_TOGETHER, "right")) - 1)
+        yield i, held_bytes[edges[i] : edges[j]], edges[i : j + 1] - edges[i]
+        i = j
+
+
+def word_edges(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and ends in texts that stand one after the other; a word ends with its text."""
+    inside = IN_WORD[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    begin, end = edges[edges < len(data)], edges[edges > 0] - 1
+    first[begin], last[end] = inside[begin], inside[end]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def hashes_between(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word, wherever it stands: sums of its bytes' numbers, each times a power for its place."""
+    out = [np.empty(0, np.uint64)]
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BYTES_TOGETHER, "right")))
+        some = data[starts[i] : ends[j - 1]]
+        powers = POWERS[: len(some)] if len(some) <= len(POWERS) else np.cumprod(np.full(len(some), STEP, np.uint64))  # one long word
+        sums = np.zeros(len(some) + 1, np.uint64)
+        np.cumsum(NUMBERS[some] * powers, out=sums[1:])
+        begin = starts[i:j] - starts[i]
+        found = (sums[ends[i:j] - starts[i]] - sums[begin]) * INVERSES[begin]
+        out.append((found ^ (found >> np.uint64(32))) * MULTIPLIER)
+        i = j
+    return np.concatenate(out)
 
 
 def postings(texts: DataFrame, shingle: int, window: int) -> DataFrame:
@@ -58,17 +126,28 @@ def postings(texts: DataFrame, shingle: int, window: int) -> DataFrame:
 
     def winnow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, prints, places = [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found, at = chosen(word_hashes(WORD.findall(lowered(text))), shingle, window)
-                ids += [key] * len(at)
-                prints.append(found)
-                places.append(at)
-            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "print": np.concatenate(prints).view(np.int64), "at": np.concatenate(places)})
+            for i, data, edges in together(batch.column(1)):
+                starts, ends = word_edges(data, edges)
+                first = np.searchsorted(starts, edges)  # word of each text
+                of = np.repeat(np.arange(len(edges) - 1), np.diff(first))
+                prints, at = chosen(hashes_between(data, starts, ends), shingle, window, of)
+                of = of[at]
+                yield pa.RecordBatch.from_pydict({"id": batch.column(0).take(pa.array(i + of)), "print": prints.view(np.int64), "at": at - first[of]})
 
     return texts.select(F.col("id").cast("long"), "text").mapInArrow(winnow, "id long, print long, at long")
 
 
+def word_count(text: Column) -> Column:
+    """How many words a text has; null has none."""
+
+    @F.arrow_udf("long")
+    def count(texts: pa.Array) -> pa.Array:
+        found = (np.diff(np.searchsorted(word_edges(data, edges)[0], edges)) for _, data, edges in together(texts))
+        return pa.array(np.concatenate([np.empty(0, np.int64), *found]), pa.int64())
+
+    return count(text)
+
+
 def characters(text: bytes) -> np.ndarray:
     """Code points ahead of each byte of a text, and of its end."""
     return np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
@@ -94,13 +173,19 @@ def extended(mine: list[bytes], theirs: list[bytes], seeds: list[tuple[int, int]
     return out
 
 
+def found_once(rows: DataFrame) -> DataFrame:
+    """The rows as a table that is used twice and computed now: in the session's checkpoint folder, or held by the
+    executors where it has none."""
+    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.localCheckpoint()
+
+
 def shared_spans(docs: DataFrame, references: DataFrame | None = None, shingle: int = 5, window: int = 4, least: int | None = None) -> DataFrame:
     """Spans of docs (id, text) that stand in references (id, text) as well, of `least` words or more (what winnowing
     guarantees, unless more is asked for): words (ends exclusive) and characters on both sides. Without references,
     what each document repeats within itself, the earlier place first.
 
     What a document repeats is found where the document is read. Prints of documents that no reference has are dropped before anything is shuffled, and the postings of a print are
-    dealt out over WAYS tasks. A run of words that stands n times in one text and m times in the other makes n times m
+    dealt out over WAYS tasks. Documents are read twice: for prints, when this is called, and for the texts of those with seeds. A run of words that stands n times in one text and m times in the other makes n times m
     seeds, as each pair of places is a span of its own. Null and shorter texts share nothing. Ids must be distinct on
     either side; null ids take no part."""
     least = max(least or 0, shingle + window - 1)
@@ -114,6 +199,7 @@ def shared_spans(docs: DataFrame, references: DataFrame | None = None, shingle:
     right = theirs.select(F.col("id").alias("ref"), "print", F.col("at").alias("ref_at")).withColumn("way", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(WAYS - 1).cast("long"))))
     pairs = mine.join(right, ["print", "way"])
     seeds = pairs.groupBy("id", "ref").agg(F.collect_list(F.struct("at", "ref_at")).alias("seeds"))
+    seeds = found_once(seeds)
     found = maybe_in(known, "id", seeds.select("id"))  # texts without a seed are not shuffled
     seeds = seeds.join(found, "id").join(others.select(F.col("id").alias("ref"), F.col("text").alias("other")), "ref")
 

@@ -189,7 +189,7 @@ p AS (SELECT DISTINCT doc, unnest(generate_series(start, "end" - 1)) AS at FROM
 SELECT doc, CAST(len(w) AS BIGINT) AS words, (SELECT count(*) FROM p WHERE p.doc = d.doc) AS covered, round(CASE WHEN len(w) > 0 THEN (SELECT count(*) FROM p WHERE p.doc = d.doc) / len(w) ELSE 0 END, 9) AS ratio FROM d
 """)
 def duplication_ratio(spark: SparkSession, d: str) -> DataFrame:
-    totals = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.coalesce(F.size(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)), F.lit(0)).cast("long").alias("words"))
+    totals = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), verbatim.word_count(F.col("text")).alias("words"))
     return verbatim.duplication(shared_with_benchmark(spark, d), totals).withColumn("ratio", F.round("ratio", 9))
 
 

@@ -5,6 +5,7 @@ import re
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,64 @@ def test_what_a_text_repeats_is_not_shuffled(spark, capsys):
     assert got == [(1, 0, 8, 16), (1, 0, 16, 8), *sorted((2, 0, 40 - d, d) for d in range(1, 33))]
 
 
+def test_documents_are_read_twice(spark):
+    """Once for their prints and once for the texts that share any: the prints are not found again for the filter."""
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    passage = "a b c d e f g h i j"
+    docs = spark.createDataFrame([(k, f"{k} {passage if k % 5 == 0 else ''} {k}") for k in range(40)], "id long, text string").mapInArrow(counted, "id long, text string")
+    found = verbatim.shared_spans(docs, spark.createDataFrame([(1, passage)], "id long, text string")).collect()
+    assert sorted((r.doc, r.start, r.end) for r in found) == [(k, 1, 11) for k in range(0, 40, 5)]
+    assert rows.value == 80
+
+
+@pytest.mark.parametrize("together", [1, 7, 40, 1 << 17])
+def test_words_of_many_texts_at_once(monkeypatch, together):
+    """Words, their hashes and the winnowed shingles are those of each text by itself, in whatever groups texts are taken."""
+    rng = random.Random(together)
+    monkeypatch.setattr(verbatim, "BYTES_TOGETHER", together)
+    texts = ["".join(rng.choice(["a", "B", "b", " ", "\n", "é", "\x0b", "\x1c", "\u2003", "😀"]) for _ in range(rng.choice([0, 1, 4, 30, 80]))) if k % 9 else None for k in range(300)]
+    hashes, seen = {}, 0
+    for i, data, edges in verbatim.together(pa.array(["x", *texts], pa.string())[1:]):
+        starts, ends = verbatim.word_edges(data, edges)
+        first = np.searchsorted(starts, edges)
+        of = np.repeat(np.arange(len(edges) - 1), np.diff(first))
+        found = verbatim.hashes_between(data, starts, ends)
+        prints, at = verbatim.chosen(found, 3, 2, of)
+        for k in range(len(edges) - 1):
+            mine = slice(first[k], first[k + 1])
+            words = [bytes(data[a:b]).lower() for a, b in zip(starts[mine], ends[mine], strict=True)]
+            assert words == verbatim.WORD.findall(verbatim.lowered(texts[i + k]))
+            assert all(hashes.setdefault(w, h) == h for w, h in zip(words, found[mine].tolist(), strict=True))
+            shingles = [p for _, p in sorted(zip(at[of[at] == k].tolist(), prints[of[at] == k].tolist(), strict=True))]
+            alone, places = verbatim.chosen(found[mine], 3, 2)
+            assert shingles == alone.tolist() and (at[of[at] == k] - first[k]).tolist() == places.tolist() and (len(words) >= 3) == (len(alone) > 0)
+            seen += 1
+    assert seen == len(texts) and len(set(hashes.values())) == len(hashes) > 20
+
+
+def test_chosen_shingles_are_the_last_least_of_each_window():
+    rng = np.random.default_rng(5)
+    for n in range(12):
+        hashes = rng.integers(0, 3, n).astype(np.uint64)
+        every, at = verbatim.chosen(hashes, 2, 1)
+        assert at.tolist() == list(range(n - 1)) or n == 0
+        size = min(4, len(every))
+        wanted = sorted({max(range(i, i + size), key=lambda j: (-int(every[j]), j)) for i in range(len(every) - size + 1)}) if size else []
+        assert verbatim.chosen(hashes, 2, 4)[1].tolist() == wanted
+
+
+def test_word_count(spark):
+    texts = ["a  b\tc\n", "", None, " ", "é\u2003x y", "\x1ca b"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", verbatim.word_count(F.col("t")).alias("n")).collect()
+    assert {r.k: r.n for r in rows} == {k: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for k, t in enumerate(texts)}
+
+
 def test_prints_that_agree_by_chance_give_no_span():
     assert verbatim.extended([b"a", b"b"], [b"c", b"b"], [(0, 0)], False) == []
 
