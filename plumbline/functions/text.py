@@ -1,4 +1,4 @@
-"""Text measures and cleaning as Column expressions; all but char_perplexity and word_measures run inside the JVM.
+"""Text measures and cleaning as Column expressions; all but char_perplexity, winnow_text and word_measures run inside the JVM.
 
 Every function takes and returns Columns. A null text gives null unless said otherwise."""
 
@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
+from xxhash import xxh64_intdigest
 
 # Phrases that mark formulaic prose, as the badge rules list them.
 CLICHES = (
@@ -24,6 +25,10 @@ TOTAL_LABELS = ("total", "totals", "sum", "overall", "grand total", "all")
 #: Words after which a hyphen at a line break stays.
 HYPHEN_STAYS = ("and", "or", "to", "nor", "but", "versus", "vs")
 
+#: Each byte of a lower-case text, all that is in no word of normal_words() as a space; seed of Spark's xxhash64.
+IN_NORMAL_WORDS = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for b in range(256))
+SPARK_SEED = 42
+
 HYPHEN_BREAK = rf"(?<=\p{{L}}{{2}})-[ \t]+(?!(?:{'|'.join(HYPHEN_STAYS)})(?!\p{{L}}))(?=\p{{Ll}}{{2,}}(?!\p{{L}}))"
 
 
@@ -194,6 +199,32 @@ def winnow(words: Column, shingle: int, window: int) -> Column:
     return let(let(words, hashed), least)
 
 
+def prints_of(low: bytes, shingle: int, window: int) -> list[int]:
+    """winnow() of the normal words of a lower-case text."""
+    words = b" ".join(low.translate(IN_NORMAL_WORDS).split())
+    spaces = np.flatnonzero(np.frombuffer(words, np.uint8) == 32)
+    starts, ends = [0, *(spaces + 1).tolist()], [*spaces.tolist(), len(words)]
+    if not words or len(starts) < shingle:
+        return []
+    hashes = np.array([xxh64_intdigest(words[a:b], SPARK_SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=False)], np.uint64).view(np.int64)
+    size = min(window, len(hashes))
+    least = hashes[: len(hashes) - size + 1]
+    for i in range(1, size):
+        least = np.minimum(least, hashes[i : len(hashes) - size + 1 + i])
+    return list(dict.fromkeys(least.tolist()))
+
+
+def winnow_text(text: Column, shingle: int, window: int) -> Column:
+    """winnow() of the text's normal_words(), a text at a time in Arrow batches; a null text has none."""
+
+    @F.arrow_udf("array<long>")
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [pa.array([prints_of(low or b"", shingle, window) for low in some], pa.list_(pa.int64())) for some in in_slices(texts)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int64()))
+
+    return run(F.lower(text).cast("binary"))
+
+
 def word_measures(text: Column, stopwords: Sequence[str], listed: Sequence[str], terms: int, n: int = 3) -> Column:
     """struct of measures of the text's normal_words(), a text at a time in Arrow batches: stopword_share() (stopwords),
     distinct_ngram_share() (distinct), distinctive_terms() (terms) and how many of listed are among them (shared)."""

@@ -517,7 +517,7 @@ def markers_from_html(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def winnowed(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", text.winnow(text.normal_words(F.col("text")), 8, 4).alias("prints"))
+    rows = table(spark, d, "documents").select("doc_id", text.winnow_text(F.col("text"), 8, 4).alias("prints"))
     return rows.select("doc_id", F.size("prints").alias("n_prints"))
 
 

@@ -1,5 +1,6 @@
 import dataclasses
 import math
+import random
 import re
 
 import numpy as np
@@ -148,6 +149,26 @@ def test_text_functions(spark):
     assert row(text.expectation_sentences, "Authors must include a statement of the data behind the work. Short one.") == ["Authors must include a statement of the data behind the work."]
 
 
+def test_winnowed_texts_are_winnowed_words(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["a", "B", "b7", "c ", " ", "\n", "é", "\x0b", "\x1c", "\u2003", "-", "İ", "\u212a", "😀"]) for _ in range(rng.choice([1, 6, 30, 200]))) for _ in range(300)]
+    texts += [None, "", " ", "é", "a b", "a b c", "a b c d", "a " * 50, "same words again " * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    for shingle, window in ((3, 2), (8, 4), (1, 1)):
+        rows = df.select("k", text.winnow_text(F.col("t"), shingle, window).alias("now"), text.winnow(text.normal_words(F.col("t")), shingle, window).alias("then")).collect()
+        assert len(rows) == len(texts) and all(r.now == r.then for r in rows)
+    assert df.limit(0).select(text.winnow_text(F.col("t"), 3, 2)).count() == 0
+
+
+def test_winnowed_is_not_interpreted_by_element(spark, tmp_path, capsys):
+    """No lambda function over a text's words."""
+    spark.createDataFrame([(1, "one two three four five six seven eight nine"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["winnowed"](spark, str(tmp_path))
+    found.explain()
+    assert "lambdafunction" not in capsys.readouterr().out
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1), (2, 0)]
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [0.0, 0.0]), (4, [1.0])], "id int, v array<float>")
     assert [r.id for r in vector.knn(df, [1.0, 0.1], 2, "id", "v").collect()] == [1, 3] and vector.knn(df, [1.0, 0.1], 0, "id", "v").count() == 0
